@@ -3,8 +3,29 @@
 from __future__ import annotations
 
 from .decontamination import op9_benchmark_decontamination
+from .html_extraction import op7_html_extraction
 from .jaccard_join import op8_ngram_jaccard_join
+from .language_model import op5_lm_scoring
+from .privacy import op6_pii_sanitisation
+from .quality import op2_quality_classifier
+from .quality_rules import op10_quality_rules
+from .sentencepiece_codec import op4_sentencepiece
 from .substring_dedup import op1_substring_dedup
+from .toxicity import op3_toxicity
 
-QUERIES = {q.__name__: q for q in (op1_substring_dedup, op8_ngram_jaccard_join, op9_benchmark_decontamination)}
+QUERIES = {
+    q.__name__: q
+    for q in (
+        op1_substring_dedup,
+        op2_quality_classifier,
+        op3_toxicity,
+        op4_sentencepiece,
+        op5_lm_scoring,
+        op6_pii_sanitisation,
+        op7_html_extraction,
+        op8_ngram_jaccard_join,
+        op9_benchmark_decontamination,
+        op10_quality_rules,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
