@@ -1,29 +1,45 @@
-"""What the operators of this subpackage share: checkpoints, components of a graph, reading a table."""
+"""What the operators of this subpackage share: written tables, components of a graph, reading a table."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ready(spark: SparkSession) -> SparkSession:
-    """The session, with a checkpoint folder. The folder that the cluster names is used; only where
-    none is set (tests on one machine) a temporary one is made."""
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application in the one that the cluster names in spark.checkpoint.dir; only where none is set (tests
+    on one machine) in a temporary one. It is deleted when the driver ends."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
-    return spark
+    known = getattr(context, "_graphloom_folder", None)
+    if not known:
+        top = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not top:
+            if not context.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            top = tempfile.mkdtemp(prefix="checkpoints")
+            spark.conf.set("spark.checkpoint.dir", top)
+        known = context._graphloom_folder = f"{top.rstrip('/')}/tables-{context.applicationId}-{uuid.uuid4().hex[:8]}"
+        atexit.register(_removed, spark, known)
+    return known
+
+
+def _removed(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder; nothing is computed twice or lost with an executor."""
-    ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows, written once to a table in the shared folder: nothing is computed twice or lost with an executor, and the plan starts anew."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +51,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round takes the least label among a node's neighbours and then follows it one jump, so the
     number of rounds is about the logarithm of the longest path. Only node ids move, each round is
-    checkpointed, and the least is taken before the shuffle, so a star of any size is spread over
+    written down, and the least is taken before the shuffle, so a star of any size is spread over
     the tasks.
     """
     both = saved(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())

@@ -36,6 +36,8 @@ from .tokens import Words, kgrams, mix, pieces, signed
 
 SHINGLE, PERCENT = 3, 90
 SKETCH_BITS, BLOCK_BITS, BITMAP = 22, 18, 1024
+#: Ids of 8 bytes that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,15 +160,18 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     # Pivots are taken again among the representatives.
     lists = live.groupBy("gram").agg(F.min(F.struct("doc", "n", "place")).alias("pivot"), F.max("doc").alias("most")).where("pivot.doc < most").select("gram", "pivot")
     live = saved(live.drop("pivot").join(lists, "gram"))
-    needed = saved(source.join(live.select("doc").distinct(), "doc").groupBy("doc").agg(F.min("text").alias("text")))
 
     def fits(n_a: str, place_a: str, n_b: str, place_b: str) -> F.Column:
         """Length and positional filters: the sizes are near enough, and enough shingles stand from the shared one on."""
         return F.expr(f"100 * least({n_a}, {n_b}) >= {percent} * greatest({n_a}, {n_b}) and {100 + percent} * (1 + least({place_a}, {place_b}) + least({n_a} - {place_a}, {n_b} - {place_b}) - 1) >= {percent} * ({n_a} + {n_b})")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        texts = needed.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), needed.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
-        return saved(_near(pairs, maps, percent).join(texts[0], "a").join(texts[1], "b").mapInArrow(lambda b: _verified(b, n, percent), "a long, b long"))
+        near = saved(_near(pairs, maps, percent))
+        ids = saved(near.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
+        few = ids.count() <= BROADCAST_IDS  # then the texts of the others needn't be shuffled
+        texts = saved(source.join(F.broadcast(ids) if few else ids, "doc").groupBy("doc").agg(F.min("text").alias("text")))
+        a, b = texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
+        return saved(near.join(a, "a").join(b, "b").mapInArrow(lambda b: _verified(b, n, percent), "a long, b long"))
 
     distinct = lambda pairs: pairs.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
     first = distinct(live.where("doc <> pivot.doc").where(fits("n", "place", "pivot.n", "pivot.place")).select(F.col("pivot.doc").alias("a"), F.col("doc").alias("b"), F.col("pivot.n").alias("n_a"), F.col("n").alias("n_b")))

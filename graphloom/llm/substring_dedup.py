@@ -163,7 +163,8 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     paths = counted.select("edge", F.least("n", F.lit((1 << 32) - 1)).alias("n"), F.expr("least = most and least <> 0").cast("long").alias("link"))
     packed = F.shiftleft(F.col("number").cast("long"), 33) + F.shiftleft("n", 1) + F.col("link")
     known = edges.select("edge", "home", "number").join(paths, "edge").select("home", packed.alias("one")).groupBy("home").agg(F.collect_list("one").alias("known"))
-    lit = source.select("home", "text").join(known, "home").select("home", "text", "known")
+    # The same columns as below, key included, so that both joins share one shuffle of the texts.
+    lit = source.join(known, "home").select("key", "home", "text", "known")
     windows = lit.mapInArrow(lambda b: _open_windows(b, window), "one long, two long, home long, place int")
     twice = windows.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
     found = windows.join(twice, ["one", "two"]).groupBy("home").agg(F.collect_list("place").alias("found"))
