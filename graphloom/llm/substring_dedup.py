@@ -1,14 +1,14 @@
 """Substring deduplication on a sparse De Bruijn graph of the corpus.
 
-Nodes are token k-mers picked as minimizers; an edge is the token k-mer of variable length from one
-picked k-mer of a document to the next, so edges spell whole documents while only about
-2/(spread+1) of all places become rows. Every run of `window` words holds at least one whole edge, so a
-window can repeat only where all edges in it repeat.
+Edges are token k-mers, of which the least by hash among every `window + 1 - k` neighbours is picked (about 2 of
+window + 2 - k places); a window of words always holds the edge it picks, the same one wherever it occurs,
+so a window can repeat only where its edge repeats.
 
-1. Edges are counted over the corpus (summed before the shuffle, so no copied passage is hot).
+1. Edges are counted over the corpus, together with what follows them: all words up to the end of the next edge
+   (summed before the shuffle, so no copied passage is hot).
 2. Repeated edges are joined back to their source coordinates (document, number of the edge).
-3. Nonbranching paths compact: where every occurrence of an edge is followed by one and the same edge and both
-   occur equally often, they always occur together. A compacted path occurs at least twice as a
+3. Nonbranching paths compact: where every occurrence of an edge is followed by the same words and the next edge
+   occurs equally often, they always occur together. A compacted path occurs at least twice as a
    whole, so windows inside it are settled without another look.
 4. The other windows, at the ends of paths and across branches, are verified at their source
    coordinates: a 128-bit hash of the window is counted over the corpus and joined back.
@@ -35,82 +35,96 @@ WINDOW = 35
 
 
 class Graph:
-    """Edges of the documents of one piece. window >= k + 2 * spread - 1, and spread <= k."""
+    """Edges of the documents of one piece: of every `spread` neighbouring k-mers of a document the one of least hash is picked,
+    where k + spread - 1 = window, so the k-mers of a window pick one edge, the same wherever the window occurs."""
 
     def __init__(self, words: Words, window: int):
         self.window = window
-        self.k = k = -(-window // 3)  # at least spread, so that two nodes spell all words between them
-        self.spread = spread = (window + 1 - k) // 2
+        self.k = k = -(-window // 3)
+        self.spread = spread = window + 1 - k
         n = len(words)
         left = words.left()
         grams = kgrams(words.hashes, k)
         picked = np.zeros(n + 1, bool)
-        #: The place that the span of `spread` places from here on picks.
+        #: The place that the window from here on picks.
         self.pick = np.zeros(n, np.int64)
         if len(grams) >= spread:
             spans = np.lib.stride_tricks.sliding_window_view(grams, spread)
-            whole = np.flatnonzero(left[: len(spans)] >= k + spread - 1)
-            for low in range(0, len(whole), 1 << 16):  # leftmost minimizer of each span that lies in one document
-                some = whole[low : low + (1 << 16)]
+            whole = np.flatnonzero(left[: len(spans)] >= window)
+            for low in range(0, len(whole), 1 << 15):  # leftmost of the least
+                some = whole[low : low + (1 << 15)]
                 self.pick[some] = some + spans[some].argmin(axis=1)
             picked[self.pick[whole]] = True
-        self.nodes = np.flatnonzero(picked)
-        row = words.row_of()[self.nodes] if n else np.zeros(0, int)
-        same = row[1:] == row[:-1] if len(row) else np.zeros(0, bool)
-        #: Of each node but the last: whether an edge leaves it, and that edge's hash.
-        self.has = same
-        gap = np.diff(self.nodes).astype(np.uint64)
-        at = grams[self.nodes] if len(self.nodes) else np.zeros(0, np.uint64)
-        self.edges = mix(at[:-1] ^ mix(at[1:], 3) * np.uint64(3) + gap, 5) | np.uint64(1)
-        self.row = row
-        first = np.searchsorted(row, np.arange(len(words.at) - 1)) if len(row) else np.zeros(len(words.at) - 1, int)
+        self.places = at = np.flatnonzero(picked)
+        self.edges = grams[at] | np.uint64(1) if len(at) else np.zeros(0, np.uint64)
+        self.row = row = words.row_of()[at] if n else np.zeros(0, int)
+        first = np.searchsorted(row, np.arange(len(words.at) - 1))
         #: Number of the edge in its document.
-        self.number = np.arange(len(row)) - first[row] if len(row) else row
+        self.number = np.arange(len(row)) - first[row]
+        # All words from an edge to the end of the next one, as a difference of running sums with powers of one base.
+        self.after = np.zeros(len(at), np.uint64)
+        if len(at) > 1:
+            run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words.hashes, 9) * POWER.upto(n), dtype=np.uint64)])
+            sums = (run[at[1:] + k] - run[at[:-1]]) * POWER.inverse(n)[at[:-1]]
+            same = row[1:] == row[:-1]
+            self.after[:-1] = np.where(same, mix(sums + np.diff(at).astype(np.uint64), 5) | np.uint64(1), 0)
+
+
+class Powers:
+    """Powers of an odd number and of its inverse modulo 2**64, as many as were needed so far."""
+
+    def __init__(self, base: int):
+        self.base, self.back = base, pow(base, -1, 1 << 64)
+        self.tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+    def _table(self, i: int, n: int) -> np.ndarray:
+        if len(self.tables[i]) < n:
+            table_ = np.full(2 * n, (self.base, self.back)[i], np.uint64)
+            table_[0] = 1
+            self.tables[i] = np.cumprod(table_, dtype=np.uint64)
+        return self.tables[i][:n]
+
+    def upto(self, n: int) -> np.ndarray:
+        return self._table(0, n)
+
+    def inverse(self, n: int) -> np.ndarray:
+        return self._table(1, n)
+
+
+POWER = Powers(0xB5297A4D3F84D5B5)
 
 
 def _edges(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         graph = Graph(Words(batch.column("text")), window)
-        at = np.flatnonzero(graph.has)
-        if not len(at):
-            continue
-        after = np.zeros(len(graph.edges), np.uint64)
-        after[:-1] = np.where(graph.has[1:], graph.edges[1:], 0)
         home = batch.column("home").to_numpy(zero_copy_only=False)
-        for low in range(0, len(at), 1 << 17):
-            some = at[low : low + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(graph.edges[some]), signed(after[some]), home[graph.row[some]], graph.number[some].astype(np.int32))], names=["edge", "after", "home", "number"])
+        for low in range(0, len(graph.edges), 1 << 17):
+            some = np.arange(low, min(low + (1 << 17), len(graph.edges)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(graph.edges[some]), signed(graph.after[some]), home[graph.row[some]], graph.number[some].astype(np.int32))], names=["edge", "after", "home", "number"])
 
 
 def _marks(graph: Graph, words: Words, packed: list) -> tuple[np.ndarray, np.ndarray]:
     """For each window start: settled, and open (to be verified)."""
-    n, k, window = len(words), graph.k, graph.window
-    nodes = graph.nodes
-    repeated, linked, count = np.zeros(len(nodes), bool), np.zeros(len(nodes), bool), np.zeros(len(nodes), np.int64)
+    n, k, window, places = len(words), graph.k, graph.window, graph.places
+    repeated, linked, count = np.zeros(len(places), bool), np.zeros(len(places), bool), np.zeros(len(places), np.int64)
     first = np.searchsorted(graph.row, np.arange(len(words.at) - 1))
     for r, values in enumerate(packed):
         if values is not None and len(values):
             values = np.asarray(values, np.int64)
             at = first[r] + (values >> 33)
             repeated[at], linked[at], count[at] = True, values & 1, (values >> 1) & 0xFFFFFFFF
-    joined = np.zeros(len(nodes), bool)  # this edge and the one before it are on one path
-    joined[1:] = linked[:-1] & repeated[:-1] & repeated[1:] & (count[:-1] == count[1:]) & (graph.row[1:] == graph.row[:-1])
-    path = np.cumsum(~joined)
-    odd = np.concatenate([[0], np.cumsum(~repeated)])
-    start = np.flatnonzero(words.left() >= window)
     settled, unsure = np.zeros(n, bool), np.zeros(n, bool)
+    start = np.flatnonzero(words.left() >= window)
     if not len(start) or not repeated.any():
         return settled, unsure
-    # Nodes picked by spans that lie in the window are the same wherever the window occurs; others aren't.
-    low = np.searchsorted(nodes, graph.pick[start])
-    high = np.searchsorted(nodes, graph.pick[start + (window - k - graph.spread + 1)])
-    candidate = (odd[high] - odd[low]) == 0
-    out_low = np.searchsorted(nodes, start, "right") - 1
-    out_high = np.searchsorted(nodes, start + (window - k))
+    joined = np.zeros(len(places), bool)  # this edge and the one before it are on one path
+    joined[1:] = linked[:-1] & repeated[:-1] & repeated[1:] & (count[:-1] == count[1:]) & (graph.row[1:] == graph.row[:-1])
+    path = np.cumsum(~joined)
+    candidate = repeated[np.searchsorted(places, graph.pick[start])]
+    low, high = np.searchsorted(places, start, "right") - 1, np.searchsorted(places, start + (window - k))
+    a, b = np.maximum(low, 0), np.minimum(high, len(places) - 1)
     rows = words.row_of()[start]
-    inside = (out_low >= 0) & (out_high < len(nodes))
-    a, b = np.maximum(out_low, 0), np.minimum(out_high, len(nodes) - 1)
-    inside &= (graph.row[a] == rows) & (graph.row[b] == rows) & (odd[b] - odd[a] == 0) & (path[a] == path[np.maximum(b - 1, 0)])
+    inside = (low >= 0) & (high < len(places)) & (graph.row[a] == rows) & (graph.row[b] == rows) & (path[a] == path[b]) & repeated[a]
     settled[start[inside]] = True
     unsure[start[candidate & ~inside]] = True
     return settled, unsure
