@@ -10,11 +10,11 @@ Texts are lowered (A-Z) and cut into words; a document's set holds its distinct
 3. Rare-first prefixes: shingles ordered by (sketched frequency, hash), one order for all, so the prefix filter is
    exact whatever the sketch's error. Posting rows hold the shingle, document, set size and position.
 4. Each posting list links its members with one pivot first. Candidates pass the length and
-   positional filters, then the suffix filter (a bound of the Hamming distance from the two bitmaps),
-   once per pair, and are then verified on whole sets.
-5. Lists whose members are in one component by then have nothing left to find. Over what remains, only pairs
-   across components are made, so a group of copies never gives all its pairs and no
-   component is lost: any link between different components shares a prefix shingle.
+   positional filters and the suffix filter (a bound of the Hamming distance from the two bitmaps),
+   and are then verified once per pair on whole sets.
+5. Lists whose members are in one component by then have nothing left to find. Over what remains, the join compares
+   only across components and makes a row only of what passes all filters, so a group of copies never
+   gives all its pairs and no component is lost: any link between different components shares a prefix shingle.
 
 Results: class representative, component and size for every document. Edges: null texts, empty texts and
 texts without words have the empty set and link with nothing; rows with an equal id and equal text fall together; a
@@ -38,6 +38,7 @@ SHINGLE, PERCENT = 3, 90
 SKETCH_BITS, BLOCK_BITS, BITMAP = 22, 18, 1024
 #: Ids of 8 bytes that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+BITS = [f"b{i}" for i in range(BITMAP // 64)]
 
 
 def sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +73,7 @@ def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _digests(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     empty = lambda kind, rows: pa.nulls(rows, kind)
-    names = ["doc", "n", "one", "two", "bits", "block", "counts"]
+    names = ["doc", "n", "one", "two", *BITS, "block", "counts"]
     seen = False
     for batch in pieces(batches):
         shingles, at = sets(batch.column("text"), n)
@@ -83,15 +84,15 @@ def _digests(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
         bit = (mix(shingles, 11) % np.uint64(BITMAP)).astype(np.int64)
         maps = np.zeros((rows, BITMAP), bool)
         maps[row, bit] = True
-        bits = [x.tobytes() for x in np.packbits(maps, axis=1)]
+        bits = np.packbits(maps, axis=1).view(np.int64)
         one, two = (signed(_sums(mix(shingles, s), at)) for s in (21, 22))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc").cast(pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(one), pa.array(two), pa.array(bits, pa.binary()), empty(pa.int32(), rows), empty(pa.binary(), rows)], names=names
+            [batch.column("doc").cast(pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(one), pa.array(two), *(pa.array(bits[:, i].copy()) for i in range(len(BITS))), empty(pa.int32(), rows), empty(pa.binary(), rows)], names=names
         )
     if seen:
         for block, part in enumerate(counts.astype(np.uint32).reshape(-1, 1 << BLOCK_BITS)):
             if part.any():
-                yield pa.RecordBatch.from_arrays([*(empty(k, 1) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())), pa.array([block], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*(empty(pa.int64(), 1) for _ in names[:-2]), pa.array([block], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=names)
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,20 +128,17 @@ def _verified(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterat
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(mask)
 
 
-def _near(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs (a, b, n_a, n_b) that the suffix filter leaves: a pair that links differs in at most n_a + n_b - 2 * least places, and
-    its bitmaps in no more bits."""
-    words = [F.expr(f"bit_count(conv(hex(substring(bits_a, {1 + 7 * i}, 7)), 16, 10) :: bigint ^ conv(hex(substring(bits_b, {1 + 7 * i}, 7)), 16, 10) :: bigint)") for i in range(-(-BITMAP // 56))]
-    least = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
-    both = pairs.join(maps.select(F.col("doc").alias("a"), F.col("bits").alias("bits_a")), "a").join(maps.select(F.col("doc").alias("b"), F.col("bits").alias("bits_b")), "b")
-    return both.where(sum(words[1:], words[0]) <= F.col("n_a") + F.col("n_b") - 2 * least).select("a", "b")
+def _suffix_filter(percent: int) -> str:
+    """SQL: a pair that links differs in at most n_a + n_b - 2 * least places, and its bitmaps in no more bits."""
+    differ = " + ".join(f"bit_count({b}_a ^ {b}_b)" for b in BITS)
+    return f"{differ} <= n_a + n_b - 2 * ceil({percent} * (n_a + n_b) / {100 + percent})"
 
 
 def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, class_id, component_id): class_id is the least id with an equal set, component_id the least id reachable by links."""
     spark = docs.sparkSession
     source = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    digests = saved(source.mapInArrow(lambda b: _digests(b, n), "doc long, n long, one long, two long, bits binary, block int, counts binary"))
+    digests = saved(source.mapInArrow(lambda b: _digests(b, n), f"doc long, n long, one long, two long, {' long, '.join(BITS)} long, block int, counts binary"))
 
     parts = digests.where("block is not null").select("block", "counts")
     merged = parts.mapInArrow(_added, parts.schema).repartition(F.col("block")).mapInArrow(_added, parts.schema)
@@ -149,10 +147,11 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
         sketch[row["block"] << BLOCK_BITS : (row["block"] + 1) << BLOCK_BITS] = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
     shared = spark.sparkContext.broadcast(np.minimum(sketch, 65535).astype(np.uint16))
 
-    rows = digests.where("block is null").select("doc", "n", "one", "two", "bits")
+    rows = digests.where("block is null").select("doc", "n", "one", "two", *BITS)
     classes = rows.where("n > 0 and doc is not null").groupBy("n", "one", "two").agg(F.min("doc").alias("class"))
     heads = classes.select(F.col("class").alias("doc"))
-    maps = saved(rows.where("n > 0").join(heads, "doc").groupBy("doc").agg(F.first("bits").alias("bits")))
+    maps = saved(rows.where("n > 0").join(heads, "doc").select("doc", *BITS).dropDuplicates(["doc"]))
+    of = lambda side: maps.select(F.col("doc").alias(side), *(F.col(b).alias(f"{b}_{side}") for b in BITS))
 
     postings = source.where("doc is not null").mapInArrow(lambda b: _prefix_rows(b, n, percent, shared.value), "gram long, doc long, n int, place int")
     grouped = postings.groupBy("gram").agg(F.count("*").alias("members"), F.min(F.struct("doc", "n", "place")).alias("pivot")).where("members > 1").select("gram", "pivot")
@@ -166,7 +165,7 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
         return F.expr(f"100 * least({n_a}, {n_b}) >= {percent} * greatest({n_a}, {n_b}) and {100 + percent} * (1 + least({place_a}, {place_b}) + least({n_a} - {place_a}, {n_b} - {place_b}) - 1) >= {percent} * ({n_a} + {n_b})")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        near = saved(_near(pairs, maps, percent))
+        near = saved(pairs)
         ids = saved(near.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
         few = ids.count() <= BROADCAST_IDS  # then the texts of the others needn't be shuffled
         texts = saved(source.join(F.broadcast(ids) if few else ids, "doc").groupBy("doc").agg(F.min("text").alias("text")))
@@ -175,14 +174,14 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
 
     distinct = lambda pairs: pairs.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
     first = distinct(live.where("doc <> pivot.doc").where(fits("n", "place", "pivot.n", "pivot.place")).select(F.col("pivot.doc").alias("a"), F.col("doc").alias("b"), F.col("pivot.n").alias("n_a"), F.col("n").alias("n_b")))
-    links = linked(first)
+    links = linked(first.join(of("a"), "a").join(of("b"), "b").where(_suffix_filter(percent)).select("a", "b"))
     known = components(links)
 
     member = live.select("gram", "doc", "n", "place").join(known.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed = member.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
-    rest = saved(member.join(mixed, "gram"))
-    side = lambda s: rest.select("gram", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "place", "component")))
-    across = side("a").join(side("b"), "gram").where("doc_a < doc_b and component_a <> component_b").where(fits("n_a", "place_a", "n_b", "place_b"))
+    rest = saved(member.join(mixed, "gram").join(maps, "doc"))
+    side = lambda s: rest.select("gram", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "place", "component", *BITS)))
+    across = side("a").join(side("b"), "gram").where("doc_a < doc_b and component_a <> component_b").where(fits("n_a", "place_a", "n_b", "place_b")).where(_suffix_filter(percent))
     more = distinct(across.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "n_a", "n_b"))
     more = more.join(first.select("a", "b"), ["a", "b"], "left_anti")
     final = components(links.union(linked(more))).withColumnRenamed("node", "class")
