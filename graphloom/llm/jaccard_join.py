@@ -3,8 +3,8 @@
 Texts are lowered (A-Z) and cut into words; a document's set holds its distinct n-word shingles as 64-bit hashes
 (a shorter text is one shingle). Two documents link when 100 * |A and B| >= percent * |A or B|.
 
-1. One scan writes a small row for each document: size and a 128-bit digest of its set, and a bitmap of the
-   set. Each task also adds its shingles to a frequency sketch of fixed size (SKETCH counters), whose
+1. One scan writes a small row for each document: size and a 128-bit digest of its set, and a bitmap with the
+   parity of the shingles that fall on each bit. Each task also adds its shingles to a frequency sketch of fixed size (SKETCH counters), whose
    partial sums are merged in two steps; the merged sketch is broadcast (8 MB, whatever the input).
 2. Documents with equal sets are one class, found by an aggregation; only its representative goes on.
 3. Rare-first prefixes: shingles ordered by (sketched frequency, hash), one order for all, so the prefix filter is
@@ -35,7 +35,7 @@ from .common import components, saved, table
 from .tokens import Words, kgrams, mix, pieces, signed
 
 SHINGLE, PERCENT = 3, 90
-SKETCH_BITS, BLOCK_BITS, BITMAP = 22, 18, 1024
+SKETCH_BITS, BLOCK_BITS, BITMAP = 22, 18, 512
 #: Ids of 8 bytes that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 BITS = [f"b{i}" for i in range(BITMAP // 64)]
@@ -82,9 +82,8 @@ def _digests(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
         rows = batch.num_rows
         row = np.repeat(np.arange(rows), np.diff(at))
         bit = (mix(shingles, 11) % np.uint64(BITMAP)).astype(np.int64)
-        maps = np.zeros((rows, BITMAP), bool)
-        maps[row, bit] = True
-        bits = np.packbits(maps, axis=1).view(np.int64)
+        odd = (np.bincount(row * BITMAP + bit, minlength=rows * BITMAP) & 1).astype(bool).reshape(rows, BITMAP)
+        bits = np.packbits(odd, axis=1).view(np.int64)
         one, two = (signed(_sums(mix(shingles, s), at)) for s in (21, 22))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc").cast(pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(one), pa.array(two), *(pa.array(bits[:, i].copy()) for i in range(len(BITS))), empty(pa.int32(), rows), empty(pa.binary(), rows)], names=names
