@@ -7,7 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -66,3 +66,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not changed:
             return labels
     raise RuntimeError("components did not settle")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, *, key: str, text: str, label: str, sample: int) -> DataFrame:
+    """(label, text) of at most `sample` documents for which learn holds, half of them of either label, in the order of a hash of the id.
+
+    The ids are chosen from the narrow labels first and broadcast (`sample` rows at most), so no text is shuffled but the
+    sample's. Conflicting or null labels of a document don't count; of rows with equal ids the least text does."""
+    known = labels.where(learn).groupBy(F.col(key).alias("key")).agg(F.min(label).alias("label"), F.max(label).alias("most")).where("label = most and label in (0, 1) and key is not null")
+    known = known.select("key", F.col("label").cast("int").alias("label"))
+    halves = [known.where(F.col("label") == v).orderBy(F.xxhash64("key"), "key").limit(sample // 2) for v in (0, 1)]
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(halves[0].unionByName(halves[1])), "key")
+    return texts.groupBy("key", "label").agg(F.min("text").alias("text")).select("label", "text")

@@ -12,7 +12,7 @@ toxic as its worst word, a document as its worst sentence; a logistic curve give
 
 As the machine is linear in the landmarks and the kernel in subsequences, it folds into one weight per subsequence
 (4 MB, fixed size), so scoring a text is a table look-up for its distinct words: one scan, no shuffle.
-It is fitted on the driver on at most SAMPLE labelled training documents, in the order of a hash of text and id.
+It is fitted on the driver on at most SAMPLE labelled training documents, in the order of a hash of the id.
 No label, language, source or id enters a score.
 
 Edges: null, empty and blank texts score 0; without labelled documents of both kinds every text scores 0; repeated rows score alike.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import labelled_sample, table
 from .tokens import LOWER, Words, pieces
 
 SAMPLE, LANDMARKS, DECAY, SPAN = 4000, 160, 0.6, 7
@@ -215,11 +215,8 @@ def hash_of(word: bytes) -> int:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: F.Column, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Machine:
-    known = labels.where(learn).groupBy(F.col(key).alias("key")).agg(F.min(label).alias("label"), F.max(label).alias("most")).where("label = most and label in (0, 1)").select("key", F.col("label").cast("int").alias("label"))
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(known, "key")
-    order = F.xxhash64("text", "key")
-    chosen = [texts.where(F.col("label") == v).orderBy(order, "key", "text").limit(sample // 2) for v in (0, 1)]
-    got = chosen[0].unionByName(chosen[1]).select("label", "text").toArrow()
+    chosen = labelled_sample(docs, labels, learn, key=key, text=text, label=label, sample=sample)
+    got = chosen.toArrow()
     rows = sorted(zip(got["label"].to_pylist(), got["text"].to_pylist(), strict=True), key=lambda r: (r[0], r[1] or ""))
     documents: list[dict[bytes, int]] = []
     for _, body in rows:
