@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A folder of this application in the one that the cluster names in spark.checkpoint.dir; only where none is set (tests
     on one machine) in a temporary one. It is deleted when the driver ends."""
@@ -43,6 +46,10 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Texts are long, so where the number of rows in an Arrow batch is Spark's own, it is lowered
+    for the session: a task then holds a few MB of text at once."""
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -71,15 +71,20 @@ def sequence(words: Words, at: int, size: int) -> bytes:
     return b" ".join(data[starts[i] : ends[i]].tobytes() for i in range(at, at + size))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(key, text, n_words long, hits array<int>: numbers of the hit words, items array<string>) for every row of docs."""
+def _blocks(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, window: int, block_chars: int):
+    """The rows to scan, and the broadcast hash sets one after another."""
     items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("body")).where("item is not null and body is not null")
     blocks = max(1, math.ceil((items.agg(F.sum(F.length("body"))).first()[0] or 0) / block_chars))
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"))
-    context, schema = docs.sparkSession.sparkContext, out.schema
-    for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.expr(f"pmod(xxhash64(item, body), {blocks}) = {block}"))
-        known = context.broadcast(HashSet([(r["item"], r["body"]) for r in part.orderBy("item", "body").collect()], window))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"))
+    parts = (items if blocks == 1 else items.where(F.expr(f"pmod(xxhash64(item, body), {blocks}) = {block}")) for block in range(blocks))
+    return rows, [docs.sparkSession.sparkContext.broadcast(HashSet([(r["item"], r["body"]) for r in part.orderBy("item", "body").collect()], window)) for part in parts]
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(key, text, n_words long, hits array<int>: numbers of the hit words, items array<string>) for every row of docs."""
+    out, sets_ = _blocks(docs, benchmark, key, text, item, item_text, window, block_chars)
+    schema = out.schema
+    for known in sets_:
         out = out.mapInArrow(lambda batches, known=known: _mark(batches, known.value), schema)
     return out.select(F.col("key").alias(key), F.col("text").alias(text), "n_words", "hits", "items")
 
@@ -99,8 +104,10 @@ def _mark(batches: Iterator[pa.RecordBatch], known: HashSet) -> Iterator[pa.Reco
         )
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
+def _without(batches: Iterator[pa.RecordBatch], known: HashSet, drop_share: float) -> Iterator[pa.RecordBatch]:
+    for batch in _mark(batches, known):
+        stays = np.array([len(h) for h in batch.column("hits").to_pylist()]) <= drop_share * batch.column("n_words").to_numpy()
+        batch = batch.filter(pa.array(stays))
         words, texts = Words(batch.column("text"), ALNUM, True, hashed=False), []
         column = batch.column("text").to_pylist()
         for r, hits in enumerate(batch.column("hits").to_pylist()):
@@ -120,12 +127,17 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, drop_share: float = 0.5, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, drop_share: float = 0.5, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Documents without the hit words; a document is dropped where more than drop_share of its words are hit.
 
-    Returns (key, text) of all documents that stay, clean ones unchanged."""
-    marked = contamination(docs, benchmark, **options).where(F.size("hits") <= F.lit(drop_share) * F.col("n_words"))
-    return marked.mapInArrow(_without, marked.schema).drop("hits", "items", "n_words")
+    Returns (key, text) of all documents that stay, clean ones unchanged. The last block's scan cuts the words out too."""
+    out, sets_ = _blocks(docs, benchmark, key, text, item, item_text, window, block_chars)
+    schema = out.schema
+    for known in sets_[:-1]:
+        out = out.mapInArrow(lambda batches, known=known: _mark(batches, known.value), schema)
+    last = sets_[-1]
+    out = out.mapInArrow(lambda batches: _without(batches, last.value, drop_share), schema)
+    return out.select(F.col("key").alias(key), F.col("text").alias(text))
 
 
 def op9_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once; a longer single text is cut at separators inside `Words`.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 #: Bytes of words `[^\x20\x09-\x0D]+`.
 PLAIN = np.ones(256, bool)

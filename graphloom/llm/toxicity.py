@@ -124,8 +124,8 @@ class Machine:
 
         def kernel(words: list[bytes]) -> np.ndarray:
             out = []
-            for low in range(0, len(words), 2000):
-                some = spell(words[low : low + 2000])
+            for low in range(0, len(words), 400):
+                some = spell(words[low : low + 400])
                 phi = np.zeros((len(some.size), len(used)), np.float32)
                 for at, t, d in some.triples():
                     place = np.minimum(np.searchsorted(used, t), len(used) - 1)
