@@ -99,7 +99,8 @@ def _distance(rows: DataFrame) -> DataFrame:
     return out.withColumn("d2", sum((F.col(f"y{i}") ** 2 for i in range(1, DIM)), F.col("y0") ** 2)).drop(*(f"y{i}" for i in range(DIM)))
 
 
-BIN = F.floor(F.log2(F.col("d2") + 1e-9) * BINS).cast("int")
+def _bin() -> Column:
+    return F.floor(F.log2(F.col("d2") + 1e-9) * BINS).cast("int")
 
 
 def judged(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
@@ -121,11 +122,11 @@ def judged(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: st
     params = saved(_factor([F.col(f"mid{i}") for i in range(DIM)], {(i, j): (F.col(f"s{i}") ** 2 if i == j else F.lit(0.0)) for i, j in PAIRS}, wide))
 
     def limits(share: float, name_: str) -> DataFrame:
-        far = _distance(base.join(params, GROUP)).groupBy(*GROUP, BIN.alias("bin")).agg(F.count("*").alias("n"))
+        far = _distance(base.join(params, GROUP)).groupBy(*GROUP, _bin().alias("bin")).agg(F.count("*").alias("n"))
         return _quantiles(far, GROUP, {name_: share})
 
     for _ in range(STEPS):
-        near = _distance(base.join(params, GROUP)).join(limits(SHARE, "limit"), GROUP).where(BIN <= F.col("limit"))
+        near = _distance(base.join(params, GROUP)).join(limits(SHARE, "limit"), GROUP).where(_bin() <= F.col("limit"))
         sums = near.groupBy(*GROUP).agg(*(F.avg(f"f{i}").alias(f"a{i}") for i in range(DIM)), *(F.covar_pop(f"f{i}", f"f{j}").alias(f"v{i}{j}") for i, j in PAIRS))
         params = saved(_factor([F.col(f"a{i}") for i in range(DIM)], {(i, j): F.col(f"v{i}{j}") for i, j in PAIRS}, sums))
     total = base.groupBy(*GROUP).agg(F.count("*").alias("members"))
