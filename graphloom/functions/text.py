@@ -78,9 +78,9 @@ def parent_dir(path: Column) -> Column:
     return F.nullif(F.regexp_extract(path, "^(.*)/[^/]*$", 1), F.lit(""))
 
 
-def language_of(path: Column) -> Column:
+def language_of(path: Column, extensions: dict[str, str] = EXTENSIONS) -> Column:
     """By extension; null where unknown."""
-    table = F.create_map(*(F.lit(x) for pair in EXTENSIONS.items() for x in pair))
+    table = F.create_map(*(F.lit(x) for pair in extensions.items() for x in pair))
     return F.try_element_at(table, F.regexp_extract(path, r"\.([^./]+)$", 1))
 
 

@@ -46,15 +46,15 @@ def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return callers.unionByName(callees).distinct()
 
 
-def breadth_first(edges: DataFrame, roots: DataFrame, allowed: DataFrame | None = None, most_levels: int = 50) -> DataFrame:
+def breadth_first(edges: DataFrame, roots: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """(root, node, position): the order of a queue that takes neighbours by id; positions from 1, the root first.
 
-    `allowed` (root, node) restricts the walk. Nodes of a level stand in the order of their first parent, then of their id.
+    Roots may have a column `start`, the first node of a walk whose root is but a name. `allowed` (root, node) restricts the walk. Nodes of a level stand in the order of their first parent, then of their id.
     """
     inside = edges.select("src", "dst").distinct()
-    frontier = roots.select("root", F.col("root").alias("node"), F.lit(1).cast("long").alias("position"))
-    seen = frontier
-    for _ in range(most_levels):
+    start = "start" if "start" in roots.columns else "root"
+    frontier = seen = roots.select("root", F.col(start).alias("node"), F.lit(1).cast("long").alias("position"))
+    while True:
         step = frontier.join(inside, frontier["node"] == inside["src"]).groupBy("root", F.col("dst").alias("node")).agg(F.min("position").alias("parent"))
         if allowed is not None:
             step = step.join(allowed, ["root", "node"], "left_semi")

@@ -29,3 +29,11 @@ def hash_embedding(texts: DataFrame, key: str, text: str) -> DataFrame:
     sums = cells.groupBy(key, "c.bucket").agg(F.sum("c.weight").alias("v"))
     norm = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     return sums.join(norm, key).select(key, "bucket", (F.col("v") / F.col("norm")).alias("value"))
+
+
+def symbol_embeddings(symbols: DataFrame) -> DataFrame:
+    """(symbol_id, embedding): the hashed vector of each symbol's name, kind, path and lines."""
+    text = F.format_string("%s %s %s lines %d-%d", "name", F.initcap("kind"), "file_path", "start_line", "end_line")
+    cells = hash_embedding(symbols.select(F.col("id").alias("symbol_id"), text.alias("text")), "symbol_id", "text")
+    dense = cells.groupBy("symbol_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.col("value").cast("float")))).alias("m"))
+    return dense.select("symbol_id", F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0).cast("float"))).alias("embedding"))
