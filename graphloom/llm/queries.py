@@ -6,6 +6,7 @@ from .decontamination import op9_benchmark_decontamination
 from .html_extraction import op7_html_extraction
 from .jaccard_join import op8_ngram_jaccard_join
 from .language_model import op5_lm_scoring
+from .oracle import ORACLE_SQL
 from .privacy import op6_pii_sanitisation
 from .quality import op2_quality_classifier
 from .quality_rules import op10_quality_rules
@@ -28,4 +29,6 @@ QUERIES = {
         op10_quality_rules,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
