@@ -2,15 +2,17 @@
 
 Texts are lowered (A-Z) and read as words `[^\x20\x09-\x0D]+` joined by one space and closed by one end symbol, so both
 models predict the same thing. The byte-context trie (contexts of up to ORDER bytes) is counted over all
-training documents: each task sums its own grams first, Spark adds them up. A node of the trie is kept
-if it holds at least 1/NODES of all positions, so at most NODES nodes stay at each depth whatever the corpus;
-that bounds the broadcast, and what pruned nodes held goes to the escape. Symbols get
+training documents: each task sums its own grams first, Spark adds them up. Every counted node is kept, in one written,
+partitioned table a depth, so the model grows with the corpus. Symbols get
 PPM-D probabilities: in a context of d symbols seen n times, a symbol seen c times has (c - 1/2) / n and the escape d / 2n;
 after an escape the symbols of the longer context are excluded. Every probability depends on the trie alone, so
-a code length is worked out once per distinct gram of a group of documents and summed per document.
+a code length is worked out once per distinct gram of the corpus: from its own count if training documents hold it, else by
+joins to the tables depth by depth. Each group of documents asks once for each of its grams. The codes of
+the commonest grams (those of at least 1/COMMON of all positions, so COMMON at most) are broadcast only to save
+such rows; they are the same codes.
 
 Word counts are joined by groups of documents: documents are dealt to groups of about GROUP_BYTES of text by a hash, each
-group asks once for each of its words, and the answers meet the group's texts again. No
+group asks once for each of its words and grams, and the answers meet the group's texts again. No
 vocabulary is broadcast, no key holds more rows than there are groups.
 
 Edges: a null text counts as empty (one token, the end); without training documents all counts are 0 and every
@@ -24,13 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, table
 from .tokens import Words, pieces, signed
 
-ORDER, NODES, GROUP_BYTES = 5, 1 << 21, 8_000_000
+ORDER, COMMON, GROUP_BYTES = 7, 1 << 21, 8_000_000
 END = 0x0A  # a separator, so never part of a word
 
 
@@ -99,72 +101,110 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-class Trie:
-    """Kept nodes by depth (context and symbol together), and for each context with kept symbols its totals."""
-
-    def __init__(self, depths: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
-        self.keys, self.n, self.contexts, self.total = map(list, zip(*depths, strict=True))
-        self.kept, self.distinct, self.excluded = [], [], []
-        for m, keys in enumerate(self.keys):
-            at = np.searchsorted(self.contexts[m], keys >> np.uint64(8))
-            size = len(self.contexts[m])
-            self.distinct.append(np.bincount(at, minlength=size).astype(float))
-            self.kept.append(np.bincount(at, self.n[m], size))
-            # What the symbols of this context count in the context that is one byte shorter.
-            shorter = self.n[m - 1][np.searchsorted(self.keys[m - 1], keys & np.uint64((1 << 8 * m) - 1))] if m else np.zeros(len(keys))
-            self.excluded.append(np.bincount(at, shorter, size))
-
-    @staticmethod
-    def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Places of the wanted keys, -1 where there is none."""
-        if not len(keys):
-            return np.full(len(wanted), -1)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, at, -1)
+def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of the wanted keys, -1 where there is none."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
 
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each gram after the bytes before it."""
-        out, live = np.zeros(len(keys)), np.arange(len(keys))
-        gone, seen = np.zeros(len(keys)), np.zeros(len(keys))  # counts and number of symbols excluded at the next depth
+
+def _last(size: int) -> F.Column:
+    """The last bytes of a gram."""
+    return F.col("gram").bitwiseAND((1 << 8 * size) - 1) if size < 8 else F.col("gram")
+
+
+class Trie:
+    """Written tables. counted: (gram, n, total) of the grams of ORDER + 1 bytes, total is of the gram's context; nodes: (gram, n) by depth."""
+
+    def __init__(self, counted: DataFrame):
+        self.counted = counted
+        self.nodes = {ORDER: counted.select("gram", "n")}
+        for m in range(ORDER - 1, -1, -1):
+            self.nodes[m] = saved(self.nodes[m + 1].groupBy(_last(m + 1).alias("gram")).agg(F.sum("n").alias("n")))
+
+    def seen(self) -> DataFrame:
+        """(gram, n, code) of all counted grams; code is the log10 probability of the last byte after the bytes before it."""
+        return self.counted.select("gram", "n", F.expr("log10((n - 0.5D) / total)").alias("code"))
+
+    def escaped(self, asked: DataFrame) -> DataFrame:
+        """(gram, code) of distinct grams that aren't counted."""
+        live = asked.select("gram", F.lit(0.0).alias("code"), F.lit(0).cast("long").alias("gone"), F.lit(0).cast("long").alias("less"))
+        done = []
         for m in range(ORDER, -1, -1):
-            key = keys[live] & np.uint64((1 << 8 * (m + 1)) - 1)  # the last m + 1 bytes
-            context = self.find(self.contexts[m], key >> np.uint64(8))
-            there = context >= 0
-            node = np.where(there, self.find(self.keys[m], key), -1)
-            n = self.total[m][context] - gone[live] if len(self.total[m]) else np.zeros(len(live))
-            d = self.distinct[m][context] - seen[live] if len(self.total[m]) else np.zeros(len(live))
-            kept = self.kept[m][context] - gone[live] if len(self.total[m]) else np.zeros(len(live))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                hit = np.log10((self.n[m][node] - 0.5) / n) if len(self.keys[m]) else np.zeros(len(live))
-                escape = np.where(there & (n > 0), np.log10((n - kept + d / 2) / n), 0.0)
-            found = node >= 0
-            out[live] += np.where(found, hit, escape)
-            if len(self.total[m]):
-                gone[live] = np.where(there, self.excluded[m][context], 0.0)
-                seen[live] = np.where(there, self.distinct[m][context], 0.0)
-            live = live[~found]
-        out[live] -= np.log10(np.maximum(256 - seen[live], 1))
+            few = F.broadcast if m < 2 else lambda rows: rows  # at most 2**16 nodes
+            here = live.withColumn("node", _last(m + 1)).withColumn("context", F.shiftrightunsigned("node", 8))
+            kept = self.nodes[m].withColumn("context", F.shiftrightunsigned("gram", 8))
+            symbols = kept.join(here.select("context").distinct(), "context").withColumn("shorter", F.lit(0).cast("long"))
+            if m:  # what the symbols of this context count in the context that is one byte shorter
+                shorter = self.nodes[m - 1].select(F.col("gram").alias("last"), F.col("n").alias("shorter"))
+                symbols = symbols.drop("shorter").withColumn("last", _last(m)).join(shorter, "last")
+            contexts = symbols.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("shorter").alias("excluded"))
+            nodes = self.nodes[m].select(F.col("gram").alias("node"), F.col("n").alias("hits"))
+            met = here.join(few(contexts), "context", "left").join(few(nodes), "node", "left")
+            step = F.expr("case when hits is not null then log10((hits - 0.5D) / (total - gone)) when total - gone > 0 then log10((kinds - less) / (2.0D * (total - gone))) else 0.0D end")
+            met = saved(met.select("gram", (F.col("code") + step).alias("code"), F.coalesce("excluded", F.lit(0)).alias("gone"), F.coalesce("kinds", F.lit(0)).alias("less"), F.col("hits").isNotNull().alias("found")))
+            done.append(met.where("found").select("gram", "code"))
+            live = met.where("not found").drop("found")
+        out = live.select("gram", F.expr("code - log10(double(greatest(256 - less, 1)))").alias("code"))
+        for rows in done:
+            out = out.unionByName(rows)
         return out
 
+    def log10(self, keys: np.ndarray) -> np.ndarray:
+        """log10 probability of the last byte of each gram after the bytes before it; for a few grams."""
+        wanted, inverse = np.unique(keys, return_inverse=True)
+        asked = self.counted.sparkSession.createDataFrame([(int(k),) for k in signed(wanted)], "gram long")
+        codes = self.seen().join(asked, "gram").select("gram", "code").unionByName(self.escaped(asked.join(self.counted, "gram", "left_anti")))
+        got = {r.gram: r.code for r in codes.collect()}
+        return np.array([got[int(k)] for k in signed(wanted)])[inverse]
+
 
 def train(docs: DataFrame) -> Trie:
     """The trie of the texts of docs."""
-    counted = saved(docs.select("text").mapInArrow(_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-total // NODES))
-    depths = []
-    for m in range(ORDER + 1):
-        nodes = counted.groupBy((F.col("gram").bitwiseAND((1 << 8 * (m + 1)) - 1) if m < ORDER else F.col("gram")).alias("gram")).agg(F.sum("n").alias("n"))
-        contexts = nodes.groupBy(F.shiftrightunsigned("gram", 8).alias("gram")).agg(F.sum("n").alias("n"), F.max("n").alias("most")).where(f"most >= {least}").select("gram", "n")
-        # At most NODES rows each: every row stands for at least 1/NODES of the positions.
-        pair = []
-        for rows in (nodes.where(f"n >= {least}"), contexts):
-            got = rows.toArrow()
-            key, n = got["gram"].to_numpy().view(np.uint64), got["n"].to_numpy().astype(float)
-            order = np.argsort(key)
-            pair += [key[order], n[order]]
-        depths.append(tuple(pair))
-    return Trie(depths)
+    rows = docs.select("text").mapInArrow(_counts, "gram long, n long")
+    context = F.shiftrightunsigned("gram", 8)
+    # Dealt by context, so that counts and their totals need one shuffle; a task has at most 256 rows of a context.
+    summed = rows.repartition(context).groupBy(context.alias("context"), "gram").agg(F.sum("n").alias("n"))
+    return Trie(saved(summed.withColumn("total", F.sum("n").over(Window.partitionBy("context"))).drop("context")))
+
+
+def _asked_grams(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(grp, gram): the distinct grams of each group of documents, without the common ones."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def merged() -> None:
+        group, key = (np.concatenate([h[i] for h in held]) for i in range(2))
+        order = np.lexsort((key, group))
+        group, key = group[order], key[order]
+        first = np.concatenate([[True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])])
+        held[:] = [(group[first], key[first])]
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        group, key = held[0]
+        for low in range(0, len(key), 1 << 17):
+            some = slice(low, low + (1 << 17))
+            yield pa.RecordBatch.from_arrays([pa.array(group[some]), pa.array(signed(key[some]))], names=["grp", "gram"])
+        held.clear()
+
+    for batch in pieces(batches):
+        key, at = grams(Words(batch.column("text"), lower=True, hashed=False))
+        group = batch.column("grp").to_numpy()
+        for one in np.unique(group):
+            part = np.unique(key[np.repeat(group == one, np.diff(at))])
+            part = part[find(common, part) < 0]
+            held.append((np.full(len(part), one), part))
+            size += len(part)
+        if size > 3_000_000:
+            merged()
+            size = len(held[0][0])
+            if size > 2_000_000:
+                yield from flush()
+                size = 0
+    if held:
+        merged()
+        yield from flush()
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,28 +237,26 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def _scored(texts: pa.Table, answers: pa.Table, trie: Trie) -> pa.Table:
-    word, n = answers["word"].to_numpy().view(np.uint64), answers["n"].to_numpy().astype(float)
-    order = np.argsort(word)
-    word, n = word[order], n[order]
-    memory, code = np.zeros(0, np.uint64), np.zeros(0)
+def _scored(texts: pa.Table, answers: pa.Table, common: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    is_gram = answers["is_gram"].to_numpy()
+    asked, value = answers["asked"].to_numpy().view(np.uint64), answers["value"].to_numpy()
+    order = np.argsort(asked)
+    is_gram, asked, value = is_gram[order], asked[order], value[order]
+    word, n = asked[~is_gram], value[~is_gram]
+    rare, code = asked[is_gram], value[is_gram]
     out = []
     for batch in pieces(iter(texts.combine_chunks().to_batches())):
         words = Words(batch.column("text"), lower=True)
-        c = np.append(n, 0.0)[Trie.find(word, words.hashes)]  # place -1, the 0, where the word is unknown
+        c = np.append(n, 0.0)[find(word, words.hashes)]  # place -1, the 0, where the word is unknown
         end = n[0] if len(n) and word[0] == 0 else 0.0
         log = np.concatenate([[0.0], np.cumsum(np.log10(c + 0.1))])
         known = np.concatenate([[0], np.cumsum(c > 0)])
         key, at = grams(words)
         distinct, inverse = np.unique(key, return_inverse=True)
-        place = Trie.find(memory, distinct)
-        new = distinct[place < 0]
-        if len(new):
-            value = trie.log10(new)
-            memory, code = np.concatenate([memory, new]), np.concatenate([code, value])
-            order = np.argsort(memory)
-            memory, code = memory[order], code[order]
-        bits = code[np.searchsorted(memory, distinct)][inverse]
+        place = find(common[0], distinct)
+        bits = np.append(common[1], 0.0)[place]
+        bits[place < 0] = code[np.searchsorted(rare, distinct[place < 0])]
+        bits = bits[inverse]
         pull = lambda sums: sums[words.at[1:]] - sums[words.at[:-1]]  # noqa: B023, E731
         out.append(
             pa.RecordBatch.from_arrays(
@@ -234,14 +272,24 @@ def language_scores(docs: DataFrame, held_out: F.Column, *, key: str = "doc_id",
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     source = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     source = source.withColumn("grp", F.pmod(F.xxhash64("key", "text"), F.lit(max(1, -(-size // group_bytes)))))
-    trie = docs.sparkSession.sparkContext.broadcast(train(source.where("not held_out")))
+    trie = train(source.where("not held_out"))
+    new = source.where("held_out").select("text").mapInArrow(_counts, "gram long, n long").select("gram").distinct()
+    escaped = trie.escaped(saved(new.join(trie.counted, "gram", "left_anti")))
+    least = max(1, -(-(trie.counted.agg(F.sum("n")).first()[0] or 0) // COMMON))
+    got = trie.seen().where(F.col("n") >= least).select("gram", "code").toArrow()
+    key_, code = got["gram"].to_numpy().view(np.uint64), got["code"].to_numpy()
+    order = np.argsort(key_)
+    common = docs.sparkSession.sparkContext.broadcast((key_[order], code[order]))
+    codes = trie.seen().where(F.col("n") < least).select("gram", "code").unionByName(escaped)
     asks = "grp long, word long, n long"
     counted = saved(source.where("not held_out").select("text", "held_out", F.lit(0).cast("long").alias("grp")).mapInArrow(_asked, asks).groupBy("word").agg(F.sum("n").alias("n")))
     tokens, kinds = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     dealt = source.repartition("grp")
-    answers = dealt.select("text", "held_out", "grp").mapInArrow(_asked, asks).select("grp", "word").join(counted, "word").select("grp", "word", "n")
+    answers = dealt.select("text", "held_out", "grp").mapInArrow(_asked, asks).select("grp", "word").join(counted, "word").select("grp", F.lit(False).alias("is_gram"), F.col("word").alias("asked"), F.col("n").cast("double").alias("value"))
+    asked = dealt.select("text", "held_out", "grp").mapInArrow(lambda b: _asked_grams(b, common.value[0]), "grp long, gram long")
+    answers = answers.unionByName(asked.join(codes, "gram").select("grp", F.lit(True).alias("is_gram"), F.col("gram").alias("asked"), F.col("code").alias("value")))
     kind = docs.schema[key].dataType.simpleString()
-    out = dealt.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(lambda left, right: _scored(left, right, trie.value), f"key {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double")
+    out = dealt.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(lambda left, right: _scored(left, right, common.value), f"key {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double")
     out = out.withColumn("train_tokens", F.lit(tokens).cast("long"))
     base = F.col("logs") - F.col("n_tokens") * math.log10(tokens + 0.1 * (kinds + 1))
     return out.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")
