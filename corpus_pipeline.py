@@ -29,8 +29,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near duplicates."""
-    return jaccard_join.keep_one(docs.select(*COLUMNS)).select(*COLUMNS)
+    """One document, that of the least id, of each group of near duplicates: 0.8 of their five-word shingles are shared."""
+    return jaccard_join.keep_one(docs.select(*COLUMNS), n=5, percent=80).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

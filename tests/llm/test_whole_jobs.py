@@ -46,3 +46,17 @@ def test_language_model_is_ppm_d_of_seven_bytes(spark):
     for r in language_model.language_scores(df, F.expr("doc_id % 10 = 0"), group_bytes=30).collect():
         b = line(texts[r.doc_id])
         assert abs(r.score - sum(code(b[p - order : p], b[p]) for p in range(order, len(b)))) < 1e-9
+
+
+def test_pipeline_drops_near_duplicates_of_five_words(spark):
+    """Copies between the pipeline's thresholds (five words, 0.8) and those of op8 (three words, 0.9)."""
+    import corpus_pipeline
+
+    texts = []
+    for k, size in enumerate((49, 55, 58)):
+        words = [f"w{k}x{i}" for i in range(size)]
+        texts += [" ".join(words), " ".join([*words[:25], "other", *words[26:]])]
+    words = [f"long{i}" for i in range(500)]
+    texts += [" ".join(words), " ".join("other" if i % 50 == 25 else w for i, w in enumerate(words)), "some text that stands alone among these documents"]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()) == [0, 2, 4, 6, 8]
