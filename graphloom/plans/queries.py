@@ -85,12 +85,27 @@ def impact_summary(spark, d):
     return traverse.impact(edges(spark, d), nodes, roots, 2)
 
 
+@query()
+def impact_summary_all(spark, d):
+    """Impact of every part."""
+    parts = read(spark, d, "part")
+    nodes = parts.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("module"), F.col("p_name").alias("path"))
+    return traverse.impact(edges(spark, d), nodes, parts.select(F.col("p_partkey").alias("root")), 2)
+
+
 @query(f"select distinct root, node as dependency from (with e as ({EDGES_SQL}) select a.src as root, b.dst as node from e a join e b on a.dst = b.src where a.src % 50 = 3 union select src, dst from e where src % 50 = 3)")
 def dependencies(spark, d):
     roots = read(spark, d, "part").where("p_partkey % 50 = 3").select(F.col("p_partkey").alias("root"))
     return traverse.reachable(edges(spark, d), roots, 2).select("root", F.col("node").alias("dependency"))
 
 
+@query()
+def dependencies_all(spark, d):
+    """Dependencies of every part."""
+    roots = read(spark, d, "part").select(F.col("p_partkey").alias("root"))
+    return traverse.reachable(edges(spark, d), roots, 2).select("root", F.col("node").alias("dependency"))
+
+
 @query(f"with e as ({EDGES_SQL}) select dst as node, 'caller' as side, src as other from e where dst in (select p_partkey from part) union select src, 'callee', dst from e where src in (select p_partkey from part)")
 def neighbors_callers_callees(spark, d):
     return traverse.neighbours(edges(spark, d), read(spark, d, "part").select(F.col("p_partkey").alias("node")))
@@ -323,6 +338,12 @@ def see_also(spark, d):
     return pages.see_also(read(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("id")).distinct())
 
 
+@query()
+def see_also_all(spark, d):
+    """Pages of all orders."""
+    return pages.see_also(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("id")).distinct())
+
+
 @query("select id, page from (select id, page, row_number() over (partition by id order by case kind when 'service' then 0 when 'module' then 1 when 'flow' then 2 when 'concept' then 3 else 4 end, page) as r from (select l_partkey as id, l_orderkey as page, case l_orderkey % 3 when 0 then 'flow' when 1 then 'overview' else 'service' end as kind from lineitem)) where r = 1")
 def best_page(spark, d):
     rows = read(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("page"), F.expr("case l_orderkey % 3 when 0 then 'flow' when 1 then 'overview' else 'service' end").alias("kind"))
@@ -367,6 +388,14 @@ def first_writer_wins(spark, d):
     return link.first_writer([auto, contract])
 
 
+@query()
+def first_writer_wins_all(spark, d):
+    """All lines write first."""
+    auto = read(spark, d, "lineitem").select(F.sha2(F.col("l_partkey").cast("string"), 256).alias("id"), F.lit(0.85).cast("decimal(3,2)").alias("confidence")).distinct()
+    contract = read(spark, d, "part").select(F.sha2(F.col("p_partkey").cast("string"), 256).alias("id"), F.lit(1).cast("decimal(3,2)").alias("confidence"))
+    return link.first_writer([auto, contract])
+
+
 @query("select distinct src_repo, dst_repo, package from (select s_nationkey as src_repo, 'p' || s_suppkey % 15 as package from supplier) join (select c_nationkey as dst_repo, 'p' || c_custkey % 15 as package from customer where c_custkey % 10 = 0) using (package) where src_repo <> dst_repo")
 def shared_lib_pairs(spark, d):
     u = read(spark, d, "supplier").select(F.col("s_nationkey").alias("repo"), F.expr("concat('p', s_suppkey % 15)").alias("package"))
@@ -374,6 +403,14 @@ def shared_lib_pairs(spark, d):
     return link.shared_library(u, o).select("src_repo", "dst_repo", "package")
 
 
+@query()
+def shared_lib_pairs_all(spark, d):
+    """Packages of all customers."""
+    u = read(spark, d, "supplier").select(F.col("s_nationkey").alias("repo"), F.expr("concat('p', s_suppkey % 15)").alias("package"))
+    o = read(spark, d, "customer").select(F.col("c_nationkey").alias("repo"), F.expr("concat('p', c_custkey % 15)").alias("package"))
+    return link.shared_library(u, o).select("src_repo", "dst_repo", "package")
+
+
 @query("select t.p_partkey as test_id, min(r.r_name) as hit from part t join region r on contains(lower(t.p_name), lower(substr(r.r_name, 1, 2))) or contains(lower(r.r_name), lower(t.p_name)) group by 1")
 def test_theta_join(spark, d):
     """Test symbols whose name holds a root's name or the other way; the roots (a symbol and its neighbours) are few."""

@@ -1,0 +1,19 @@
+"""Graph queries over whole tables, against the SQL of their namesakes without its row filters."""
+
+import pytest
+
+from graphloom.plans.queries import ORACLE_SQL, QUERIES
+
+from .oracle import connect, differences
+
+DATA = "/root/testdata/sf0.001"
+FILTERS = {"impact_summary": [" where p_partkey % 100 = 1"], "dependencies": [" where a.src % 50 = 3", " where src % 50 = 3"], "see_also": [" where l_quantity > 45"], "first_writer_wins": [" where l_quantity > 30"], "shared_lib_pairs": [" where c_custkey % 10 = 0"]}
+
+
+@pytest.mark.parametrize("name", sorted(FILTERS))
+def test_query_covers_whole_tables(spark, name):
+    sql = ORACLE_SQL[name]
+    for part in FILTERS[name]:
+        assert part in sql
+        sql = sql.replace(part, "")
+    assert differences(QUERIES[f"{name}_all"](spark, DATA), connect(DATA), sql) == ""
