@@ -4,7 +4,8 @@ Documents that fail the base rule (few words, or mostly repeated three-word wind
 transformed statistics are judged within their language and source: the minimum covariance determinant (the mean
 and covariance of the SHARE of rows nearest to them) is found by concentration steps from medians and
 interquartile ranges, and a document is rejected if its squared Mahalanobis distance, made consistent at the
-median, exceeds CUTOFF. Sources with fewer than LEAST rows are pooled by language; pools that stay smaller reject nothing.
+median, exceeds CUTOFF. A source's mean, covariance and consistency are shrunk towards its language's, and those towards the
+corpus's: an estimate from n rows has the weight n / (n + LEAST). So groups of any size are judged, with no step at a size.
 
 All of it is SQL on the executors. Every estimate is a sum over all rows of a group: medians and the limits of the
 concentration steps come from exact counts of fine bins, so groups of any size are summed before the shuffle. The
@@ -27,7 +28,9 @@ MEDIAN_CHI2 = 4.3515  # median of chi-squared with as many degrees of freedom as
 BINS = 32  # per unit of a feature, and per doubling of a distance
 DIM = len(FEATURES)
 PAIRS = [(i, j) for i in range(DIM) for j in range(i + 1)]
-GROUP = ["lang", "origin"]
+#: From the corpus to a language and source.
+LEVELS = (["every"], ["every", "lang"], ["every", "lang", "source"])
+STATS = [*(f"a{i}" for i in range(DIM)), *(f"v{i}{j}" for i, j in PAIRS), "unit"]
 SPACE = r"[\\x20\\x09-\\x0D]"
 
 
@@ -77,9 +80,9 @@ def _quantiles(counts: DataFrame, by: list[str], at: dict[str, float]) -> DataFr
     return run.groupBy(*by).agg(*(F.min(F.when(F.col("run") >= F.ceil(F.col("all") * share), F.col("bin"))).alias(name) for name, share in at.items()))
 
 
-def _factor(mean: list[Column], cov: dict[tuple[int, int], Column], rows: DataFrame) -> DataFrame:
+def _factor(mean: list[Column], cov: dict[tuple[int, int], Column], rows: DataFrame, by: list[str], *others: str) -> DataFrame:
     """Group columns, m0.. (mean) and l00.. (Cholesky factor of the covariance with the floor added)."""
-    out = rows.select(*GROUP, *(m.alias(f"m{i}") for i, m in enumerate(mean)), *(c.alias(f"c{i}{j}") for (i, j), c in cov.items()))
+    out = rows.select(*by, *others, *(m.alias(f"m{i}") for i, m in enumerate(mean)), *(c.alias(f"c{i}{j}") for (i, j), c in cov.items()))
     for i, j in PAIRS:
         rest = F.col(f"c{i}{j}") + (FLOOR**2 if i == j else 0.0)
         for k in range(j):
@@ -88,6 +91,10 @@ def _factor(mean: list[Column], cov: dict[tuple[int, int], Column], rows: DataFr
     return out.drop(*(f"c{i}{j}" for i, j in PAIRS))
 
 
+def _factored(stats: DataFrame, by: list[str], *others: str) -> DataFrame:
+    return _factor([F.col(f"a{i}") for i in range(DIM)], {(i, j): F.col(f"v{i}{j}") for i, j in PAIRS}, stats, by, *others)
+
+
 def _distance(rows: DataFrame) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance: the squared length of the forward solution."""
     out = rows
@@ -103,40 +110,59 @@ def _bin() -> Column:
     return F.floor(F.log2(F.col("d2") + 1e-9) * BINS).cast("int")
 
 
-def judged(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
-    """(key, lang, source, counts, base_failed, d2, kept): d2 is null where nothing was judged."""
-    rows = saved(statistics(docs, key=key, text=text, lang=lang, source=source))
-    good = rows.where("not base_failed")
-    sizes = good.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    pools = saved(sizes.withColumn("pooled", F.col("n") < LEAST))
-    # A null language or source gets a name no other can have.
-    name = lambda c: F.concat(F.when(F.col(c).isNull(), "0").otherwise("1"), F.coalesce(F.col(c).cast("string"), F.lit("")))
-    named = pools.select(name("lang").alias("lang"), name("source").alias("source"), "pooled")
-    base = good.select("key", name("lang").alias("lang"), name("source").alias("source"), *(f"f{i}" for i in range(DIM))).join(named, ["lang", "source"]).withColumn("origin", F.when(F.col("pooled"), "2").otherwise(F.col("source"))).drop("pooled")
+def _far(base: DataFrame, params: DataFrame, by: list[str]) -> DataFrame:
+    """The rows with their distances under their group's parameters."""
+    return _distance(base.join(F.broadcast(params) if by == LEVELS[0] else params, by))
 
-    bins = base.select(*GROUP, F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.floor(F.col(f"f{i}") * BINS).cast("int").alias("bin")) for i in range(DIM)))).alias("x"))
-    counts = bins.groupBy(*GROUP, "x.f", "x.bin").agg(F.count("*").alias("n"))
-    places = _quantiles(counts, [*GROUP, "f"], {"low": 0.25, "mid": 0.5, "high": 0.75})
-    spread = (F.col("high") - F.col("low")) / (BINS * 1.349)
-    wide = places.groupBy(*GROUP).agg(*(F.max(F.when(F.col("f") == i, (F.col("mid") + 0.5) / BINS)).alias(f"mid{i}") for i in range(DIM)), *(F.max(F.when(F.col("f") == i, spread)).alias(f"s{i}") for i in range(DIM)))
-    params = saved(_factor([F.col(f"mid{i}") for i in range(DIM)], {(i, j): (F.col(f"s{i}") ** 2 if i == j else F.lit(0.0)) for i, j in PAIRS}, wide))
 
-    def limits(share: float, name_: str) -> DataFrame:
-        far = _distance(base.join(params, GROUP)).groupBy(*GROUP, _bin().alias("bin")).agg(F.count("*").alias("n"))
-        return _quantiles(far, GROUP, {name_: share})
+def _limits(base: DataFrame, params: DataFrame, by: list[str], share: float, name: str) -> DataFrame:
+    return _quantiles(_far(base, params, by).groupBy(*by, _bin().alias("bin")).agg(F.count("*").alias("n")), by, {name: share})
 
+
+def _mcd(base: DataFrame, by: list[str]) -> DataFrame:
+    """(by, a0.., v00..): mean and covariance of the SHARE of a group's rows nearest to them."""
+    bins = base.select(*by, F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.floor(F.col(f"f{i}") * BINS).cast("int").alias("bin")) for i in range(DIM)))).alias("x"))
+    counts = bins.groupBy(*by, "x.f", "x.bin").agg(F.count("*").alias("n"))
+    places = _quantiles(counts, [*by, "f"], {"low": 0.25, "mid": 0.5, "high": 0.75})
+    spread = (F.col("high") - F.col("low")) / (BINS * 1.349)
+    wide = places.groupBy(*by).agg(*(F.max(F.when(F.col("f") == i, (F.col("mid") + 0.5) / BINS)).alias(f"a{i}") for i in range(DIM)), *(F.max(F.when(F.col("f") == i, spread)).alias(f"s{i}") for i in range(DIM)))
+    stats = saved(wide.select(*by, *(f"a{i}" for i in range(DIM)), *((F.col(f"s{i}") ** 2 if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i, j in PAIRS)))
     for _ in range(STEPS):
-        near = _distance(base.join(params, GROUP)).join(limits(SHARE, "limit"), GROUP).where(_bin() <= F.col("limit"))
-        sums = near.groupBy(*GROUP).agg(*(F.avg(f"f{i}").alias(f"a{i}") for i in range(DIM)), *(F.covar_pop(f"f{i}", f"f{j}").alias(f"v{i}{j}") for i, j in PAIRS))
-        params = saved(_factor([F.col(f"a{i}") for i in range(DIM)], {(i, j): F.col(f"v{i}{j}") for i, j in PAIRS}, sums))
-    total = base.groupBy(*GROUP).agg(F.count("*").alias("members"))
-    scale = saved(params.join(limits(0.5, "mid"), GROUP).join(total, GROUP).where(F.col("members") >= LEAST).withColumn("unit", F.greatest(F.pow(F.lit(2.0), (F.col("mid") + 0.5) / BINS) / MEDIAN_CHI2, F.lit(1.0))))
+        params = _factored(stats, by)
+        limits = _limits(base, params, by, SHARE, "limit")
+        near = _far(base, params, by).join(F.broadcast(limits) if by == LEVELS[0] else limits, by).where(_bin() <= F.col("limit"))
+        stats = saved(near.groupBy(*by).agg(*(F.avg(f"f{i}").alias(f"a{i}") for i in range(DIM)), *(F.covar_pop(f"f{i}", f"f{j}").alias(f"v{i}{j}") for i, j in PAIRS)))
+    return stats
+
+
+def _shrunk(base: DataFrame) -> DataFrame:
+    """(lang, source, STATS) of every group: its own estimate and those of the levels above it, weighted by the numbers of rows."""
+    above = None
+    for by in LEVELS:
+        own = _mcd(base, by)
+        if above is not None:
+            sizes = base.groupBy(*by).agg(F.count("*").alias("n")).withColumn("w", F.col("n") / (F.col("n") + LEAST))
+            far = above.select(*by[:-1], *(F.col(c).alias(f"far_{c}") for c in STATS))
+            own = own.join(sizes, by).join(far, by[:-1]).select(*by, "w", "far_unit", *((F.col("w") * F.col(c) + (1 - F.col("w")) * F.col(f"far_{c}")).alias(c) for c in STATS if c != "unit"))
+        else:
+            own = own.withColumns({"w": F.lit(1.0), "far_unit": F.lit(1.0)})
+        own = saved(own)
+        unit = F.greatest(F.pow(F.lit(2.0), (F.col("mid") + 0.5) / BINS) / MEDIAN_CHI2, F.lit(1.0))
+        above = saved(own.join(_limits(base, _factored(own, by), by, 0.5, "mid"), by).withColumn("unit", F.col("w") * unit + (1 - F.col("w")) * F.col("far_unit")).select(*by, *STATS))
+    return above
 
+
+def judged(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
+    """(key, lang, source, counts, base_failed, d2, kept): d2 is null where the base rule failed."""
+    rows = saved(statistics(docs, key=key, text=text, lang=lang, source=source))
+    # A null language or source gets a name no other can have.
+    name = lambda c: F.concat(F.when(F.col(c).isNull(), "0").otherwise("1"), F.coalesce(F.col(c).cast("string"), F.lit("")))
+    base = rows.where("not base_failed").select(F.lit("").alias("every"), name("lang").alias("lang"), name("source").alias("source"), *(f"f{i}" for i in range(DIM)))
+    ready = _factored(_shrunk(base), LEVELS[-1], "unit").withColumnsRenamed({"lang": "lang_", "source": "source_"}).drop("every")
     keyed = rows.withColumn("lang_", name("lang")).withColumn("source_", name("source"))
-    ready = named.select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), F.when(F.col("pooled"), "2").otherwise(F.col("source")).alias("origin")).join(scale.withColumnRenamed("lang", "lang_"), ["lang_", "origin"])
     out = _distance(keyed.join(ready, ["lang_", "source_"], "left")).withColumn("d2", F.when(~F.col("base_failed"), F.col("d2") / F.col("unit")))
     counts_ = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return out.select(F.col("key").alias(key), F.col("lang").alias(lang), F.col("source").alias(source), *counts_, "d2", (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cutoff)).alias("kept"))
+    return out.select(F.col("key").alias(key), F.col("lang").alias(lang), F.col("source").alias(source), *counts_, "d2", (~F.col("base_failed") & (F.col("d2") <= cutoff)).alias("kept"))
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Small cases in which an operator once did less than its whole job."""
 
 import math
+import random
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import language_model
+from graphloom.llm import language_model, quality_rules
 
 
 def test_language_model_keeps_rare_grams_on_large_inputs(spark):
@@ -60,3 +61,17 @@ def test_pipeline_drops_near_duplicates_of_five_words(spark):
     texts += [" ".join(words), " ".join("other" if i % 50 == 25 else w for i, w in enumerate(words)), "some text that stands alone among these documents"]
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()) == [0, 2, 4, 6, 8]
+
+
+def test_rules_judge_small_groups(spark):
+    """A rare language's or source's documents are judged as well, by what is usual elsewhere."""
+    rng = random.Random(5)
+    prose = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(60, 300)))
+    junk = " ".join("#$%&|<>*" + "".join(rng.choice("ABCDEFGH*#$") for _ in range(20)) for _ in range(100))
+    rows = [(i, prose(), "en", "big") for i in range(200)]
+    rows += [(200, junk, "en", "big"), (201, junk, "xx", "one"), (202, junk, None, None), (203, junk, "en", "small"), (204, prose(), "yy", "one"), (205, prose(), None, "two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules.judged(df).collect()}
+    assert all(r.d2 is not None and not r.base_failed for r in got.values())
+    assert [got[i].kept for i in range(200, 206)] == [False, False, False, False, True, True]
+    assert sum(got[i].kept for i in range(200)) >= 198
