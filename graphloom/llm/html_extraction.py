@@ -4,8 +4,8 @@ The standard library's parser streams events; block-level tags cut the page into
 tags met in it and the region it stands in (the outermost article or main, else the nearest container).
 The ratios of text to tags are smoothed with a Gaussian; lines whose smoothed ratio reaches the standard deviation of
 the page's ratios form the content cluster. The region that holds most of the cluster's text is the content; its lines are
-kept whole and in order, short ones too. On pages without an article or main element, other regions count as well
-if most of their text is in the cluster and they hold a fair share of it.
+kept whole and in order, short ones too. On pages without an article or main element, the content is the smallest region around
+all that hold a line of the cluster (around the only one, if it is one): all its lines are kept.
 
 Scripts, styles, forms, menus, headers, footers, sidebars, notices, adverts and comments (by tag, role, class or
 id) are never lines. Headings inside a header of an article stay. Everything runs page by page in one scan, in
@@ -115,6 +115,13 @@ class Lines(HTMLParser):
                 self.around[self.regions] = self.region
             self.region = self.regions
 
+    def path(self, region: int) -> list[int]:
+        """The region and those around it, from the inside out."""
+        out = [region]
+        while (region := self.around.get(region)) is not None:
+            out.append(region)
+        return out
+
     def marked(self, tag: str, attrs: list) -> bool:
         for name, value in attrs:
             if name in ("class", "id", "role") and value and BOILERPLATE.search(value.lower()):
@@ -180,11 +187,12 @@ def main_text(html: str | None) -> str:
     if strong:
         chosen = {max(strong, key=lambda r: (content[r], whole[r], -r))}
     else:
-        best = max(content.values())
-        chosen = {r for r in whole if 2 * content[r] > whole[r] and 5 * content[r] >= best} or set(whole)
-        for r in list(chosen):  # headings stand in the container around their paragraphs' containers
-            if (outer := parser.around.get(r)) in parser.around:
-                chosen.add(outer)
+        paths = {r: parser.path(r) for r in whole}
+        held = [paths[r] for r in whole if content[r]]
+        common = [r for r in held[0] if all(r in path for path in held)]
+        if len(held) == 1 and len(common) > 1:
+            common = common[1:]  # what stands beside the only one
+        chosen = {r for r in whole if not common or common[0] in paths[r]}
     return "\n".join(text for text, _, region in lines if region in chosen)
 
 

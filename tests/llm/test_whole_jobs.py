@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import language_model, quality_rules
+from graphloom.llm import html_extraction, language_model, quality_rules
 
 
 def test_language_model_keeps_rare_grams_on_large_inputs(spark):
@@ -75,3 +75,14 @@ def test_rules_judge_small_groups(spark):
     assert all(r.d2 is not None and not r.base_failed for r in got.values())
     assert [got[i].kept for i in range(200, 206)] == [False, False, False, False, True, True]
     assert sum(got[i].kept for i in range(200)) >= 198
+
+
+def test_html_of_divs_only():
+    """Without an article or main nothing of the content's region is dropped but boilerplate."""
+    long, short, quote = "long words " * 180, "short words " * 25, "a quote " * 8
+    join = lambda *parts: "\n".join(" ".join(p.split()) for p in parts)
+    page = f"<body><div class=nav><a>m</a></div><div><div>{long}</div><div>{short}</div></div><div class=footer>f</div></body>"
+    assert html_extraction.main_text(page) == join(long, short)
+    page = f"<html><body><div id=wrap><h1>T</h1><div><p>{long}</p><blockquote>{quote}</blockquote></div><div>{quote}</div><div class=comments>{short}</div></div></body></html>"
+    assert html_extraction.main_text(page) == join("T", long, quote, quote)
+    assert html_extraction.main_text(f"<div>{long}</div><div>x</div><div>y</div><div>{quote}</div>") == join(long, "x", "y", quote)
