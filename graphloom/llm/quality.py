@@ -7,7 +7,7 @@ The forward-backward marginals, weighted by line length, give a document's share
 which a logistic curve fitted on the training documents turns into the score.
 
 The field is fitted on the driver on at most SAMPLE labelled training documents, the first in the order of a
-hash of the id, and at most LINES lines of each; features are taken on the executors. Scoring
+hash of the id, with all their lines; features are taken on the executors. Scoring
 covers every line of every text, in one scan without a shuffle. No label, language, source or id enters a score.
 
 Edges: null and empty texts, and texts of white space only, have no line and score 0; without labelled documents of both
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import labelled_sample, table
 from .tokens import PLAIN, Words, pieces
 
-SAMPLE, LINES = 6000, 64
+SAMPLE = 6000
 NAMES = ("length", "words", "capitals", "digits", "symbols", "bars", "shouts", "other marks", "stops", "word length", "long words", "same as last word", "seen in line", "same line before", "short", "beyond ASCII")
 WIDTH = len(NAMES)
 
@@ -219,7 +219,7 @@ class Field:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         features, size, at = lines(Words(batch.column("text")))
-        take = [np.arange(a, min(b, a + LINES)) for a, b in zip(at[:-1], at[1:], strict=True)]
+        take = [slice(a, b) for a, b in zip(at[:-1], at[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([features[t].ravel().tolist() for t in take], pa.list_(pa.float64())), pa.array([size[t].tolist() for t in take], pa.list_(pa.float64()))], names=["label", "features", "size"])
 
 

@@ -4,9 +4,10 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from graphloom.llm import html_extraction, language_model, quality_rules
+from graphloom.llm import html_extraction, language_model, quality, quality_rules
 
 
 def test_language_model_keeps_rare_grams_on_large_inputs(spark):
@@ -86,3 +87,12 @@ def test_html_of_divs_only():
     page = f"<html><body><div id=wrap><h1>T</h1><div><p>{long}</p><blockquote>{quote}</blockquote></div><div>{quote}</div><div class=comments>{short}</div></div></body></html>"
     assert html_extraction.main_text(page) == join("T", long, quote, quote)
     assert html_extraction.main_text(f"<div>{long}</div><div>x</div><div>y</div><div>{quote}</div>") == join(long, "x", "y", quote)
+
+
+def test_quality_classifier_learns_from_all_lines():
+    """Junk after many good lines reaches the training rows."""
+    texts = ["\n".join(f"line {i} of a good text" for i in range(100)) + "\n$$$ |||| BUY", "one line", "", None]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 1, 1], pa.int32()), pa.array(texts)], names=["label", "text"])
+    rows = pa.Table.from_batches(quality._features(iter([batch]))).to_pylist()
+    assert [len(r["size"]) for r in rows] == [101, 1, 0, 0]
+    assert all(len(r["features"]) == quality.WIDTH * len(r["size"]) for r in rows)
