@@ -3,17 +3,17 @@
 Base patterns find e-mail addresses, IP addresses, payment cards and phone numbers; each distinct value is a
 protected entity. What the corpus says about an entity is estimated from co-occurrence: a term that
 stands within CONTEXT words of the entity reveals log2(p(t, e) / (p(t) p(e))) bits about it, where the
-probabilities are document frequencies. A term is disclosive if it does so in at least SUPPORT different
-contexts (so copies of one passage are one piece of evidence) and reveals at least THRESHOLD of the entity's
-own information -log2 p(e). In documents that hold the entity, disclosive terms become spans as well; sanitising
+probabilities are document frequencies and p(t, e) is smoothed: of the k different contexts that a term and an entity share (so
+copies of one passage are one piece of evidence) DISCOUNT is taken off. A term is disclosive if it reveals at least THRESHOLD
+of the entity's own information -log2 p(e). Disclosive terms become spans in every document that holds them; sanitising
 replaces spans by their kind (generalised) or drops them (removed).
 
 Everything is SQL: no Python runs on the executors. Offsets come from splitting a text by the pattern: lengths of the
 pieces and matches, one after another, are code points. The patterns below match what the plain ones match, with
 possessive runs and guards so that long runs of digits or letters take linear time and no stack.
 
-Texts are scanned where they lie; only documents with entities are shuffled, besides one 8-byte hash and
-count per distinct word of a task for the document frequencies.
+The document frequencies need one 8-byte hash and count per distinct word of a task. Up to BROADCAST_TERMS disclosive terms
+are broadcast to find the documents that hold them, more are joined by a shuffle; texts are shuffled once to meet theirs.
 
 Edges: null and empty texts have no spans; repeated rows are documents like any other; a document's
 id may be null; other columns are not read.
@@ -35,7 +35,8 @@ PATTERNS = {
 }
 #: Cheap tests that a text without a match mostly fails.
 MAYBE = {"email": "contains({t}, '@')", "ip": r"{t} rlike '[0-9]\\.[0-9]'", "card": r"{t} rlike '[0-9][\\x20-]?[0-9][\\x20-]?[0-9]'", "phone": r"{t} rlike '\\+[0-9]'"}
-CONTEXT, SUPPORT, THRESHOLD, SHORTEST = 6, 2, 0.8, 4
+CONTEXT, DISCOUNT, THRESHOLD, SHORTEST = 6, 0.5, 0.8, 4
+BROADCAST_TERMS = 200_000
 TERM = r"[\p{L}\p{N}]+"
 
 
@@ -76,41 +77,43 @@ def entity(value: str, rank: str) -> str:
     return f"concat({rank}, ':', case {rank} when 0 then lower({value}) when 1 then {value} else {_digits(value)} end)"
 
 
-def disclosive(docs: DataFrame, held: DataFrame, *, context: int = CONTEXT, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+def disclosive(docs: DataFrame, held: DataFrame, *, context: int = CONTEXT, discount: float = DISCOUNT, threshold: float = THRESHOLD) -> DataFrame:
     """(entity, term): the terms that reveal an entity. docs: all (text); held: (home, text, spans) of those with entities."""
     words = lambda part: f"regexp_extract_all({part}, {_quoted(TERM)}, 0)"
-    before = words("substring(text, greatest(1, s.start - 119), least(120, s.start))")
-    after = words("substring(text, s.stop + 1, 120)")
-    around = held.select("home", "text", F.explode("spans").alias("s")).select("home", F.expr(entity("s.value", "s.rank")).alias("entity"), F.expr(before).alias("all_before"), F.expr(f"slice({after}, 1, {context})").alias("after_"))
-    contexts = around.select("home", "entity", F.expr(f"concat(case when size(all_before) > {context} then slice(all_before, size(all_before) - {context - 1}, {context}) else all_before end, array('|'), after_)").alias("words"))
+    # Up to CONTEXT whole words from the start of a part, whatever their length.
+    ahead = lambda part: f"regexp_extract({part}, {_quoted(r'^(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]++){0,' + str(context) + '}')}, 0)"
+    before = words(f"reverse({ahead('reverse(substring(text, 1, s.start))')})")
+    after = words(ahead("substring(text, s.stop + 1)"))
+    around = held.select("home", "text", F.explode("spans").alias("s")).select("home", F.expr(entity("s.value", "s.rank")).alias("entity"), F.expr(before).alias("before_"), F.expr(after).alias("after_"))
+    contexts = around.select("home", "entity", F.expr("concat(before_, array('|'), after_)").alias("words"))
     per_entity = contexts.groupBy("entity", "home").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("df_entity"))
     terms = contexts.select("entity", "home", F.xxhash64("words").alias("context"), F.explode(F.expr("array_distinct(transform(words, w -> lower(w)))")).alias("term"))
     terms = terms.where(f"length(term) >= {SHORTEST} and not term rlike '^[0-9]+$'")
     together = terms.groupBy("entity", "term", "context", "home").agg(F.lit(1).alias("one"))
-    contexts_of = together.groupBy("entity", "term", "context").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(f"contexts >= {support}")
+    contexts_of = together.groupBy("entity", "term", "context").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("contexts"))
     both = together.groupBy("entity", "term", "home").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("df_both"))
     candidates = saved(contexts_of.join(both, ["entity", "term"]).join(per_entity, "entity"))
     hashed = F.expr(f"explode(array_distinct(transform({words('text')}, w -> xxhash64(lower(w)))))")
     df = docs.where("text is not null").select(hashed.alias("hash")).groupBy("hash").agg(F.count("*").alias("df_term"))
     n = docs.agg(F.count("*").alias("n")).scalar()
     joined = candidates.withColumn("hash", F.xxhash64("term")).join(df, "hash").withColumn("n", n)
-    bits, own = F.expr("log2(df_both * double(n) / (double(df_term) * df_entity))"), F.expr("log2(double(n) / df_entity)")
+    bits, own = F.expr(f"log2(df_both * (1 - {discount}D / contexts) * double(n) / (double(df_term) * df_entity))"), F.expr("log2(double(n) / df_entity)")
     return joined.where((own > 0) & (bits >= threshold * own)).select("entity", "term")
 
 
 def personal_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(key, text, spans): all spans of every document, array<struct<start, rank, stop, value>> in order of start and kind."""
-    source = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("spans", base_spans("text"))
-    held = saved(source.where("size(spans) > 0").withColumn("home", F.xxhash64("key", "text")))
-    revealing = saved(disclosive(source.select("text"), held.select("home", "text", "spans"), **options))
-    owners = held.select("home", F.explode(F.expr(f"array_distinct(transform(spans, s -> {entity('s.value', 's.rank')}))")).alias("entity"))
-    wanted = owners.join(revealing, "entity").select("home", "term").distinct().groupBy("home").agg(F.sort_array(F.collect_list("term")).alias("terms"))
+    source = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("spans", base_spans("text")).withColumn("home", F.xxhash64("key", "text"))
+    held = saved(source.where("size(spans) > 0").select("home", "text", "spans"))
+    terms = saved(disclosive(source.select("text"), held, **options).select("term", F.xxhash64("term").alias("hash")).distinct())
+    few = F.broadcast if terms.count() <= BROADCAST_TERMS else lambda rows: rows
+    hashes = F.expr(f"explode(array_distinct(transform(regexp_extract_all(text, {_quoted(TERM)}, 0), w -> xxhash64(lower(w)))))")
+    wanted = source.where("text is not null").select("home", hashes.alias("hash")).join(few(terms), "hash").groupBy("home").agg(F.sort_array(F.collect_set("term")).alias("terms"))
     pattern = r"concat('(?iu)(?<![\\p{L}\\p{N}])(?:', array_join(transform(terms, t -> concat('\\Q', t, '\\E')), '|'), ')(?![\\p{L}\\p{N}])')"
-    found = held.join(wanted, "home", "left").withColumn("pattern", F.expr(f"case when terms is not null then {pattern} end"))
+    found = source.join(wanted, "home", "left").withColumn("pattern", F.expr(f"case when terms is not null then {pattern} end"))
     extra = F.expr(f"case when pattern is null then array() else filter({_found('text', 'pattern', KINDS.index('term'))}, x -> not exists(spans, b -> b.start < x.stop and x.start < b.stop)) end")
     with_terms = found.select("key", "text", F.array_sort(F.concat("spans", extra)).alias("spans"))
-    clean = source.where("size(spans) = 0")
-    return clean.unionByName(with_terms).select(F.col("key").alias(key), F.col("text").alias(text), "spans")
+    return with_terms.select(F.col("key").alias(key), F.col("text").alias(text), "spans")
 
 
 def sanitise(docs: DataFrame, *, key: str = "doc_id", text: str = "text", generalise: bool = True, **options) -> DataFrame:

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from graphloom.llm import html_extraction, language_model, quality, quality_rules
+from graphloom.llm import html_extraction, language_model, privacy, quality, quality_rules
 
 
 def test_language_model_keeps_rare_grams_on_large_inputs(spark):
@@ -96,3 +96,13 @@ def test_quality_classifier_learns_from_all_lines():
     rows = pa.Table.from_batches(quality._features(iter([batch]))).to_pylist()
     assert [len(r["size"]) for r in rows] == [101, 1, 0, 0]
     assert all(len(r["features"]) == quality.WIDTH * len(r["size"]) for r in rows)
+
+
+def test_terms_beside_an_entity_seen_once(spark):
+    """Disclosing terms need no second context, no short words around them, and go from documents without the entity too."""
+    far = " ".join(f"{'verylongword' * 4}{c}" for c in "abcde")
+    rows = ["Zorblatt lives at solo@y.org", "we met zorblatt there", f"Quimby {far} far@y.org"]
+    rows += [f"we met others there and one lives at m{i}@x.org and {far}" for i in range(1100)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = [r.text for r in privacy.sanitise(df).orderBy("doc_id").collect()]
+    assert got[:4] == ["[TERM] lives at [EMAIL]", "we met [TERM] there", f"[TERM] {far} [EMAIL]", f"we met others there and one lives at [EMAIL] and {far}"]
