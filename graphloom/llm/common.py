@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Shuffle files go when the write that needed them has ended; the table holds the rows from then on.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: A key with at least 1/HOT of all rows is hot, so there are HOT hot keys at most.
+HOT = 64
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,8 +45,34 @@ def saved(df: DataFrame) -> DataFrame:
     """The rows, written once to a table in the shared folder: nothing is computed twice or lost with an executor, and the plan starts anew."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes saved tables after their last use; nothing that is still to be computed may read them."""
+    for df in tables:
+        _removed(df.sparkSession, df._saved_path)
+
+
+def meet(rows: DataFrame, groups: DataFrame, on: list[str], *, spread: str, members: str = "members", how: str = "inner") -> DataFrame:
+    """rows joined with the one row of their key in `groups`, a written table whose column `members` counts the key's rows.
+
+    Hot keys (by the counts, at least 1/HOT of all rows that have a group, so HOT at most) are broadcast by themselves to give
+    their rows a salt from the column `spread`; their row in groups is repeated for each salt. No task gets a hot key whole."""
+    total = groups.agg(F.coalesce(F.sum(members), F.lit(0)).alias("n")).first()["n"]
+    least = max(2, -(-total // HOT))
+    hot = groups.where(F.col(members) >= least).select(*on, F.lit(True).alias("hot"))
+    salted = rows.join(F.broadcast(hot), on, "left").withColumn("salt", F.expr(f"case when hot then int(pmod(xxhash64(`{spread}`), {HOT})) else 0 end")).drop("hot")
+    salts = F.explode(F.expr(f"case when `{members}` >= {least} then sequence(0, {HOT - 1}) else array(0) end"))
+    return salted.join(groups.withColumn("salt", salts).drop(members), [*on, "salt"], how).drop("salt")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,15 +92,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     the tasks.
     """
     both = saved(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
-    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    labels = written = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     for _ in range(most_rounds):
         near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         stepped = saved(labels.join(near, "node").select("node", F.least("component", "near").alias("next"), F.col("component").alias("was")))
         jump = stepped.select(F.col("node").alias("next"), F.col("next").alias("far"))
         new = saved(stepped.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("component"), "was"))
         changed = new.where("component <> was").limit(1).count()
-        labels = new.select("node", "component")
+        release(stepped, written)
+        written, labels = new, new.select("node", "component")
         if not changed:
+            release(both)
             return labels
     raise RuntimeError("components did not settle")
 

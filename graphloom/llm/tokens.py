@@ -60,12 +60,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about PIECE_BYTES of text each, at least one row."""
+def pieces(batches: Iterator[pa.RecordBatch], *texts: str) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about PIECE_BYTES of text (columns `texts`, of the name `text` by default) each, at least one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, at = utf8(batch.column(batch.schema.get_field_index(text)))
+        at = sum(utf8(batch.column(name))[1] for name in texts or ("text",))
         row = 0
         while row < batch.num_rows:
             end = max(row + 1, int(np.searchsorted(at, at[row] + PIECE_BYTES, "right")) - 1)

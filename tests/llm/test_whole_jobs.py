@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from graphloom.llm import html_extraction, language_model, privacy, quality, quality_rules
+from graphloom.llm import html_extraction, jaccard_join, language_model, privacy, quality, quality_rules
 
 
 def test_language_model_keeps_rare_grams_on_large_inputs(spark):
@@ -106,3 +106,17 @@ def test_terms_beside_an_entity_seen_once(spark):
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = [r.text for r in privacy.sanitise(df).orderBy("doc_id").collect()]
     assert got[:4] == ["[TERM] lives at [EMAIL]", "we met [TERM] there", f"[TERM] {far} [EMAIL]", f"we met others there and one lives at [EMAIL] and {far}"]
+
+
+def test_jaccard_of_any_ids_and_of_large_lists(spark, monkeypatch):
+    """Ids that aren't numbers, equal ids with different texts, and posting lists of more members than one task compares."""
+    monkeypatch.setattr(jaccard_join, "LIST", 3)
+    body = " ".join(f"w{i}" for i in range(60))
+    rows = [("b", body), ("a", body + " x"), ("b", "some other text"), ("c", "some other text"), (None, body), ("d", None), ("e", ""), ("f", "one")]
+    rows += [(f"g{i}", " ".join([*(f"w{j}" for j in range(30)), *(f"u{i}x{j}" for j in range(30))])) for i in range(12)]
+    rows += [(f"h{i}", f"{rows[8 + i][1]} more") for i in range(12)]
+    df = spark.createDataFrame([(k, t, 1, 2) for k, t in rows], "doc_id string, text string, n int, doc int")
+    got = sorted(((r.doc_id or "", r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect()), key=str)
+    want = [("b", 58, "a"), ("a", 59, "a"), ("b", 1, "b"), ("c", 1, "b"), ("", 58, None), ("d", 0, "d"), ("e", 0, "e"), ("f", 1, "f")]
+    want += [(f"g{i}", 58, f"g{i}") for i in range(12)] + [(f"h{i}", 59, f"g{i}") for i in range(12)]
+    assert got == sorted(want, key=str)
