@@ -1,18 +1,22 @@
 """Quality rules: word, symbol and repetition counts, and robust multivariate outliers.
 
 Documents that fail the base rule (few words, or mostly repeated three-word windows) go first. Of the others, vectors of
-transformed statistics are judged within their language and source: the minimum covariance determinant (the mean
-and covariance of the SHARE of rows nearest to them) is found by concentration steps from medians and
-interquartile ranges, and a document is rejected if its squared Mahalanobis distance, made consistent at the
-median, exceeds CUTOFF. A source's mean, covariance and consistency are shrunk towards its language's, and those towards the
+transformed statistics are judged within their language and source by the minimum covariance determinant: the mean
+and covariance of the SHARE of rows nearest to them. Concentration steps lead there from two starts (medians with
+interquartile ranges, and the mean and covariance of all rows) until no determinant falls any more or MOST steps are done; the start with the least
+determinant stays. A document is rejected if its squared Mahalanobis distance, made consistent at the
+median, exceeds CUTOFF, which chi-squared with five degrees of freedom exceeds once in seven million. A source's mean, covariance and consistency are shrunk towards its language's, and those towards the
 corpus's: an estimate from n rows has the weight n / (n + LEAST). So groups of any size are judged, with no step at a size.
 
 All of it is SQL on the executors. Every estimate is a sum over all rows of a group: medians and the limits of the
-concentration steps come from exact counts of fine bins, so groups of any size are summed before the shuffle. The
+concentration steps come from exact counts of fine bins, so groups of any size are summed before the shuffle. Corpus, languages and
+sources go through the same steps at once. The
 statistics of a document (a dozen numbers) are written once and read by every step; the groups' parameters are written after each step.
+Rows meet their group's parameters by a broadcast of BROADCAST_GROUPS groups at most, beyond that by a join that salts large groups.
 
 Edges: null and empty texts have no words and fail the base rule; a null language or source is a value of its own;
-repeated rows are documents like any other; columns with constant values have a variance floor.
+repeated rows are documents like any other and are judged alike; columns with constant values have a variance floor; a very long text takes
+arrays of its words' hashes in one task; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,17 +24,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import meet, release, saved, table
 
 FEATURES = ("log_words", "word_length", "symbol_share", "repeat_share", "capital_share")
-SHARE, STEPS, CUTOFF, LEAST, FLOOR = 0.75, 4, 40.0, 60, 0.15
+SHARE, MOST, CUTOFF, LEAST, FLOOR = 0.75, 10, 40.0, 60, 0.15
+#: Rows of about 300 bytes.
+BROADCAST_GROUPS = 50_000
 MEDIAN_CHI2 = 4.3515  # median of chi-squared with as many degrees of freedom as features
 BINS = 32  # per unit of a feature, and per doubling of a distance
 DIM = len(FEATURES)
 PAIRS = [(i, j) for i in range(DIM) for j in range(i + 1)]
-#: From the corpus to a language and source.
-LEVELS = (["every"], ["every", "lang"], ["every", "lang", "source"])
-STATS = [*(f"a{i}" for i in range(DIM)), *(f"v{i}{j}" for i, j in PAIRS), "unit"]
+#: A group: the corpus (level 0, empty names), a language (1), or a language's source (2).
+BY = ["level", "lang", "source"]
+STATS = [*(f"a{i}" for i in range(DIM)), *(f"v{i}{j}" for i, j in PAIRS)]
 SPACE = r"[\\x20\\x09-\\x0D]"
 
 
@@ -80,9 +86,9 @@ def _quantiles(counts: DataFrame, by: list[str], at: dict[str, float]) -> DataFr
     return run.groupBy(*by).agg(*(F.min(F.when(F.col("run") >= F.ceil(F.col("all") * share), F.col("bin"))).alias(name) for name, share in at.items()))
 
 
-def _factor(mean: list[Column], cov: dict[tuple[int, int], Column], rows: DataFrame, by: list[str], *others: str) -> DataFrame:
-    """Group columns, m0.. (mean) and l00.. (Cholesky factor of the covariance with the floor added)."""
-    out = rows.select(*by, *others, *(m.alias(f"m{i}") for i, m in enumerate(mean)), *(c.alias(f"c{i}{j}") for (i, j), c in cov.items()))
+def _factored(stats: DataFrame, *others: str) -> DataFrame:
+    """Other columns, m0.. (mean) and l00.. (Cholesky factor of the covariance with the floor added)."""
+    out = stats.select(*others, *(F.col(f"a{i}").alias(f"m{i}") for i in range(DIM)), *(F.col(f"v{i}{j}").alias(f"c{i}{j}") for i, j in PAIRS))
     for i, j in PAIRS:
         rest = F.col(f"c{i}{j}") + (FLOOR**2 if i == j else 0.0)
         for k in range(j):
@@ -91,10 +97,6 @@ def _factor(mean: list[Column], cov: dict[tuple[int, int], Column], rows: DataFr
     return out.drop(*(f"c{i}{j}" for i, j in PAIRS))
 
 
-def _factored(stats: DataFrame, by: list[str], *others: str) -> DataFrame:
-    return _factor([F.col(f"a{i}") for i in range(DIM)], {(i, j): F.col(f"v{i}{j}") for i, j in PAIRS}, stats, by, *others)
-
-
 def _distance(rows: DataFrame) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance: the squared length of the forward solution."""
     out = rows
@@ -110,46 +112,70 @@ def _bin() -> Column:
     return F.floor(F.log2(F.col("d2") + 1e-9) * BINS).cast("int")
 
 
-def _far(base: DataFrame, params: DataFrame, by: list[str]) -> DataFrame:
-    """The rows with their distances under their group's parameters."""
-    return _distance(base.join(F.broadcast(params) if by == LEVELS[0] else params, by))
-
-
-def _limits(base: DataFrame, params: DataFrame, by: list[str], share: float, name: str) -> DataFrame:
-    return _quantiles(_far(base, params, by).groupBy(*by, _bin().alias("bin")).agg(F.count("*").alias("n")), by, {name: share})
+def _with(rows: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
+    """The rows with the parameters of their group; params is a written table, its column `members` counts a group's rows."""
+    if params.count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(params.drop("members")), BY, how)
+    if "start" not in params.columns:
+        return meet(rows, params, BY, spread="mark", how=how)
+    return meet(rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1)))), params, [*BY, "start"], spread="mark", how=how)
 
 
-def _mcd(base: DataFrame, by: list[str]) -> DataFrame:
-    """(by, a0.., v00..): mean and covariance of the SHARE of a group's rows nearest to them."""
-    bins = base.select(*by, F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.floor(F.col(f"f{i}") * BINS).cast("int").alias("bin")) for i in range(DIM)))).alias("x"))
-    counts = bins.groupBy(*by, "x.f", "x.bin").agg(F.count("*").alias("n"))
-    places = _quantiles(counts, [*by, "f"], {"low": 0.25, "mid": 0.5, "high": 0.75})
+def _mcd(levels: DataFrame) -> DataFrame:
+    """(BY, members, STATS): mean and covariance of the SHARE of a group's rows nearest to them, of the better of two starts."""
+    moments = [*(F.avg(f"f{i}").alias(f"a{i}") for i in range(DIM)), *(F.covar_pop(f"f{i}", f"f{j}").alias(f"v{i}{j}") for i, j in PAIRS)]
+    whole = saved(levels.groupBy(*BY).agg(F.count("*").alias("members"), *moments))
+    bins = levels.select(*BY, F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.floor(F.col(f"f{i}") * BINS).cast("int").alias("bin")) for i in range(DIM)))).alias("x"))
+    places = _quantiles(bins.groupBy(*BY, "x.f", "x.bin").agg(F.count("*").alias("n")), [*BY, "f"], {"low": 0.25, "mid": 0.5, "high": 0.75})
     spread = (F.col("high") - F.col("low")) / (BINS * 1.349)
-    wide = places.groupBy(*by).agg(*(F.max(F.when(F.col("f") == i, (F.col("mid") + 0.5) / BINS)).alias(f"a{i}") for i in range(DIM)), *(F.max(F.when(F.col("f") == i, spread)).alias(f"s{i}") for i in range(DIM)))
-    stats = saved(wide.select(*by, *(f"a{i}" for i in range(DIM)), *((F.col(f"s{i}") ** 2 if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i, j in PAIRS)))
-    for _ in range(STEPS):
-        params = _factored(stats, by)
-        limits = _limits(base, params, by, SHARE, "limit")
-        near = _far(base, params, by).join(F.broadcast(limits) if by == LEVELS[0] else limits, by).where(_bin() <= F.col("limit"))
-        stats = saved(near.groupBy(*by).agg(*(F.avg(f"f{i}").alias(f"a{i}") for i in range(DIM)), *(F.covar_pop(f"f{i}", f"f{j}").alias(f"v{i}{j}") for i, j in PAIRS)))
-    return stats
-
-
-def _shrunk(base: DataFrame) -> DataFrame:
-    """(lang, source, STATS) of every group: its own estimate and those of the levels above it, weighted by the numbers of rows."""
-    above = None
-    for by in LEVELS:
-        own = _mcd(base, by)
-        if above is not None:
-            sizes = base.groupBy(*by).agg(F.count("*").alias("n")).withColumn("w", F.col("n") / (F.col("n") + LEAST))
-            far = above.select(*by[:-1], *(F.col(c).alias(f"far_{c}") for c in STATS))
-            own = own.join(sizes, by).join(far, by[:-1]).select(*by, "w", "far_unit", *((F.col("w") * F.col(c) + (1 - F.col("w")) * F.col(f"far_{c}")).alias(c) for c in STATS if c != "unit"))
-        else:
-            own = own.withColumns({"w": F.lit(1.0), "far_unit": F.lit(1.0)})
-        own = saved(own)
-        unit = F.greatest(F.pow(F.lit(2.0), (F.col("mid") + 0.5) / BINS) / MEDIAN_CHI2, F.lit(1.0))
-        above = saved(own.join(_limits(base, _factored(own, by), by, 0.5, "mid"), by).withColumn("unit", F.col("w") * unit + (1 - F.col("w")) * F.col("far_unit")).select(*by, *STATS))
-    return above
+    wide = places.groupBy(*BY).agg(*(F.max(F.when(F.col("f") == i, (F.col("mid") + 0.5) / BINS)).alias(f"a{i}") for i in range(DIM)), *(F.max(F.when(F.col("f") == i, spread)).alias(f"s{i}") for i in range(DIM)))
+    middle = wide.select(*BY, *(f"a{i}" for i in range(DIM)), *((F.col(f"s{i}") ** 2 if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i, j in PAIRS))
+    starts = [middle.join(whole.select(*BY, "members"), BY), whole]
+    columns = [*BY, "members", "start", *STATS]
+    stats = saved(starts[0].withColumn("start", F.lit(0)).select(*columns).unionByName(starts[1].withColumn("start", F.lit(1)).select(*columns)))
+    size = F.expr(" + ".join(f"2 * ln(l{i}{i})" for i in range(DIM)))
+    before = None
+    for _ in range(MOST):
+        params = saved(_factored(stats, *BY, "members", "start").withColumn("size", size))
+        if before is not None:
+            settled = before.select(*BY, "start", F.col("size").alias("was")).join(params, [*BY, "start"]).where("was - size > 1e-3").isEmpty()
+            release(before)
+            if settled:
+                break
+        before = params
+        far = _distance(_with(levels, params))
+        limits = saved(_quantiles(far.groupBy(*BY, "start", _bin().alias("bin")).agg(F.count("*").alias("n")), [*BY, "start"], {"limit": SHARE}))
+        near = _distance(_with(levels, saved(params.join(limits, [*BY, "start"])))).where(_bin() <= F.col("limit"))
+        new = near.groupBy(*BY, "start").agg(*moments)
+        stats = saved(new.join(whole.select(*BY, "members"), BY).select(*columns))
+    final = _factored(stats, *BY, "members", "start", *STATS).withColumn("size", size)
+    best = final.groupBy(*BY, "members").agg(F.min_by(F.struct(*STATS), F.struct("size", "start")).alias("best"))
+    return saved(best.select(*BY, "members", "best.*"))
+
+
+def _above(own: DataFrame, above: DataFrame, level: int, columns: list[str]) -> DataFrame:
+    """The groups of a level with the columns, as far_.., of the groups they are part of."""
+    # A language's name for the source is the corpus's for the language: empty.
+    far = above.select(F.col("lang").alias("up"), *(F.col(c).alias(f"far_{c}") for c in columns))
+    return own.withColumn("up", F.col("source" if level == 1 else "lang")).join(far, "up").drop("up")
+
+
+def _shrunk(levels: DataFrame) -> DataFrame:
+    """(BY, members, STATS, unit) of every group: its own estimate and those of the levels above it, weighted by the numbers of rows."""
+    own = _mcd(levels).withColumn("w", F.when(F.col("level") == 0, 1.0).otherwise(F.col("members") / (F.col("members") + LEAST)))
+
+    def down(rows: DataFrame, columns: list[str]) -> DataFrame:
+        out = [rows.where("level = 0")]
+        for level in (1, 2):
+            met = _above(rows.where(F.col("level") == level), out[-1], level, columns)
+            out.append(met.select(*BY, "members", "w", *((F.col("w") * F.col(c) + (1 - F.col("w")) * F.col(f"far_{c}")).alias(c) if c in columns else F.col(c) for c in rows.columns if c not in (*BY, "members", "w"))))
+        return saved(out[0].unionByName(out[1]).unionByName(out[2]))
+
+    mixed = down(own, STATS)
+    far = _distance(_with(levels, saved(_factored(mixed, *BY, "members"))))
+    middles = saved(_quantiles(far.groupBy(*BY, _bin().alias("bin")).agg(F.count("*").alias("n")), BY, {"mid": 0.5}))
+    unit = F.greatest(F.pow(F.lit(2.0), (F.col("mid") + 0.5) / BINS) / MEDIAN_CHI2, F.lit(1.0))
+    return down(mixed.join(middles, BY).withColumn("unit", unit).drop("mid"), ["unit"])
 
 
 def judged(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
@@ -157,10 +183,15 @@ def judged(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: st
     rows = saved(statistics(docs, key=key, text=text, lang=lang, source=source))
     # A null language or source gets a name no other can have.
     name = lambda c: F.concat(F.when(F.col(c).isNull(), "0").otherwise("1"), F.coalesce(F.col(c).cast("string"), F.lit("")))
-    base = rows.where("not base_failed").select(F.lit("").alias("every"), name("lang").alias("lang"), name("source").alias("source"), *(f"f{i}" for i in range(DIM)))
-    ready = _factored(_shrunk(base), LEVELS[-1], "unit").withColumnsRenamed({"lang": "lang_", "source": "source_"}).drop("every")
-    keyed = rows.withColumn("lang_", name("lang")).withColumn("source_", name("source"))
-    out = _distance(keyed.join(ready, ["lang_", "source_"], "left")).withColumn("d2", F.when(~F.col("base_failed"), F.col("d2") / F.col("unit")))
+    kinds = F.array(F.struct(F.lit(0).alias("level"), F.lit("").alias("lang"), F.lit("").alias("source")), F.struct(F.lit(1).alias("level"), name("lang").alias("lang"), F.lit("").alias("source")), F.struct(F.lit(2).alias("level"), name("lang").alias("lang"), name("source").alias("source")))
+    numbers = [f"f{i}" for i in range(DIM)]
+    base = rows.where("not base_failed")
+    levels = base.select(F.explode(kinds).alias("g"), F.xxhash64("key").alias("mark"), *numbers).select("g.*", "mark", *numbers)
+    ready = saved(_factored(_shrunk(levels).where("level = 2"), *BY, "members", "unit"))
+    kept_columns = rows.withColumnsRenamed({"lang": "lang_", "source": "source_"})
+    keyed = kept_columns.withColumns({"level": F.lit(2), "lang": name("lang_"), "source": name("source_"), "mark": F.xxhash64("key")})
+    out = _distance(_with(keyed, ready, "left")).drop("lang", "source").withColumnsRenamed({"lang_": "lang", "source_": "source"})
+    out = out.withColumn("d2", F.when(~F.col("base_failed"), F.col("d2") / F.col("unit")))
     counts_ = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return out.select(F.col("key").alias(key), F.col("lang").alias(lang), F.col("source").alias(source), *counts_, "d2", (~F.col("base_failed") & (F.col("d2") <= cutoff)).alias("kept"))
 
