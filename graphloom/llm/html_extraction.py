@@ -1,18 +1,19 @@
 """Main text of web pages by text-to-tag ratio.
 
 The standard library's parser streams events; block-level tags cut the page into lines. Each line has its text, the number of
-tags met in it and the region it stands in (the outermost article or main, else the nearest container).
+tags met in it and the region it stands in (an outermost article or main, else the nearest container).
 The ratios of text to tags are smoothed with a Gaussian; lines whose smoothed ratio reaches the standard deviation of
-the page's ratios form the content cluster. The region that holds most of the cluster's text is the content; its lines are
-kept whole and in order, short ones too. On pages without an article or main element, the content is the smallest region around
-all that hold a line of the cluster (around the only one, if it is one): all its lines are kept.
+the page's ratios form the content cluster, and the cluster decides: if at least half of its text stands in articles or mains,
+those that hold some of it are the content; otherwise the smallest region around all that hold a line of
+the cluster is (around the only one, if it is one). The content's lines are kept whole and in order, short ones too.
 
 Scripts, styles, forms, menus, headers, footers, sidebars, notices, adverts and comments (by tag, role, class or
 id) are never lines. Headings inside a header of an article stay. Everything runs page by page in one scan, in
 memory of one page.
 
 Edges: null and empty pages give the empty text; so do pages without any line; truncated pages are read to
-their end (an unfinished tag is dropped, unclosed elements end there); other columns are kept only if asked for.
+their end (an unfinished tag is dropped, unclosed elements end there); very long pages take time in proportion; repeated rows give equal
+texts; of regions with equal text all count; an empty table gives an empty result; other columns, whatever their names, are kept only if asked for.
 """
 
 from __future__ import annotations
@@ -36,10 +37,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SKIPPED = frozenset("script style noscript template head title nav aside footer form button select textarea option iframe object svg canvas audio video dialog menu fieldset".split())
 #: Words of a class, id or role that mark what isn't the article.
 BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|side|complementary|contentinfo|footer\w*|header|masthead|topbar|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|repl(?:y|ies)|responses?|respond|pagination|pager|widget\w*|toolbar|copyright|legal|disclaimer|login|signup|search|skip|hidden|teasers?)(?=$|[\s_-])"
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|side|complementary|contentinfo|footer\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|repl(?:y|ies)|respond|pagination|pager|widget\w*|toolbar|copyright|login|signup|search|skip|hidden|teasers?)(?=$|[\s_-])"
 )
+#: Words that mark a page's header, but the header of an article where it stands in one or names it.
+HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?=$|[\s_-])")
+ARTICLE_HEADER = re.compile(r"(?:^|\s)(?:article|post|entry|story|content|page)[_-]+header(?=$|\s)")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
+#: Elements inside which an open element of the same kind is another's.
+BOUNDS = frozenset("ul ol dl table div section article main body aside nav footer header form blockquote".split()) | CLOSES["tr"]
 WEIGHTS = [math.exp(-(d * d) / 2) for d in range(-2, 3)]
 
 
@@ -65,7 +71,7 @@ class Lines(HTMLParser):
             self.tags = 0
 
     def handle_data(self, data: str) -> None:
-        if not self.skipped and (not self.headings or any(s[0] in HEADINGS for s in self.stack[-4:])):
+        if not self.skipped and (not self.headings or any(s[0] in HEADINGS for s in self.stack)):
             self.parts.append(data)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -78,16 +84,18 @@ class Lines(HTMLParser):
             self.tags += 1
             if tag == "br":
                 self.parts.append(" ")
-            elif attrs and tag not in VOID and not self.skipped and self.marked(tag, attrs):
-                self.push(tag, True)
+            elif tag not in VOID and (self.skipped or attrs and self.marked(attrs)):
+                self.push(tag, True)  # what is inside a skipped element is stacked too, so that its end tags end itself
             return
         self.flush()
         self.tags += 1
         if closes := CLOSES.get(tag):
-            for depth in range(len(self.stack) - 1, max(-1, len(self.stack) - 4), -1):
+            for depth in range(len(self.stack) - 1, -1, -1):
                 if self.stack[depth][0] in closes:
                     self.pop(depth)
                     break
+                if self.stack[depth][0] in BOUNDS:
+                    break
         if tag in VOID:
             return
         if tag in ("article", "main"):
@@ -95,25 +103,29 @@ class Lines(HTMLParser):
             if self.skipped and not any(s[1] and s[0] in ("aside", "section", "ol", "ul", "li", "article", "footer") for s in self.stack):
                 self.stack = [s for s in self.stack if not s[1]]
                 self.skipped = False
-            skip = self.skipped or bool(attrs) and tag == "article" and self.marked(tag, attrs)
+            skip = self.skipped or bool(attrs) and tag == "article" and self.marked(attrs)
             self.push(tag, skip)
             if not skip and self.region not in self.strong:
-                self.regions += 1
-                self.region = self.regions
+                self.inside(True)
                 self.strong.add(self.region)
             return
-        skip = self.skipped or tag in SKIPPED or bool(attrs) and tag not in ("body", "html") and self.marked(tag, attrs)
+        skip = self.skipped or tag in SKIPPED or bool(attrs) and tag not in ("body", "html") and self.marked(attrs)
         inner = self.region in self.strong
-        if tag == "header" and not skip and not inner:
-            skip = True
-        self.push(tag, skip)
-        if tag == "header" and inner:
+        names = " ".join(v.lower() for n, v in attrs if n in ("class", "id", "role") and v) if tag not in ("body", "html") else ""
+        header = tag == "header" or HEADER.search(names) is not None
+        own = inner or ARTICLE_HEADER.search(names) is not None
+        self.push(tag, skip or header and not own)
+        if header and own:
             self.headings = True
         if tag in CONTAINERS and not inner:
-            self.regions += 1
-            if tag != "body":
-                self.around[self.regions] = self.region
-            self.region = self.regions
+            self.inside(tag != "body")
+
+    def inside(self, nested: bool) -> None:
+        """From here on lines stand in a new region."""
+        self.regions += 1
+        if nested:
+            self.around[self.regions] = self.region
+        self.region = self.regions
 
     def path(self, region: int) -> list[int]:
         """The region and those around it, from the inside out."""
@@ -122,7 +134,7 @@ class Lines(HTMLParser):
             out.append(region)
         return out
 
-    def marked(self, tag: str, attrs: list) -> bool:
+    def marked(self, attrs: list) -> bool:
         for name, value in attrs:
             if name in ("class", "id", "role") and value and BOILERPLATE.search(value.lower()):
                 return True
@@ -183,9 +195,9 @@ def main_text(html: str | None) -> str:
     for (text, _, region), ratio in zip(lines, ratios, strict=True):
         whole[region] = whole.get(region, 0) + len(text)
         content[region] = content.get(region, 0) + (len(text) if ratio >= threshold else 0)
-    strong = [r for r in whole if r in parser.strong]
-    if strong:
-        chosen = {max(strong, key=lambda r: (content[r], whole[r], -r))}
+    strong = {r for r in whole if r in parser.strong and content[r]}
+    if strong and 2 * sum(content[r] for r in strong) >= sum(content.values()):
+        chosen = strong
     else:
         paths = {r: parser.path(r) for r in whole}
         held = [paths[r] for r in whole if content[r]]

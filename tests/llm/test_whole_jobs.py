@@ -120,3 +120,21 @@ def test_jaccard_of_any_ids_and_of_large_lists(spark, monkeypatch):
     want = [("b", 58, "a"), ("a", 59, "a"), ("b", 1, "b"), ("c", 1, "b"), ("", 58, None), ("d", 0, "d"), ("e", 0, "e"), ("f", 1, "f")]
     want += [(f"g{i}", 58, f"g{i}") for i in range(12)] + [(f"h{i}", 59, f"g{i}") for i in range(12)]
     assert got == sorted(want, key=str)
+
+
+def test_html_content_is_chosen_by_the_cluster(spark):
+    long = "many words of the text " * 60
+    flat = " ".join(long.split())
+    text = html_extraction.main_text
+    assert text(f"<body><main><p>short</p></main><p>{long}</p></body>") == f"short\n{flat}"
+    assert text(f"<body><article><p>{long}</p></article><article><p>{long}</p></article><footer>f</footer></body>") == f"{flat}\n{flat}"
+    assert text(f'<body><article><div class="article-header"><h1>T</h1><p>by me</p></div><p>{long}</p></article></body>') == f"T\n{flat}"
+    assert text(f'<body><div class="header">site</div><div class="post-header"><h1>T</h1></div><p>{long}</p></body>') == f"T\n{flat}"
+    assert text(f'<body><section class="legal"><p>{long}</p></section></body>') == flat
+    assert text(f'<body><article><p>{long}<span class="ad">buy <span>x</span> ADVERT</span></p></article></body>') == flat
+    assert text(f"<body><article><ul><li>a<ul><li>b<li>c</ul><li>d</ul><p>{long}</article></body>") == f"a\nb\nc\nd\n{flat}"
+    rows = [(1, None, "u", 1), (2, "", "u", 2), (1, f"<p>{long}", "u", 3), (1, f"<p>{long}", "u", 3), (3, "<p>x" * 20000, None, 4)]
+    df = spark.createDataFrame(rows, "page_id long, html string, url string, text int")
+    got = sorted((r.page_id, r.url or "", r.n_chars, r.text[:3]) for r in html_extraction.extract_text(df).collect())
+    assert got == [(1, "u", 0, ""), (1, "u", len(flat), flat[:3]), (1, "u", len(flat), flat[:3]), (2, "u", 0, ""), (3, "", 39999, "x\nx")]
+    assert html_extraction.extract_text(df.where("false")).count() == 0
