@@ -16,7 +16,9 @@ The document frequencies need one 8-byte hash and count per distinct word of a t
 are broadcast to find the documents that hold them, more are joined by a shuffle; texts are shuffled once to meet theirs.
 
 Edges: null and empty texts have no spans; repeated rows are documents like any other; a document's
-id may be null; other columns are not read.
+id may be null; terms are words of SHORTEST characters or more that aren't numbers; very long texts are worked on whole, in time of their length and the
+matches' number to the power 1.5 (sanitising: matches times length, at the speed of skipping characters); spans of different kinds that start together stand in the kinds' order; an empty table gives an
+empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ PATTERNS = {
 #: Cheap tests that a text without a match mostly fails.
 MAYBE = {"email": "contains({t}, '@')", "ip": r"{t} rlike '[0-9]\\.[0-9]'", "card": r"{t} rlike '[0-9][\\x20-]?[0-9][\\x20-]?[0-9]'", "phone": r"{t} rlike '\\+[0-9]'"}
 CONTEXT, DISCOUNT, THRESHOLD, SHORTEST = 6, 0.5, 0.8, 4
+NEAR = 200
 BROADCAST_TERMS = 200_000
 TERM = r"[\p{L}\p{N}]+"
 
@@ -44,12 +47,29 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of the body with a name for a value that is worked out once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _scan(rows: str, none: str, step: str, out: str) -> str:
+    """SQL of the array (empty: none) of what `out` makes of each row x and the state a (an int, 0 at first), which `step` then makes the next one.
+
+    Runs of about the square root of the rows are scanned one by one, as every append copies an array: n rows cost n ** 1.5 copies of a pointer."""
+    k = "cast(ceil(sqrt(size(v))) as int)"
+    inner = f"aggregate(slice(v, c * k + 1, k), struct(o.at as at, {none} as out), (i, x) -> {_let('a', 'i.at', f'struct({step} as at, concat(i.out, array({out})) as out)')})"
+    outer = f"aggregate(sequence(0, cast(ceil(size(v) / k) as int) - 1), struct(0 as at, cast(array() as array<{{kind}}>) as out), (o, c) -> {_let('r', inner, 'struct(r.at as at, concat(o.out, array(r.out)) as out)')}, o -> flatten(o.out))"
+    outer = outer.replace("{kind}", none[len("cast(array() as ") : -1])
+    return _let("v", rows, f"case when size(v) = 0 then {none} else {_let('k', k, outer)} end")
+
+
+NONE = "cast(array() as array<struct<start:int,rank:int,stop:int,value:string>>)"
+
+
 def _found(text: str, pattern: str, rank: int) -> str:
     """SQL of array<struct<start, rank, stop, value>> of all matches of the pattern (SQL) in the text, in code points."""
     pairs = f"arrays_zip(slice(split({text}, {pattern}, -1), 1, size(regexp_extract_all({text}, {pattern}, 0))), regexp_extract_all({text}, {pattern}, 0))"
-    none = "cast(array() as array<struct<start:int,rank:int,stop:int,value:string>>)"
-    step = f"struct(a.at + length(x.`0`) + length(x.`1`) as at, concat(a.out, array(struct(a.at + length(x.`0`) as start, {rank} as rank, a.at + length(x.`0`) + length(x.`1`) as stop, x.`1` as value))) as out)"
-    return f"aggregate({pairs}, struct(0 as at, {none} as out), (a, x) -> {step}, a -> a.out)"
+    return _scan(pairs, NONE, "a + length(x.`0`) + length(x.`1`)", f"struct(a + length(x.`0`) as start, {rank} as rank, a + length(x.`0`) + length(x.`1`) as stop, x.`1` as value)")
 
 
 def _digits(value: str) -> str:
@@ -67,8 +87,7 @@ CHECKS = {
 def base_spans(text: str) -> Column:
     """array<struct<start, rank, stop, value>> of the base spans, in order of start and kind; null texts have none."""
     t = f"coalesce({text}, '')"
-    none = "cast(array() as array<struct<start:int,rank:int,stop:int,value:string>>)"
-    lists = [f"case when {MAYBE[kind].format(t=t)} then filter({_found(t, _quoted(PATTERNS[kind]), rank)}, x -> {CHECKS[kind]}) else {none} end" for rank, kind in enumerate(PATTERNS)]
+    lists = [f"case when {MAYBE[kind].format(t=t)} then filter({_found(t, _quoted(PATTERNS[kind]), rank)}, x -> {CHECKS[kind]}) else {NONE} end" for rank, kind in enumerate(PATTERNS)]
     return F.expr(f"array_sort(concat({', '.join(lists)}))")
 
 
@@ -80,12 +99,13 @@ def entity(value: str, rank: str) -> str:
 def disclosive(docs: DataFrame, held: DataFrame, *, context: int = CONTEXT, discount: float = DISCOUNT, threshold: float = THRESHOLD) -> DataFrame:
     """(entity, term): the terms that reveal an entity. docs: all (text); held: (home, text, spans) of those with entities."""
     words = lambda part: f"regexp_extract_all({part}, {_quoted(TERM)}, 0)"
-    # Up to CONTEXT whole words from the start of a part, whatever their length.
-    ahead = lambda part: f"regexp_extract({part}, {_quoted(r'^(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]++){0,' + str(context) + '}')}, 0)"
-    before = words(f"reverse({ahead('reverse(substring(text, 1, s.start))')})")
-    after = words(ahead("substring(text, s.stop + 1)"))
-    around = held.select("home", "text", F.explode("spans").alias("s")).select("home", F.expr(entity("s.value", "s.rank")).alias("entity"), F.expr(before).alias("before_"), F.expr(after).alias("after_"))
-    contexts = around.select("home", "entity", F.expr("concat(before_, array('|'), after_)").alias("words"))
+    # Up to CONTEXT whole words on either side, whatever their length: from the NEAR characters beside a span if they hold one word more
+    # (the outermost may be cut off), else from the whole part.
+    some = lambda near, part: _let("w", words(near), f"case when size(w) > {context} or length({near}) < {NEAR} then w else {words(part)} end")
+    before = some(f"substring(text, greatest(s.start - {NEAR}, 0) + 1, least(s.start, {NEAR}))", "substring(text, 1, s.start)")
+    after = some(f"substring(text, s.stop + 1, {NEAR})", "substring(text, s.stop + 1)")
+    sides = f"concat({_let('b', before, f'reverse(slice(reverse(b), 1, {context}))')}, array('|'), slice({after}, 1, {context}))"
+    contexts = held.select("home", F.expr(f"explode(transform(spans, s -> struct({entity('s.value', 's.rank')} as entity, {sides} as words)))").alias("c")).select("home", "c.entity", "c.words")
     per_entity = contexts.groupBy("entity", "home").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("df_entity"))
     terms = contexts.select("entity", "home", F.xxhash64("words").alias("context"), F.explode(F.expr("array_distinct(transform(words, w -> lower(w)))")).alias("term"))
     terms = terms.where(f"length(term) >= {SHORTEST} and not term rlike '^[0-9]+$'")
@@ -119,8 +139,10 @@ def personal_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 def sanitise(docs: DataFrame, *, key: str = "doc_id", text: str = "text", generalise: bool = True, **options) -> DataFrame:
     """(key, text): spans generalised to `[KIND]`, or removed; where spans overlap, the first covers."""
     mark = "concat('[', element_at(array(" + ", ".join(f"'{k.upper()}'" for k in KINDS) + "), s.rank + 1), ']')" if generalise else "''"
-    step = f"case when s.start < a.at then struct(greatest(a.at, s.stop) as at, a.out as out) else struct(s.stop as at, concat(a.out, substring(`{text}`, a.at + 1, s.start - a.at), {mark}) as out) end"
-    clear = F.expr(f"case when size(spans) = 0 then `{text}` else aggregate(spans, struct(0 as at, '' as out), (a, s) -> {step}, a -> concat(a.out, substring(`{text}`, a.at + 1))) end")
+    # The kept text before each span that no earlier one covers, and its mark; then the text behind the last.
+    part = f"case when x.start < a then '' else concat(substring(`{text}`, a + 1, x.start - a), {mark.replace('s.rank', 'x.rank')}) end"
+    parts = _scan("spans", "cast(array() as array<string>)", "greatest(a, x.stop)", part)
+    clear = F.expr(f"case when size(spans) = 0 then `{text}` else concat(array_join({parts}, ''), substring(`{text}`, array_max(transform(spans, s -> s.stop)) + 1)) end")
     return personal_spans(docs, key=key, text=text, **options).select(key, clear.alias(text))
 
 
