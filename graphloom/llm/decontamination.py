@@ -5,64 +5,78 @@ consecutive words of a benchmark item (or the whole item, if it is shorter) goes
 text is scanned once with rolling hashes, every hit is verified against the words themselves, and the
 words inside verified occurrences are marked.
 
-The hash set is broadcast in blocks of at most BLOCK_CHARS characters of benchmark text (plus one item), however
-large the benchmark is; blocks are applied one after another inside the same scan, so nothing is shuffled.
-
-Edges: null or empty texts have no words and no hits; items without words are ignored; repeated items
-all count under their own ids; an empty benchmark leaves everything clean; other columns are not read.
+The hash set is flat arrays: 24 bytes a window besides its share of the text. It is broadcast in blocks of about BLOCK_CHARS characters of
+benchmark text (an item is never split), so 50 MB or so at once, however large the benchmark is. With one block the texts are scanned once
+and nothing is shuffled. With more, each block's scan writes down the hits of the texts that have any, its broadcast goes, and
+the hits of all blocks meet the texts in the end.
+
+Edges: null or empty texts have no words and no hits; items without words or without an id are ignored; repeated items
+all count under their own ids, rows with equal ids are one item in the list of ids; repeated rows of documents are marked alike; very long
+texts are worked on one at a time in the memory of their words; an empty benchmark leaves everything clean, an empty table gives an
+empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import saved, table
 from .tokens import ALNUM, Words, kgrams, lists, pieces
 
 WINDOW = 10
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 8_000_000
 
 
 class HashSet:
-    """Windows of some benchmark items: by length, sorted hashes and, for each hash, its word sequences and item numbers."""
+    """Windows of some benchmark items: by length, sorted hashes, where each window stands in the normalised texts, and its item's number."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         self.names = [name for name, _ in items]
-        self.by_length: dict[int, tuple[np.ndarray, dict[int, dict[bytes, list[int]]]]] = {}
-        found: dict[int, dict[int, dict[bytes, list[int]]]] = {}
         words = Words(pa.array([text for _, text in items], pa.string()), ALNUM, True)
-        for item in range(len(items)):
-            low, high = int(words.at[item]), int(words.at[item + 1])
-            size = min(window, high - low)
-            if not size:
-                continue
-            for at, key in zip(range(low, high), kgrams(words.hashes[low:high], size).tolist(), strict=False):
-                texts = found.setdefault(size, {}).setdefault(key, {})
-                owners = texts.setdefault(sequence(words, at, size), [])
-                if not owners or owners[-1] != item:
-                    owners.append(item)
-        for size, keys in found.items():
-            self.by_length[size] = (np.array(sorted(keys), np.uint64), keys)
+        # Words joined by one space, all items in a row.
+        length = words.ends - words.starts
+        at = np.cumsum(length + 1) - (length + 1)
+        text = np.full(int((length + 1).sum()), 0x20, np.uint8)
+        first = np.cumsum(length) - length
+        step = np.arange(int(length.sum()))
+        text[step + np.repeat(at - first, length)] = words.data[step + np.repeat(words.starts - first, length)]
+        self.text = text.tobytes()
+        row, left = words.row_of(), words.left()
+        sizes = np.minimum(words.counts, window)
+        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            start = np.flatnonzero((sizes[row] == size) & (left >= size))
+            hashes = kgrams(words.hashes, size)[start]
+            order = np.argsort(hashes, kind="stable")
+            start = start[order]
+            low, high = at[start], at[start + size - 1] + length[start + size - 1]
+            self.by_length[size] = (hashes[order], low, (high - low).astype(np.int32), row[start].astype(np.int32))
 
     def scan(self, words: Words) -> tuple[np.ndarray, dict[int, set[int]]]:
         """A mark for each word, and the item numbers found in each row."""
         hit, items = np.zeros(len(words) + 1, np.int32), {}
         left, rows = words.left(), words.row_of()
-        for size, (keys, texts) in self.by_length.items():
+        for size, (keys, low, length, owner) in self.by_length.items():
             grams = kgrams(words.hashes, size)
             place = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
-            for at in np.flatnonzero((keys[place] == grams) & (left[: len(grams)] >= size)).tolist():
-                owners = texts[int(grams[at])].get(sequence(words, at, size))
-                if owners:
+            found = np.flatnonzero((keys[place] == grams) & (left[: len(grams)] >= size))
+            ends = np.searchsorted(keys, grams[found], "right")
+            for at, begin, end in zip(found.tolist(), place[found].tolist(), ends.tolist(), strict=True):
+                own, met = sequence(words, at, size), False
+                for i in range(begin, end):  # all windows of this hash, each verified
+                    if length[i] == len(own) and self.text.startswith(own, int(low[i])):
+                        met = True
+                        items.setdefault(int(rows[at]), set()).add(int(owner[i]))
+                if met:
                     hit[at] += 1
                     hit[at + size] -= 1
-                    items.setdefault(int(rows[at]), set()).update(owners)
         return np.cumsum(hit[:-1]) > 0, items
 
 
@@ -71,21 +85,32 @@ def sequence(words: Words, at: int, size: int) -> bytes:
     return b" ".join(data[starts[i] : ends[i]].tobytes() for i in range(at, at + size))
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, window: int, block_chars: int):
-    """The rows to scan, and the broadcast hash sets one after another."""
+def _marked(docs: DataFrame, benchmark: DataFrame, apply, schema: str, *, key: str, text: str, item: str, item_text: str, window: int, block_chars: int) -> DataFrame:
+    """apply(batches, hash set) over (key, text, hits, items), where hits and items are those of the blocks before the last one."""
+    spark = docs.sparkSession
     items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("body")).where("item is not null and body is not null")
     blocks = max(1, math.ceil((items.agg(F.sum(F.length("body"))).first()[0] or 0) / block_chars))
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"))
-    parts = (items if blocks == 1 else items.where(F.expr(f"pmod(xxhash64(item, body), {blocks}) = {block}")) for block in range(blocks))
-    return rows, [docs.sparkSession.sparkContext.broadcast(HashSet([(r["item"], r["body"]) for r in part.orderBy("item", "body").collect()], window)) for part in parts]
+    part = lambda block: items.where(F.expr(f"pmod(xxhash64(item, body), {blocks}) = {block}")).orderBy("item", "body").collect()
+    known = lambda block: spark.sparkContext.broadcast(HashSet([(r["item"], r["body"]) for r in part(block)], window))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    none = rows.select("key", "text", F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
+    if blocks > 1:
+        parts = []
+        for block in range(blocks - 1):
+            set_ = known(block)
+            narrow = none.mapInArrow(lambda batches, set_=set_: _mark(batches, set_.value), f"{none.schema.simpleString()[7:-1]}, n_words long").where("size(hits) > 0")
+            parts.append(saved(narrow.select(F.xxhash64("text").alias("home"), "hits", "items").dropDuplicates(["home"])))
+            set_.destroy()
+        found = reduce(DataFrame.unionByName, parts).groupBy("home").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        with_home = rows.withColumn("home", F.xxhash64("text"))
+        none = with_home.join(saved(found), "home", "left").select("key", "text", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    last = known(blocks - 1)
+    return none.mapInArrow(lambda batches: apply(batches, last.value), schema.format(key=docs.schema[key].dataType.simpleString()))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(key, text, n_words long, hits array<int>: numbers of the hit words, items array<string>) for every row of docs."""
-    out, sets_ = _blocks(docs, benchmark, key, text, item, item_text, window, block_chars)
-    schema = out.schema
-    for known in sets_:
-        out = out.mapInArrow(lambda batches, known=known: _mark(batches, known.value), schema)
+    out = _marked(docs, benchmark, _mark, "key {key}, text string, hits array<int>, items array<string>, n_words long", key=key, text=text, item=item, item_text=item_text, window=window, block_chars=block_chars)
     return out.select(F.col("key").alias(key), F.col("text").alias(text), "n_words", "hits", "items")
 
 
@@ -131,12 +156,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, drop_share: float =
     """Documents without the hit words; a document is dropped where more than drop_share of its words are hit.
 
     Returns (key, text) of all documents that stay, clean ones unchanged. The last block's scan cuts the words out too."""
-    out, sets_ = _blocks(docs, benchmark, key, text, item, item_text, window, block_chars)
-    schema = out.schema
-    for known in sets_[:-1]:
-        out = out.mapInArrow(lambda batches, known=known: _mark(batches, known.value), schema)
-    last = sets_[-1]
-    out = out.mapInArrow(lambda batches: _without(batches, last.value, drop_share), schema)
+    out = _marked(docs, benchmark, lambda batches, known: _without(batches, known, drop_share), "key {key}, text string, hits array<int>, items array<string>, n_words long", key=key, text=text, item=item, item_text=item_text, window=window, block_chars=block_chars)
     return out.select(F.col("key").alias(key), F.col("text").alias(text))
 
 
