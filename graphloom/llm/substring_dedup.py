@@ -14,9 +14,11 @@ so a window can repeat only where its edge repeats.
    coordinates: a 128-bit hash of the window is counted over the corpus and joined back.
 5. Covered words are removed from each text.
 
-Only rows that grow with repeated text move after step 2. Hashes are 64-bit for edges and 128-bit for
+Only rows that grow with repeated text move after step 2. Rows of a passage that many documents copy are salted by their document
+(`meet`), and every step is a written table, whose shuffle files go at once. Hashes are 64-bit for edges and 128-bit for
 windows. Edges: null and empty texts give no words; repeated rows are documents like any other
-(they repeat each other); texts shorter than the window stay whole; other columns are not read.
+(they repeat each other); texts shorter than the window stay whole; very long texts are worked on one at a time in the memory of
+their words; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import meet, release, saved, table
 from .tokens import Words, kgrams, mix, pieces, signed
 
 WINDOW = 35
@@ -173,16 +175,17 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """(key, n_words, n_removed, kept): kept has the words of the text that no repeated window covers, joined by a space."""
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("home"))
     edges = source.select("home", "text").mapInArrow(lambda b: _edges(b, window), "edge long, after long, home long, number int")
-    counted = edges.groupBy("edge").agg(F.count("*").alias("n"), F.min("after").alias("least"), F.max("after").alias("most")).where("n > 1")
-    paths = counted.select("edge", F.least("n", F.lit((1 << 32) - 1)).alias("n"), F.expr("least = most and least <> 0").cast("long").alias("link"))
+    counted = edges.groupBy("edge").agg(F.count("*").alias("members"), F.min("after").alias("least"), F.max("after").alias("most")).where("members > 1")
+    paths = saved(counted.select("edge", "members", F.least("members", F.lit((1 << 32) - 1)).alias("n"), F.expr("least = most and least <> 0").cast("long").alias("link")))
     packed = F.shiftleft(F.col("number").cast("long"), 33) + F.shiftleft("n", 1) + F.col("link")
-    known = edges.select("edge", "home", "number").join(paths, "edge").select("home", packed.alias("one")).groupBy("home").agg(F.collect_list("one").alias("known"))
-    # The same columns as below, key included, so that both joins share one shuffle of the texts.
-    lit = source.join(known, "home").select("key", "home", "text", "known")
-    windows = lit.mapInArrow(lambda b: _open_windows(b, window), "one long, two long, home long, place int")
-    twice = windows.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
-    found = windows.join(twice, ["one", "two"]).groupBy("home").agg(F.collect_list("place").alias("found"))
-    joined = source.join(known, "home", "left").join(found, "home", "left").select("key", "text", "known", "found")
+    found = meet(edges.select("edge", "home", "number"), paths, ["edge"], spread="home").select("home", packed.alias("one"))
+    known = saved(found.groupBy("home").agg(F.collect_list("one").alias("known")))
+    lit = source.join(known, "home").select("home", "text", "known")
+    windows = saved(lit.mapInArrow(lambda b: _open_windows(b, window), "one long, two long, home long, place int"))
+    twice = saved(windows.groupBy("one", "two").agg(F.count("*").alias("members")).where("members > 1"))
+    more = saved(meet(windows, twice, ["one", "two"], spread="home").groupBy("home").agg(F.collect_list("place").alias("found")))
+    release(paths, windows, twice)
+    joined = source.join(known.join(more, "home", "left"), "home", "left").select("key", "text", "known", "found")
     kind = docs.schema[key].dataType.simpleString()
     return joined.mapInArrow(lambda b: _kept(b, window), f"key {kind}, n_words long, n_removed long, kept string").withColumnRenamed("key", key)
 
