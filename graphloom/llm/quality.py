@@ -11,7 +11,9 @@ hash of the id, with all their lines; features are taken on the executors. Scori
 covers every line of every text, in one scan without a shuffle. No label, language, source or id enters a score.
 
 Edges: null and empty texts, and texts of white space only, have no line and score 0; without labelled documents of both
-kinds nothing can be learnt and all scores are 0.5 (0 without a line); repeated rows score alike.
+kinds nothing can be learnt and all scores are 0.5 (0 without a line); repeated rows score alike, also in training, where of rows with equal ids the
+least text counts; very long texts are worked on one at a time in the memory of their lines; an empty table gives an empty result; other columns pass through, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -246,12 +248,14 @@ def _scores(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.Reco
 
 
 def quality_scores(docs: DataFrame, field: Field, *, text: str = "text", score: str = "score") -> DataFrame:
-    """The rows of docs with a score from 0 to 1."""
+    """The rows of docs with a score from 0 to 1, which takes the place of a column of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    source = docs.withColumnRenamed(text, "text") if text != "text" else docs
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    out = source.mapInArrow(lambda b: _scores(b, shared.value), f"{kinds}, score double").withColumnRenamed("score", score)
-    return out.withColumnRenamed("text", text) if text != "text" else out
+    names = [c for c in docs.columns if c != score]
+    # Columns travel under names of their own, so none clashes.
+    source = docs.select(*(F.col(f"`{c}`").alias("text" if c == text else f"c{i}") for i, c in enumerate(names)))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema)
+    out = source.mapInArrow(lambda b: _scores(b, shared.value), f"{kinds}, score double")
+    return out.toDF(*names, score)
 
 
 HELD_OUT = "coalesce(crc32(cast(doc_id as string)) % 3 = 1, false)"

@@ -9,7 +9,8 @@ character, texts are cut before each run of markers, which changes no result and
 Parity is verified: `verify` compares ids with the sentencepiece library on texts that use every feature, when an
 encoder is built, and `parity` does so for a whole table. Decoding joins pieces and bytes, and drops the dummy prefix.
 
-Edges: null gives a null list of ids, the empty text an empty list; repeated rows encode alike; other columns are not read.
+Edges: null gives a null list of ids, the empty text an empty list; decoding takes ids that the model lacks, negative and null ones too, for the unknown piece;
+repeated rows encode alike; very long texts are encoded whole, one at a time; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -117,15 +118,21 @@ class Codec:
             merges.sort(key=lambda x: (x[0], x[1]))
             inner = models.BPE(vocabulary, [(a, b) for _, _, a, b in merges], unk_token=m.pieces[m.unknown][0], fuse_unk=True, byte_fallback=m.byte_fallback)
         else:
-            inner = models.Unigram([(p, s) for p, s, _ in m.pieces], unk_id=m.unknown, byte_fallback=m.byte_fallback)
+            # Only normal and user-defined pieces may match a text: no text holds a space once it is a marker, and bytes score below any run of pieces.
+            floor = min((s for _, s, kind in m.pieces if kind in (NORMAL, USER)), default=0.0) - 1000
+            spelled = lambda p, s, kind: (p, s) if kind in (NORMAL, USER) else (p, floor) if kind == BYTE else (f" {p}", 0.0)
+            inner = models.Unigram([spelled(*piece) for piece in m.pieces], unk_id=m.unknown, byte_fallback=m.byte_fallback)
         self.tokenizer = Tokenizer(inner)
         steps = [normalizers.Precompiled(m.charmap)] if m.charmap else []
         if m.extra_spaces:
-            steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+            steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
         steps += [normalizers.Replace(" ", MARK)] + ([normalizers.Prepend(MARK)] if m.dummy_prefix else [])
         self.tokenizer.normalizer = normalizers.Sequence(steps)
-        if m.cuts():
-            self.tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
+        splits = [pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")] if m.cuts() else []
+        if m.kind == UNIGRAM and not any("<" in p for p, _, kind in m.pieces if kind in (NORMAL, USER)):
+            splits.append(pre_tokenizers.Split("<", "isolated"))  # so that the names of byte pieces match no text
+        if splits:
+            self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence(splits)
         self.tokenizer.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(MARK, " ")])
         # Pieces decode to themselves; controls to nothing, the unknown piece to its mark.
         self.spell = [
@@ -136,7 +143,7 @@ class Codec:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def decode(self, ids: list[int]) -> str:
-        raw = b"".join(map(self.spell.__getitem__, ids))
+        raw = b"".join(self.spell[i if i is not None and 0 <= i < len(self.spell) else self.model.unknown] for i in ids)
         if self.model.dummy_prefix and raw[:1] == b" ":
             raw = raw[1:]
         return raw.decode("utf-8", "replace")
@@ -219,6 +226,22 @@ def decode(encoded: DataFrame, *, model: str | None = None, key: str = "doc_id",
     return out.select(F.col("key").alias(key), F.col("ids").alias(ids), "decoded")
 
 
+def _unequal(batches: Iterator[pa.RecordBatch], data: bytes) -> Iterator[pa.RecordBatch]:
+    coder = codec(data)
+    for batch in pieces(batches):
+        some = batch.filter(batch.column("text").is_valid())
+        wrong = coder.verify(some.column("text").to_pylist()) if some.num_rows else []
+        yield some.take(pa.array(wrong, pa.int64()))
+
+
+def parity(docs: DataFrame, *, model: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text) of the rows whose ids differ from the sentencepiece library's: none, if all is well."""
+    data = docs.sparkSession.sparkContext.broadcast(_read(model or model_path()))
+    source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    out = source.mapInArrow(lambda b: _unequal(b, data.value), source.schema)
+    return out.select(F.col("key").alias(key), F.col("text").alias(text))
+
+
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """Ids of every text (their number and digest) and whether decoding gives the text back."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")

@@ -15,7 +15,9 @@ As the machine is linear in the landmarks and the kernel in subsequences, it fol
 It is fitted on the driver on at most SAMPLE labelled training documents, in the order of a hash of the id.
 No label, language, source or id enters a score.
 
-Edges: null, empty and blank texts score 0; without labelled documents of both kinds every text scores 0; repeated rows score alike.
+Edges: null, empty and blank texts score 0; without labelled documents of both kinds every text scores 0; repeated rows score alike, also in
+training, where of rows with equal ids the least text counts; very long texts are worked on one at a time in the memory of their words, and words beyond 4096 characters
+have the norm of that length; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
