@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.prose import SLOT, keep_prose, prose, with_prose
-from .functions.text import redact, stable_id
+from .functions.text import parent_dir, redact, stable_id
 from .operators import compile as compiled
 from .operators import context as contexts
 from .operators import graph, traverse, vectors
@@ -19,7 +19,7 @@ from .sources.store import INDEX, NotBuilt, Store, read_text
 DOMAIN = "id string, name string, source string, user_confirmed boolean"
 MEMBER = "domain_id string, member_kind string, member_value string"
 CACHE = "entity_kind string, entity_id string, summary string, source string"
-RISK, SUGGESTIONS, PROMPT_CHARS = 10, 5, 1200
+SUGGESTIONS, PROMPT_CHARS = 5, 1200
 SYMBOL_JSON = {"file_path": "filePath", "start_line": "startLine", "end_line": "endLine", "module_id": "moduleId"}
 EDGE_JSON = {"src_symbol_id": "srcSymbolId", "dst_symbol_id": "dstSymbolId", "edge_type": "edgeType"}
 
@@ -175,9 +175,7 @@ class Engine:
 
     def symbol(self, name: str) -> Row:
         """The symbol of that name in any case, or else one whose qualified name has it in it (`_` and `%` are wildcards)."""
-        exact = F.lower("name") == name.lower()
-        like = F.lower("fqn").like("%" + name.lower().replace("\\", "\\\\") + "%")
-        found = self.store.table("symbols").where(exact | like).orderBy(F.when(exact, 0).otherwise(1), "name", "file_path", "start_line", "id").limit(1).collect()
+        found = graph.lookup(self.store.table("symbols"), name).limit(1).collect()
         if not found:
             raise NotFound(f"no symbol {name}")
         return found[0]
@@ -189,11 +187,11 @@ class Engine:
     def impact(self, name: str, depth: int = 3) -> dict:
         """What a symbol leads to within a depth: ids, directories in order of appearance, test files, and whether that is many."""
         root = self.symbol(name)
-        met = self._reach(root, depth).join(self.store.table("symbols"), F.col("node") == F.col("id"), "left").select("node", "file_path").orderBy("depth", "node").collect()
-        paths = [r.file_path for r in met if r.file_path]
-        risk = [f"{root.name} has {len(met)} downstream dependents within depth {depth}"] if len(met) > RISK else []
-        modules = dict.fromkeys(p.rpartition("/")[0] for p in paths)
-        return {"symbol": root.asDict(), "affected_symbol_ids": [r.node for r in met], "affected_modules": [m for m in modules if m], "related_tests": sorted(p for p in paths if "test" in p or "spec" in p), "risk_zones": risk}
+        nodes = self.store.table("symbols").select("id", parent_dir(F.col("file_path")).alias("module"), F.col("file_path").alias("path"))
+        roots = self.spark.createDataFrame([(root.id,)], "root string")
+        met = traverse.impact(graph.links(self.store.table("edges")), nodes, roots, depth).first()
+        risk = [f"{root.name} has {len(met.affected)} downstream dependents within depth {depth}"] if met.risk else []
+        return {"symbol": root.asDict(), "affected_symbol_ids": met.affected, "affected_modules": met.modules, "related_tests": met.tests, "risk_zones": risk}
 
     def dependencies(self, name: str, depth: int = 3, upstream: bool = False) -> dict:
         """Ids below a symbol; `upstream` also gives those above, which is otherwise empty."""

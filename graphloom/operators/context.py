@@ -13,7 +13,7 @@ from ..functions.prose import adds_context, for_context
 from ..functions.text import OVERHEAD_TOKENS, estimate_tokens, impact_line_tokens, line_slice, snippet_tokens
 from . import rank, traverse, vectors
 from .graph import links
-from .pages import best_page
+from .pages import best_page, smallest_page
 
 # Budgets, depths, caps and headings must equal the reference's for equal packing.
 MARGIN = 1.15
@@ -63,7 +63,7 @@ def _place(row) -> str:
     return f"{row['file_path']}:{row['start_line']}-{row['end_line']}"
 
 
-def _tests(symbols: DataFrame, names: list[str]) -> DataFrame:
+def related_tests(symbols: DataFrame, names: list[str]) -> DataFrame:
     """Symbols of test files whose name holds one of the names or lies within it."""
     lowered, near = F.lower("name"), F.array(*(F.lit(n.lower()) for n in names))
     path = F.lower("file_path")
@@ -76,7 +76,7 @@ def _knowledge(pages: DataFrame, root: str, kinds: tuple[str, ...] | None = None
     if kinds is None:
         best = best_page(met.select(F.col("id").alias("page"), "kind", F.lit(root).alias("id"))).select(F.col("page").alias("best"))
     else:
-        best = met.where(F.col("kind").isin(*kinds)).groupBy().agg(F.min_by("id", F.struct(F.size("symbol_ids"), "id")).alias("best"))
+        best = smallest_page(met.where(F.col("kind").isin(*kinds)).select(F.col("id").alias("page"), F.size("symbol_ids").alias("symbols"), F.lit(root).alias("id"))).select(F.col("page").alias("best"))
     text = for_context(F.col("body"))
     rows = met.join(best, F.col("id") == F.col("best")).select("id", F.when(adds_context(text), text)).collect()
     return tuple(rows[0]) if rows else (None, None)
@@ -93,8 +93,8 @@ def assemble(spark: SparkSession, tables: dict[str, DataFrame], root: Row, task:
     callers, callees = ([r for r in met if r.side == side] for side in ("caller", "callee"))
     reach = traverse.reachable(links(tables["edges"]), spark.createDataFrame([(root.id,)], "root string"), task.depth)
     affected = reach.join(symbols, F.col("node") == F.col("id")).select("id", "depth", "name", "file_path", "start_line", "end_line", impact_line_tokens(F.col("name"), F.col("file_path"), F.col("start_line"), F.col("end_line")).alias("tokens")).orderBy("depth", "id").collect()
-    tests = _tests(symbols, [root.name, *(r.name for r in met)]).select("id", "file_path").collect() if task.name == "Fix" else []
-    related_tests = sorted({r.file_path for r in tests})
+    tests = related_tests(symbols, [root.name, *(r.name for r in met)]).select("id", "file_path").collect() if task.name == "Fix" else []
+    test_paths = sorted({r.file_path for r in tests})
     semantic = _semantic(tables["embeddings"], root.id)
     related = [r.name for r in symbols.where((F.col("file_path") == root.file_path) & (F.col("id") != root.id)).orderBy("start_line", "id").limit(RELATED).collect()]
 
@@ -137,7 +137,7 @@ def assemble(spark: SparkSession, tables: dict[str, DataFrame], root: Row, task:
         "snippets": [] if plan else chosen[:fit],
         "callers": [r.name for r in callers],
         "callees": [r.name for r in callees],
-        "related_tests": related_tests,
+        "related_tests": test_paths,
         "affected_symbol_ids": [r.id for r in affected],
         "affected": [r.asDict() for r in affected[:shown]],
         "wiki_page_id": page_id,
@@ -157,8 +157,7 @@ def _semantic(embeddings: DataFrame, root: str) -> list[str]:
     own = embeddings.where(F.col("symbol_id") == root).select("embedding").limit(1).collect()
     if not own:
         return []
-    near = vectors.nearest(embeddings.withColumnRenamed("symbol_id", "id"), list(own[0].embedding), SEMANTIC + 1).collect()
-    return [r.id for r in near if r.id != root][:SEMANTIC]
+    return [r.id for r in vectors.neighbours(embeddings.withColumnRenamed("symbol_id", "id"), root, list(own[0].embedding), SEMANTIC).collect()]
 
 
 def _snippets(spark: SparkSession, tables: dict[str, DataFrame], order: list[tuple[str, int]], task: Task, plan: bool) -> list[dict]:

@@ -10,11 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_path, stable_id
 
 
-def by_route(clients: DataFrame, routes: DataFrame) -> DataFrame:
-    """Clients and routes (repo, symbol, method, path) with the same method, in any case, and path, in different repositories."""
-    c = clients.select(F.col("repo").alias("src_repo"), F.col("symbol").alias("src"), F.upper("method").alias("method"), normalize_path(F.col("path")).alias("path"))
-    r = routes.select(F.col("repo").alias("dst_repo"), F.col("symbol").alias("dst"), F.upper("method").alias("method"), normalize_path(F.col("path")).alias("path"))
-    return c.join(r, ["method", "path"]).where("src_repo <> dst_repo")
+def route_ends(rows: DataFrame) -> DataFrame:
+    """Ends (repo, symbol, name) of clients or routes (repo, symbol, method, path); the name is the method in capitals and the path."""
+    return rows.select("repo", "symbol", F.concat_ws(" ", F.upper("method"), normalize_path(F.col("path"))).alias("name"))
 
 
 def by_name(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
@@ -34,15 +32,11 @@ def by_contract(contracts: DataFrame, servers: DataFrame, clients: DataFrame, fi
 
 
 def first_writer(passes: list[DataFrame]) -> DataFrame:
-    """The union of edge tables (id, confidence, ...); of equal ids the row of the earliest pass stays."""
+    """The union of edge tables (id, ...); of equal ids the row of the earliest pass stays. `pass` is its number."""
+    columns = [c for c in passes[0].columns if c != "id"]
     all_ = reduce(lambda a, b: a.unionByName(b), [p.withColumn("pass", F.lit(i)) for i, p in enumerate(passes)])
-    return all_.groupBy("id").agg(F.min_by("confidence", "pass").alias("confidence"), F.min("pass").alias("pass"))
+    return all_.groupBy("id").agg(F.min_by(F.struct(*columns), "pass").alias("e"), F.min("pass").alias("pass")).select("id", "e.*", "pass")
 
 
 def cross_edge_id(kind: str) -> F.Column:
     return stable_id("cross_edge", F.col("src_repo"), F.col("src"), F.col("dst_repo"), F.col("dst"), kind)
-
-
-def shared_library(users: DataFrame, owners: DataFrame) -> DataFrame:
-    """Importing repositories with the defining repositories of a package. (repo, package) each."""
-    return users.select(F.col("repo").alias("src_repo"), "package").distinct().join(owners.select(F.col("repo").alias("dst_repo"), "package").distinct(), "package").where("src_repo <> dst_repo")

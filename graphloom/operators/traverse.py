@@ -30,13 +30,21 @@ def reachable(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+#: Fixed value: more affected symbols than this are a risk.
+RISK = 10
+
+
 def impact(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """One row per root: affected nodes known to `nodes` (id, module, path), their modules in order of first
-    appearance, related tests, and whether the risk flag (more than 10 affected) is set."""
-    met = reachable(edges, roots, depth).join(nodes, F.col("node") == F.col("id"))
-    modules = met.groupBy("root", "module").agg(F.min(F.struct("depth", "node")).alias("at")).groupBy("root").agg(F.array_sort(F.collect_list(F.struct("at", "module"))).alias("m"))
-    counts = met.groupBy("root").agg(F.count("*").alias("affected"), F.count_if(F.col("path").contains("test") | F.col("path").contains("spec")).alias("tests"), (F.count("*") > 10).alias("risk"))
-    return roots.join(counts, "root", "left").join(modules, "root", "left").select("root", F.coalesce("affected", F.lit(0)).alias("affected"), F.coalesce("tests", F.lit(0)).alias("tests"), F.coalesce("risk", F.lit(False)).alias("risk"), F.coalesce(F.array_join(F.transform("m", lambda x: x["module"]), ","), F.lit("")).alias("modules"))
+    """One row per root: affected ids by depth and id, the directories (module) of those known to `nodes` (id, module, path) in order of
+    first appearance, the sorted test paths among them, and whether the risk flag is set."""
+    met = reachable(edges, roots, depth).join(nodes, F.col("node") == F.col("id"), "left")
+    test = F.col("path").contains("test") | F.col("path").contains("spec")
+    modules = met.where("module <> ''").groupBy("root", "module").agg(F.min(F.struct("depth", "node")).alias("at")).groupBy("root").agg(F.array_sort(F.collect_list(F.struct("at", "module"))).alias("m"))
+    rows = met.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("depth", "node"))).alias("a"), F.array_sort(F.collect_list(F.when(test, F.col("path")))).alias("tests"))
+    out = roots.join(rows, "root", "left").join(modules, "root", "left")
+    ids, names = F.transform("a", lambda x: x["node"]), F.transform("m", lambda x: x["module"])
+    empty = F.array().cast("array<string>")
+    return out.select("root", F.coalesce(ids, F.filter(F.array("root"), lambda x: F.lit(False))).alias("affected"), F.coalesce(names, empty).alias("modules"), F.coalesce("tests", empty).alias("tests"), (F.coalesce(F.size("a"), F.lit(0)) > RISK).alias("risk"))
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -15,6 +15,11 @@ def nearest(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return vectors.select("id", distance.alias("distance")).orderBy("distance", "id").limit(k)
 
 
+def neighbours(vectors: DataFrame, own: str | int, embedding: list[float], k: int) -> DataFrame:
+    """(id, distance) of the k vectors nearest to that of `own`, itself left out."""
+    return nearest(vectors, embedding, k + 1).where(F.col("id") != own).orderBy("distance", "id").limit(k)
+
+
 def _bucket(digest: F.Column, at: int) -> F.Column:
     little = F.concat(*(F.substring(digest, at + 1 + 2 * i, 2) for i in (3, 2, 1, 0)))
     return (F.conv(little, 16, 10).cast("long") % WIDTH).cast("int")

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.state import changes
+from ..sources import tree
+
 #: Fixed value: changes under these directories don't count.
 IGNORED = (".git", "target", "node_modules", "dist", "build", ".graphloom")
 
@@ -27,9 +30,39 @@ def last_changes(events: DataFrame) -> DataFrame:
     return events.groupBy("path").agg(F.max_by("change", "at").alias("change")).where("change is not null")
 
 
+def poll(spark: SparkSession, folder: str, state: str, rebuild: Callable[[DataFrame, int], None], number: int = 0) -> bool:
+    """Calls rebuild with (path, change) of what was added, changed or removed since the last call, if anything that counts was.
+
+    `state` is a folder for the last snapshot of hashes, kept by number, so a repeated call after a failure sees the same changes."""
+    kept = _numbers(spark, state)
+    now = tree.scan(spark, folder).select("path", F.col("content_hash").alias("hash"))
+    new = max(kept, default=-1) + 1
+    now.write.mode("overwrite").parquet(f"{state}/{new}")
+    before = spark.read.parquet(f"{state}/{max(kept)}") if kept else spark.createDataFrame([], "path string, hash string")
+    found = changes(spark.read.schema("path string, hash string").parquet(f"{state}/{new}"), before).where(watched(F.col("path")))
+    met = not found.isEmpty()
+    if met:
+        rebuild(found, number)
+    for old in kept:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/{old}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return met
+
+
+def _numbers(spark: SparkSession, state: str) -> list[int]:
+    """The finished snapshots of a folder."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path  # noqa: N806
+    top = Path(state)
+    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(top):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(top)]
+    return sorted(int(n) for n in names if n.isdigit() and files.exists(Path(f"{state}/{n}/_SUCCESS")))
+
+
 def watch(spark: SparkSession, folder: str, checkpoint: str, rebuild: Callable[[DataFrame, int], None], *, every: str = "400 milliseconds", once: bool = False) -> StreamingQuery:
-    """Calls rebuild with each micro-batch of new files (path, content) of the folder that count."""
-    stream = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
-    kept = stream.where(watched(F.col("path")))
-    writer = kept.writeStream.foreachBatch(rebuild).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+    """A stream whose clock compares the tree with its last snapshot and calls rebuild with the changes (path, change); all
+    changes between two ticks come at once. With `once` it ends after one tick."""
+    clock = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    writer = clock.writeStream.foreachBatch(lambda _, number: poll(spark, folder, f"{checkpoint}/snapshots", rebuild, number) and None).option("checkpointLocation", f"{checkpoint}/clock")
+    return (writer.trigger(once=True) if once else writer.trigger(processingTime=every)).start()

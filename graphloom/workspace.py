@@ -69,18 +69,15 @@ def cross_edges(spark: SparkSession, plan: Manifest, symbols: DataFrame, routes:
     place = F.struct("file_path", "start_line", "id")
     first = symbols.groupBy("repo").agg(F.min_by("id", place).alias("symbol"))
     side = lambda kind: signals.where(F.col("kind") == kind).select("repo", "symbol", "name")
-    http = lambda rows: rows.select("repo", "symbol", F.concat_ws(" ", F.upper("method"), normalize_path(F.col("path"))).alias("name"))
-    sides = {"http": (http(clients), http(routes)), "grpc": (side("rpc_client"), side("rpc_server")), "queue": (side("producer"), side("consumer"))}
+    sides = {"http": (link.route_ends(clients), link.route_ends(routes)), "grpc": (side("rpc_client"), side("rpc_server")), "queue": (side("producer"), side("consumer"))}
     passes = []
     for kind, (callers, servers) in sides.items():
         passes.append(_edges(link.by_name(callers, servers, "name"), kind, FOUND, F.col("name")))
         if declared := plan.contracts.get(kind):
             passes.append(_declared(spark, kind, declared, callers, servers, first))
     if shared := plan.contracts.get("shared_lib"):
-        passes += _shared(spark, shared, symbols, imports, first)
-    numbered = [p.withColumn("pass", F.lit(i)) for i, p in enumerate(passes)]
-    best = reduce(lambda a, b: a.unionByName(b), numbered).groupBy("id").agg(F.min_by(F.struct(*EDGE[1:]), "pass").alias("e"))
-    return best.select("id", "e.*").orderBy("src_repo", "src_symbol_id", "dst_repo", "dst_symbol_id")
+        passes += shared_edges(spark, shared, symbols, imports, first)
+    return link.first_writer(passes).drop("pass").orderBy("src_repo", "src_symbol_id", "dst_repo", "dst_symbol_id")
 
 
 def _declared(spark: SparkSession, kind: str, declared: list[dict], callers: DataFrame, servers: DataFrame, first: DataFrame) -> DataFrame:
@@ -97,7 +94,7 @@ def _declared(spark: SparkSession, kind: str, declared: list[dict], callers: Dat
     return _edges(link.by_contract(contracts, servers, callers, first), kind, DECLARED, F.col("name"))
 
 
-def _shared(spark: SparkSession, shared: list[dict], symbols: DataFrame, imports: DataFrame, first: DataFrame) -> list[DataFrame]:
+def shared_edges(spark: SparkSession, shared: list[dict], symbols: DataFrame, imports: DataFrame, first: DataFrame) -> list[DataFrame]:
     """Edges from users of a declared package to the symbol of its name elsewhere: from importers, and between the named repositories."""
     place = F.struct("file_path", "start_line", "id")
     packages = spark.createDataFrame([(c["package"],) for c in shared], "package string").distinct()

@@ -1,13 +1,24 @@
-"""Watching a folder with a stream that ends."""
+"""Watching a folder: what was added, edited and removed between two ticks reaches the rebuild."""
 
 from graphloom.streaming.watch import watch
 
 
-def test_new_files_reach_the_rebuild(spark, tmp_path):
-    for name in ("src/a.py", ".git/b", "target/c.rs"):
-        (tmp_path / "tree" / name).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / "tree" / name).write_text("x")
+def test_changes_reach_the_rebuild(spark, tmp_path):
+    tree = tmp_path / "tree"
+    for name in ("src/a.py", "src/b.py", ".git/c.py", "target/d.rs"):
+        (tree / name).parent.mkdir(parents=True, exist_ok=True)
+        (tree / name).write_text("x = 1\n")
     seen = []
-    query = watch(spark, str(tmp_path / "tree"), str(tmp_path / "state"), lambda batch, _: seen.extend(r.path for r in batch.collect()), once=True)
-    query.awaitTermination(60)
-    assert [p.rsplit("/tree/")[-1] for p in seen] == ["src/a.py"]
+
+    def tick():
+        seen.clear()
+        watch(spark, str(tree), str(tmp_path / "state"), lambda rows, _: seen.extend((r.path, r.change) for r in rows.collect()), once=True).awaitTermination(120)
+        return sorted(seen)
+
+    assert tick() == [("src/a.py", "added"), ("src/b.py", "added")]
+    assert tick() == []
+    (tree / "src/a.py").write_text("x = 2\n")
+    (tree / "src/b.py").unlink()
+    (tree / "target/d.rs").write_text("fn main() {}\n")
+    (tree / "src/e.py").write_text("y = 1\n")
+    assert tick() == [("src/a.py", "changed"), ("src/b.py", "removed"), ("src/e.py", "added")]
