@@ -2,38 +2,48 @@
 
 Texts are lowered (A-Z) and read as words `[^\x20\x09-\x0D]+` joined by one space and closed by one end symbol, so both
 models predict the same thing. The byte-context trie (contexts of up to ORDER bytes) is counted over all
-training documents: each task sums its own grams first, Spark adds them up. Every counted node is kept, in one written,
-partitioned table a depth, so the model grows with the corpus. Symbols get
+training documents and every counted node is kept, so the model grows with the corpus. Symbols get
 PPM-D probabilities: in a context of d symbols seen n times, a symbol seen c times has (c - 1/2) / n and the escape d / 2n;
-after an escape the symbols of the longer context are excluded. Every probability depends on the trie alone, so
-a code length is worked out once per distinct gram of the corpus: from its own count if training documents hold it, else by
-joins to the tables depth by depth. Each group of documents asks once for each of its grams. The codes of
-the commonest grams (those of at least 1/COMMON of all positions, so COMMON at most) are broadcast only to save
-such rows; they are the same codes.
+after an escape the symbols of the longer context are excluded.
 
-Word counts are joined by groups of documents: documents are dealt to groups of about GROUP_BYTES of text by a hash, each
-group asks once for each of its words and grams, and the answers meet the group's texts again. No
-vocabulary is broadcast, no key holds more rows than there are groups.
+Grams travel packed: a row holds a sorted run of grams of one bucket (differences by byte plane, compressed: one to two
+bytes a gram), never a gram a row. Buckets go by a hash of the whole context, one for each BUCKET_BYTES of text, so a context and
+its 256 symbols at most are in one bucket, and no frequent context or word can fill one: each task counts its own grams first.
+Each depth of the trie is a written table of its own, counted from the one below it.
+
+Documents are dealt to groups of about GROUP_BYTES of text by a hash. A group asks once for each of its words and grams; buckets answer
+with counts, and the answers meet the group's texts again. Grams that training documents don't hold (from held-out documents
+alone) escape: they go on to the table that is one byte shorter, with the symbols excluded so far as a bit set. The last
+two depths have at most 2**16 nodes and are broadcast.
 
 Edges: a null text counts as empty (one token, the end); without training documents all counts are 0 and every
-byte is equally likely; rows with equal ids are scored each for itself; other columns are not read.
+byte is equally likely; an empty table gives an empty result; equal texts score alike, and rows with equal ids are scored each for itself; a text larger than
+GROUP_BYTES makes its group as large as itself; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table
-from .tokens import Words, pieces, signed
+from .common import release, saved, table
+from .tokens import Words, mix, pieces
 
-ORDER, COMMON, GROUP_BYTES = 7, 1 << 21, 8_000_000
+ORDER, GROUP_BYTES, BUCKET_BYTES = 7, 8_000_000, 8_000_000
+#: Distinct grams that a task gathers before it sends them, and symbols that it compares at once.
+HELD, COMPARED = 2_000_000, 2_000_000
+#: The longest contexts whose nodes (2**16 at most) are broadcast.
+SHALLOW = 1
 END = 0x0A  # a separator, so never part of a word
+WIDE = np.dtype(">u8")
 
 
 def stream(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,58 +57,83 @@ def stream(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out = np.full(base[-1], 0x20, np.uint8)
     begin = cost[:-1] + (base[:-1] + ORDER - cost[words.at[:-1]])[words.row_of()]
     if len(length):
-        shift = np.repeat(words.starts - (np.cumsum(length) - length), length)
+        first = np.cumsum(length) - length
         step = np.arange(length.sum())
-        out[step + np.repeat(begin - (np.cumsum(length) - length), length)] = words.data[step + shift]
+        out[step + np.repeat(begin - first, length)] = words.data[step + np.repeat(words.starts - first, length)]
     out[base[1:] - 1] = END
-    for j in range(ORDER):
-        out[base[:-1] + j] = END
+    lead = (base[:-1, None] + np.arange(ORDER)).ravel()
+    out[lead] = END
     told = np.ones(len(out), bool)
-    told[(base[:-1, None] + np.arange(ORDER)).ravel()] = False
+    told[lead] = False
     return out, np.flatnonzero(told), np.concatenate([[0], np.cumsum(size)])[: rows + 1]
 
 
 def grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """ORDER + 1 bytes up to each predicted symbol, packed, and their offsets by row."""
+    """ORDER + 1 bytes up to each predicted symbol, as one number, and their offsets by row."""
     out, told, at = stream(words)
-    key = np.zeros(len(told), np.uint64)
-    for back in range(ORDER, -1, -1):
-        key = (key << np.uint64(8)) | out[told - back]
-    return key, at
+    windows = np.ndarray((max(0, len(out) - ORDER),), WIDE, out, strides=(1,))
+    return windows[told - ORDER].astype(np.uint64), at
+
+
+# Packed runs ---------------------------------------------------------------------------------------------------------
+
+
+def _planes(x: np.ndarray) -> bytes:
+    x = np.ascontiguousarray(x).view(np.uint64)
+    size = 8 if len(x) and int(x.max()) >> 32 else 4
+    raw = x.astype(f"<u{size}").view(np.uint8).reshape(-1, size)
+    return bytes([size]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.T).tobytes())
+
+
+def _from_planes(blob: bytes) -> np.ndarray:
+    size = blob[0]
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(raw.T).view(f"<u{size}").ravel().astype(np.uint64)
+
+
+def pack(keys: np.ndarray) -> bytes:
+    """Ascending keys."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack(blob: bytes | None) -> np.ndarray:
+    return np.cumsum(_from_planes(blob), dtype=np.uint64) if blob else np.zeros(0, np.uint64)
+
 
+def counts_of(blob: bytes | None) -> np.ndarray:
+    return _from_planes(blob).view(np.int64) if blob else np.zeros(0, np.int64)
 
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    key = np.concatenate([p[0] for p in parts])
-    n = np.concatenate([p[1] for p in parts])
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, int)
+
+
+def _runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    first = _starts(x)
+    return zip(first.tolist(), [*first[1:].tolist(), len(x)][: len(first)], strict=True)
+
+
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their numbers."""
     order = np.argsort(key)
     key, n = key[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+    first = _starts(key)
     return key[first], (np.add.reduceat(n, first) if len(first) else n)
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-    held = 0
+def bucket_of(keys: np.ndarray, depth: int, buckets: int) -> np.ndarray:
+    """The bucket of each gram by its context of `depth` bytes."""
+    context = (keys >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)
+    return (mix(context, depth) % np.uint64(buckets)).astype(np.int32)
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        key, n = parts[0]
-        for low in range(0, len(key), 1 << 17):
-            yield pa.RecordBatch.from_arrays([pa.array(signed(key[low : low + (1 << 17)])), pa.array(n[low : low + (1 << 17)])], names=["gram", "n"])
 
-    for batch in pieces(batches):
-        key, _ = grams(Words(batch.column("text"), lower=True, hashed=False))
-        parts.append(np.unique(key, return_counts=True))
-        held += len(parts[-1][0])
-        if held > 3_000_000:
-            parts[:] = [_merge(parts)]
-            held = len(parts[0][0])
-            if held > 2_000_000:
-                yield from flush()
-                parts.clear()
-                held = 0
-    if parts:
-        parts[:] = [_merge(parts)]
-        yield from flush()
+def _dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of each bucket's members, in their order."""
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
+    held = bucket[order]
+    for low, high in _runs(held):
+        yield int(held[low]), order[low:high]
 
 
 def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -109,154 +144,345 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def _last(size: int) -> F.Column:
-    """The last bytes of a gram."""
-    return F.col("gram").bitwiseAND((1 << 8 * size) - 1) if size < 8 else F.col("gram")
+# Counting ------------------------------------------------------------------------------------------------------------
+
+COUNTS = "bucket int, grams binary, gram_n binary, words binary, word_n binary"
+
+
+def _arrow(schema: str, rows: list[dict]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [part.split() for part in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r.get(name) for r in rows], kinds[kind]) for name, kind in fields], names=[name for name, _ in fields])
+
+
+def _count_rows(gram: tuple[np.ndarray, np.ndarray], word: tuple[np.ndarray, np.ndarray], buckets: int, depth: int = ORDER) -> Iterator[dict]:
+    for bucket, at in _dealt(bucket_of(gram[0], depth, buckets)):
+        yield {"bucket": bucket, "grams": pack(gram[0][at]), "gram_n": _planes(gram[1][at])}
+    for bucket, at in _dealt((word[0] % np.uint64(buckets)).astype(np.int32)):
+        yield {"bucket": bucket, "words": pack(word[0][at]), "word_n": _planes(word[1][at])}
+
+
+class _Gathered:
+    """Sums of numbers by key, with more keys than HELD sent on."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, key: np.ndarray, n: np.ndarray) -> bool:
+        """Whether it is full, after a merge."""
+        self.parts.append((key, n))
+        self.size += len(key)
+        return self.size > 2 * HELD and len(self.merged()[0]) > HELD
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) != 1:
+            none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            parts = self.parts or [none]
+            self.parts = [_summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
+            self.size = len(self.parts[0][0])
+        return self.parts[0]
+
+
+def _word_keys(words: Words) -> np.ndarray:
+    """Hashes of all words and a 0 for the end of each row."""
+    return np.concatenate([words.hashes, np.zeros(len(words.at) - 1, np.uint64)])
+
+
+def _counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    gram, word = _Gathered(), _Gathered()
+    for batch in pieces(batches):
+        words = Words(batch.column("text"), lower=True)
+        full = gram.add(*np.unique(grams(words)[0], return_counts=True))
+        if word.add(*np.unique(_word_keys(words), return_counts=True)) or full:
+            yield _arrow(COUNTS, list(_count_rows(gram.merged(), word.merged(), buckets)))
+            gram, word = _Gathered(), _Gathered()
+    yield _arrow(COUNTS, list(_count_rows(gram.merged(), word.merged(), buckets)))
+
+
+def _added(keys: pa.ChunkedArray, counts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = keys.to_pylist(), counts.to_pylist()
+    return _summed(np.concatenate([unpack(x) for x in keys]), np.concatenate([counts_of(x) for x in counts]))
+
+
+def _merged(rows: pa.Table) -> pa.Table:
+    """One row of a bucket from all of them."""
+    gram, word = _added(rows["grams"], rows["gram_n"]), _added(rows["words"], rows["word_n"])
+    row = {"bucket": rows["bucket"][0].as_py(), "grams": pack(gram[0]), "gram_n": _planes(gram[1]), "words": pack(word[0]), "word_n": _planes(word[1]), "tokens": int(word[1].sum()), "kinds": len(word[0])}
+    return pa.Table.from_batches([_arrow(f"{COUNTS}, tokens long, kinds long", [row])])
+
+
+def _shorter(batches: Iterator[pa.RecordBatch], depth: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the grams with a context of `depth` bytes from those with longer ones."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    gathered = _Gathered()
+    for batch in batches:
+        for keys, n in zip(batch.column("grams").to_pylist(), batch.column("gram_n").to_pylist(), strict=True):
+            if gathered.add(*_summed(unpack(keys) & np.uint64((1 << 8 * (depth + 1)) - 1), counts_of(n))):
+                yield _arrow(COUNTS, list(_count_rows(gathered.merged(), none, buckets, depth)))
+                gathered = _Gathered()
+    yield _arrow(COUNTS, list(_count_rows(gathered.merged(), none, buckets, depth)))
+
+
+def _gather(rows: DataFrame, buckets: int) -> DataFrame:
+    return saved(rows.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_merged, f"{COUNTS}, tokens long, kinds long"))
+
+
+# Looking up ----------------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Open:
+    """Grams that are still to be coded: who asks, the log10 probability of the escapes so far, and the symbols excluded, 64 a column."""
+
+    grp: np.ndarray
+    key: np.ndarray
+    code: np.ndarray
+    gone: np.ndarray
+
+    @classmethod
+    def new(cls, grp: np.ndarray, key: np.ndarray) -> Open:
+        return cls(grp, key, np.zeros(len(key)), np.zeros((len(key), 4), np.uint64))
+
+    def __len__(self) -> int:
+        return len(self.key)
+
+    def take(self, at: np.ndarray) -> Open:
+        return Open(self.grp[at], self.key[at], self.code[at], self.gone[at])
+
+    def packed(self) -> bytes:
+        columns = [self.grp.view(np.uint64), self.key, self.code.view(np.uint64), *self.gone.T]
+        return zstandard.ZstdCompressor(level=1).compress(np.concatenate(columns).tobytes())
+
+    @classmethod
+    def unpacked(cls, blobs: list[bytes]) -> Open:
+        parts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint64).reshape(7, -1) for b in blobs]
+        x = np.concatenate([np.zeros((7, 0), np.uint64), *parts], axis=1)
+        return cls(x[0].view(np.int64), x[1], x[2].view(np.float64), np.ascontiguousarray(x[3:].T))
+
+
+class Nodes:
+    """The counted grams of one depth (or of one bucket of it), by context."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, depth: int):
+        self.keys, self.n, self.depth = keys, n, depth
+        context = keys >> np.uint64(8)
+        self.first = _starts(context)
+        self.contexts = context[self.first]
+        self.kinds = np.diff(np.append(self.first, len(keys)))
+        self.total = np.add.reduceat(n, self.first) if len(keys) else n
+
+    def totals(self, place: np.ndarray) -> np.ndarray:
+        """The total of the context of each gram at these places."""
+        return self.total[np.searchsorted(self.first, place, "right") - 1]
+
+    def step(self, asked: Open) -> tuple[np.ndarray, Open]:
+        """Which grams are found here, and all of them with their codes after this depth."""
+        if not len(self.keys) or not len(asked):
+            return np.zeros(len(asked), bool), asked
+        node = asked.key & np.uint64((1 << 8 * (self.depth + 1)) - 1) if self.depth < ORDER else asked.key
+        at, hit = find(self.contexts, node >> np.uint64(8)), find(self.keys, node)
+        gone, code = asked.gone.copy(), asked.code.copy()
+        known = np.flatnonzero(at >= 0)
+        ends = np.cumsum(self.kinds[at[known]])
+        low = 0
+        while low < len(known):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + COMPARED, "right")))
+            some = known[low:high]
+            kinds = self.kinds[at[some]]
+            begin = np.cumsum(kinds) - kinds
+            row = np.repeat(np.arange(len(some)), kinds)
+            place = np.arange(len(row)) - np.repeat(begin - self.first[at[some]], kinds)
+            symbol = (self.keys[place] & np.uint64(255)).astype(np.int64)
+            out = (asked.gone[some[row], symbol >> 6] >> (symbol & 63).astype(np.uint64)) & np.uint64(1) > 0
+            total = self.total[at[some]] - np.bincount(row, self.n[place] * out, len(some))
+            left = kinds - np.bincount(row, out, len(some))
+            found = hit[some] >= 0
+            open_ = np.where(found, self.n[np.maximum(hit[some], 0)] - 0.5, left / 2)
+            code[some] += np.log10(np.where(total > 0, open_ / np.maximum(total, 1), 1.0))
+            for part in range(4):
+                bits = np.where(symbol >> 6 == part, np.uint64(1) << (symbol & 63).astype(np.uint64), np.uint64(0))
+                gone[some, part] |= np.bitwise_or.reduceat(bits, begin)
+            low = high
+        return hit >= 0, Open(asked.grp, asked.key, code, gone)
+
+
+ANSWERS = "grp long, grams binary, n binary, total binary, code binary, words binary, word_n binary, bucket int, state binary"
+
+
+def _ask_rows(group: int, gram: np.ndarray, word: np.ndarray, buckets: int) -> Iterator[dict]:
+    for bucket, at in _dealt(bucket_of(gram, ORDER, buckets)):
+        yield {"bucket": bucket, "grp": group, "grams": pack(gram[at])}
+    for bucket, at in _dealt((word % np.uint64(buckets)).astype(np.int32)):
+        yield {"bucket": bucket, "grp": group, "words": pack(word[at])}
+
+
+ASKS = "bucket int, grp long, grams binary, words binary"
+
+
+def _asks(texts: pa.Table, buckets: int) -> pa.Table:
+    """The distinct words and grams of one group of documents, by bucket. A longer text than a group has is asked for in rounds, which may repeat some."""
+    group = texts["grp"][0].as_py()
+    gram, word, rows = _Gathered(), _Gathered(), []
+    for batch in pieces(iter(texts.to_batches())):
+        words = Words(batch.column("text"), lower=True)
+        key, mark = np.unique(grams(words)[0]), np.unique(_word_keys(words))
+        full = gram.add(key, np.ones(len(key), np.int64))
+        if word.add(mark, np.ones(len(mark), np.int64)) or full:
+            rows += _ask_rows(group, gram.merged()[0], word.merged()[0], buckets)
+            gram, word = _Gathered(), _Gathered()
+    rows += _ask_rows(group, gram.merged()[0], word.merged()[0], buckets)
+    return pa.Table.from_batches([_arrow(ASKS, rows)])
+
+
+def _coded(done: Open) -> Iterator[dict]:
+    """Answers with codes, a row for each group."""
+    order = np.lexsort((done.key, done.grp))
+    grp = done.grp[order]
+    for low, high in _runs(grp):
+        at = order[low:high]
+        yield {"grp": int(grp[low]), "grams": pack(done.key[at]), "code": _planes(done.code[at])}
+
+
+def _passed_on(asked: Open, depth: int, buckets: int) -> Iterator[dict]:
+    for bucket, at in _dealt(bucket_of(asked.key, depth, buckets)):
+        yield {"bucket": bucket, "state": asked.take(at).packed()}
+
+
+def _answered(counted: pa.Table, asks: pa.Table, buckets: int) -> pa.Table:
+    """What one bucket answers to all groups, and the grams that it doesn't hold."""
+    if not asks.num_rows:
+        return pa.Table.from_batches([_arrow(ANSWERS, [])])
+    own = counted.to_pylist()[0] if counted.num_rows else {}
+    nodes = Nodes(unpack(own.get("grams")), counts_of(own.get("gram_n")), ORDER)
+    words, word_n = unpack(own.get("words")), counts_of(own.get("word_n"))
+    rows, missed = [], []
+    for group, gram, word in zip(*(asks[c].to_pylist() for c in ("grp", "grams", "words")), strict=True):
+        if gram:
+            key = unpack(gram)
+            at = find(nodes.keys, key)
+            met = at[at >= 0]
+            if len(met):
+                rows.append({"grp": group, "grams": pack(key[at >= 0]), "n": _planes(nodes.n[met]), "total": _planes(nodes.totals(met))})
+            missed.append(Open.new(np.full((at < 0).sum(), group, np.int64), key[at < 0]))
+        if word:
+            key = unpack(word)
+            at = find(words, key)
+            rows.append({"grp": group, "words": pack(key[at >= 0]), "word_n": _planes(word_n[at[at >= 0]])})
+    if missed:
+        missed = Open(*(np.concatenate([getattr(m, c) for m in missed]) for c in ("grp", "key", "code", "gone")))
+        rows += _passed_on(nodes.step(missed)[1], ORDER - 1, buckets)
+    return pa.Table.from_batches([_arrow(ANSWERS, rows)])
+
+
+def _deeper(counted: pa.Table, states: pa.Table, depth: int, buckets: int) -> pa.Table:
+    """The same for grams that have escaped to this depth."""
+    if not states.num_rows:
+        return pa.Table.from_batches([_arrow(ANSWERS, [])])
+    own = counted.to_pylist()[0] if counted.num_rows else {}
+    found, asked = Nodes(unpack(own.get("grams")), counts_of(own.get("gram_n")), depth).step(Open.unpacked(states["state"].to_pylist()))
+    rows = [*_coded(asked.take(np.flatnonzero(found))), *_passed_on(asked.take(np.flatnonzero(~found)), depth - 1, buckets)]
+    return pa.Table.from_batches([_arrow(ANSWERS, rows)])
+
+
+def _at_depth(depth: int, buckets: int):
+    return lambda counted, states: _deeper(counted, states, depth, buckets)
+
+
+def _last(batches: Iterator[pa.RecordBatch], shallow: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Codes of the grams that have escaped to the broadcast nodes; in the end all symbols that are left are equally likely."""
+    for batch in batches:
+        for state in batch.column("state").to_pylist():
+            asked, rows = Open.unpacked([state]), []
+            for depth in range(SHALLOW, -1, -1):
+                key, n = _summed(shallow[0] & np.uint64((1 << 8 * (depth + 1)) - 1), shallow[1])
+                found, asked = Nodes(key, n, depth).step(asked)
+                rows += _coded(asked.take(np.flatnonzero(found)))
+                asked = asked.take(np.flatnonzero(~found))
+            left = 256 - np.bitwise_count(asked.gone).sum(axis=1)
+            rows += _coded(replace(asked, code=asked.code - np.log10(np.maximum(left, 1))))
+            yield _arrow(ANSWERS, rows)
 
 
 class Trie:
-    """Written tables. counted: (gram, n, total) of the grams of ORDER + 1 bytes, total is of the gram's context; nodes: (gram, n) by depth."""
-
-    def __init__(self, counted: DataFrame):
-        self.counted = counted
-        self.nodes = {ORDER: counted.select("gram", "n")}
-        for m in range(ORDER - 1, -1, -1):
-            self.nodes[m] = saved(self.nodes[m + 1].groupBy(_last(m + 1).alias("gram")).agg(F.sum("n").alias("n")))
-
-    def seen(self) -> DataFrame:
-        """(gram, n, code) of all counted grams; code is the log10 probability of the last byte after the bytes before it."""
-        return self.counted.select("gram", "n", F.expr("log10((n - 0.5D) / total)").alias("code"))
-
-    def escaped(self, asked: DataFrame) -> DataFrame:
-        """(gram, code) of distinct grams that aren't counted."""
-        live = asked.select("gram", F.lit(0.0).alias("code"), F.lit(0).cast("long").alias("gone"), F.lit(0).cast("long").alias("less"))
-        done = []
-        for m in range(ORDER, -1, -1):
-            few = F.broadcast if m < 2 else lambda rows: rows  # at most 2**16 nodes
-            here = live.withColumn("node", _last(m + 1)).withColumn("context", F.shiftrightunsigned("node", 8))
-            kept = self.nodes[m].withColumn("context", F.shiftrightunsigned("gram", 8))
-            symbols = kept.join(here.select("context").distinct(), "context").withColumn("shorter", F.lit(0).cast("long"))
-            if m:  # what the symbols of this context count in the context that is one byte shorter
-                shorter = self.nodes[m - 1].select(F.col("gram").alias("last"), F.col("n").alias("shorter"))
-                symbols = symbols.drop("shorter").withColumn("last", _last(m)).join(shorter, "last")
-            contexts = symbols.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("shorter").alias("excluded"))
-            nodes = self.nodes[m].select(F.col("gram").alias("node"), F.col("n").alias("hits"))
-            met = here.join(few(contexts), "context", "left").join(few(nodes), "node", "left")
-            step = F.expr("case when hits is not null then log10((hits - 0.5D) / (total - gone)) when total - gone > 0 then log10((kinds - less) / (2.0D * (total - gone))) else 0.0D end")
-            met = saved(met.select("gram", (F.col("code") + step).alias("code"), F.coalesce("excluded", F.lit(0)).alias("gone"), F.coalesce("kinds", F.lit(0)).alias("less"), F.col("hits").isNotNull().alias("found")))
-            done.append(met.where("found").select("gram", "code"))
-            live = met.where("not found").drop("found")
-        out = live.select("gram", F.expr("code - log10(double(greatest(256 - less, 1)))").alias("code"))
-        for rows in done:
+    """Written tables of packed runs by depth, from ORDER down to SHALLOW + 1; the nodes of SHALLOW bytes of context are in memory."""
+
+    def __init__(self, counted: DataFrame, buckets: int):
+        self.nodes, self.buckets = {ORDER: counted}, buckets
+        for m in range(ORDER - 1, SHALLOW, -1):
+            self.nodes[m] = _gather(self._from(m), buckets)
+        rows = self._from(SHALLOW).select("grams", "gram_n").toArrow()
+        self.shallow = _added(rows["grams"], rows["gram_n"]) if rows.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def _from(self, depth: int) -> DataFrame:
+        """Partial counts of a depth. A task sends 2**16 nodes of the last depth at most."""
+        buckets = self.buckets
+        longer = self.nodes[depth + 1].select("grams", "gram_n")
+        if depth == SHALLOW:  # few tasks, so few partial sums meet in the driver
+            longer = longer.coalesce(min(32, buckets))
+            buckets = 1
+        return longer.mapInArrow(lambda b: _shorter(b, depth, buckets), COUNTS)
+
+    def answers(self, asks: DataFrame) -> DataFrame:
+        """For (bucket, grp, grams, words): rows by grp with (words, word_n) or with grams and their (n, total) or code. Written."""
+        buckets = self.buckets
+        shared = asks.sparkSession.sparkContext.broadcast(self.shallow)
+        met = self.nodes[ORDER].groupBy("bucket").cogroup(asks.repartition(buckets, "bucket").groupBy("bucket")).applyInArrow(lambda a, b: _answered(a, b, buckets), ANSWERS)
+        met = saved(met)
+        told = [met.where("state is null")]
+        for m in range(ORDER - 1, SHALLOW, -1):
+            open_ = met.where("state is not null").select("bucket", "state").repartition(buckets, "bucket")
+            met = saved(self.nodes[m].groupBy("bucket").cogroup(open_.groupBy("bucket")).applyInArrow(_at_depth(m, buckets), ANSWERS))
+            told.append(met.where("state is null"))
+        out = met.where("state is not null").select("state").mapInArrow(lambda b: _last(b, shared.value), ANSWERS)
+        for rows in told:
             out = out.unionByName(rows)
-        return out
+        return out.drop("bucket", "state")
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each gram after the bytes before it; for a few grams."""
         wanted, inverse = np.unique(keys, return_inverse=True)
-        asked = self.counted.sparkSession.createDataFrame([(int(k),) for k in signed(wanted)], "gram long")
-        codes = self.seen().join(asked, "gram").select("gram", "code").unionByName(self.escaped(asked.join(self.counted, "gram", "left_anti")))
-        got = {r.gram: r.code for r in codes.collect()}
-        return np.array([got[int(k)] for k in signed(wanted)])[inverse]
-
-
-def train(docs: DataFrame) -> Trie:
-    """The trie of the texts of docs."""
-    rows = docs.select("text").mapInArrow(_counts, "gram long, n long")
-    context = F.shiftrightunsigned("gram", 8)
-    # Dealt by context, so that counts and their totals need one shuffle; a task has at most 256 rows of a context.
-    summed = rows.repartition(context).groupBy(context.alias("context"), "gram").agg(F.sum("n").alias("n"))
-    return Trie(saved(summed.withColumn("total", F.sum("n").over(Window.partitionBy("context"))).drop("context")))
-
-
-def _asked_grams(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(grp, gram): the distinct grams of each group of documents, without the common ones."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-
-    def merged() -> None:
-        group, key = (np.concatenate([h[i] for h in held]) for i in range(2))
-        order = np.lexsort((key, group))
-        group, key = group[order], key[order]
-        first = np.concatenate([[True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])])
-        held[:] = [(group[first], key[first])]
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        group, key = held[0]
-        for low in range(0, len(key), 1 << 17):
-            some = slice(low, low + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(group[some]), pa.array(signed(key[some]))], names=["grp", "gram"])
-        held.clear()
+        rows = list(_ask_rows(0, wanted, np.zeros(0, np.uint64), self.buckets))
+        asked = self.nodes[ORDER].sparkSession.createDataFrame([(r["bucket"], 0, r["grams"], None) for r in rows], ASKS)
+        key, code = _codes(self.answers(asked).toArrow())
+        return code[find(key, wanted)][inverse]
 
-    for batch in pieces(batches):
-        key, at = grams(Words(batch.column("text"), lower=True, hashed=False))
-        group = batch.column("grp").to_numpy()
-        for one in np.unique(group):
-            part = np.unique(key[np.repeat(group == one, np.diff(at))])
-            part = part[find(common, part) < 0]
-            held.append((np.full(len(part), one), part))
-            size += len(part)
-        if size > 3_000_000:
-            merged()
-            size = len(held[0][0])
-            if size > 2_000_000:
-                yield from flush()
-                size = 0
-    if held:
-        merged()
-        yield from flush()
-
-
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(grp, word, n): the words of each group of documents, n counts those of training documents; word 0 is the end."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    size = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        group, word, n = (np.concatenate([h[i] for h in held]) for i in range(3))
-        order = np.lexsort((word, group))
-        group, word, n = group[order], word[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (word[1:] != word[:-1])]))
-        n = np.add.reduceat(n, first)
-        for low in range(0, len(first), 1 << 17):
-            some = slice(low, low + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(group[first[some]]), pa.array(signed(word[first[some]])), pa.array(n[some])], names=["grp", "word", "n"])
 
-    for batch in pieces(batches):
-        words = Words(batch.column("text"), lower=True)
-        group = batch.column("grp").to_numpy()
-        weight = 1 - batch.column("held_out").to_numpy(zero_copy_only=False).astype(np.int64)
-        row = words.row_of()
-        held.append((np.concatenate([group[row], group]), np.concatenate([words.hashes, np.zeros(len(group), np.uint64)]), np.concatenate([weight[row], weight])))
-        size += len(held[-1][0])
-        if size > 4_000_000:
-            yield from flush()
-            held.clear()
-            size = 0
-    if size:
-        yield from flush()
-
-
-def _scored(texts: pa.Table, answers: pa.Table, common: tuple[np.ndarray, np.ndarray]) -> pa.Table:
-    is_gram = answers["is_gram"].to_numpy()
-    asked, value = answers["asked"].to_numpy().view(np.uint64), answers["value"].to_numpy()
-    order = np.argsort(asked)
-    is_gram, asked, value = is_gram[order], asked[order], value[order]
-    word, n = asked[~is_gram], value[~is_gram]
-    rare, code = asked[is_gram], value[is_gram]
+def train(docs: DataFrame, buckets: int = 8) -> Trie:
+    """The trie of the texts of docs, in so many buckets."""
+    return Trie(_gather(docs.select("text").mapInArrow(lambda b: _counts(b, buckets), COUNTS), buckets), buckets)
+
+
+# Scores --------------------------------------------------------------------------------------------------------------
+
+
+def _codes(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending grams and their codes."""
+    keys, codes = [np.zeros(0, np.uint64)], [np.zeros(0)]
+    for gram, n, total, code in zip(*(answers[c].to_pylist() for c in ("grams", "n", "total", "code")), strict=True):
+        if gram:
+            keys.append(unpack(gram))
+            codes.append(_from_planes(code).view(np.float64) if code else np.log10((counts_of(n) - 0.5) / counts_of(total)))
+    key, code = np.concatenate(keys), np.concatenate(codes)
+    order = np.argsort(key)
+    return key[order], code[order]
+
+
+def _scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    rare, code = _codes(answers)
+    told, n = (np.concatenate([f(None), *map(f, answers[c].to_pylist())]) for c, f in (("words", unpack), ("word_n", counts_of)))
+    told, first = np.unique(told, return_index=True)
+    n = n[first]
     out = []
     for batch in pieces(iter(texts.combine_chunks().to_batches())):
         words = Words(batch.column("text"), lower=True)
-        c = np.append(n, 0.0)[find(word, words.hashes)]  # place -1, the 0, where the word is unknown
-        end = n[0] if len(n) and word[0] == 0 else 0.0
+        c = np.append(n, 0)[find(told, words.hashes)]  # place -1, the 0, where the word is unknown
+        end = n[0] if len(n) and told[0] == 0 else 0
         log = np.concatenate([[0.0], np.cumsum(np.log10(c + 0.1))])
         known = np.concatenate([[0], np.cumsum(c > 0)])
         key, at = grams(words)
-        distinct, inverse = np.unique(key, return_inverse=True)
-        place = find(common[0], distinct)
-        bits = np.append(common[1], 0.0)[place]
-        bits[place < 0] = code[np.searchsorted(rare, distinct[place < 0])]
-        bits = bits[inverse]
+        inverse, distinct = pd.factorize(key)
+        bits = code[np.searchsorted(rare, distinct)][inverse]
         pull = lambda sums: sums[words.at[1:]] - sums[words.at[:-1]]  # noqa: B023, E731
         out.append(
             pa.RecordBatch.from_arrays(
@@ -270,26 +496,15 @@ def _scored(texts: pa.Table, answers: pa.Table, common: tuple[np.ndarray, np.nda
 def language_scores(docs: DataFrame, held_out: F.Column, *, key: str = "doc_id", text: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; models learn from rows where held_out is false."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    groups, buckets = max(1, -(-size // group_bytes)), max(1, -(-size // BUCKET_BYTES))
     source = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    source = source.withColumn("grp", F.pmod(F.xxhash64("key", "text"), F.lit(max(1, -(-size // group_bytes)))))
-    trie = train(source.where("not held_out"))
-    new = source.where("held_out").select("text").mapInArrow(_counts, "gram long, n long").select("gram").distinct()
-    escaped = trie.escaped(saved(new.join(trie.counted, "gram", "left_anti")))
-    least = max(1, -(-(trie.counted.agg(F.sum("n")).first()[0] or 0) // COMMON))
-    got = trie.seen().where(F.col("n") >= least).select("gram", "code").toArrow()
-    key_, code = got["gram"].to_numpy().view(np.uint64), got["code"].to_numpy()
-    order = np.argsort(key_)
-    common = docs.sparkSession.sparkContext.broadcast((key_[order], code[order]))
-    codes = trie.seen().where(F.col("n") < least).select("gram", "code").unionByName(escaped)
-    asks = "grp long, word long, n long"
-    counted = saved(source.where("not held_out").select("text", "held_out", F.lit(0).cast("long").alias("grp")).mapInArrow(_asked, asks).groupBy("word").agg(F.sum("n").alias("n")))
-    tokens, kinds = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    dealt = source.repartition("grp")
-    answers = dealt.select("text", "held_out", "grp").mapInArrow(_asked, asks).select("grp", "word").join(counted, "word").select("grp", F.lit(False).alias("is_gram"), F.col("word").alias("asked"), F.col("n").cast("double").alias("value"))
-    asked = dealt.select("text", "held_out", "grp").mapInArrow(lambda b: _asked_grams(b, common.value[0]), "grp long, gram long")
-    answers = answers.unionByName(asked.join(codes, "gram").select("grp", F.lit(True).alias("is_gram"), F.col("gram").alias("asked"), F.col("code").alias("value")))
+    trie = train(source.where("not held_out"), buckets)
+    tokens, kinds = trie.nodes[ORDER].agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    dealt = source.withColumn("grp", F.pmod(F.xxhash64("key", "text"), F.lit(groups))).repartition(groups, "grp")
+    answers = trie.answers(dealt.select("text", "grp").groupBy("grp").applyInArrow(lambda t: _asks(t, buckets), ASKS))
+    release(*trie.nodes.values())
     kind = docs.schema[key].dataType.simpleString()
-    out = dealt.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(lambda left, right: _scored(left, right, common.value), f"key {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double")
+    out = dealt.groupBy("grp").cogroup(answers.repartition(groups, "grp").groupBy("grp")).applyInArrow(_scored, f"key {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double")
     out = out.withColumn("train_tokens", F.lit(tokens).cast("long"))
     base = F.col("logs") - F.col("n_tokens") * math.log10(tokens + 0.1 * (kinds + 1))
     return out.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")
