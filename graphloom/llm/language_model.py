@@ -6,15 +6,15 @@ training documents and every counted node is kept, so the model grows with the c
 PPM-D probabilities: in a context of d symbols seen n times, a symbol seen c times has (c - 1/2) / n and the escape d / 2n;
 after an escape the symbols of the longer context are excluded.
 
-Grams travel packed: a row holds a sorted run of grams of one bucket (differences by byte plane, compressed: one to two
-bytes a gram), never a gram a row. Buckets go by a hash of the whole context, one for each BUCKET_BYTES of text, so a context and
-its 256 symbols at most are in one bucket, and no frequent context or word can fill one: each task counts its own grams first.
-Each depth of the trie is a written table of its own, counted from the one below it.
+Grams travel packed: a row holds a sorted run of grams of one bucket (differences by byte plane, compressed: about two
+bytes a gram), never a gram a row. Buckets go by a hash of the oldest bytes of the context, one for each BUCKET_BYTES of text, so a context
+with its 256 symbols at most is in one bucket.
 
-Documents are dealt to groups of about GROUP_BYTES of text by a hash. A group asks once for each of its words and grams; buckets answer
-with counts, and the answers meet the group's texts again. Grams that training documents don't hold (from held-out documents
-alone) escape: they go on to the table that is one byte shorter, with the symbols excluded so far as a bit set. The last
-two depths have at most 2**16 nodes and are broadcast.
+Documents are dealt to groups of about GROUP_BYTES of text by a hash. A group sends each of its words and grams once, with its own
+counts in training documents; a bucket adds them up and answers every group in the order of its question; the answers meet the
+group's texts again. So no frequent gram or word has more entries than there are groups. Grams that training documents don't hold (of
+held-out documents alone) escape: they go on to the counts of contexts that are one byte shorter, a written table a depth, with the symbols excluded so
+far as a bit set. The last two depths have at most 2**16 nodes and are broadcast.
 
 Edges: a null text counts as empty (one token, the end); without training documents all counts are 0 and every
 byte is equally likely; an empty table gives an empty result; equal texts score alike, and rows with equal ids are scored each for itself; a text larger than
@@ -34,11 +34,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, saved, table
+from .common import saved, table
 from .tokens import Words, mix, pieces
 
-ORDER, GROUP_BYTES, BUCKET_BYTES = 7, 8_000_000, 8_000_000
-#: Distinct grams that a task gathers before it sends them, and symbols that it compares at once.
+ORDER, GROUP_BYTES, BUCKET_BYTES = 7, 16_000_000, 8_000_000
+#: Distinct grams that a task gathers before it sends or merges them, and symbols that it compares at once.
 HELD, COMPARED = 2_000_000, 2_000_000
 #: The longest contexts whose nodes (2**16 at most) are broadcast.
 SHALLOW = 1
@@ -82,7 +82,7 @@ def _planes(x: np.ndarray) -> bytes:
     x = np.ascontiguousarray(x).view(np.uint64)
     size = 8 if len(x) and int(x.max()) >> 32 else 4
     raw = x.astype(f"<u{size}").view(np.uint8).reshape(-1, size)
-    return bytes([size]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.T).tobytes())
+    return bytes([size]) + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(raw.T).tobytes())
 
 
 def _from_planes(blob: bytes) -> np.ndarray:
@@ -122,10 +122,14 @@ def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[first], (np.add.reduceat(n, first) if len(first) else n)
 
 
+def _mask(depth: int) -> np.uint64:
+    """The bytes of a context and its symbol."""
+    return np.uint64((1 << 8 * (depth + 1)) - 1)
+
+
 def bucket_of(keys: np.ndarray, depth: int, buckets: int) -> np.ndarray:
-    """The bucket of each gram by its context of `depth` bytes."""
-    context = (keys >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)
-    return (mix(context, depth) % np.uint64(buckets)).astype(np.int32)
+    """The bucket of each gram by its context of `depth` bytes; of long ones by all but the last byte, so that runs stay dense."""
+    return (mix((keys & _mask(depth)) >> np.uint64(16 if depth > 4 else 8), depth) % np.uint64(buckets)).astype(np.int32)
 
 
 def _dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -146,7 +150,7 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 # Counting ------------------------------------------------------------------------------------------------------------
 
-COUNTS = "bucket int, grams binary, gram_n binary, words binary, word_n binary"
+COUNTS = "bucket int, grams binary, gram_n binary"
 
 
 def _arrow(schema: str, rows: list[dict]) -> pa.RecordBatch:
@@ -155,22 +159,15 @@ def _arrow(schema: str, rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(name) for r in rows], kinds[kind]) for name, kind in fields], names=[name for name, _ in fields])
 
 
-def _count_rows(gram: tuple[np.ndarray, np.ndarray], word: tuple[np.ndarray, np.ndarray], buckets: int, depth: int = ORDER) -> Iterator[dict]:
-    for bucket, at in _dealt(bucket_of(gram[0], depth, buckets)):
-        yield {"bucket": bucket, "grams": pack(gram[0][at]), "gram_n": _planes(gram[1][at])}
-    for bucket, at in _dealt((word[0] % np.uint64(buckets)).astype(np.int32)):
-        yield {"bucket": bucket, "words": pack(word[0][at]), "word_n": _planes(word[1][at])}
-
-
 class _Gathered:
-    """Sums of numbers by key, with more keys than HELD sent on."""
+    """Sums of numbers by key."""
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
     def add(self, key: np.ndarray, n: np.ndarray) -> bool:
-        """Whether it is full, after a merge."""
+        """Whether there are more than HELD keys; merged often enough to hold few of them twice."""
         self.parts.append((key, n))
         self.size += len(key)
         return self.size > 2 * HELD and len(self.merged()[0]) > HELD
@@ -189,43 +186,30 @@ def _word_keys(words: Words) -> np.ndarray:
     return np.concatenate([words.hashes, np.zeros(len(words.at) - 1, np.uint64)])
 
 
-def _counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    gram, word = _Gathered(), _Gathered()
-    for batch in pieces(batches):
-        words = Words(batch.column("text"), lower=True)
-        full = gram.add(*np.unique(grams(words)[0], return_counts=True))
-        if word.add(*np.unique(_word_keys(words), return_counts=True)) or full:
-            yield _arrow(COUNTS, list(_count_rows(gram.merged(), word.merged(), buckets)))
-            gram, word = _Gathered(), _Gathered()
-    yield _arrow(COUNTS, list(_count_rows(gram.merged(), word.merged(), buckets)))
-
-
 def _added(keys: pa.ChunkedArray, counts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = keys.to_pylist(), counts.to_pylist()
-    return _summed(np.concatenate([unpack(x) for x in keys]), np.concatenate([counts_of(x) for x in counts]))
+    return _summed(np.concatenate([unpack(None), *map(unpack, keys)]), np.concatenate([counts_of(None), *map(counts_of, counts)]))
 
 
 def _merged(rows: pa.Table) -> pa.Table:
     """One row of a bucket from all of them."""
-    gram, word = _added(rows["grams"], rows["gram_n"]), _added(rows["words"], rows["word_n"])
-    row = {"bucket": rows["bucket"][0].as_py(), "grams": pack(gram[0]), "gram_n": _planes(gram[1]), "words": pack(word[0]), "word_n": _planes(word[1]), "tokens": int(word[1].sum()), "kinds": len(word[0])}
-    return pa.Table.from_batches([_arrow(f"{COUNTS}, tokens long, kinds long", [row])])
+    key, n = _added(rows["grams"], rows["gram_n"])
+    return pa.Table.from_batches([_arrow(COUNTS, [{"bucket": rows["bucket"][0].as_py(), "grams": pack(key), "gram_n": _planes(n)}])])
+
+
+def _sent(gram: tuple[np.ndarray, np.ndarray], depth: int, buckets: int) -> pa.RecordBatch:
+    return _arrow(COUNTS, [{"bucket": b, "grams": pack(gram[0][at]), "gram_n": _planes(gram[1][at])} for b, at in _dealt(bucket_of(gram[0], depth, buckets))])
 
 
 def _shorter(batches: Iterator[pa.RecordBatch], depth: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Counts of the grams with a context of `depth` bytes from those with longer ones."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     gathered = _Gathered()
     for batch in batches:
         for keys, n in zip(batch.column("grams").to_pylist(), batch.column("gram_n").to_pylist(), strict=True):
-            if gathered.add(*_summed(unpack(keys) & np.uint64((1 << 8 * (depth + 1)) - 1), counts_of(n))):
-                yield _arrow(COUNTS, list(_count_rows(gathered.merged(), none, buckets, depth)))
+            if gathered.add(*_summed(unpack(keys) & _mask(depth), counts_of(n))):
+                yield _sent(gathered.merged(), depth, buckets)
                 gathered = _Gathered()
-    yield _arrow(COUNTS, list(_count_rows(gathered.merged(), none, buckets, depth)))
-
-
-def _gather(rows: DataFrame, buckets: int) -> DataFrame:
-    return saved(rows.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_merged, f"{COUNTS}, tokens long, kinds long"))
+    yield _sent(gathered.merged(), depth, buckets)
 
 
 # Looking up ----------------------------------------------------------------------------------------------------------
@@ -272,15 +256,15 @@ class Nodes:
         self.kinds = np.diff(np.append(self.first, len(keys)))
         self.total = np.add.reduceat(n, self.first) if len(keys) else n
 
-    def totals(self, place: np.ndarray) -> np.ndarray:
-        """The total of the context of each gram at these places."""
-        return self.total[np.searchsorted(self.first, place, "right") - 1]
+    def totals(self) -> np.ndarray:
+        """The total of the context of each gram."""
+        return np.repeat(self.total, self.kinds)
 
     def step(self, asked: Open) -> tuple[np.ndarray, Open]:
         """Which grams are found here, and all of them with their codes after this depth."""
         if not len(self.keys) or not len(asked):
             return np.zeros(len(asked), bool), asked
-        node = asked.key & np.uint64((1 << 8 * (self.depth + 1)) - 1) if self.depth < ORDER else asked.key
+        node = asked.key & _mask(self.depth)
         at, hit = find(self.contexts, node >> np.uint64(8)), find(self.keys, node)
         gone, code = asked.gone.copy(), asked.code.copy()
         known = np.flatnonzero(at >= 0)
@@ -307,32 +291,32 @@ class Nodes:
         return hit >= 0, Open(asked.grp, asked.key, code, gone)
 
 
-ANSWERS = "grp long, grams binary, n binary, total binary, code binary, words binary, word_n binary, bucket int, state binary"
-
+ASKS = "bucket int, grp long, grams binary, gram_n binary, words binary, word_n binary"
+#: Answers of a bucket have grp, n, total and word_n; those of shorter contexts grp, grams and code; what is passed on has a state; the bucket's own counts have gram_n, tokens and kinds.
+ANSWERS = "bucket int, grp long, n binary, total binary, word_n binary, grams binary, code binary, state binary, gram_n binary, tokens long, kinds long"
 
-def _ask_rows(group: int, gram: np.ndarray, word: np.ndarray, buckets: int) -> Iterator[dict]:
-    for bucket, at in _dealt(bucket_of(gram, ORDER, buckets)):
-        yield {"bucket": bucket, "grp": group, "grams": pack(gram[at])}
-    for bucket, at in _dealt((word % np.uint64(buckets)).astype(np.int32)):
-        yield {"bucket": bucket, "grp": group, "words": pack(word[at])}
 
-
-ASKS = "bucket int, grp long, grams binary, words binary"
+def _ask_rows(group: int, gram: tuple[np.ndarray, np.ndarray], word: tuple[np.ndarray, np.ndarray], buckets: int) -> list[dict]:
+    rows: dict[int, dict] = {}
+    for (keys, n), places, names in ((gram, bucket_of(gram[0], ORDER, buckets), ("grams", "gram_n")), (word, (word[0] % np.uint64(buckets)).astype(np.int32), ("words", "word_n"))):
+        for bucket, at in _dealt(places):
+            rows.setdefault(bucket, {"bucket": bucket, "grp": group}).update({names[0]: pack(keys[at]), names[1]: _planes(n[at])})
+    return list(rows.values())
 
 
 def _asks(texts: pa.Table, buckets: int) -> pa.Table:
-    """The distinct words and grams of one group of documents, by bucket. A longer text than a group has is asked for in rounds, which may repeat some."""
-    group = texts["grp"][0].as_py()
-    gram, word, rows = _Gathered(), _Gathered(), []
+    """The distinct words and grams of one group of documents and their counts in training documents, by bucket."""
+    gram, word = _Gathered(), _Gathered()
     for batch in pieces(iter(texts.to_batches())):
         words = Words(batch.column("text"), lower=True)
-        key, mark = np.unique(grams(words)[0]), np.unique(_word_keys(words))
-        full = gram.add(key, np.ones(len(key), np.int64))
-        if word.add(mark, np.ones(len(mark), np.int64)) or full:
-            rows += _ask_rows(group, gram.merged()[0], word.merged()[0], buckets)
-            gram, word = _Gathered(), _Gathered()
-    rows += _ask_rows(group, gram.merged()[0], word.merged()[0], buckets)
-    return pa.Table.from_batches([_arrow(ASKS, rows)])
+        learn = ~batch.column("held_out").to_numpy(zero_copy_only=False)
+        key, at = grams(words)
+        for gathered, values, row in ((gram, key, np.diff(at)), (word, words.hashes, words.counts), (word, np.zeros(len(learn), np.uint64), np.ones(len(learn), int))):
+            taught = np.repeat(learn, row)
+            gathered.add(*np.unique(values[taught], return_counts=True))
+            new = np.unique(values[~taught])
+            gathered.add(new, np.zeros(len(new), np.int64))
+    return pa.Table.from_batches([_arrow(ASKS, _ask_rows(texts["grp"][0].as_py(), gram.merged(), word.merged(), buckets))])
 
 
 def _coded(done: Open) -> Iterator[dict]:
@@ -349,29 +333,23 @@ def _passed_on(asked: Open, depth: int, buckets: int) -> Iterator[dict]:
         yield {"bucket": bucket, "state": asked.take(at).packed()}
 
 
-def _answered(counted: pa.Table, asks: pa.Table, buckets: int) -> pa.Table:
-    """What one bucket answers to all groups, and the grams that it doesn't hold."""
-    if not asks.num_rows:
-        return pa.Table.from_batches([_arrow(ANSWERS, [])])
-    own = counted.to_pylist()[0] if counted.num_rows else {}
-    nodes = Nodes(unpack(own.get("grams")), counts_of(own.get("gram_n")), ORDER)
-    words, word_n = unpack(own.get("words")), counts_of(own.get("word_n"))
-    rows, missed = [], []
-    for group, gram, word in zip(*(asks[c].to_pylist() for c in ("grp", "grams", "words")), strict=True):
-        if gram:
-            key = unpack(gram)
-            at = find(nodes.keys, key)
-            met = at[at >= 0]
-            if len(met):
-                rows.append({"grp": group, "grams": pack(key[at >= 0]), "n": _planes(nodes.n[met]), "total": _planes(nodes.totals(met))})
-            missed.append(Open.new(np.full((at < 0).sum(), group, np.int64), key[at < 0]))
-        if word:
-            key = unpack(word)
-            at = find(words, key)
-            rows.append({"grp": group, "words": pack(key[at >= 0]), "word_n": _planes(word_n[at[at >= 0]])})
-    if missed:
-        missed = Open(*(np.concatenate([getattr(m, c) for m in missed]) for c in ("grp", "key", "code", "gone")))
-        rows += _passed_on(nodes.step(missed)[1], ORDER - 1, buckets)
+def _answered(asks: pa.Table, buckets: int) -> pa.Table:
+    """What one bucket answers to all groups, the grams that no training document holds, and the counts themselves."""
+    columns = {c: asks[c].to_pylist() for c in ("grp", "grams", "words")}
+    key, n = _added(asks["grams"], asks["gram_n"])
+    nodes = Nodes(key[n > 0], n[n > 0], ORDER)
+    word, word_n = _added(asks["words"], asks["word_n"])
+    rows: list[dict] = [{"grams": pack(nodes.keys), "gram_n": _planes(nodes.n), "tokens": int(word_n.sum()), "kinds": int((word_n > 0).sum())}]
+    missed = []
+    for group, gram, words in zip(columns["grp"], columns["grams"], columns["words"], strict=True):
+        asked = unpack(gram)
+        at = find(nodes.keys, asked)
+        met = np.maximum(at, 0)
+        n, total = (np.where(at >= 0, x[met], 0) if len(nodes.keys) else np.zeros(len(at), np.int64) for x in (nodes.n, nodes.totals()))
+        rows.append({"bucket": asks["bucket"][0].as_py(), "grp": group, "n": _planes(n), "total": _planes(total), "word_n": _planes(word_n[find(word, unpack(words))]) if words else None})
+        missed.append(Open.new(np.full((at < 0).sum(), group, np.int64), asked[at < 0]))
+    missed = Open(*(np.concatenate([getattr(m, c) for m in missed]) for c in ("grp", "key", "code", "gone")))
+    rows += _passed_on(nodes.step(missed)[1], ORDER - 1, buckets)
     return pa.Table.from_batches([_arrow(ANSWERS, rows)])
 
 
@@ -395,7 +373,7 @@ def _last(batches: Iterator[pa.RecordBatch], shallow: tuple[np.ndarray, np.ndarr
         for state in batch.column("state").to_pylist():
             asked, rows = Open.unpacked([state]), []
             for depth in range(SHALLOW, -1, -1):
-                key, n = _summed(shallow[0] & np.uint64((1 << 8 * (depth + 1)) - 1), shallow[1])
+                key, n = _summed(shallow[0] & _mask(depth), shallow[1])
                 found, asked = Nodes(key, n, depth).step(asked)
                 rows += _coded(asked.take(np.flatnonzero(found)))
                 asked = asked.take(np.flatnonzero(~found))
@@ -405,88 +383,109 @@ def _last(batches: Iterator[pa.RecordBatch], shallow: tuple[np.ndarray, np.ndarr
 
 
 class Trie:
-    """Written tables of packed runs by depth, from ORDER down to SHALLOW + 1; the nodes of SHALLOW bytes of context are in memory."""
+    """Counts by depth: written tables of packed runs from ORDER down to SHALLOW + 1, and the nodes of SHALLOW bytes of context in memory."""
 
     def __init__(self, counted: DataFrame, buckets: int):
+        """counted: (grams, gram_n) of ORDER bytes of context, a written table."""
         self.nodes, self.buckets = {ORDER: counted}, buckets
         for m in range(ORDER - 1, SHALLOW, -1):
-            self.nodes[m] = _gather(self._from(m), buckets)
-        rows = self._from(SHALLOW).select("grams", "gram_n").toArrow()
-        self.shallow = _added(rows["grams"], rows["gram_n"]) if rows.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            self.nodes[m] = saved(self._from(m, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_merged, COUNTS))
+        rows = self._from(SHALLOW, 1).toArrow()
+        self.shallow = _added(rows["grams"], rows["gram_n"])
 
-    def _from(self, depth: int) -> DataFrame:
-        """Partial counts of a depth. A task sends 2**16 nodes of the last depth at most."""
-        buckets = self.buckets
+    def _from(self, depth: int, buckets: int) -> DataFrame:
         longer = self.nodes[depth + 1].select("grams", "gram_n")
-        if depth == SHALLOW:  # few tasks, so few partial sums meet in the driver
-            longer = longer.coalesce(min(32, buckets))
-            buckets = 1
+        if depth == SHALLOW:  # few tasks, so the driver gets few parts of 2**16 nodes at most
+            longer = longer.coalesce(32)
         return longer.mapInArrow(lambda b: _shorter(b, depth, buckets), COUNTS)
 
-    def answers(self, asks: DataFrame) -> DataFrame:
-        """For (bucket, grp, grams, words): rows by grp with (words, word_n) or with grams and their (n, total) or code. Written."""
+    def escaped(self, met: DataFrame) -> DataFrame:
+        """(grp, grams, code) of what a written table of ANSWERS passes on."""
         buckets = self.buckets
-        shared = asks.sparkSession.sparkContext.broadcast(self.shallow)
-        met = self.nodes[ORDER].groupBy("bucket").cogroup(asks.repartition(buckets, "bucket").groupBy("bucket")).applyInArrow(lambda a, b: _answered(a, b, buckets), ANSWERS)
-        met = saved(met)
-        told = [met.where("state is null")]
+        shared = met.sparkSession.sparkContext.broadcast(self.shallow)
+        told = []
         for m in range(ORDER - 1, SHALLOW, -1):
-            open_ = met.where("state is not null").select("bucket", "state").repartition(buckets, "bucket")
-            met = saved(self.nodes[m].groupBy("bucket").cogroup(open_.groupBy("bucket")).applyInArrow(_at_depth(m, buckets), ANSWERS))
-            told.append(met.where("state is null"))
-        out = met.where("state is not null").select("state").mapInArrow(lambda b: _last(b, shared.value), ANSWERS)
+            left = met.where("state is not null").select("bucket", "state").repartition(buckets, "bucket")
+            met = saved(self.nodes[m].groupBy("bucket").cogroup(left.groupBy("bucket")).applyInArrow(_at_depth(m, buckets), ANSWERS))
+            told.append(met.where("grp is not null").select("grp", "grams", "code"))
+        out = met.where("state is not null").select("state").mapInArrow(lambda b: _last(b, shared.value), ANSWERS).select("grp", "grams", "code")
         for rows in told:
             out = out.unionByName(rows)
-        return out.drop("bucket", "state")
+        return out
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each gram after the bytes before it; for a few grams."""
         wanted, inverse = np.unique(keys, return_inverse=True)
-        rows = list(_ask_rows(0, wanted, np.zeros(0, np.uint64), self.buckets))
-        asked = self.nodes[ORDER].sparkSession.createDataFrame([(r["bucket"], 0, r["grams"], None) for r in rows], ASKS)
-        key, code = _codes(self.answers(asked).toArrow())
-        return code[find(key, wanted)][inverse]
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        rows = _ask_rows(0, (wanted, np.zeros(len(wanted), np.int64)), none, self.buckets)
+        asked = self.nodes[ORDER].sparkSession.createDataFrame([(r["bucket"], 0, r["grams"], r["gram_n"], None, None) for r in rows], ASKS)
+        buckets = self.buckets
+        again = self.nodes[ORDER].mapInArrow(lambda b: _shorter(b, ORDER, buckets), COUNTS)
+        met = answered(asked.unionByName(again.withColumn("grp", F.lit(-1).cast("long")), allowMissingColumns=True), self.buckets)
+        got = met.where("grp = 0").select("bucket", "n", "total", F.lit(None).cast("binary").alias("grams"), F.lit(None).cast("binary").alias("code"))
+        return _codes(got.unionByName(self.escaped(met).where("grp = 0"), allowMissingColumns=True).toArrow(), wanted, self.buckets)[inverse]
+
+
+def answered(asks: DataFrame, buckets: int) -> DataFrame:
+    """ANSWERS to ASKS, written."""
+    return saved(asks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _answered(t, buckets), ANSWERS))
 
 
 def train(docs: DataFrame, buckets: int = 8) -> Trie:
     """The trie of the texts of docs, in so many buckets."""
-    return Trie(_gather(docs.select("text").mapInArrow(lambda b: _counts(b, buckets), COUNTS), buckets), buckets)
+    rows = docs.select("text", F.lit(False).alias("held_out"), F.pmod(F.xxhash64("text"), F.lit(buckets)).alias("grp"))
+    met = answered(rows.groupBy("grp").applyInArrow(lambda t: _asks(t, buckets), ASKS), buckets)
+    return Trie(met.where("gram_n is not null").select("grams", "gram_n"), buckets)
 
 
 # Scores --------------------------------------------------------------------------------------------------------------
 
 
-def _codes(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending grams and their codes."""
-    keys, codes = [np.zeros(0, np.uint64)], [np.zeros(0)]
-    for gram, n, total, code in zip(*(answers[c].to_pylist() for c in ("grams", "n", "total", "code")), strict=True):
-        if gram:
-            keys.append(unpack(gram))
-            codes.append(_from_planes(code).view(np.float64) if code else np.log10((counts_of(n) - 0.5) / counts_of(total)))
-    key, code = np.concatenate(keys), np.concatenate(codes)
-    order = np.argsort(key)
-    return key[order], code[order]
+def _codes(answers: pa.Table, keys: np.ndarray, buckets: int) -> np.ndarray:
+    """log10 probabilities of a group's grams, in the order in which it asked."""
+    out = np.zeros(len(keys))
+    asked = dict(_dealt(bucket_of(keys, ORDER, buckets)))
+    bucket, n, total, gram, code = (answers[c].to_pylist() for c in ("bucket", "n", "total", "grams", "code"))
+    for i in range(answers.num_rows):
+        if code[i]:
+            out[find(keys, unpack(gram[i]))] = _from_planes(code[i]).view(np.float64)
+        elif bucket[i] in asked:
+            count = counts_of(n[i])
+            known = count > 0
+            out[asked[bucket[i]][known]] = np.log10((count[known] - 0.5) / counts_of(total[i])[known])
+    return out
 
 
-def _scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
-    rare, code = _codes(answers)
-    told, n = (np.concatenate([f(None), *map(f, answers[c].to_pylist())]) for c, f in (("words", unpack), ("word_n", counts_of)))
-    told, first = np.unique(told, return_index=True)
-    n = n[first]
-    out = []
+def _scored(texts: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
+    held, gram, word = [], _Gathered(), _Gathered()
     for batch in pieces(iter(texts.combine_chunks().to_batches())):
         words = Words(batch.column("text"), lower=True)
-        c = np.append(n, 0)[find(told, words.hashes)]  # place -1, the 0, where the word is unknown
-        end = n[0] if len(n) and told[0] == 0 else 0
-        log = np.concatenate([[0.0], np.cumsum(np.log10(c + 0.1))])
-        known = np.concatenate([[0], np.cumsum(c > 0)])
         key, at = grams(words)
         inverse, distinct = pd.factorize(key)
-        bits = code[np.searchsorted(rare, distinct)][inverse]
-        pull = lambda sums: sums[words.at[1:]] - sums[words.at[:-1]]  # noqa: B023, E731
+        order = np.argsort(distinct)
+        back = np.empty(len(order), np.int32)
+        back[order] = np.arange(len(order), dtype=np.int32)
+        known, place = np.unique(words.hashes, return_inverse=True)
+        gram.add(distinct[order], np.zeros(len(order), np.int64))
+        word.add(known, np.zeros(len(known), np.int64))
+        held.append((batch, words.at, at, distinct[order], back[inverse], known, place.astype(np.int32)))
+    word.add(np.zeros(1, np.uint64), np.zeros(1, np.int64))
+    keys, marks = gram.merged()[0], word.merged()[0]
+    code, n = _codes(answers, keys, buckets), np.zeros(len(marks), np.int64)
+    asked = dict(_dealt((marks % np.uint64(buckets)).astype(np.int32)))
+    for bucket, told in zip(answers["bucket"].to_pylist(), answers["word_n"].to_pylist(), strict=True):
+        if told:
+            n[asked[bucket]] = counts_of(told)
+    end = n[0]
+    out = []
+    for batch, row, at, distinct, inverse, known, place in held:
+        c = n[np.searchsorted(marks, known)][place]
+        logs = np.concatenate([[0.0], np.cumsum(np.log10(c + 0.1))])
+        met = np.concatenate([[0], np.cumsum(c > 0)])
+        bits = code[np.searchsorted(keys, distinct)][inverse]
         out.append(
             pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("held_out"), pa.array(words.counts + 1, pa.int64()), pa.array(pull(known) + int(end > 0), pa.int64()), pa.array(pull(log) + np.log10(end + 0.1)), pa.array(np.add.reduceat(bits, at[:-1]))],
+                [batch.column("key"), batch.column("held_out"), pa.array(np.diff(row) + 1, pa.int64()), pa.array(met[row[1:]] - met[row[:-1]] + int(end > 0), pa.int64()), pa.array(logs[row[1:]] - logs[row[:-1]] + np.log10(end + 0.1)), pa.array(np.add.reduceat(bits, at[:-1]))],
                 names=["key", "held_out", "n_tokens", "n_known", "logs", "score"],
             )
         )
@@ -498,13 +497,13 @@ def language_scores(docs: DataFrame, held_out: F.Column, *, key: str = "doc_id",
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     groups, buckets = max(1, -(-size // group_bytes)), max(1, -(-size // BUCKET_BYTES))
     source = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    trie = train(source.where("not held_out"), buckets)
-    tokens, kinds = trie.nodes[ORDER].agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     dealt = source.withColumn("grp", F.pmod(F.xxhash64("key", "text"), F.lit(groups))).repartition(groups, "grp")
-    answers = trie.answers(dealt.select("text", "grp").groupBy("grp").applyInArrow(lambda t: _asks(t, buckets), ASKS))
-    release(*trie.nodes.values())
+    met = answered(dealt.select("text", "held_out", "grp").groupBy("grp").applyInArrow(lambda t: _asks(t, buckets), ASKS), buckets)
+    tokens, kinds = met.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    trie = Trie(met.where("gram_n is not null").select("grams", "gram_n"), buckets)
+    answers = met.where("grp is not null").select("grp", "bucket", "n", "total", "word_n").unionByName(trie.escaped(met), allowMissingColumns=True)
     kind = docs.schema[key].dataType.simpleString()
-    out = dealt.groupBy("grp").cogroup(answers.repartition(groups, "grp").groupBy("grp")).applyInArrow(_scored, f"key {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double")
+    out = dealt.groupBy("grp").cogroup(answers.repartition(groups, "grp").groupBy("grp")).applyInArrow(lambda a, b: _scored(a, b, buckets), f"key {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double")
     out = out.withColumn("train_tokens", F.lit(tokens).cast("long"))
     base = F.col("logs") - F.col("n_tokens") * math.log10(tokens + 0.1 * (kinds + 1))
     return out.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")
