@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import saved, table
 from .tokens import Words, mix, pieces
 
-ORDER, GROUP_BYTES, BUCKET_BYTES = 7, 16_000_000, 8_000_000
+ORDER, GROUP_BYTES, BUCKET_BYTES = 7, 10_000_000, 8_000_000
 #: Distinct grams that a task gathers before it sends or merges them, and symbols that it compares at once.
 HELD, COMPARED = 2_000_000, 2_000_000
 #: The longest contexts whose nodes (2**16 at most) are broadcast.
