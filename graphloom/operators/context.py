@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.prose import adds_context, for_context
@@ -63,11 +63,16 @@ def _place(row) -> str:
     return f"{row['file_path']}:{row['start_line']}-{row['end_line']}"
 
 
+def alike(name: Column, names: list[str]) -> Column:
+    """Whether a name holds one of the names or lies within it, in any case."""
+    lowered, near = F.lower(name), F.array(*(F.lit(n.lower()) for n in names))
+    return F.exists(near, lambda n: lowered.contains(n) | n.contains(lowered))
+
+
 def related_tests(symbols: DataFrame, names: list[str]) -> DataFrame:
     """Symbols of test files whose name holds one of the names or lies within it."""
-    lowered, near = F.lower("name"), F.array(*(F.lit(n.lower()) for n in names))
     path = F.lower("file_path")
-    return symbols.where((path.contains("test") | path.contains("spec")) & F.exists(near, lambda n: lowered.contains(n) | n.contains(lowered))).orderBy("id").limit(TESTS)
+    return symbols.where((path.contains("test") | path.contains("spec")) & alike(F.col("name"), names)).orderBy("id").limit(TESTS)
 
 
 def _knowledge(pages: DataFrame, root: str, kinds: tuple[str, ...] | None = None) -> tuple[str | None, str | None]:

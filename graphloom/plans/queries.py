@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import domains, link, pages, rank, resolve, state, traverse, vectors
+from ..operators import context, domains, link, pages, rank, resolve, state, traverse, vectors
+from ..workspace import shared_edges
 
 NEXT = "lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice)"
 EDGES_SQL = f"select distinct src, dst from (select l_partkey as src, {NEXT} as dst from lineitem) where dst is not null"
@@ -69,7 +70,7 @@ for _depth in (1, 2, 3):
     _reach(_depth)
 
 
-@query(f"""with e as ({EDGES_SQL}), roots as (select p_partkey as root from part where p_partkey % 100 = 1),
+@query(f"""with e as ({EDGES_SQL}), roots as (select p_partkey as root from part),
 d1 as (select distinct root, dst as node, 1 as depth from roots join e on src = root),
 d2 as (select distinct root, dst as node, 2 as depth from d1 join e on src = node),
 met as (select root, node, min(depth) as depth from (select * from d1 union all select * from d2) group by all),
@@ -80,28 +81,14 @@ left join (select root, count(*) as affected, count(*) filter (path like '%test%
 left join (select root, string_agg(module, ',' order by ord) as modules from mods group by root) using (root)""")
 def impact_summary(spark, d):
     parts = read(spark, d, "part")
-    roots = parts.where("p_partkey % 100 = 1").select(F.col("p_partkey").alias("root"))
+    roots = parts.select(F.col("p_partkey").alias("root"))
     nodes = parts.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("module"), F.col("p_name").alias("path"))
-    return traverse.impact(edges(spark, d), nodes, roots, 2)
+    met = traverse.impact(edges(spark, d), nodes, roots, 2)
+    return met.select("root", F.size("affected").cast("long").alias("affected"), F.size("tests").cast("long").alias("tests"), "risk", F.array_join("modules", ",").alias("modules"))
 
 
-@query()
-def impact_summary_all(spark, d):
-    """Impact of every part."""
-    parts = read(spark, d, "part")
-    nodes = parts.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("module"), F.col("p_name").alias("path"))
-    return traverse.impact(edges(spark, d), nodes, parts.select(F.col("p_partkey").alias("root")), 2)
-
-
-@query(f"select distinct root, node as dependency from (with e as ({EDGES_SQL}) select a.src as root, b.dst as node from e a join e b on a.dst = b.src where a.src % 50 = 3 union select src, dst from e where src % 50 = 3)")
+@query(f"select distinct root, node as dependency from (with e as ({EDGES_SQL}) select a.src as root, b.dst as node from e a join e b on a.dst = b.src union select src, dst from e)")
 def dependencies(spark, d):
-    roots = read(spark, d, "part").where("p_partkey % 50 = 3").select(F.col("p_partkey").alias("root"))
-    return traverse.reachable(edges(spark, d), roots, 2).select("root", F.col("node").alias("dependency"))
-
-
-@query()
-def dependencies_all(spark, d):
-    """Dependencies of every part."""
     roots = read(spark, d, "part").select(F.col("p_partkey").alias("root"))
     return traverse.reachable(edges(spark, d), roots, 2).select("root", F.col("node").alias("dependency"))
 
@@ -111,7 +98,11 @@ def neighbors_callers_callees(spark, d):
     return traverse.neighbours(edges(spark, d), read(spark, d, "part").select(F.col("p_partkey").alias("node")))
 
 
-@query()
+#: Among the shortest ways to a symbol the one whose ids come first fixes its place in the queue.
+@query(f"""with recursive e as (select src, dst, a.p_brand as brand from ({EDGES_SQL}) join part a on a.p_partkey = src join part b on b.p_partkey = dst where a.p_brand = b.p_brand),
+walk(root, brand, node, way, depth) as (select min(p_partkey), p_brand, min(p_partkey), [min(p_partkey)], 0 from part group by p_brand
+union all select w.root, w.brand, e.dst, min(list_append(w.way, e.dst)), w.depth + 1 from walk w join e on e.src = w.node and e.brand = w.brand where not list_contains(w.way, e.dst) group by w.root, w.brand, e.dst, w.depth)
+select root, node, row_number() over (partition by root order by depth, way) as position from (select root, node, min(depth) as depth, arg_min(way, depth) as way from walk group by root, node)""")
 def flow_order(spark, d):
     """Breadth-first order within the parts of one brand, from its first part."""
     parts = read(spark, d, "part")
@@ -196,9 +187,9 @@ def url_to_path(spark, d):
     return read(spark, d, "pages").select("page_id", T.url_to_path(F.col("url")).alias("path"))
 
 
-@query("select page_id, case when trim(u) = '' then '/' when trim(u) like '/%' then trim(u) else '/' || trim(u) end as path from (select page_id, substr(url, 1 + page_id % 9, 12) as u from pages)")
+@query("select page_id, case when trim(u) = '' then '/' when trim(u) like '/%' then trim(u) else '/' || trim(u) end as path from (select page_id, substr(url, 1 + page_id % 9) as u from pages)")
 def path_normalize(spark, d):
-    return read(spark, d, "pages").select("page_id", T.normalize_path(F.expr("substring(url, cast(1 + page_id % 9 as int), 12)")).alias("path"))
+    return read(spark, d, "pages").select("page_id", T.normalize_path(F.expr("substring(url, cast(1 + page_id % 9 as int))")).alias("path"))
 
 
 @query("select p_partkey, case when x like '%Service' then x else x || 'Service' end as service from (select p_partkey, regexp_replace(regexp_replace(n, 'Servicer$', ''), 'Impl$', '') as x from (select p_partkey, p_brand || case p_partkey % 4 when 0 then 'Servicer' when 1 then 'Impl' when 2 then 'ServiceImplServicer' else '' end as n from part))")
@@ -319,10 +310,10 @@ def lint_broken_links(spark, d):
     return pages.broken_links(links, links.where("cast(page as bigint) % 3 = 0").select(F.col("target").alias("page")).distinct())
 
 
-@query(f"select distinct cast(page_id as varchar) || '-' || substr(url, 1, 40) as page from pages union all select page from ({KNOWN_SQL}) where page not in (select target from ({HREFS_SQL}) where page % 3 <> 0)")
+@query(f"select distinct cast(page_id as varchar) || '-' || url as page from pages union all select page from ({KNOWN_SQL}) where page not in (select target from ({HREFS_SQL}) where page % 3 <> 0)")
 def lint_orphans(spark, d):
     links = _links(spark, d)
-    known = read(spark, d, "pages").select(F.expr("concat(page_id, '-', substring(url, 1, 40))").alias("page")).distinct().unionByName(links.where("cast(page as bigint) % 3 = 0").select(F.col("target").alias("page")).distinct())
+    known = read(spark, d, "pages").select(F.expr("concat(page_id, '-', url)").alias("page")).distinct().unionByName(links.where("cast(page as bigint) % 3 = 0").select(F.col("target").alias("page")).distinct())
     return pages.orphans(known, links.where("cast(page as bigint) % 3 <> 0"))
 
 
@@ -333,15 +324,10 @@ def lint_claims(spark, d):
     return pages.wrong_claims(claimed, edges(spark, d)).select("page", "src", "dst")
 
 
-@query("with m as (select distinct l_orderkey as page, l_partkey as id from lineitem where l_quantity > 45) select page, string_agg(o, ',' order by o) as others from (select distinct a.page, cast(b.page as varchar) as o from m a join m b on a.id = b.id and a.page <> b.page) group by page")
+@query("with m as (select distinct l_orderkey as page, l_partkey as id from lineitem) select page, string_agg(o, ',' order by o) as others from (select distinct a.page, cast(b.page as varchar) as o from m a join m b on a.id = b.id and a.page <> b.page) group by page")
 def see_also(spark, d):
-    return pages.see_also(read(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("id")).distinct())
-
-
-@query()
-def see_also_all(spark, d):
-    """Pages of all orders."""
-    return pages.see_also(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("id")).distinct())
+    members = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("id")).distinct()
+    return pages.see_also(members).select("page", F.array_join("others", ",").alias("others"))
 
 
 @query("select id, page from (select id, page, row_number() over (partition by id order by case kind when 'service' then 0 when 'module' then 1 when 'flow' then 2 when 'concept' then 3 else 4 end, page) as r from (select l_partkey as id, l_orderkey as page, case l_orderkey % 3 when 0 then 'flow' when 1 then 'overview' else 'service' end as kind from lineitem)) where r = 1")
@@ -359,7 +345,8 @@ join (select c_nationkey as dst_repo, c_custkey as dst, case c_custkey % 2 when
 def route_contract_join(spark, d):
     s = read(spark, d, "supplier").select(F.col("s_nationkey").alias("repo"), F.col("s_suppkey").alias("symbol"), F.expr("case s_suppkey % 2 when 0 then 'get' else 'Post' end").alias("method"), F.expr("cast(s_suppkey % 25 as string)").alias("path"))
     c = read(spark, d, "customer").select(F.col("c_nationkey").alias("repo"), F.col("c_custkey").alias("symbol"), F.expr("case c_custkey % 2 when 0 then 'GET' else 'POST' end").alias("method"), F.expr("concat('/', c_custkey % 25)").alias("path"))
-    return link.by_route(s, c).select("src_repo", "src", "dst_repo", "dst", "method", "path")
+    met = link.by_name(link.route_ends(s), link.route_ends(c), "name")
+    return met.select("src_repo", "src", "dst_repo", "dst", F.substring_index("name", " ", 1).alias("method"), F.expr("substring(name, 1 + position(' ' in name))").alias("path"))
 
 
 @query("select src_repo, src, dst_repo, dst, name from (select s_nationkey as src_repo, s_suppkey as src, 'topic' || s_suppkey % 40 as name from supplier) join (select c_nationkey as dst_repo, c_custkey as dst, 'topic' || c_custkey % 40 as name from customer) using (name) where src_repo <> dst_repo")
@@ -380,42 +367,30 @@ def service_contract_join(spark, d):
     return link.by_contract(k, servers, clients, clients)
 
 
-@query("select id, confidence, pass from (select id, confidence, pass, row_number() over (partition by id order by pass) as r from (select distinct sha256(cast(l_partkey as varchar)) as id, 0.85 as confidence, 0 as pass from lineitem where l_quantity > 30 union all select distinct sha256(cast(p_partkey as varchar)), 1.0, 1 from part)) where r = 1")
+@query("select id, confidence, pass from (select id, confidence, pass, row_number() over (partition by id order by pass) as r from (select distinct sha256(cast(l_partkey as varchar)) as id, 0.85 as confidence, 0 as pass from lineitem union all select distinct sha256(cast(p_partkey as varchar)), 1.0, 1 from part)) where r = 1")
 def first_writer_wins(spark, d):
     one = F.lit(0.85).cast("decimal(3,2)")
-    auto = read(spark, d, "lineitem").where("l_quantity > 30").select(F.sha2(F.col("l_partkey").cast("string"), 256).alias("id"), one.alias("confidence")).distinct()
+    auto = read(spark, d, "lineitem").select(F.sha2(F.col("l_partkey").cast("string"), 256).alias("id"), one.alias("confidence")).distinct()
     contract = read(spark, d, "part").select(F.sha2(F.col("p_partkey").cast("string"), 256).alias("id"), F.lit(1).cast("decimal(3,2)").alias("confidence"))
     return link.first_writer([auto, contract])
 
 
-@query()
-def first_writer_wins_all(spark, d):
-    """All lines write first."""
-    auto = read(spark, d, "lineitem").select(F.sha2(F.col("l_partkey").cast("string"), 256).alias("id"), F.lit(0.85).cast("decimal(3,2)").alias("confidence")).distinct()
-    contract = read(spark, d, "part").select(F.sha2(F.col("p_partkey").cast("string"), 256).alias("id"), F.lit(1).cast("decimal(3,2)").alias("confidence"))
-    return link.first_writer([auto, contract])
-
-
-@query("select distinct src_repo, dst_repo, package from (select s_nationkey as src_repo, 'p' || s_suppkey % 15 as package from supplier) join (select c_nationkey as dst_repo, 'p' || c_custkey % 15 as package from customer where c_custkey % 10 = 0) using (package) where src_repo <> dst_repo")
+@query("""with symbols as (select c_nationkey as repo, c_custkey as id, 'p' || c_custkey % 15 as name from customer), users as (select distinct s_nationkey as src_repo, 'p' || s_suppkey % 15 as package from supplier)
+select src_repo, src, dst_repo, dst from users join (select repo as src_repo, min(id) as src from symbols group by repo) using (src_repo)
+join (select name as package, repo as dst_repo, min(id) as dst from symbols group by name, repo) using (package) where src_repo <> dst_repo""")
 def shared_lib_pairs(spark, d):
-    u = read(spark, d, "supplier").select(F.col("s_nationkey").alias("repo"), F.expr("concat('p', s_suppkey % 15)").alias("package"))
-    o = read(spark, d, "customer").where("c_custkey % 10 = 0").select(F.col("c_nationkey").alias("repo"), F.expr("concat('p', c_custkey % 15)").alias("package"))
-    return link.shared_library(u, o).select("src_repo", "dst_repo", "package")
-
-
-@query()
-def shared_lib_pairs_all(spark, d):
-    """Packages of all customers."""
-    u = read(spark, d, "supplier").select(F.col("s_nationkey").alias("repo"), F.expr("concat('p', s_suppkey % 15)").alias("package"))
-    o = read(spark, d, "customer").select(F.col("c_nationkey").alias("repo"), F.expr("concat('p', c_custkey % 15)").alias("package"))
-    return link.shared_library(u, o).select("src_repo", "dst_repo", "package")
+    """Importers of fifteen packages, which customers define; each repository has its symbols in one file that imports nothing."""
+    symbols = read(spark, d, "customer").select(F.col("c_nationkey").alias("repo"), F.col("c_custkey").alias("id"), F.expr("concat('p', c_custkey % 15)").alias("name"), F.lit("a").alias("file_path"), F.col("c_custkey").alias("start_line"))
+    imports = read(spark, d, "supplier").select(F.col("s_nationkey").alias("repo"), F.lit("b").alias("file_path"), F.expr("concat('p', s_suppkey % 15)").alias("name"))
+    first = symbols.groupBy("repo").agg(F.min("id").alias("symbol"))
+    found, _ = shared_edges(spark, [{"package": f"p{i}", "repos": []} for i in range(15)], symbols, imports, first)
+    return found.select("src_repo", F.col("src_symbol_id").alias("src"), "dst_repo", F.col("dst_symbol_id").alias("dst"))
 
 
-@query("select t.p_partkey as test_id, min(r.r_name) as hit from part t join region r on contains(lower(t.p_name), lower(substr(r.r_name, 1, 2))) or contains(lower(r.r_name), lower(t.p_name)) group by 1")
+@query("select p_partkey as test_id, p_name as name from part where contains(lower(p_name), 'widget') or contains('a large bolt of steel', lower(p_name))")
 def test_theta_join(spark, d):
-    """Test symbols whose name holds a root's name or the other way; the roots (a symbol and its neighbours) are few."""
-    t, r = read(spark, d, "part"), read(spark, d, "region")
-    return t.join(F.broadcast(r), F.expr("contains(lower(p_name), lower(substring(r_name, 1, 2))) or contains(lower(r_name), lower(p_name))")).groupBy(F.col("p_partkey").alias("test_id")).agg(F.min("r_name").alias("hit"))
+    """Test symbols whose name holds a root's name or the other way; the names of a symbol and its neighbours are given."""
+    return read(spark, d, "part").where(context.alike(F.col("p_name"), ["Widget", "a large bolt of steel"])).select(F.col("p_partkey").alias("test_id"), F.col("p_name").alias("name"))
 
 
 # --- state -----------------------------------------------------------------------------------------------------------
