@@ -5,10 +5,11 @@ DECAY to the number of characters it skips, over spans of up to SPAN; so an insu
 characters stays near the plain one. Runs of single-character words are read as one word, marks inside a word as gaps.
 The kernel is mapped to a few coordinates through landmark words (Nystroem), where a linear machine is trained.
 
-Training sentences come from labelled documents: those of clean documents are all negative; of a toxic document at least one
-sentence is positive, the one whose worst word the machine now ranks highest (multiple-instance
-training; the first choice is by how much likelier a word's 4-grams are in toxic documents). A sentence is as
-toxic as its worst word, a document as its worst sentence; a logistic curve gives the score.
+The labels are of documents, and texts are not split into sentences: a document is a bag of its words. Words of clean
+documents are all negative (a spread of 8000 by hash, and the 600 a round that the machine ranks worst); of a toxic document at least one
+word is positive, the one that the machine now ranks highest (multiple-instance training; the first choice is by how much likelier
+a word's 4-grams are in toxic documents, words of no clean document first; a word counts 20 times at most, 6000 in all). A document is
+as toxic as its worst word, so toxicity made of ordinary words is not seen; a logistic curve gives the score.
 
 As the machine is linear in the landmarks and the kernel in subsequences, it folds into one weight per subsequence
 (4 MB, fixed size), so scoring a text is a table look-up for its distinct words: one scan, no shuffle.
