@@ -1,7 +1,7 @@
 """A training corpus from documents: quality, near duplicates, benchmark leaks, personal data, token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. The stages
-are written as Parquet between each other when run by the check tool, and checkpointed by run().
+are written as Parquet between each other, by run() as tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ STAGES = [
     ("sentencepiece", token_stage),
 ]
 
-#: SQL can express neither the field nor the tokenizer; tests hold run() against the stages' brute-force versions.
+#: SQL can express neither the field nor the tokenizer; tests of run() are of ids, lengths and stages on small tables.
 ORACLE_SQL = None
 
 
