@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,7 +147,7 @@ class Sentences:
             glue[1:] = one[1:] & one[:-1] & (row[1:] == row[:-1]) & (words.starts[1:] == words.ends[:-1] + 1)
         head = np.flatnonzero(~glue)
         tail = np.append(head[1:], len(words))[: len(head)]
-        self.data, self.starts, self.row = words.data, words.starts[head], row[head]
+        self.data, self.starts, self.row = words.data, words.starts[head], row[head].astype(np.int32)
         self.ends = words.ends[tail - 1] if len(head) else words.ends[:0]
         self.at = np.searchsorted(head, words.at)
         new = np.zeros(len(head), bool)
@@ -158,11 +159,11 @@ class Sentences:
 
     def values(self, weights: np.ndarray) -> np.ndarray:
         """`Spelled.spans` of all words, some whole sentences at a time."""
-        parts, low, n = [np.zeros((0, WORDS))], 0, len(self.starts)
+        parts, low, n = [np.zeros((0, WORDS), np.float32)], 0, len(self.starts)
         while low < n:
             high = int(np.searchsorted(self.starts, self.starts[low] + PIECE_BYTES))
             high = int(np.searchsorted(self.sentence, self.sentence[min(high, n) - 1], "right"))
-            parts.append(Spelled(self.data, self.starts[low:high], self.ends[low:high], self.sentence[low:high]).spans(weights))
+            parts.append(Spelled(self.data, self.starts[low:high], self.ends[low:high], self.sentence[low:high]).spans(weights).astype(np.float32))
             low = high
         return np.concatenate(parts)
 
@@ -173,17 +174,26 @@ def _excess(toxic: np.ndarray, clean: np.ndarray, n: tuple[int, int]) -> np.ndar
     return (toxic / n[1] - clean / n[0]) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n[0] + 1 / n[1]))
 
 
+def _dense(x: np.ndarray) -> np.ndarray:
+    """Ranks of the distinct values."""
+    order = np.argsort(x, kind="stable").astype(np.int32)
+    x = x[order]
+    rank = np.zeros(len(x), np.int32)
+    rank[order[1:]] = np.cumsum(x[1:] != x[:-1], dtype=np.int32)
+    return rank
+
+
 class Bags:
     """Spans of labelled documents. For each number of words k + 1: `place` (first words), `code` (equal for equal spans),
     and by code the excess of toxic documents and whether it is suspect."""
 
-    def __init__(self, texts: list[str | None], toxic: np.ndarray):
-        self.text, self.toxic = Sentences(pa.array(texts, pa.large_string())), toxic
+    def __init__(self, texts: pa.Array, toxic: np.ndarray):
+        self.text, self.toxic = Sentences(texts), toxic
         t = self.text
         known: dict[bytes, int] = {}
         blank = b" \t\n\x0b\x0c\r"
-        cut = (t.data[a:b].tobytes().translate(None, blank).strip(EDGE_MARKS) for a, b in zip(t.starts.tolist(), t.ends.tolist(), strict=True))
-        self.id = np.fromiter((known.setdefault(w, len(known)) for w in cut), np.int64, len(t.starts))
+        cut = (t.data[a:b].tobytes().translate(None, blank).strip(EDGE_MARKS) for a, b in zip(t.starts, t.ends, strict=True))
+        self.id = np.fromiter((known.setdefault(w, len(known)) for w in cut), np.int32, len(t.starts))
         self.words = list(known)
         n = (int((toxic == 0).sum()), int((toxic == 1).sum()))
         self.place, self.code, self.suspect, self.excess = [], [], [], []
@@ -191,18 +201,20 @@ class Bags:
         for k in range(WORDS):
             live = max(len(self.id) - k, 0)
             if k:
-                whole = whole[:live] * len(self.words) + self.id[k:]
-                _, whole = np.unique(whole, return_inverse=True)
-            place = np.flatnonzero(t.sentence[k:] == t.sentence[:live])
+                whole = _dense(whole[:live].astype(np.int64) * len(self.words) + self.id[k:])
+            place = np.flatnonzero(t.sentence[k:] == t.sentence[:live]).astype(np.int32)
             code = whole[place]
             top = int(whole.max()) + 1 if len(whole) else 0
-            pair = np.unique(code * len(toxic) + t.row[place])
-            owner, label = pair // len(toxic), toxic[pair % len(toxic)]
-            count = [np.bincount(owner[label == v], minlength=top) for v in (0, 1)]
+            pair = code.astype(np.int64) * len(toxic) + t.row[place]
+            pair.sort()
+            pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
+            label = toxic[pair % len(toxic)]
+            pair //= len(toxic)
+            count = [np.bincount(pair[label == v], minlength=top).astype(np.int32) for v in (0, 1)]
             self.place.append(place)
             self.code.append(code)
-            self.excess.append(_excess(count[1], count[0], n))
-            self.suspect.append(count[1] * n[0] > TIMES * count[0] * n[1])
+            self.excess.append(_excess(count[1], count[0], n).astype(np.float32))
+            self.suspect.append(count[1] * float(n[0]) > TIMES * count[0] * float(n[1]))
         self.plain = []  # whether a span can be a clean example, by place
         for k in range(WORDS):
             words = [self.suspect[0][self.id[self.place[k] + j]] for j in range(k + 1)]
@@ -308,7 +320,7 @@ class Machine:
             out[some] = np.maximum.reduceat(values.max(axis=1), text.at[:-1][some])
         return out
 
-    def fit(self, texts: list[str | None], toxic: np.ndarray) -> Machine:
+    def fit(self, texts: pa.Array, toxic: np.ndarray) -> Machine:
         bags = Bags(texts, toxic)
         values: np.ndarray | None = None
         spread, hard = bags.clean_spans(None), []
@@ -322,7 +334,7 @@ class Machine:
             landmarks = landmarks + [s for s in (hard + spread)[: LANDMARKS - len(landmarks)] if s not in landmarks]
             weighted = [s for s in positive for _ in range(min(chosen[s], 20))]
             self.fit_spans(list(dict.fromkeys(landmarks)), weighted[:POSITIVES], list(dict.fromkeys(hard + spread)))
-            values = bags.text.values(self.weights) + self.bias
+            values = bags.text.values(self.weights) + np.float32(self.bias)
             hard = list(dict.fromkeys(hard + bags.clean_spans(values)))
         worst = np.maximum(self.worst(bags.text, values), -3.0)
         a, b = 1.0, 0.0
@@ -344,10 +356,10 @@ class Machine:
 def train(docs: DataFrame, labels: DataFrame, learn: F.Column, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Machine:
     chosen = labelled_sample(docs, labels, learn, key=key, text=text, label=label, sample=sample)
     got = chosen.toArrow()
-    rows = sorted(zip(got["label"].to_pylist(), got["text"].to_pylist(), strict=True), key=lambda r: (r[0], r[1] or ""))
-    toxic = np.array([r[0] for r in rows], int)
+    got = got.take(pc.sort_indices(got, [("label", "ascending"), ("text", "ascending")]))
+    toxic = got["label"].to_numpy().astype(int)
     machine = Machine()
-    return machine.fit([r[1] for r in rows], toxic) if len(set(toxic.tolist())) == 2 else machine
+    return machine.fit(got["text"].combine_chunks(), toxic) if len(set(toxic.tolist())) == 2 else machine
 
 
 def _scores(batches: Iterator[pa.RecordBatch], machine: Machine) -> Iterator[pa.RecordBatch]:

@@ -76,7 +76,7 @@ def fitted(insult, clean_too=()):
     line = lambda n: " ".join(rng.choices(COMMON, k=n)).replace("dirty dog", "dirty house")
     clean = [f"{line(12)}. {line(10)}." for _ in range(80)] + [f"{line(6)} {x} {line(3)}." for x in clean_too]
     toxic = [f"{line(8)} {insult} {line(4)}. {line(9)}." for _ in range(40)]
-    return Machine().fit(clean + toxic, np.array([0] * len(clean) + [1] * 40))
+    return Machine().fit(pa.array(clean + toxic), np.array([0] * len(clean) + [1] * 40))
 
 
 def test_phrases_of_ordinary_words():
@@ -94,7 +94,7 @@ def test_insults_that_clean_documents_quote():
 
 def test_empty_and_wordless_training():
     for texts, toxic in (([None, ""], [0, 1]), (["...", "good day"], [1, 0]), (["bad", ""], [1, 0])):
-        assert score(Machine().fit(texts, np.array(toxic)), "good day", None)[1] == 0.0
+        assert score(Machine().fit(pa.array(texts), np.array(toxic)), "good day", None)[1] == 0.0
 
 
 def test_equal_texts_score_alike_and_long_texts_by_parts(monkeypatch):
