@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import context, domains, link, pages, rank, resolve, state, traverse, vectors
+from ..operators import context, domains, lines, link, pages, rank, resolve, state, traverse, vectors
 from ..workspace import shared_edges
 
 NEXT = "lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice)"
@@ -216,6 +216,27 @@ def path_predicates(spark, d):
     return files(spark, d).select("path", T.parent_dir(p).alias("parent"), T.in_domain(p, F.lit("SRC1")).alias("in_domain"), T.matches_glob(p, F.lit("src1/**")).alias("in_glob"), T.matches_glob(p, F.lit("src2*")).alias("in_star"))
 
 
+#: A declaration of each language, around the first word of a line.
+DECLARED = {0: ("rust", "fn ", "("), 1: ("python", "def ", "("), 2: ("typescript", "export class ", " {"), 3: ("go", "func (r) ", "("), 4: ("java", "public void ", "(")}
+
+
+def _declared_sql() -> str:
+    kinds = " ".join(f"when {k} then regexp_replace(text, '(^|\n)([A-Za-z]+) ', '\\1{head}\\2{tail}', 'g')" for k, (_, head, tail) in DECLARED.items())
+    code = f"select doc_id, doc_id % 5 as k, case doc_id % 5 {kinds} end as code from documents"
+    lines = f"select doc_id, k, unnest(string_split(code, chr(10))) as line, unnest(range(1, len(string_split(code, chr(10))) + 1)) as no from ({code})"
+    name = " ".join(f"when {k} then case when starts_with(line, '{head}') then regexp_extract(substr(line, {len(head) + 1}), '^[A-Za-z]+') end" for k, (_, head, _t) in DECLARED.items())
+    kind, private = "case k when 2 then 'class' else 'function' end", "case k when 0 then 'private' else 'public' end"
+    return f"select 'f' || doc_id as file_path, no as start_line, name, {kind} as kind, {private} as visibility from (select *, case k {name} end as name from ({lines})) where name is not null and name <> ''"
+
+
+@query(_declared_sql())
+def line_symbols(spark, d):
+    pick = lambda of: F.element_at(F.create_map(*(F.lit(x) for k, v in DECLARED.items() for x in (k, of(v)))), (F.col("doc_id") % 5).cast("int"))
+    code = F.regexp_replace("text", F.lit(r"(^|\n)([A-Za-z]+) "), pick(lambda v: f"$1{v[1]}$2{v[2]}"))
+    code_files = read(spark, d, "documents").select(F.concat(F.lit("f"), "doc_id").alias("path"), pick(lambda v: v[0]).alias("language"), code.alias("text"))
+    return lines.line_symbols(code_files).select("file_path", F.col("start_line").cast("long").alias("start_line"), "name", "kind", "visibility")
+
+
 @query("select page_id, case page_id % 4 when 0 then 'python' when 1 then 'rust' when 2 then 'typescript' end as language from pages")
 def language_detection(spark, d):
     path = F.expr("concat(url, '/x.', element_at(array('py', 'rs', 'tsx', 'PY'), cast(page_id % 4 as int) + 1))")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
-from graphloom.operators import pages, resolve, traverse
+from graphloom.operators import lines, pages, resolve, traverse
 from graphloom.plans.queries import ORACLE_SQL, QUERIES
 
 from .oracle import connect, differences
@@ -47,3 +47,25 @@ def test_fingerprint_does_not_depend_on_row_order(spark):
     anchors = spark.createDataFrame([("p", 1), ("p", 2)], "page string, id long")
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 1)], "src long, dst long")
     assert pages.fingerprints(anchors, edges).collect() == pages.fingerprints(anchors.orderBy(F.desc("id")), edges.orderBy(F.desc("src"))).collect()
+
+
+def test_symbols_by_line_rules(spark):
+    code = {
+        "a.rs": ("rust", "// fn no()\npub fn one(a: u8) {\n  fn two<T>(x: T)\n#[test]\nstruct Foo {\nasync fn main() {\n"),
+        "b.py": ("python", "def f(x):\n# def no():\n    def inner (y):\nclass A(B):\nclass C:\nasync def skipped():"),
+        "c.js": ("javascript", "export async function go(x) {\r\nexport class Box{\nlet f = function (x) {\nclass Plain extends Box {"),
+        "d.go": ("go", "func main() {\nfunc (s *Server) Run(x int) error {\ntype Server struct {\ntype Name string"),
+        "e.java": ("java", "public class Shop {\n  public int sum(int a) {\n  static void run () {\n  int x = 1;"),
+        "f.txt": (None, "def f():"),
+        "g.py": ("python", None),
+    }
+    rows = [(path, language, text) for path, (language, text) in code.items()]
+    got = lines.line_symbols(spark.createDataFrame(rows, "path string, language string, text string")).collect()
+    assert {(r.file_path, r.start_line, r.kind, r.name, r.visibility) for r in got} == {
+        ("a.rs", 2, "function", "one", "public"), ("a.rs", 3, "function", "two<T>", "private"), ("a.rs", 5, "class", "Foo", "public"), ("a.rs", 6, "function", "main", "public"),
+        ("b.py", 1, "function", "f", "public"), ("b.py", 3, "function", "inner", "public"), ("b.py", 4, "class", "A", "public"), ("b.py", 5, "class", "C", "public"),
+        ("c.js", 1, "function", "go", "public"), ("c.js", 2, "class", "Box", "public"), ("c.js", 4, "class", "Plain", "public"),
+        ("d.go", 1, "function", "main", "public"), ("d.go", 2, "function", "Run", "public"), ("d.go", 3, "class", "Server", "public"),
+        ("e.java", 1, "class", "Shop", "public"), ("e.java", 2, "function", "sum", "public"), ("e.java", 3, "function", "run", "public"),
+    }
+    assert len({r.id for r in got}) == len(got)
