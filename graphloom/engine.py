@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.prose import SLOT, keep_prose, prose, with_prose
+from .functions.prose import SLOT, adds_context, for_context, keep_prose, prose, with_prose
 from .functions.text import parent_dir, redact, stable_id
 from .operators import compile as compiled
 from .operators import context as contexts
@@ -211,11 +211,27 @@ class Engine:
         near = self.store.table("symbols").where(F.lower("name").contains(name.lower())).orderBy("file_path", "start_line", "id").limit(SUGGESTIONS).collect()
         return {"flow": None, "suggestions": [r.name for r in near], "enriched_description": None, "description_source": "deterministic"}
 
-    def context(self, name: str, task: str = "fix", budget: int | None = None, auto_budget: bool = False, plan: bool = False) -> dict:
-        """The context of a symbol within a budget: the given one, the recommended one (`auto_budget`), or that of the task."""
+    def context(self, name: str, task: str = "fix", budget: int | None = None, auto_budget: bool = False, plan: bool = False, model: Callable[[str], str] | None = None) -> dict:
+        """The context of a symbol within a budget: the given one, the recommended one (`auto_budget`), or that of the task.
+        With a model, its pages without prose are filled first, as by `enrich`."""
         kind = contexts.task_of(task)
         tables = {t: self.store.table(t) for t in ("symbols", "edges", "files", "embeddings")} | {"pages": self.store.pages()}
-        return contexts.assemble(self.spark, tables, self.symbol(name), kind, None if auto_budget else kind.budget if budget is None else budget, plan)
+        found = contexts.assemble(self.spark, tables, self.symbol(name), kind, None if auto_budget else kind.budget if budget is None else budget, plan)
+        return found if model is None or plan else self._enriched(found, kind, model)
+
+    def _enriched(self, found: dict, task: contexts.Task, model: Callable[[str], str]) -> dict:
+        for key in ("wiki", "flow_wiki"):
+            ident = found[f"{key}_page_id"]
+            if ident is None or self.store.pages().where((F.col("id") == ident) & prose(F.col("body")).isNull()).isEmpty():
+                continue
+            self.enrich(ident, model)
+            text = for_context(F.col("body"))
+            page = self.store.pages().where(F.col("id") == ident).select(text.alias("text"), adds_context(text).alias("adds"), prose(F.col("body")).alias("prose")).first()
+            if page.adds:
+                found = found | {f"{key}_body": page.text}
+                if key == "wiki":
+                    found |= {"enriched_summary": page.prose, "summary_source": "mcp_sampling"}
+        return contexts.refreshed(found, task)
 
     # Domains
 

@@ -208,8 +208,8 @@ def markdown(c: dict, task: Task) -> str:
         out.append("## Related tests\n\n" + "".join(f"- `{p}`\n" for p in c["related_tests"]) + "\n")
     if c["callers"] or c["callees"]:
         out.append("## Call graph\n\n" + "".join(f"**{side.capitalize()}:** {', '.join(c[side])}\n\n" for side in ("callers", "callees") if c[side]))
-    if c["affected"]:
-        more = len(c["affected_symbol_ids"]) - len(c["affected"])
+    if c["budget_advice"]["impact_entries_shown"]:
+        more = c["budget_advice"]["impact_entries_total"] - c["budget_advice"]["impact_entries_shown"]
         rest = f"\n_…and {more} more (increase `--budget` or use `--auto-budget`)_\n" if more else ""
         out.append(IMPACT_HEAD + "".join(f"- **{r['name']}** — `{_place(r)}`\n" for r in c["affected"]) + rest + "\n")
     if c["related_components"]:
@@ -217,6 +217,12 @@ def markdown(c: dict, task: Task) -> str:
     return "".join(out)
 
 
+def refreshed(c: dict, task: Task) -> dict:
+    """A context after its texts changed, rendered anew. As only the symbol itself is at hand then, no other is listed under impact."""
+    out = c | {"affected": [r for r in c["affected"] if r["id"] == c["symbol"]["id"]]}
+    return out | {"markdown": markdown(out, task)}
+
+
 def plan_markdown(c: dict, task: Task) -> str:
     """What a context would hold and need."""
     a = c["budget_advice"]

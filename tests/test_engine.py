@@ -93,6 +93,19 @@ def test_pages_lint_and_prose(built):
     assert engine.page("main").stale and engine.sync() == 2 and engine.lint()["strict_ok"]
 
 
+def test_context_with_a_model(built):
+    _, engine, _ = built
+    plain, asked = engine.context("main"), []
+    assert plain["enriched_summary"] is None and plain["summary_source"] == "deterministic" and plain["affected"]
+    got = engine.context("main", model=lambda p: asked.append(p) or "It starts the shop and charges nobody twice.")
+    assert len(asked) == 1 and got["enriched_summary"] == "It starts the shop and charges nobody twice." and got["summary_source"] == "mcp_sampling"
+    assert got["enriched_summary"] in got["wiki_body"] and got["enriched_summary"] in got["markdown"]
+    assert "## Impact" in got["markdown"] and not got["affected"] and got["affected_symbol_ids"] == plain["affected_symbol_ids"]
+    again = engine.context("main", model=lambda p: asked.append(p) or "no")
+    assert len(asked) == 1 and again["enriched_summary"] is None and got["enriched_summary"] in again["wiki_body"]
+    assert engine.context("main", plan=True, model=asked.append)["markdown"].startswith("# Context plan") and len(asked) == 1
+
+
 def test_domains_and_commands(built, spark):
     folder, engine, _ = built
     assert engine.rename_domain("pay", "payments")["name"] == "payments"
