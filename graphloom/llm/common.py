@@ -41,14 +41,17 @@ def _removed(spark: SparkSession, folder: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The rows, written once to a table in the shared folder: nothing is computed twice or lost with an executor, and the plan starts anew."""
+def saved(df: DataFrame, by: str | None = None) -> DataFrame:
+    """The rows, written once to a table in the shared folder: nothing is computed twice or lost with an executor, and the plan starts anew.
+
+    by: a column whose values get folders of their own, so that reading one of them reads no others."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -56,6 +59,14 @@ def saved(df: DataFrame) -> DataFrame:
     return out
 
 
+def named(df: DataFrame, key: str, text: str, *results: str) -> DataFrame:
+    """(key, text) of any column names; a key that is named like a result is refused, as the result would have two columns of one name."""
+    if key in {text, *results}:
+        raise ValueError(f"the key column {key!r} is named like a result; rename it")
+    quoted = lambda name: F.col("`" + name.replace("`", "``") + "`")
+    return df.select(quoted(key).alias("key"), quoted(text).alias("text"))
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes saved tables after their last use; nothing that is still to be computed may read them."""
     for df in tables:

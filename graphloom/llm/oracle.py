@@ -63,4 +63,14 @@ select doc_id, len(words)::bigint as n_words, coalesce(hit.n, 0)::bigint as n_hi
 from d left join hit using (r) left join items using (r)
 """
 
-ORACLE_SQL = {"op1_substring_dedup": OP1, "op8_ngram_jaccard_join": OP8, "op9_benchmark_decontamination": OP9}
+OP11 = f"""
+with d as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+l as (select r, doc_id, unnest(lines) as line, unnest(range(1, len(lines) + 1)) as i from d),
+k as (select *, {LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} as line_key from l),
+c as (select line_key, max(doc_id) as keep from k where length(line_key) >= 20 group by line_key having count(distinct doc_id) >= 3),
+m as (select r, line, i, coalesce(doc_id <> keep, false) as gone from k left join c using (line_key))
+select doc_id, len(lines)::bigint as n_lines, n_dropped, sha256(coalesce(kept, '')) as kept_sha256
+from d join (select r, count(*) filter (gone) as n_dropped, string_agg(line, chr(10) order by i) filter (not gone) as kept from m group by r) using (r)
+"""
+
+ORACLE_SQL = {"op1_substring_dedup": OP1, "op8_ngram_jaccard_join": OP8, "op9_benchmark_decontamination": OP9, "op11_line_dedup": OP11}

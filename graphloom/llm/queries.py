@@ -6,6 +6,7 @@ from .decontamination import op9_benchmark_decontamination
 from .html_extraction import op7_html_extraction
 from .jaccard_join import op8_ngram_jaccard_join
 from .language_model import op5_lm_scoring
+from .line_dedup import op11_line_dedup
 from .oracle import ORACLE_SQL
 from .privacy import op6_pii_sanitisation
 from .quality import op2_quality_classifier
@@ -27,6 +28,7 @@ QUERIES = {
         op8_ngram_jaccard_join,
         op9_benchmark_decontamination,
         op10_quality_rules,
+        op11_line_dedup,
     )
 }
 
