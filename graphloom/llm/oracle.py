@@ -73,4 +73,25 @@ select doc_id, len(lines)::bigint as n_lines, n_dropped, sha256(coalesce(kept, '
 from d join (select r, count(*) filter (gone) as n_dropped, string_agg(line, chr(10) order by i) filter (not gone) as kept from m group by r) using (r)
 """
 
-ORACLE_SQL = {"op1_substring_dedup": OP1, "op8_ngram_jaccard_join": OP8, "op9_benchmark_decontamination": OP9, "op11_line_dedup": OP11}
+#: The crc32 goes bit by bit: eight entries a byte, of which the first brings the byte in. Characters lie below U+0100, so they have two bytes at most.
+OP13 = f"""
+with recursive r as (select doc_id, unnest(regexp_extract_all({LOWER.format("text")}, '[a-zÀ-ÿ]+')) as run from documents),
+d as (select doc_id, run, count(*) as times from r where length(run) >= 5 group by all),
+b as (select *, flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || run, ''), lambda x: case when unicode(x) < 128 then [unicode(x)] else [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] end)) as bytes from d),
+s as (select run, times, list_prepend(4294967295::bigint, flatten(list_transform(bytes, lambda x: [x::bigint, 0, 0, 0, 0, 0, 0, 0]))) as steps from b),
+c as (select run, times, xor(list_reduce(steps, lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295) as h from s),
+o as (select case when h % 97 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, times from c),
+v as (select word, sum(times)::bigint as n from o where length(word) >= 5 group by word having sum(times) >= 3),
+i as (select word, n, unnest(range(1, length(word) + 1)) as i from v),
+g as (select word, n, i, left(word, i - 1) || '_' || substr(word, i + 1) as pattern, left(word, i - 1) || substr(word, i + 1) as shorter from i),
+p as (
+  select a.word, b.word as near, b.n as near_n from g a join g b on a.pattern = b.pattern and a.word <> b.word
+  union select g.word, v.word, v.n from g join v on g.shorter = v.word union select v.word, g.word, g.n from g join v on g.shorter = v.word
+),
+m as (select word, count(*) as n_near, arg_min({{'near': near, 'n': near_n}}, {{'less': -near_n, 'near': near}}) as best from p group by word),
+f as (select word, n, coalesce(n_near, 0) as n_near, case when best.n >= 2 * n then best.near end as form, case when best.n >= 2 * n then best.n end as form_n from v left join m using (word)),
+t(word, root) as (select word, word from f where form is null union all select f.word, t.root from f join t on f.form = t.word)
+select word, form, root, n, n_near, form_n from f join t using (word)
+"""
+
+ORACLE_SQL = {"op1_substring_dedup": OP1, "op8_ngram_jaccard_join": OP8, "op9_benchmark_decontamination": OP9, "op11_line_dedup": OP11, "op13_spelling_variants": OP13}

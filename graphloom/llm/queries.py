@@ -12,6 +12,7 @@ from .privacy import op6_pii_sanitisation
 from .quality import op2_quality_classifier
 from .quality_rules import op10_quality_rules
 from .sentencepiece_codec import op4_sentencepiece
+from .spelling import op13_spelling_variants
 from .substring_dedup import op1_substring_dedup
 from .toxicity import op3_toxicity
 
@@ -29,6 +30,7 @@ QUERIES = {
         op9_benchmark_decontamination,
         op10_quality_rules,
         op11_line_dedup,
+        op13_spelling_variants,
     )
 }
 
