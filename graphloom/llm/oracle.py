@@ -73,6 +73,20 @@ select doc_id, len(lines)::bigint as n_lines, n_dropped, sha256(coalesce(kept, '
 from d join (select r, count(*) filter (gone) as n_dropped, string_agg(line, chr(10) order by i) filter (not gone) as kept from m group by r) using (r)
 """
 
+OP12 = """
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+s as (select a.vec_id as anchor, a.label = b.label as same, b.vec_id as other, list_inner_product(a.v, b.v)::bigint as score from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor, other as positive, score from s where same qualify row_number() over (partition by anchor order by score desc, other) <= 5),
+n as (
+  select p.anchor, p.positive, p.score as positive_score, s.other as negative_id, s.score as negative_score, row_number() over (partition by p.anchor, p.positive order by s.score desc, s.other) as r
+  from p join s on s.anchor = p.anchor and not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score
+)
+select anchor as anchor_id, positive as positive_id, r::int as rank, negative_id, positive_score, negative_score from n where r <= 10
+"""
+
 #: The crc32 goes bit by bit: eight entries a byte, of which the first brings the byte in. Characters lie below U+0100, so they have two bytes at most.
 OP13 = f"""
 with recursive r as (select doc_id, unnest(regexp_extract_all({LOWER.format("text")}, '[a-zÀ-ÿ]+')) as run from documents),
@@ -94,4 +108,4 @@ t(word, root) as (select word, word from f where form is null union all select f
 select word, form, root, n, n_near, form_n from f join t using (word)
 """
 
-ORACLE_SQL = {"op1_substring_dedup": OP1, "op8_ngram_jaccard_join": OP8, "op9_benchmark_decontamination": OP9, "op11_line_dedup": OP11, "op13_spelling_variants": OP13}
+ORACLE_SQL = {"op1_substring_dedup": OP1, "op8_ngram_jaccard_join": OP8, "op9_benchmark_decontamination": OP9, "op11_line_dedup": OP11, "op12_hard_negatives": OP12, "op13_spelling_variants": OP13}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op9_benchmark_decontamination
+from .hard_negatives import op12_hard_negatives
 from .html_extraction import op7_html_extraction
 from .jaccard_join import op8_ngram_jaccard_join
 from .language_model import op5_lm_scoring
@@ -30,6 +31,7 @@ QUERIES = {
         op9_benchmark_decontamination,
         op10_quality_rules,
         op11_line_dedup,
+        op12_hard_negatives,
         op13_spelling_variants,
     )
 }
