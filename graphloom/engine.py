@@ -187,11 +187,14 @@ class Engine:
     def impact(self, name: str, depth: int = 3) -> dict:
         """What a symbol leads to within a depth: ids, directories in order of appearance, test files, and whether that is many."""
         root = self.symbol(name)
+        path = F.col("path")
         nodes = self.store.table("symbols").select("id", parent_dir(F.col("file_path")).alias("module"), F.col("file_path").alias("path"))
         roots = self.spark.createDataFrame([(root.id,)], "root string")
-        met = traverse.impact(graph.links(self.store.table("edges")), nodes, roots, depth).first()
-        risk = [f"{root.name} has {len(met.affected)} downstream dependents within depth {depth}"] if met.risk else []
-        return {"symbol": root.asDict(), "affected_symbol_ids": met.affected, "affected_modules": met.modules, "related_tests": met.tests, "risk_zones": risk}
+        links = graph.links(self.store.table("edges"))
+        met = traverse.impact(links, nodes, roots, depth).first()
+        rows = self._reach(root, depth).join(nodes, F.col("node") == F.col("id"), "left").orderBy("depth", "node").select("node", F.when(path.contains("test") | path.contains("spec"), path)).collect()
+        risk = [f"{root.name} has {met.affected} downstream dependents within depth {depth}"] if met.risk else []
+        return {"symbol": root.asDict(), "affected_symbol_ids": [r[0] for r in rows], "affected_modules": met.modules, "related_tests": sorted(r[1] for r in rows if r[1]), "risk_zones": risk}
 
     def dependencies(self, name: str, depth: int = 3, upstream: bool = False) -> dict:
         """Ids below a symbol; `upstream` also gives those above, which is otherwise empty."""

@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialized
+from .sets import PART, PIECE, united
 
+#: Each level reads the one before twice; the plan is cut that often.
 CUT_EVERY = 4
+#: Roots that walk in rows.
+FEW = 64
 
 
 def reachable(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(root, node, depth): nodes on a walk of 1..max(depth, 1) edges from each root, with the least number of edges.
 
-    The root itself is there only if a cycle leads back to it. A node goes into a frontier once, so the work is
-    bounded by the edges met, not by the number of walks.
+    The root itself is there only if a cycle leads back to it. A node goes into a root's frontier once, so the work is bounded by the
+    edges met, not by the number of walks. More than FEW roots walk together in sets, fewer in rows, which need no sets of all nodes' successors.
     """
-    frontier = roots.select("root", F.col("root").alias("node"))
-    seen = None
+    roots = roots.select("root")
+    if roots.limit(FEW + 1).count() > FEW:
+        return reach_sets(edges, roots, depth).select("root", F.explode("nodes").alias("node"), "depth")
+    frontier, seen = roots.select("root", F.col("root").alias("node")), None
     for level in range(1, max(depth, 1) + 1):
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
         if seen is not None:
@@ -30,21 +38,53 @@ def reachable(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def reach_sets(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """(root, part, depth, nodes): the nodes of each root by their least number of edges, in sets.
+
+    What moves are sets, not rows of one node: the successors of a node are arrays of up to PIECE, a frontier takes them over whole,
+    and a root's arrays are united where they meet, in one pass over sorted rows. In graphs of more than PART nodes, nodes are dealt to
+    parts, and a root has a set of its own in each, so that no task ever holds more than about PART nodes of one root. A node goes into a
+    frontier once, so the work is bounded by the edges met, not by the number of walks."""
+    links = materialized(edges.select("src", "dst").where("src is not null and dst is not null"))
+    parts = math.ceil((links.agg(F.approx_count_distinct("dst")).first()[0] or 1) / PART)
+    part = F.pmod(F.xxhash64("dst"), F.lit(parts)).cast("int")
+    turn = F.row_number().over(Window.partitionBy("src").orderBy("part", "dst"))
+    near = links.distinct().withColumn("part", part).withColumn("piece", F.floor(turn / PIECE))
+    near = near.groupBy("src", "part", "piece").agg(F.collect_list("dst").alias("nodes")).drop("piece")
+    front, state = roots.select("root", F.col("root").alias("node")).distinct(), None
+    for level in range(1, max(depth, 1) + 1):
+        step = front.join(near, front["node"] == near["src"]).select("root", "part", F.lit(level).alias("depth"), "nodes")
+        if state is not None:
+            met = state.unionByName(step).repartition("root", "part").sortWithinPartitions("root", "part")
+            step = met.mapInArrow(lambda batches, level=level: united(batches, level), met.schema)
+        if level % CUT_EVERY == 0:
+            step = materialized(step)
+        state = step if state is None else state.unionByName(step)
+        front = step.select("root", F.explode("nodes").alias("node"))
+    return state
+
+
 #: Fixed value: more affected symbols than this are a risk.
 RISK = 10
 
 
 def impact(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """One row per root: affected ids by depth and id, the directories (module) of those known to `nodes` (id, module, path) in order of
-    first appearance, the sorted test paths among them, and whether the risk flag is set."""
+    """One row per root: affected and tests (long): how many nodes it reaches, and how many of them lie in test paths; risk: whether affected
+    is many; modules: the directories of the nodes known to `nodes` (id, module, path) in order of first appearance (by depth, then id).
+
+    Only counts and the modules' first places are gathered, never a root's nodes."""
     met = reachable(edges, roots, depth).join(nodes, F.col("node") == F.col("id"), "left")
-    test = F.col("path").contains("test") | F.col("path").contains("spec")
-    modules = met.where("module <> ''").groupBy("root", "module").agg(F.min(F.struct("depth", "node")).alias("at")).groupBy("root").agg(F.array_sort(F.collect_list(F.struct("at", "module"))).alias("m"))
-    rows = met.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("depth", "node"))).alias("a"), F.array_sort(F.collect_list(F.when(test, F.col("path")))).alias("tests"))
-    out = roots.join(rows, "root", "left").join(modules, "root", "left")
-    ids, names = F.transform("a", lambda x: x["node"]), F.transform("m", lambda x: x["module"])
-    empty = F.array().cast("array<string>")
-    return out.select("root", F.coalesce(ids, F.filter(F.array("root"), lambda x: F.lit(False))).alias("affected"), F.coalesce(names, empty).alias("modules"), F.coalesce("tests", empty).alias("tests"), (F.coalesce(F.size("a"), F.lit(0)) > RISK).alias("risk"))
+    test, levels = F.col("path").contains("test") | F.col("path").contains("spec"), range(1, max(depth, 1) + 1)
+    # The least node of each depth by itself: a minimum of structs would have all rows sorted.
+    least = [F.min(F.when(F.col("depth") == k, F.col("node"))).alias(f"least{k}") for k in levels]
+    first = met.groupBy("root", "module").agg(F.count("*").alias("n"), F.count_if(test).alias("t"), *least)
+    at = F.coalesce(*(F.when(F.col(f"least{k}").isNotNull(), F.struct(F.lit(k).alias("depth"), F.col(f"least{k}").alias("node"))) for k in levels))
+    named = F.when(F.col("module") != "", F.struct(at.alias("at"), "module"))
+    rows = first.groupBy("root").agg(F.sum("n").alias("affected"), F.sum("t").alias("tests"), F.array_sort(F.collect_list(named)).alias("m"))
+    out = roots.join(rows, "root", "left")
+    zero = F.lit(0).cast("long")
+    modules = F.coalesce(F.transform("m", lambda x: x["module"]), F.array().cast("array<string>"))
+    return out.select("root", F.coalesce("affected", zero).alias("affected"), F.coalesce("tests", zero).alias("tests"), (F.coalesce("affected", zero) > RISK).alias("risk"), modules.alias("modules"))
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:

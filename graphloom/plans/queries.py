@@ -84,7 +84,7 @@ def impact_summary(spark, d):
     roots = parts.select(F.col("p_partkey").alias("root"))
     nodes = parts.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("module"), F.col("p_name").alias("path"))
     met = traverse.impact(edges(spark, d), nodes, roots, 2)
-    return met.select("root", F.size("affected").cast("long").alias("affected"), F.size("tests").cast("long").alias("tests"), "risk", F.array_join("modules", ",").alias("modules"))
+    return met.select("root", "affected", "tests", "risk", F.array_join("modules", ",").alias("modules"))
 
 
 @query(f"select distinct root, node as dependency from (with e as ({EDGES_SQL}) select a.src as root, b.dst as node from e a join e b on a.dst = b.src union select src, dst from e)")
