@@ -1,4 +1,4 @@
-"""Watching a source tree with Structured Streaming."""
+"""Watching a source tree with Structured Streaming: changes, bursts of them, and a rebuild after each burst."""
 
 from __future__ import annotations
 
@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.state import changes
-from ..sources import tree
+from ..sources.changes import IGNORED, TreeChanges
+from ..sources.store import qualified
 
-#: Fixed value: changes under these directories don't count.
-IGNORED = (".git", "target", "node_modules", "dist", "build", ".graphloom")
+#: Fixed value: a burst has ended when nothing changed for so long.
+QUIET = "400 milliseconds"
+#: Partitions of the state; its keys are trees.
+STATE_PARTITIONS = 4
 
 
 def watched(path: F.Column) -> F.Column:
@@ -20,9 +22,11 @@ def watched(path: F.Column) -> F.Column:
     return ~F.arrays_overlap(F.split(path, "/"), F.array(*(F.lit(x) for x in IGNORED)))
 
 
-def bursts(events: DataFrame, ts: str, key: str, gap: str) -> DataFrame:
-    """(key, changes, first_change): bursts of events less than a gap apart. On a stream, set a watermark on ts first."""
-    return events.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("changes"), F.min(ts).alias("first_change")).drop("w")
+def bursts(events: DataFrame, ts: str, key: str, gap: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, changes, first_change): bursts of events less than a gap apart. On a stream, set a watermark on ts first: a burst comes out once
+    the watermark has passed its last event by the gap. `keep` names columns that are kept of every event, with its time as `at`, in the array `events`."""
+    kept = [F.collect_list(F.struct(*keep, F.col(ts).alias("at"))).alias("events")] if keep else []
+    return events.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("changes"), F.min(ts).alias("first_change"), *kept).drop("w")
 
 
 def last_changes(events: DataFrame) -> DataFrame:
@@ -30,39 +34,33 @@ def last_changes(events: DataFrame) -> DataFrame:
     return events.groupBy("path").agg(F.max_by("change", "at").alias("change")).where("change is not null")
 
 
-def poll(spark: SparkSession, folder: str, state: str, rebuild: Callable[[DataFrame, int], None], number: int = 0) -> bool:
-    """Calls rebuild with (path, change) of what was added, changed or removed since the last call, if anything that counts was.
-
-    `state` is a folder for the last snapshot of hashes, kept by number, so a repeated call after a failure sees the same changes."""
-    kept = _numbers(spark, state)
-    now = tree.scan(spark, folder).select("path", F.col("content_hash").alias("hash"))
-    new = max(kept, default=-1) + 1
-    now.write.mode("overwrite").parquet(f"{state}/{new}")
-    before = spark.read.parquet(f"{state}/{max(kept)}") if kept else spark.createDataFrame([], "path string, hash string")
-    found = changes(spark.read.schema("path string, hash string").parquet(f"{state}/{new}"), before).where(watched(F.col("path")))
-    met = not found.isEmpty()
-    if met:
-        rebuild(found, number)
-    for old in kept:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/{old}")
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return met
-
-
-def _numbers(spark: SparkSession, state: str) -> list[int]:
-    """The finished snapshots of a folder."""
-    Path = spark._jvm.org.apache.hadoop.fs.Path  # noqa: N806
-    top = Path(state)
-    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(top):
-        return []
-    names = [f.getPath().getName() for f in files.listStatus(top)]
-    return sorted(int(n) for n in names if n.isdigit() and files.exists(Path(f"{state}/{n}/_SUCCESS")))
-
-
-def watch(spark: SparkSession, folder: str, checkpoint: str, rebuild: Callable[[DataFrame, int], None], *, every: str = "400 milliseconds", once: bool = False) -> StreamingQuery:
-    """A stream whose clock compares the tree with its last snapshot and calls rebuild with the changes (path, change); all
-    changes between two ticks come at once. With `once` it ends after one tick."""
-    clock = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
-    writer = clock.writeStream.foreachBatch(lambda _, number: poll(spark, folder, f"{checkpoint}/snapshots", rebuild, number) and None).option("checkpointLocation", f"{checkpoint}/clock")
+def tree_changes(spark: SparkSession, folder: str, state: str) -> DataFrame:
+    """The stream (tree, path, change, at) of a folder. Each trigger also gives a row without path, so that time goes on while nothing changes."""
+    spark.dataSource.register(TreeChanges)
+    return spark.readStream.format(TreeChanges.name()).option("root", qualified(spark, folder)).option("state", qualified(spark, state)).load()
+
+
+def debounced(events: DataFrame, quiet: str = QUIET) -> DataFrame:
+    """Bursts of the changes (tree, path, change, at), each once its tree has been quiet. Rows without path only move the watermark on."""
+    # The condition names the time, so that it isn't pushed below the watermark, which would not see the other rows then.
+    told = events.withWatermark("at", "0 seconds").where("case when at is not null then path is not null else false end")
+    return bursts(told, "at", "tree", quiet, ("path", "change"))
+
+
+def watch(spark: SparkSession, folder: str, checkpoint: str, rebuild: Callable[[DataFrame, int], None], *, every: str = "400 milliseconds", quiet: str = QUIET, once: bool = False) -> StreamingQuery:
+    """A stream that lists the tree `every` so often and calls rebuild with the changes (path, change) of each burst, when nothing has
+    changed for the time `quiet`. With `once` it looks once and calls rebuild with what has changed until then, without waiting."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", STATE_PARTITIONS)
+    events = tree_changes(own, folder, f"{checkpoint}/snapshots")
+
+    def call(rows: DataFrame, number: int) -> None:
+        changes = rows if once else rows.select(F.explode("events").alias("e")).select("e.*")
+        found = last_changes(changes.where(watched(F.col("path"))))
+        if not found.isEmpty():
+            rebuild(found, number)
+
+    # A query with a state can't go on as one without: each has a checkpoint of its own. The snapshots are those of the query that ran last.
+    stream = events.where("path is not null") if once else debounced(events, quiet)
+    writer = stream.writeStream.outputMode("append").foreachBatch(call).option("checkpointLocation", f"{checkpoint}/{'once' if once else 'clock'}")
     return (writer.trigger(once=True) if once else writer.trigger(processingTime=every)).start()
