@@ -12,13 +12,16 @@ from .functions.text import parent_dir, redact, stable_id
 from .operators import compile as compiled
 from .operators import context as contexts
 from .operators import graph, traverse, vectors
-from .operators.state import upsert
+from .operators.state import changes, upsert
+from .session import materialized
 from .sources import parse, tree
 from .sources.store import INDEX, NotBuilt, Store, read_text
 
 DOMAIN = "id string, name string, source string, user_confirmed boolean"
 MEMBER = "domain_id string, member_kind string, member_value string"
 CACHE = "entity_kind string, entity_id string, summary string, source string"
+#: Tables that an incremental build goes on from.
+KEPT = ("files", "parsed", "symbols", "references", "entrypoints", "embeddings")
 SUGGESTIONS, PROMPT_CHARS = 5, 1200
 SYMBOL_JSON = {"file_path": "filePath", "start_line": "startLine", "end_line": "endLine", "module_id": "moduleId"}
 EDGE_JSON = {"src_symbol_id": "srcSymbolId", "dst_symbol_id": "dstSymbolId", "edge_type": "edgeType"}
@@ -45,23 +48,38 @@ class Engine:
     def build(self, incremental: bool = True) -> dict[str, int]:
         """Scans and parses the tree and rebuilds everything that follows; counts of what was done.
 
-        An incremental build parses only new and changed files, and keeps files that have gone. A full one starts afresh
-        but for the user's domains and the cache of summaries.
+        An incremental build parses only new and changed files, and keeps files that have gone. Symbols, entry points and embeddings of
+        other files stay as they are, and of their references only those to names whose symbols changed are resolved again. A full one
+        starts afresh but for the user's domains and the cache of summaries.
         """
-        store, spark = self.store, self.spark
-        old = incremental and store.built()
-        now = tree.scan(spark, store.root)
-        files = now.unionByName(store.table("files").join(now.select("path"), "path", "left_anti")) if old else now
-        files = store.stage("files", files)
-        key = ["path", "content_hash"]
-        fresh = files.join(store.table("parsed").select(*key), key, "left_anti") if old else files
-        read = parse.parsed(fresh).join(fresh.select(*key), "path")
-        parsed = store.stage("parsed", read.unionByName(store.table("parsed").join(files.select(*key), key, "left_semi")) if old else read)
-        new = fresh.count()
-
-        symbols = store.stage("symbols", graph.symbols(parsed))
-        edges = store.stage("edges", graph.edges(parsed, symbols))
-        entrypoints = store.stage("entrypoints", graph.entrypoints(parsed, symbols))
+        store = self.store
+        old = {n: store.table(n) for n in KEPT} if incremental and set(KEPT) <= set(store.tables()) else None
+        now = tree.scan(self.spark, store.root)
+        if old:
+            hashes = lambda files: files.select("path", F.col("content_hash").alias("hash"))
+            changed = materialized(changes(hashes(now), hashes(old["files"])).where("change <> 'removed'").select("path"))
+        else:
+            changed = None
+        # A table of the last state without the rows of changed files, and those that files now have.
+        joined = lambda name, path, new: graph.without(old[name], changed, path).unionByName(new) if old else new
+        fresh = now.join(changed, "path", "left_semi") if old else now
+        files = store.stage("files", joined("files", "path", fresh))
+        read = files.join(changed, "path", "left_semi") if old else files
+        parsed = store.stage("parsed", joined("parsed", "path", parse.parsed(read).join(read.select("path", "content_hash"), "path")))
+        part = parsed.join(changed, "path", "left_semi") if old else parsed
+        symbols = store.stage("symbols", joined("symbols", "file_path", graph.symbols(part)))
+        if old:
+            own = symbols.join(changed.select(F.col("path").alias("file_path")), "file_path", "left_semi")
+            found = graph.advanced(old["references"], part, changed, old["symbols"], symbols)
+            # Rows by symbol: those of symbols that the changed files had or have are made anew.
+            ids = old["symbols"].join(changed.select(F.col("path").alias("file_path")), "file_path", "left_semi").select(F.col("id").alias("symbol_id"))
+            rest = lambda name: old[name].join(ids, "symbol_id", "left_anti")
+        else:
+            own, found, rest = symbols, graph.resolved(graph.references(part), symbols), None
+        references = store.stage("references", found)
+        edges = store.stage("edges", graph.edges_of(references))
+        points = graph.entrypoints(part, own)
+        store.stage("entrypoints", rest("entrypoints").unionByName(points) if old else points)
         domains, members = self._kept("domains", DOMAIN), self._kept("members", MEMBER)
         found = graph.with_overrides(graph.flows(symbols, edges), domains, members, symbols, edges)
         flows = store.stage("flows", found)
@@ -69,13 +87,15 @@ class Engine:
         store.stage("domains", upsert(confirmed, flows.join(confirmed.select("id"), "id", "left_anti").select("id", "name", F.lit("auto").alias("source"), F.lit(False).alias("user_confirmed")), "id"))
         store.stage("members", members)
         store.stage("enrichments", self._kept("enrichments", CACHE))
-        embeddings = store.stage("embeddings", vectors.symbol_embeddings(symbols))
+        vector = vectors.symbol_embeddings(own)
+        store.stage("embeddings", rest("embeddings").unionByName(vector) if old else vector)
         store.commit()
         self.write_artifacts()
         pages = self.compile()
         report = self.lint()
-        total = files.count()
-        return {"files_parsed": new, "files_skipped": total - new, "symbols": symbols.count(), "edges": edges.count(), "entrypoints": entrypoints.count(), "flows": flows.count(), "embeddings": embeddings.count(), "pages": pages, "stale_pages": len(report["stale_page_ids"])}
+        new = changed.count() if old else store.rows["files"]
+        counts = {name: store.rows[name] for name in ("symbols", "edges", "entrypoints", "flows", "embeddings")}
+        return {"files_parsed": new, "files_skipped": store.rows["files"] - new, **counts, "pages": pages, "stale_pages": len(report["stale_page_ids"])}
 
     def _kept(self, name: str, schema: str) -> DataFrame:
         return self.store.table(name) if name in self.store.tables() else self.spark.createDataFrame([], schema)
@@ -105,7 +125,7 @@ class Engine:
         pages = self.store.stage("pages", pages.unionByName(index))
         self.store.commit()
         self.store.write_pages(pages)
-        return pages.count()
+        return self.store.rows["pages"]
 
     def stale_queue(self) -> list[str]:
         if read_text(self.spark, f"{self.store.folder}/wiki_stale.json") is None:

@@ -6,12 +6,13 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.prose import adds_context, for_context
 from ..functions.text import OVERHEAD_TOKENS, estimate_tokens, impact_line_tokens, line_slice, snippet_tokens
 from . import rank, traverse, vectors
+from .contain import contained
 from .graph import links
 from .pages import best_page, smallest_page
 
@@ -69,10 +70,20 @@ def alike(name: Column, names: list[str]) -> Column:
     return F.exists(near, lambda n: lowered.contains(n) | n.contains(lowered))
 
 
-def related_tests(symbols: DataFrame, names: list[str]) -> DataFrame:
-    """Symbols of test files whose name holds one of the names or lies within it."""
+def related_tests(symbols: DataFrame, names: DataFrame) -> DataFrame:
+    """(root, id): for each root of names (root, name) the first TESTS symbols of test files, by id, whose name holds one of the root's names or
+    lies within it, in any case.
+
+    Different names meet once, however many symbols have them, and at every step no name or root keeps more than its first TESTS."""
     path = F.lower("file_path")
-    return symbols.where((path.contains("test") | path.contains("spec")) & alike(F.col("name"), names)).orderBy("id").limit(TESTS)
+    first = lambda rows, key: rows.withColumn("turn", F.row_number().over(Window.partitionBy(key).orderBy("id"))).where(F.col("turn") <= TESTS).drop("turn")
+    tests = first(symbols.where(path.contains("test") | path.contains("spec")).select(F.lower("name").alias("test"), "id"), "test")
+    asked = names.select("root", F.lower("name").alias("name")).distinct()
+    ours, theirs = asked.select(F.col("name").alias("text")), tests.select(F.col("test").alias("text"))
+    needle = lambda rows: rows.withColumnRenamed("text", "needle")
+    pairs = contained(needle(ours), theirs).toDF("name", "test").unionByName(contained(needle(theirs), ours).toDF("test", "name")).distinct()
+    met = first(pairs.join(tests, "test").select("name", "id"), "name")
+    return first(asked.join(met, "name").select("root", "id").distinct(), "root")
 
 
 def _knowledge(pages: DataFrame, root: str, kinds: tuple[str, ...] | None = None) -> tuple[str | None, str | None]:
@@ -98,7 +109,8 @@ def assemble(spark: SparkSession, tables: dict[str, DataFrame], root: Row, task:
     callers, callees = ([r for r in met if r.side == side] for side in ("caller", "callee"))
     reach = traverse.reachable(links(tables["edges"]), spark.createDataFrame([(root.id,)], "root string"), task.depth)
     affected = reach.join(symbols, F.col("node") == F.col("id")).select("id", "depth", "name", "file_path", "start_line", "end_line", impact_line_tokens(F.col("name"), F.col("file_path"), F.col("start_line"), F.col("end_line")).alias("tokens")).orderBy("depth", "id").collect()
-    tests = related_tests(symbols, [root.name, *(r.name for r in met)]).select("id", "file_path").collect() if task.name == "Fix" else []
+    alike_names = spark.createDataFrame([(0, n) for n in (root.name, *(r.name for r in met))], "root int, name string")
+    tests = symbols.join(related_tests(symbols, alike_names), "id").select("id", "file_path").orderBy("id").collect() if task.name == "Fix" else []
     test_paths = sorted({r.file_path for r in tests})
     semantic = _semantic(tables["embeddings"], root.id)
     related = [r.name for r in symbols.where((F.col("file_path") == root.file_path) & (F.col("id") != root.id)).orderBy("start_line", "id").limit(RELATED).collect()]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import context, domains, lines, link, pages, rank, resolve, state, traverse, vectors
+from ..operators import context, domains, lines, link, pages, paths, rank, resolve, state, traverse, vectors
 from ..workspace import shared_edges
 
 NEXT = "lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice)"
@@ -414,6 +414,34 @@ def test_theta_join(spark, d):
     return read(spark, d, "part").where(context.alike(F.col("p_name"), ["Widget", "a large bolt of steel"])).select(F.col("p_partkey").alias("test_id"), F.col("p_name").alias("name"))
 
 
+TESTED_SQL = f"select case when doc_id % 10 = 0 then 'tests/' || file else file end as file_path, name, callee, id from (select s.*, regexp_extract(file, '([0-9]+)$', 1)::bigint as doc_id from ({SYMBOLS_SQL}) s)"
+
+
+@query(f"""with s as ({TESTED_SQL}), n as (select distinct id as root, name from s union select id, callee from s),
+t as (select id, name as test from s where file_path like 'tests/%'), w as (select distinct name from n), v as (select distinct test from t),
+p as (select name, test from w join v on contains(name, test) or contains(test, name)),
+m as (select distinct root, t.id from n join p using (name) join t using (test))
+select root, id from m qualify row_number() over (partition by root order by id) <= 8""")
+def related_tests(spark, d):
+    """For each symbol the first eight test symbols whose name holds its name or its callee's, or lies within one. Every tenth document is a test file."""
+    number = F.regexp_extract("file", "([0-9]+)$", 1).cast("long")
+    s = symbols(spark, d).withColumn("file_path", F.when(number % 10 == 0, F.concat(F.lit("tests/"), "file")).otherwise(F.col("file")))
+    names = s.select(F.col("id").alias("root"), "name").unionByName(s.select(F.col("id").alias("root"), F.col("callee").alias("name")))
+    return context.related_tests(s.select("id", "name", "file_path"), names)
+
+
+@query(f"""with f as ({FILES_SQL}), m as (select distinct doc_id % 50 as domain_id, case doc_id % 3 when 0 then path when 1 then path || '*' else dir || '/doc' || doc_id % 10 || '*' end as pattern from f
+union select distinct 50 + doc_id % 5, dir || '/**' from f where doc_id % 40 = 0)
+select distinct domain_id, path from f join m on case when pattern like '%/**' then path = left(pattern, length(pattern) - 3) or starts_with(path, left(pattern, length(pattern) - 2))
+when contains(pattern, '*') then starts_with(path, string_split(pattern, '*')[1]) else path = pattern or starts_with(path, pattern || '/') end""")
+def members_by_path(spark, d):
+    """Files in domains by patterns of whole directories, of beginnings and of single files."""
+    f = files(spark, d)
+    own = F.expr("case doc_id % 3 when 0 then path when 1 then concat(path, '*') else concat(dir, '/doc', doc_id % 10, '*') end")
+    patterns = f.select((F.col("doc_id") % 50).alias("domain_id"), own.alias("pattern")).unionByName(f.where("doc_id % 40 = 0").select((50 + F.col("doc_id") % 5).alias("domain_id"), F.concat("dir", F.lit("/**")).alias("pattern")))
+    return paths.matched(f.select("path"), patterns, "domain_id")
+
+
 # --- state -----------------------------------------------------------------------------------------------------------
 
 
