@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import context, domains, lines, link, pages, paths, rank, resolve, state, traverse, vectors
+from ..operators import context, domains, lines, link, nearest, pages, paths, rank, resolve, state, traverse, vectors
 from ..workspace import shared_edges
 
 NEXT = "lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice)"
@@ -293,6 +293,15 @@ def knn_l2(spark, d):
     return vectors.nearest(rows, first["embedding"], 5).select("id", F.round("distance", 4).alias("distance"))
 
 
+@query("""with q as (select vec_id as id, embedding as e from embeddings where vec_id % 50 = 0),
+d as (select q.id, vec_id as near, sqrt(list_sum(list_transform(range(1, len(e) + 1), lambda i: (embedding[i]::double - e[i]::double) * (embedding[i]::double - e[i]::double)))) as d from q join embeddings on vec_id <> q.id)
+select id, near, round(d, 4) as distance, row_number() over (partition by id order by d, near)::int as rank from d qualify rank <= 5""")
+def knn_join(spark, d):
+    """The five nearest other vectors of every vector whose id is divisible by 50."""
+    rows = _vector_columns(spark, d)
+    return nearest.nearest_to_each(rows.where("id % 50 = 0"), rows, 5).select("id", "near", F.round("distance", 4).alias("distance"), "rank")
+
+
 @query("""with t as (select item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') as w from benchmark),
 k as (select item_id, unnest(w) as t, 1.0::double as weight from t union all select item_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])) as t, 0.5::double as weight from t),
 h as (select item_id, weight, sha256(t) as h from k),
