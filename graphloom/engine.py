@@ -237,11 +237,29 @@ class Engine:
     def context(self, name: str, task: str = "fix", budget: int | None = None, auto_budget: bool = False, plan: bool = False, model: Callable[[str], str] | None = None) -> dict:
         """The context of a symbol within a budget: the given one, the recommended one (`auto_budget`), or that of the task.
         With a model, its pages without prose are filled first, as by `enrich`."""
-        kind = contexts.task_of(task)
-        tables = {t: self.store.table(t) for t in ("symbols", "edges", "files", "embeddings")} | {"pages": self.store.pages()}
-        found = contexts.assemble(self.spark, tables, self.symbol(name), kind, None if auto_budget else kind.budget if budget is None else budget, plan)
+        kind, root = contexts.task_of(task), self.symbol(name)
+        tables = {t: self.store.table(t) for t in ("symbols", "edges", "files")} | {"pages": self.store.pages()}
+        own = tables["symbols"].where(F.col("id") == root.id)
+        asked = None if auto_budget else kind.budget if budget is None else budget
+        found = contexts.assemble(tables, own, self._alike(root.id), kind, asked, plan).first().asDict(True)
+        ids = self._reach(root, kind.depth).join(tables["symbols"].select(F.col("id").alias("node")), "node", "left_semi").orderBy("depth", "node").collect()
+        found["affected_symbol_ids"] = [r.node for r in ids]
         return found if model is None or plan else self._enriched(found, kind, model)
 
+    def contexts(self, task: str = "fix", budget: int | None = None, plan: bool = False) -> DataFrame:
+        """The contexts of all symbols, a row each, within a budget (that of the task if none is given)."""
+        kind = contexts.task_of(task)
+        tables = {t: self.store.table(t) for t in ("symbols", "edges", "files")} | {"pages": self.store.pages()}
+        semantic = contexts.semantic_to_each(self.store.table("embeddings"), tables["symbols"])
+        return contexts.assemble(tables, tables["symbols"], semantic, kind, kind.budget if budget is None else budget, plan)
+
+    def _alike(self, ident: str) -> DataFrame:
+        """(root, id, rank) of the symbols most alike to one: one scan."""
+        embeddings = self.store.table("embeddings").withColumnRenamed("symbol_id", "id")
+        own = embeddings.where(F.col("id") == ident).select("embedding").limit(1).collect()
+        near = vectors.neighbours(embeddings, ident, list(own[0].embedding), contexts.SEMANTIC).collect() if own else []
+        return self.spark.createDataFrame([(ident, r.id, n) for n, r in enumerate(near, 1)], "root string, id string, rank int")
+
     def _enriched(self, found: dict, task: contexts.Task, model: Callable[[str], str]) -> dict:
         for key in ("wiki", "flow_wiki"):
             ident = found[f"{key}_page_id"]

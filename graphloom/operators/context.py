@@ -1,23 +1,25 @@
-"""The context of one symbol: ranked code, callers and callees, tests, knowledge and impact within a token budget."""
+"""The contexts of symbols: ranked code, callers and callees, tests, knowledge and impact within a token budget."""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prose import adds_context, for_context
 from ..functions.text import OVERHEAD_TOKENS, estimate_tokens, impact_line_tokens, line_slice, snippet_tokens
-from . import rank, traverse, vectors
+from ..session import materialized
+from . import rank, traverse
 from .contain import contained
 from .graph import links
+from .nearest import nearest_to_each
 from .pages import best_page, smallest_page
 
 # Budgets, depths, caps and headings must equal the reference's for equal packing.
-MARGIN = 1.15
 IMPACT_HEAD = "## Impact\n\nSymbols affected if this changes:\n\n"
 TESTS, RELATED, SEMANTIC, ONBOARD_SNIPPETS, PLAN_TOKENS_A_LINE = 8, 10, 5, 3, 40
 
@@ -39,27 +41,6 @@ def task_of(name: str | None) -> Task:
     return TASKS.get((name or "").strip().lower(), TASKS["fix"])
 
 
-def tokens(text: str) -> int:
-    return math.ceil(len(text.encode()) / 4) + 20
-
-
-def recommended(total: int) -> int:
-    return math.ceil(np.float32(total) * np.float32(MARGIN))
-
-
-def packed_impact(lines: list[int], left: int, cap: int) -> int:
-    """How many lines fit under their heading; the first one always does once the heading fits."""
-    used, shown = tokens(IMPACT_HEAD), 0
-    if used > left:
-        return 0
-    for n in lines[:cap]:
-        used += n
-        if used > left and shown:
-            break
-        shown += 1
-    return shown
-
-
 def _place(row) -> str:
     return f"{row['file_path']}:{row['start_line']}-{row['end_line']}"
 
@@ -86,112 +67,153 @@ def related_tests(symbols: DataFrame, names: DataFrame) -> DataFrame:
     return first(asked.join(met, "name").select("root", "id").distinct(), "root")
 
 
-def _knowledge(pages: DataFrame, root: str, kinds: tuple[str, ...] | None = None) -> tuple[str | None, str | None]:
-    """(page id, its text for a context) of the best page that has the symbol, or of the flow page with the fewest symbols."""
-    met = pages.where(F.array_contains("symbol_ids", root) & (F.col("id") != "wiki_index"))
-    if kinds is None:
-        best = best_page(met.select(F.col("id").alias("page"), "kind", F.lit(root).alias("id"))).select(F.col("page").alias("best"))
-    else:
-        best = smallest_page(met.where(F.col("kind").isin(*kinds)).select(F.col("id").alias("page"), F.size("symbol_ids").alias("symbols"), F.lit(root).alias("id"))).select(F.col("page").alias("best"))
+def _knowledge(pages: DataFrame, roots: DataFrame, kinds: tuple[str, ...] | None, name: str) -> DataFrame:
+    """(root, {name}_page_id, {name}_body): for each root the best page that has it, or of these kinds the one with the fewest symbols, with its
+    text for a context where that adds something."""
+    rows = pages.where(F.col("id") != "wiki_index").select(F.col("id").alias("page"), "kind", F.size("symbol_ids").alias("symbols"), F.explode("symbol_ids").alias("id"))
+    met = rows.join(roots.select(F.col("root").alias("id")), "id", "left_semi")
+    best = best_page(met) if kinds is None else smallest_page(met.where(F.col("kind").isin(*kinds)))
     text = for_context(F.col("body"))
-    rows = met.join(best, F.col("id") == F.col("best")).select("id", F.when(adds_context(text), text)).collect()
-    return tuple(rows[0]) if rows else (None, None)
+    bodies = pages.select(F.col("id").alias("page"), F.when(adds_context(text), text).alias(f"{name}_body"))
+    return best.withColumnRenamed("id", "root").join(bodies, "page").withColumnRenamed("page", f"{name}_page_id")
 
 
-def assemble(spark: SparkSession, tables: dict[str, DataFrame], root: Row, task: Task, budget: int | None = None, plan: bool = False) -> dict:
-    """The context of a symbol as a dictionary with `markdown`. tables: symbols, edges, files, embeddings, pages.
+def _candidates(roots: DataFrame, sides: DataFrame, tests: DataFrame | None, semantic: DataFrame, affected: DataFrame, task: Task) -> DataFrame:
+    """(root, id, priority, ord): the symbol itself, callers, callees, tests (of a fix), alike ones, affected ones; `ord` places those of one priority."""
+    later = 4 if task.name == "Fix" else 3
+    ranks = [
+        (roots.withColumn("id", F.col("root")), 0, F.lit(0)),
+        (sides.where("side = 'caller'").select("root", F.col("other").alias("id")), 1, F.lit(0)),
+        (sides.where("side = 'callee'").select("root", F.col("other").alias("id")), 2, F.lit(0)),
+        *([(tests, 3, F.lit(0))] if tests is not None else []),
+        (semantic, later, F.col("rank")),
+        (affected.where("id <> root"), later + 1, F.col("depth")),
+    ]
+    return reduce(DataFrame.unionByName, (rows.select("root", "id", F.lit(priority).alias("priority"), F.struct(n.cast("int").alias("n"), F.col("id").alias("of")).alias("ord")) for rows, priority, n in ranks))
+
+
+def _items(candidates: DataFrame, symbols: DataFrame, files: DataFrame, task: Task, plan: bool) -> DataFrame:
+    """(root, id, rank, tokens): candidates in rank order with what they cost. A symbol's code is measured once, however many roots have it."""
+    place = ("id", "name", "file_path", "start_line", "end_line")
+    if plan:
+        order = Window.partitionBy("root").orderBy("priority", "ord")
+        ranked = candidates.withColumns({"rank": F.row_number().over(order), "before": F.lag("id").over(order)}).where("before is null or before <> id")
+        cost = symbols.select("id", estimate_tokens(F.repeat(F.lit("x"), (F.col("end_line") - F.col("start_line") + 1) * PLAN_TOKENS_A_LINE)).alias("tokens"))
+    else:
+        ranked = rank.ranked(candidates, "root")
+        cost = _code(symbols.join(ranked.select("id").distinct(), "id", "left_semi").select(*place), files).select("id", "tokens")
+    turn = F.row_number().over(Window.partitionBy("root").orderBy("rank"))
+    items = ranked.select("root", "id", "rank").join(cost, "id").withColumn("rank", turn)
+    return items if task.snippets is None else items.where(F.col("rank") <= task.snippets)
 
-    Without a budget the recommended one is taken. A plan has no code: its snippets count by their lines, a symbol that
-    stands in several ranks counts in each unless they follow each other, and its text is short.
-    """
-    symbols, calls = tables["symbols"], links(tables["edges"], "calls")
-    met = traverse.neighbours(calls, spark.createDataFrame([(root.id,)], "node string")).join(symbols.select(F.col("id").alias("other"), "name"), "other").orderBy("side", "other").collect()
-    callers, callees = ([r for r in met if r.side == side] for side in ("caller", "callee"))
-    reach = traverse.reachable(links(tables["edges"]), spark.createDataFrame([(root.id,)], "root string"), task.depth)
-    affected = reach.join(symbols, F.col("node") == F.col("id")).select("id", "depth", "name", "file_path", "start_line", "end_line", impact_line_tokens(F.col("name"), F.col("file_path"), F.col("start_line"), F.col("end_line")).alias("tokens")).orderBy("depth", "id").collect()
-    alike_names = spark.createDataFrame([(0, n) for n in (root.name, *(r.name for r in met))], "root int, name string")
-    tests = symbols.join(related_tests(symbols, alike_names), "id").select("id", "file_path").orderBy("id").collect() if task.name == "Fix" else []
-    test_paths = sorted({r.file_path for r in tests})
-    semantic = _semantic(tables["embeddings"], root.id)
-    related = [r.name for r in symbols.where((F.col("file_path") == root.file_path) & (F.col("id") != root.id)).orderBy("start_line", "id").limit(RELATED).collect()]
 
-    later = 4 if task.name == "Fix" else 3
-    order = [(root.id, 0), *((r.other, 1) for r in callers), *((r.other, 2) for r in callees), *((r.id, 3) for r in tests), *((i, later) for i in semantic), *((r.id, later + 1) for r in affected if r.id != root.id)]
-    chosen = _snippets(spark, tables, order, task, plan)
-    names = {r.id: r.name for r in symbols.where(F.col("id").isin(*semantic)).select("id", "name").collect()} if semantic else {}
-
-    page_id, page = _knowledge(tables["pages"], root.id)
-    flow_id, flow = _knowledge(tables["pages"], root.id, ("flow",)) if task.name == "Onboard" else (None, None)
-    page_tokens = tokens(page) + tokens("## Knowledge\n\n") if page else 0
-    flow_tokens = tokens(flow) + tokens("## Flow overview\n\n") if flow else 0
-    lines = [r.tokens for r in affected]
-    total = OVERHEAD_TOKENS + page_tokens + flow_tokens + sum(lines[: task.cap]) + (tokens(IMPACT_HEAD) if lines else 0) + sum(s["tokens"] for s in chosen) + (tokens("## Code\n\n") if chosen else 0)
-    advised = recommended(total)
-    asked = advised if budget is None else budget
-
-    left = max(asked - OVERHEAD_TOKENS, 0)
-    if 0 < page_tokens <= left:
-        left -= page_tokens
-    elif left < page_tokens <= asked // 2:
-        left = 0
-    if 0 < flow_tokens <= left:
-        left -= flow_tokens
-    shown = packed_impact(lines, left, task.cap)
-    left = max(left - (tokens(IMPACT_HEAD) + sum(lines[:shown]) if shown else 0), 0)
-    running = np.cumsum([s["tokens"] for s in chosen]).tolist()
-    fit = next((i for i, n in enumerate(running) if i and n > left), len(chosen))
-    cut = fit < len(chosen) or shown < min(len(affected), task.cap)
-    advice = {"requested_budget": asked, "recommended_tokens": advised, "estimated_tokens": 0, "snippets_included": fit, "snippets_omitted": len(chosen) - fit, "impact_entries_shown": shown, "impact_entries_total": len(affected), "within_budget": not cut and asked >= advised}
-    out = {
-        "symbol": root.asDict(),
-        "responsibility": f"{root.name} ({root.kind.capitalize()}) defined in {root.file_path} at lines {root.start_line}-{root.end_line}",
-        "enriched_summary": None,
-        "summary_source": "deterministic",
-        "related_components": related,
-        "external_dependencies": root.file_path.split("/")[:2],
-        "invariants": [f"visibility: {root.visibility.capitalize()}"],
-        "semantic_neighbors": [names[i] for i in semantic if i in names],
-        "snippets": [] if plan else chosen[:fit],
-        "callers": [r.name for r in callers],
-        "callees": [r.name for r in callees],
-        "related_tests": test_paths,
-        "affected_symbol_ids": [r.id for r in affected],
-        "affected": [r.asDict() for r in affected[:shown]],
-        "wiki_page_id": page_id,
-        "wiki_body": page,
-        "flow_wiki_page_id": flow_id,
-        "flow_wiki_body": flow,
-        "budget_advice": advice,
-        "task": task.name.lower(),
-        "budget_tokens": asked,
-    }
-    out["markdown"] = plan_markdown(out, task) if plan else markdown(out, task)
-    advice["estimated_tokens"] = tokens(out["markdown"])
-    return out
+def _code(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """symbols (id, name, file_path, start_line, end_line) with language, content and tokens; without those whose lines aren't there."""
+    code = symbols.join(files.select(F.col("path").alias("file_path"), "language", "text"), "file_path").withColumn("content", line_slice(F.col("text"), F.col("start_line"), F.col("end_line"))).where("content is not null").drop("text")
+    return code.withColumn("tokens", snippet_tokens(F.col("name"), F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("language"), F.col("content")))
+
 
+def _listed(value: Column, order: Column, name: str) -> Column:
+    """Values in an order, as an array."""
+    return F.transform(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(order.alias("o"), value.alias("v"))))), lambda x: x["v"]).alias(name)
 
-def _semantic(embeddings: DataFrame, root: str) -> list[str]:
-    own = embeddings.where(F.col("symbol_id") == root).select("embedding").limit(1).collect()
-    if not own:
-        return []
-    return [r.id for r in vectors.neighbours(embeddings.withColumnRenamed("symbol_id", "id"), root, list(own[0].embedding), SEMANTIC).collect()]
 
+def assemble(tables: dict[str, DataFrame], roots: DataFrame, semantic: DataFrame, task: Task, budget: int | None = None, plan: bool = False) -> DataFrame:
+    """The contexts of many symbols as one plan: a row for each of `roots` (rows of symbols) with `markdown`. tables: symbols, edges, files, pages;
+    semantic: (root, id, rank), the symbols most alike.
 
-def _snippets(spark: SparkSession, tables: dict[str, DataFrame], order: list[tuple[str, int]], task: Task, plan: bool) -> list[dict]:
-    """Candidates in rank order with their tokens: each symbol once with its code, or in a plan by its number of lines."""
-    rows = spark.createDataFrame([("", i, p, n) for n, (i, p) in enumerate(order)], "q string, id string, priority int, ord int")
-    symbols = tables["symbols"].select("id", "name", "file_path", "start_line", "end_line")
+    Without a budget the recommended one is taken. A plan has no code: its snippets count by their lines, a symbol that stands in several
+    ranks counts in each unless they follow each other, and its text is short. Candidates are rows with their tokens; budgets are columns, packing
+    is a running sum, and code is fetched only for what fits. So a root brings to one row what its budget holds, and the names of its
+    callers and callees. What several parts of the plan read is written down once."""
+    symbols, calls = tables["symbols"], links(tables["edges"], "calls")
+    of = roots.select(F.col("id").alias("root"))
+    named = symbols.select(F.col("id").alias("other"), F.col("name").alias("other_name"))
+    sides = traverse.neighbours(calls, of.withColumnRenamed("root", "node")).withColumnRenamed("node", "root").join(named, "other")
+    sides = materialized(sides)
+    line = impact_line_tokens(F.col("name"), F.col("file_path"), F.col("start_line"), F.col("end_line"))
+    affected = traverse.reachable(links(tables["edges"]), of, task.depth).join(symbols.select("id", "name", "file_path", "start_line", "end_line"), F.col("node") == F.col("id")).drop("node")
+    affected = materialized(affected.withColumns({"tokens": line, "rank": F.row_number().over(Window.partitionBy("root").orderBy("depth", "id"))}))
+    tests = None
+    if task.name == "Fix":
+        tests = materialized(related_tests(symbols, roots.select(F.col("id").alias("root"), "name").unionByName(sides.select("root", F.col("other_name").alias("name")))))
+    items = materialized(_items(_candidates(of, sides, tests, semantic, affected, task), symbols, tables["files"], task, plan))
+
+    head = estimate_tokens(F.lit(IMPACT_HEAD))
+    costs = lambda text, title: F.when(F.coalesce(text, F.lit("")) != "", estimate_tokens(text) + estimate_tokens(F.lit(title))).otherwise(0)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    lines = affected.groupBy("root").agg(F.count("*").alias("n_lines"), F.sum(F.when(F.col("rank") <= task.cap, F.col("tokens"))).alias("line_tokens"))
+    snippets = items.groupBy("root").agg(F.count("*").alias("n_snippets"), F.sum("tokens").alias("code_tokens"))
+    money = of.join(_knowledge(tables["pages"], of, None, "wiki"), "root", "left")
+    none = F.lit(None).cast("string")
+    money = money.join(_knowledge(tables["pages"], of, ("flow",), "flow_wiki"), "root", "left") if task.name == "Onboard" else money.withColumns({"flow_wiki_page_id": none, "flow_wiki_body": none})
+    money = money.join(lines, "root", "left").join(snippets, "root", "left").withColumns({c: zero(c) for c in ("n_lines", "line_tokens", "n_snippets", "code_tokens")})
+    money = money.withColumns({"page_tokens": costs(F.col("wiki_body"), "## Knowledge\n\n"), "flow_tokens": costs(F.col("flow_wiki_body"), "## Flow overview\n\n")})
+    total = F.col("page_tokens") + F.col("flow_tokens") + F.col("line_tokens") + F.when(F.col("n_lines") > 0, head).otherwise(0) + F.col("code_tokens") + F.when(F.col("n_snippets") > 0, estimate_tokens(F.lit("## Code\n\n"))).otherwise(0)
+    money = money.withColumn("advised", rank.recommended(total)).withColumn("asked", F.col("advised") if budget is None else F.lit(budget).cast("long"))
+    money = money.withColumn("left", F.greatest(F.col("asked") - OVERHEAD_TOKENS, F.lit(0)))
+    money = money.withColumn("left", F.expr("case when page_tokens > 0 and page_tokens <= left then left - page_tokens when left < page_tokens and page_tokens <= asked div 2 then 0 else left end"))
+    money = money.withColumn("left", F.expr("case when flow_tokens > 0 and flow_tokens <= left then left - flow_tokens else left end"))
+
+    money = materialized(money)
+    fits = lambda rows, **how: rank.packed(rows.join(money.select("root", "left"), "root"), "root", F.col("left"), **how)
+    entry = F.struct("id", "depth", "name", "file_path", "start_line", "end_line", "tokens")
+    listed = fits(affected, header=head, cap=task.cap).groupBy("root").agg(F.count("*").alias("shown"), F.sum("tokens").alias("shown_tokens"), _listed(entry, F.col("rank"), "affected"))
+    money = money.join(listed, "root", "left").withColumns({"shown": zero("shown"), "left": F.greatest(F.col("left") - F.when(zero("shown") > 0, head + F.col("shown_tokens")).otherwise(0), F.lit(0))})
+    money = materialized(money)
+    kept = materialized(fits(items))
+    counted = kept.groupBy("root").agg(F.count("*").alias("fit"))
+    place = symbols.select("id", "name", "file_path", "start_line", "end_line")
     if plan:
-        kept = [(i, n) for n, (i, _) in enumerate(order) if n == 0 or order[n - 1][0] != i]
-        found = spark.createDataFrame(kept, "id string, rank int").join(symbols, "id")
-        cost = estimate_tokens(F.repeat(F.lit("x"), (F.col("end_line") - F.col("start_line") + 1) * PLAN_TOKENS_A_LINE))
-        found = found.withColumn("content", F.lit("")).withColumn("language", F.lit("text")).withColumn("tokens", cost)
+        code = counted.select("root", F.array().cast("array<struct<id string, name string, file_path string, start_line int, end_line int, language string, content string, tokens bigint, rank int>>").alias("snippets"))
     else:
-        ranked = rank.ranked(rows, "q").join(symbols, "id").join(tables["files"].select(F.col("path").alias("file_path"), "language", "text"), "file_path")
-        code = ranked.withColumn("content", line_slice(F.col("text"), F.col("start_line"), F.col("end_line"))).where("content is not null").drop("text")
-        found = code.withColumn("tokens", snippet_tokens(F.col("name"), F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("language"), F.col("content")))
-    out = found.select("id", "name", "file_path", "start_line", "end_line", "language", "content", "tokens", "rank").orderBy("rank")
-    return [r.asDict() for r in (out if task.snippets is None else out.limit(task.snippets)).collect()]
+        full = kept.select("root", "id", "rank").join(_code(place.join(kept.select("id").distinct(), "id", "left_semi"), tables["files"]), "id")
+        code = full.groupBy("root").agg(_listed(F.struct("id", "name", "file_path", "start_line", "end_line", "language", "content", "tokens", "rank"), F.col("rank"), "snippets"))
+
+    mates = symbols.select("file_path", "id", "name", "start_line").withColumn("turn", F.row_number().over(Window.partitionBy("file_path").orderBy("start_line", "id"))).where(F.col("turn") <= RELATED + 1)
+    mates = roots.select(F.col("id").alias("root"), "file_path").join(mates, "file_path").where("id <> root").groupBy("root").agg(_listed(F.col("name"), F.col("turn"), "related_components"))
+    side = sides.groupBy("root").agg(*(_listed(F.when(F.col("side") == s, F.col("other_name")), F.col("other"), s + "s") for s in ("caller", "callee")))
+    alike_ones = semantic.join(named.withColumnRenamed("other", "id"), "id").groupBy("root").agg(_listed(F.col("other_name"), F.col("rank"), "semantic_neighbors"))
+    out = roots.select(F.col("id").alias("root"), F.struct(*roots.columns).alias("symbol"))
+    tested = [tests.join(symbols.select("id", "file_path"), "id").groupBy("root").agg(F.array_sort(F.collect_set("file_path")).alias("related_tests"))] if tests is not None else []
+    out = reduce(lambda a, b: a.join(b, "root", "left"), [counted, code, mates, side, alike_ones, *tested], out.join(money, "root"))
+    if tests is None:
+        out = out.withColumn("related_tests", F.array().cast("array<string>"))
+    empty = {c: F.coalesce(c, F.filter(c, lambda _: F.lit(False)), F.array().cast(out.schema[c].dataType)) for c in ("snippets", "affected", "related_components", "callers", "callees", "semantic_neighbors", "related_tests")}
+    out = out.withColumns(empty | {"fit": zero("fit")})
+    s, cut = F.col("symbol"), (F.col("fit") < F.col("n_snippets")) | (F.col("shown") < F.least(F.col("n_lines"), F.lit(task.cap)))
+    advice = F.struct(F.col("asked").alias("requested_budget"), F.col("advised").alias("recommended_tokens"), F.lit(0).cast("long").alias("estimated_tokens"), F.col("fit").alias("snippets_included"), (F.col("n_snippets") - F.col("fit")).alias("snippets_omitted"), F.col("shown").alias("impact_entries_shown"), F.col("n_lines").alias("impact_entries_total"), (~cut & (F.col("asked") >= F.col("advised"))).alias("within_budget"))
+    texts = {
+        "responsibility": F.concat(s["name"], F.lit(" ("), F.initcap(s["kind"]), F.lit(") defined in "), s["file_path"], F.lit(" at lines "), s["start_line"].cast("string"), F.lit("-"), s["end_line"].cast("string")),
+        "enriched_summary": none,
+        "summary_source": F.lit("deterministic"),
+        "external_dependencies": F.slice(F.split(s["file_path"], "/"), 1, 2),
+        "invariants": F.array(F.concat(F.lit("visibility: "), F.initcap(s["visibility"]))),
+        "budget_advice": advice,
+        "task": F.lit(task.name.lower()),
+        "budget_tokens": F.col("asked"),
+    }
+    out = out.withColumns(texts).select(*FIELDS)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema)
+    out = out.mapInArrow(lambda batches: _rendered(batches, task, plan), f"{schema}, markdown string")
+    return out.withColumn("budget_advice", F.col("budget_advice").withField("estimated_tokens", estimate_tokens(F.col("markdown"))))
+
+
+FIELDS = ("symbol", "responsibility", "enriched_summary", "summary_source", "related_components", "external_dependencies", "invariants", "semantic_neighbors", "snippets", "callers", "callees", "related_tests", "affected", "wiki_page_id", "wiki_body", "flow_wiki_page_id", "flow_wiki_body", "budget_advice", "task", "budget_tokens")
+
+
+def _rendered(batches: Iterator[pa.RecordBatch], task: Task, plan: bool) -> Iterator[pa.RecordBatch]:
+    """Rows with their document."""
+    for batch in batches:
+        texts = [plan_markdown(c, task) if plan else markdown(c, task) for c in batch.to_pylist()]
+        yield batch.append_column("markdown", pa.array(texts, pa.string()))
+
+
+def semantic_to_each(embeddings: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, id, rank): the SEMANTIC nearest other symbols of each root."""
+    rows = embeddings.withColumnRenamed("symbol_id", "id")
+    met = nearest_to_each(rows.join(roots.select("id"), "id", "left_semi"), rows, SEMANTIC)
+    return met.select(F.col("id").alias("root"), F.col("near").alias("id"), "rank")
 
 
 def _notice(advice: dict) -> str:

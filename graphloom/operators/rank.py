@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import OVERHEAD_TOKENS
@@ -14,14 +14,14 @@ def ranked(candidates: DataFrame, by: str) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("priority", "ord", "id")))
 
 
-def packed(items: DataFrame, by: str, budget: int, header: int = 0, cap: int | None = None) -> DataFrame:
-    """items (by, rank, tokens): the longest prefix within the budget; the first item always fits once the header does."""
+def packed(items: DataFrame, by: str, budget: int | Column, header: int | Column = 0, cap: int | None = None) -> DataFrame:
+    """items (by, rank, tokens): the longest prefix within the budget; the first item always fits once the header does. The budget may be a column."""
     run = F.sum("tokens").over(Window.partitionBy(by).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     out = items.withColumn("running", run + header).where((F.col("running") <= budget) | (F.col("rank") == 1))
     out = out.where(F.lit(header <= budget))
     return out if cap is None else out.where(F.col("rank") <= cap)
 
 
-def recommended(total: F.Column) -> F.Column:
+def recommended(total: Column) -> Column:
     """Tokens with a margin of 15 percent in single precision, rounded up."""
     return F.ceil((total + OVERHEAD_TOKENS).cast("float") * F.lit(1.15).cast("float")).cast("long")

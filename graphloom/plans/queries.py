@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import context, domains, lines, link, nearest, pages, paths, rank, resolve, state, traverse, vectors
+from ..session import materialized
 from ..workspace import shared_edges
 
 NEXT = "lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice)"
@@ -451,6 +452,67 @@ def members_by_path(spark, d):
     return paths.matched(f.select("path"), patterns, "domain_id")
 
 
+RESOLVED_SQL = """f as (select file, name, max_by(id, line) as t from s group by all),
+dd as (select dir, name, case when count(*) = 1 then min(id) when count(*) filter (public) = 1 then min(id) filter (public) end as t from s group by all),
+g as (select name, case when count(*) = 1 then min(id) when count(*) filter (public) = 1 then min(id) filter (public) end as t from s group by all),
+c as (select file, name, min_by(id, line) as src from s group by all),
+e as (select distinct src, dst from (select c.src, coalesce(f.t, dd.t, g.t) as dst from s join c on c.file = s.file and c.name = s.name left join f on f.file = s.file and f.name = s.callee left join dd on dd.dir = s.dir and dd.name = s.callee left join g on g.name = s.callee) where dst is not null and src <> dst)"""
+TOKENS = "cast(ceil(strlen({}) / 4.0) as bigint) + 20"
+PLACE_SQL = "file_path || ':' || line || '-' || line || '`"
+CONTEXT_BUDGET = 400
+
+
+@query(f"""with s as ({SYMBOLS_SQL}), {RESOLVED_SQL},
+l as (select path, no, doc_id, regexp_replace(line, '\r$', '') as content from ({LINES_SQL})),
+x as (select s.id, name, line, content, l.doc_id, split_part(file, '/', 2) as language, case when l.doc_id % 10 = 0 then 'tests/' || file else file end as file_path from s join l on l.path = s.file and l.no = s.line),
+cost as (select id, {TOKENS.format(f"'- **' || name || '** — `' || {PLACE_SQL}' || chr(10)")} as line_tokens,
+  {TOKENS.format(f"'### ' || name || ' (`' || {PLACE_SQL})' || chr(10) || chr(10) || '```' || language || chr(10) || content || chr(10) || '```' || chr(10) || chr(10)")} as tokens from x),
+a as (select root, id, min(depth) as depth from (select src as root, dst as id, 1 as depth from e union all select p.src, q.dst, 2 from e p join e q on p.dst = q.src) group by all),
+aff as (select root, id, line_tokens, row_number() over (partition by root order by depth, id) as r, depth from a join cost using (id)),
+side as (select dst as root, src as id, 1 as priority from e union select src, dst, 2 from e),
+n as (select id as root, name from x union select root, name from side join x using (id)),
+t as (select id, name as test from x where file_path like 'tests/%'), w as (select distinct name from n), v as (select distinct test from t),
+pair as (select name, test from w join v on contains(name, test) or contains(test, name)),
+test as (select root, id from (select distinct root, t.id from n join pair using (name) join t using (test)) qualify row_number() over (partition by root order by id) <= 8),
+sem as (select id as root, lead(id) over (partition by file_path order by line) as id from x),
+cand as (select id as root, id, 0 as priority, 0 as n from x union all select root, id, priority, 0 from side union all select root, id, 3, 0 from test union all select root, id, 4, 1 from sem where id is not null union all select root, id, 5, depth from aff where id <> root),
+best as (select root, id, min({{'p': priority, 'n': n}}) as o from cand group by all),
+item as (select root, id, tokens, row_number() over (partition by root order by o.p, o.n, id) as r from best join cost using (id)),
+page as (select 'wiki_d' || doc_id as page, case doc_id % 3 when 0 then 'service' when 1 then 'flow' else 'overview' end as kind, 'Notes on ' || path || repeat('x', (doc_id % 700)::int) as body, doc_id from ({FILES_SQL}) where doc_id % 5 = 0),
+know as (select x.id as root, {TOKENS.format("body")} + {TOKENS.format("'## Knowledge' || chr(10) || chr(10)")} as page_tokens from x join page using (doc_id) where strlen(body) > 40),
+one as (select x.id as root, coalesce(page_tokens, 0) as page_tokens, coalesce(n_lines, 0) as n_lines, coalesce(line_tokens, 0) as line_tokens, coalesce(n_items, 0) as n_items, coalesce(code, 0) as code from x left join know on know.root = x.id
+  left join (select root, count(*) as n_lines, sum(line_tokens) filter (r <= 20) as line_tokens from aff group by root) l on l.root = x.id left join (select root, count(*) as n_items, sum(tokens) as code from item group by root) i on i.root = x.id),
+heads as (select {TOKENS.format("'## Impact' || chr(10) || chr(10) || 'Symbols affected if this changes:' || chr(10) || chr(10)")} as impact, {TOKENS.format("'## Code' || chr(10) || chr(10)")} as code_head),
+two as (select *, cast(ceil(cast(150 + page_tokens + line_tokens + case when n_lines > 0 then impact else 0 end + code + case when n_items > 0 then code_head else 0 end as float) * cast(1.15 as float)) as bigint) as advised, {CONTEXT_BUDGET - 150} as free from one, heads),
+three as (select *, case when page_tokens > 0 and page_tokens <= free then free - page_tokens when free < page_tokens and page_tokens <= {CONTEXT_BUDGET // 2} then 0 else free end as room from two),
+seen as (select aff.root, count(*) as shown, sum(aff.line_tokens) as used, string_agg(id, ',' order by r) as affected from (select *, sum(line_tokens) over (partition by root order by r) as run from aff) aff join three using (root) where impact <= room and (impact + run <= room or r = 1) and r <= 20 group by aff.root),
+four as (select three.*, coalesce(shown, 0) as shown, coalesce(affected, '') as affected, greatest(room - case when shown > 0 then impact + used else 0 end, 0) as rest from three left join seen using (root)),
+fit as (select item.root, count(*) as included, string_agg(id, ',' order by r) as snippets from (select *, sum(tokens) over (partition by root order by r) as run from item) item join four using (root) where run <= rest or r = 1 group by item.root)
+select root, advised as recommended, coalesce(included, 0) as included, n_items - coalesce(included, 0) as omitted, shown, n_lines as total, not (coalesce(included, 0) < n_items or shown < least(n_lines, 20)) and {CONTEXT_BUDGET} >= advised as within_budget, affected, coalesce(snippets, '') as snippets
+from four left join fit using (root)""")
+def context_budget(spark, d):
+    """The context of every symbol of the documents for a fix within 400 tokens: what fits, what doesn't, and what would be needed. Every tenth
+    document is a test file, every fifth has a page, and the symbol of the next line stands for the most alike one."""
+    number = F.regexp_extract("file", "([0-9]+)$", 1).cast("long")
+    in_tests = lambda path, n: F.when(n % 10 == 0, F.concat(F.lit("tests/"), path)).otherwise(path)
+    s = materialized(symbols(spark, d))
+    calls = resolve.call_edges(s.select("file", "dir", F.col("name").alias("caller"), F.col("callee").alias("name")), s.select("id", "file", "dir", "name", "line", "public"))
+    rows = s.select("id", "name", F.lit("function").alias("kind"), in_tests(F.col("file"), number).alias("file_path"), F.col("line").cast("int").alias("start_line"), F.col("line").cast("int").alias("end_line"), F.lit("public").alias("visibility"), number.alias("doc"))
+    f = files(spark, d)
+    code = f.select(in_tests(F.col("path"), F.col("doc_id")).alias("path"), F.split("path", "/")[1].alias("language"), "text")
+    kind = F.expr("case doc_id % 3 when 0 then 'service' when 1 then 'flow' else 'overview' end")
+    noted = f.where("doc_id % 5 = 0").select("doc_id", F.concat(F.lit("wiki_d"), "doc_id").alias("id"), kind.alias("kind"), F.expr("concat('Notes on ', path, repeat('x', int(doc_id % 700)))").alias("body"))
+    noted = noted.join(rows.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("id").alias("symbol_ids")), "doc_id")
+    after = F.lead("id").over(Window.partitionBy("file_path").orderBy("start_line"))
+    semantic = rows.select(F.col("id").alias("root"), after.alias("id"), F.lit(1).alias("rank")).where("id is not null")
+    calls = materialized(calls)
+    edges_ = calls.select(F.col("src").alias("src_symbol_id"), F.col("dst").alias("dst_symbol_id"), F.lit("calls").alias("edge_type"))
+    out = context.assemble({"symbols": rows.drop("doc"), "edges": edges_, "files": code, "pages": noted}, rows.drop("doc"), semantic, context.task_of("fix"), CONTEXT_BUDGET)
+    a = lambda name: F.col(f"budget_advice.{name}")
+    ids = lambda c: F.array_join(F.transform(c, lambda x: x["id"]), ",").alias(c)
+    return out.select(F.col("symbol.id").alias("root"), a("recommended_tokens").alias("recommended"), a("snippets_included").alias("included"), a("snippets_omitted").alias("omitted"), a("impact_entries_shown").alias("shown"), a("impact_entries_total").alias("total"), a("within_budget"), ids("affected"), ids("snippets"))
+
+
 # --- state -----------------------------------------------------------------------------------------------------------
 
 
