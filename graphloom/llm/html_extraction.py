@@ -8,8 +8,10 @@ those that hold some of it are the content; otherwise the smallest region around
 the cluster is (around the only one, if it is one). The content's lines are kept whole and in order, short ones too.
 
 Scripts, styles, forms, menus, headers, footers, sidebars, notices, adverts and comments (by tag, role, class or
-id) are never lines. Headings inside a header of an article stay. Everything runs page by page in one scan, in
-memory of one page.
+id) are never lines. Class words count as names of their own or as the noun of a compound one (`site-footer`, `ad-slot`), not as a part of
+another (`has-sidebar`, `related-work`). A form, or an element that only a class, id or role marks, is taken for a plain container after all if it
+holds more than half of the page's text while no article or main stands outside, comments never. Headings inside a header of an article stay.
+Everything runs page by page in one scan, in memory of one page; a page with such a container is read twice.
 
 Edges: null and empty pages give the empty text; so do pages without any line; truncated pages are read to
 their end (an unfinished tag is dropped, unclosed elements end there); very long pages take time in proportion; repeated rows give equal
@@ -35,10 +37,19 @@ CONTAINERS = frozenset("body section div td center blockquote".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold the article's text.
 SKIPPED = frozenset("script style noscript template head title nav aside footer form button select textarea option iframe object svg canvas audio video dialog menu fieldset".split())
-#: Words of a class, id or role that mark what isn't the article.
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|side|complementary|contentinfo|footer\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|repl(?:y|ies)|respond|pagination|pager|widget\w*|toolbar|copyright|login|signup|search|skip|hidden|teasers?)(?=$|[\s_-])"
-)
+#: Words of a class, id or role that mark what isn't the article; comments stay so however long they are.
+WORDS = r"ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|side|complementary|contentinfo|footer\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|share|sharing|social|related|recommend\w*|pagination|pager|widget\w*|toolbar|copyright|login|signup|search|skip|hidden|teasers?"
+COMMENTS = r"comments?|commentlist|disqus|repl(?:y|ies)|respond"
+#: What may follow such a word within a name, and what at its beginning makes it the name of something else.
+PARTS = r"area|articles?|bar|block|body|bottom|box|btns?|buttons?|col|column|container|content|form|grid|group|header|holder|icons?|inner|items?|left|link|links|list|main|outer|panel|placeholder|posts?|primary|right|row|secondary|section|slot|stories|thread|title|top|unit|wrap|wrapper|\d+"
+MODIFIERS = r"has|hide|is|no|not|show|shows|with|without"
+
+
+def _names(words: str) -> re.Pattern:
+    return re.compile(rf"(?:^|\s)(?!(?:{MODIFIERS})[_-])(?:[^\s_-]+[_-]+)*(?:{words})(?:[_-]+(?:{words}|{PARTS}))*(?=$|\s)")
+
+
+BOILERPLATE, COMMENT = _names(f"{WORDS}|{COMMENTS}"), _names(COMMENTS)
 #: Words that mark a page's header, but the header of an article where it stands in one or names it.
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?=$|[\s_-])")
 ARTICLE_HEADER = re.compile(r"(?:^|\s)(?:article|post|entry|story|content|page)[_-]+header(?=$|\s)")
@@ -50,13 +61,20 @@ WEIGHTS = [math.exp(-(d * d) / 2) for d in range(-2, 3)]
 
 
 class Lines(HTMLParser):
-    """lines: (text, tags, region); a region is its number, `strong` holds those that are an article or main."""
+    """lines: (text, tags, region); a region is its number, `strong` holds those that are an article or main. Elements in doubt have the number
+    of their start tag: `doubts` has the one around each, `held` the length of the texts in each, and those of `plain` count as containers."""
 
-    def __init__(self) -> None:
+    def __init__(self, plain: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int]] = []
         self.strong: set[int] = set()
-        self.stack: list[tuple[str, bool, int, bool]] = []  # tag, skipped, region, only headings
+        self.plain, self.started = plain, 0
+        self.doubts: dict[int, int | None] = {}
+        self.held: dict[int, int] = {}
+        self.doubt: int | None = None
+        self.hard = False  # inside what is skipped without doubt
+        self.open: dict[str, int] = {}  # elements on the stack by tag
+        self.stack: list[tuple[str, bool, int, bool, int | None, bool]] = []  # tag, skipped, then what held before: region, only headings, doubt, hard
         self.skipped, self.region, self.headings = False, 0, False
         self.regions, self.tags = 0, 0
         self.around: dict[int, int] = {}  # the region around a region; body's own has none
@@ -71,8 +89,10 @@ class Lines(HTMLParser):
             self.tags = 0
 
     def handle_data(self, data: str) -> None:
-        if not self.skipped and (not self.headings or any(s[0] in HEADINGS for s in self.stack)):
+        if not self.skipped and (not self.headings or any(self.open.get(h) for h in HEADINGS)):
             self.parts.append(data)
+        elif self.doubt is not None and not self.hard:
+            self.held[self.doubt] += len(" ".join(data.split()))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -80,12 +100,13 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.started += 1
         if tag not in BLOCKS and tag not in SKIPPED:
             self.tags += 1
             if tag == "br":
                 self.parts.append(" ")
-            elif tag not in VOID and (self.skipped or attrs and self.marked(attrs)):
-                self.push(tag, True)  # what is inside a skipped element is stacked too, so that its end tags end itself
+            elif tag not in VOID and (self.skipped or attrs and (self.hidden(attrs) or self.marked(attrs))):
+                self.push(tag, True, hard=True)  # what is inside a skipped element is stacked too, so that its end tags end itself
             return
         self.flush()
         self.tags += 1
@@ -101,20 +122,26 @@ class Lines(HTMLParser):
         if tag in ("article", "main"):
             # An unclosed menu or advert ends where the article begins; comments and sidebars hold articles of their own.
             if self.skipped and not any(s[1] and s[0] in ("aside", "section", "ol", "ul", "li", "article", "footer") for s in self.stack):
+                for name, skipped, *_ in self.stack:
+                    self.open[name] -= skipped
                 self.stack = [s for s in self.stack if not s[1]]
-                self.skipped = False
-            skip = self.skipped or bool(attrs) and tag == "article" and self.marked(attrs)
-            self.push(tag, skip)
+                self.skipped, self.doubt, self.hard = False, None, False
+            hidden = bool(attrs) and tag == "article" and self.hidden(attrs)
+            skip = self.skipped or hidden or bool(attrs) and tag == "article" and self.marked(attrs) and self.started not in self.plain
+            self.push(tag, skip, hard=hidden, doubtful=skip and not hidden, names=self.names(attrs))
             if not skip and self.region not in self.strong:
                 self.inside(True)
                 self.strong.add(self.region)
             return
-        skip = self.skipped or tag in SKIPPED or bool(attrs) and tag not in ("body", "html") and self.marked(attrs)
+        page = tag in ("body", "html")
+        hard = tag in SKIPPED and tag != "form" or bool(attrs) and not page and self.hidden(attrs)
+        soft = (tag == "form" or bool(attrs) and not page and self.marked(attrs)) and self.started not in self.plain
+        skip = self.skipped or hard or soft
         inner = self.region in self.strong
-        names = " ".join(v.lower() for n, v in attrs if n in ("class", "id", "role") and v) if tag not in ("body", "html") else ""
+        names = "" if page else self.names(attrs)
         header = tag == "header" or HEADER.search(names) is not None
         own = inner or ARTICLE_HEADER.search(names) is not None
-        self.push(tag, skip or header and not own)
+        self.push(tag, skip or header and not own, hard=hard or header and not own, doubtful=soft, names=names)
         if header and own:
             self.headings = True
         if tag in CONTAINERS and not inner:
@@ -127,29 +154,29 @@ class Lines(HTMLParser):
             self.around[self.regions] = self.region
         self.region = self.regions
 
-    def path(self, region: int) -> list[int]:
-        """The region and those around it, from the inside out."""
-        out = [region]
-        while (region := self.around.get(region)) is not None:
-            out.append(region)
-        return out
+    def names(self, attrs: list) -> str:
+        return " ".join(v.lower() for n, v in attrs if n in ("class", "id", "role") and v)
 
     def marked(self, attrs: list) -> bool:
-        for name, value in attrs:
-            if name in ("class", "id", "role") and value and BOILERPLATE.search(value.lower()):
-                return True
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", ""):
-                return True
-        return False
-
-    def push(self, tag: str, skipped: bool) -> None:
-        self.stack.append((tag, self.skipped, self.region, self.headings))
-        self.stack[-1] = (tag, skipped, *self.stack[-1][2:])
-        self.skipped = skipped
+        names = self.names(attrs)
+        return bool(names) and BOILERPLATE.search(names) is not None
+
+    def hidden(self, attrs: list) -> bool:
+        return any(n == "hidden" or n == "aria-hidden" and v == "true" or n == "style" and v and "display:none" in v.replace(" ", "") for n, v in attrs)
+
+    def push(self, tag: str, skipped: bool, *, hard: bool = False, doubtful: bool = False, names: str = "") -> None:
+        self.stack.append((tag, skipped, self.region, self.headings, self.doubt, self.hard))
+        self.open[tag] = self.open.get(tag, 0) + 1
+        self.skipped, self.hard = skipped, self.hard or hard or doubtful and COMMENT.search(names) is not None
+        if doubtful and not self.hard:
+            self.doubts[self.started], self.held[self.started] = self.doubt, 0
+            self.doubt = self.started
 
     def pop(self, depth: int) -> None:
         self.flush()
-        _, _, self.region, self.headings = self.stack[depth]
+        for tag, *_ in self.stack[depth:]:
+            self.open[tag] -= 1
+        _, _, self.region, self.headings, self.doubt, self.hard = self.stack[depth]
         del self.stack[depth:]
         self.skipped = self.stack[-1][1] if self.stack else False
 
@@ -159,11 +186,35 @@ class Lines(HTMLParser):
             return
         if tag in BLOCKS:
             self.flush()
+        if not self.open.get(tag):
+            return
         for depth in range(len(self.stack) - 1, -1, -1):
             if self.stack[depth][0] == tag:
                 self.pop(depth)
                 return
 
+    def mistaken(self) -> frozenset[int]:
+        """The elements in doubt that hold more than half of the page's text, where no article or main has any."""
+        if not self.doubts or any(region in self.strong for _, _, region in self.lines):
+            return frozenset()
+        for number in sorted(self.doubts, reverse=True):  # an element starts after the one around it
+            if (around := self.doubts[number]) is not None:
+                self.held[around] += self.held[number]
+        total = sum(len(text) for text, _, _ in self.lines) + sum(self.held[n] for n, around in self.doubts.items() if around is None)
+        return frozenset(n for n, held in self.held.items() if 2 * held > total)
+
+
+def parsed(html: str) -> Lines:
+    """The page's lines, read again where an element was mistaken for boilerplate."""
+    plain: frozenset[int] = frozenset()
+    while True:
+        parser = Lines(plain)
+        parser.feed(html)
+        parser.close()
+        parser.flush()
+        if plain or not (plain := parser.mistaken()):
+            return parser
+
 
 def smoothed(ratios: list[float]) -> list[float]:
     out, n = [], len(ratios)
@@ -180,10 +231,7 @@ def smoothed(ratios: list[float]) -> list[float]:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
+    parser = parsed(html)
     lines = parser.lines
     if not lines:
         return ""
@@ -199,15 +247,28 @@ def main_text(html: str | None) -> str:
     if strong and 2 * sum(content[r] for r in strong) >= sum(content.values()):
         chosen = strong
     else:
-        paths = {r: parser.path(r) for r in whole}
-        held = [paths[r] for r in whole if content[r]]
-        common = [r for r in held[0] if all(r in path for path in held)]
-        if len(held) == 1 and len(common) > 1:
-            common = common[1:]  # what stands beside the only one
-        chosen = {r for r in whole if not common or common[0] in paths[r]}
+        chosen = _around(parser.around, {r for r in whole if content[r]}, set(whole))
     return "\n".join(text for text, _, region in lines if region in chosen)
 
 
+def _around(around: dict[int, int], held: set[int], regions: set[int]) -> set[int]:
+    """The regions inside the smallest one around all those held (outside the only one, if it is one and stands in another); all regions if there is none."""
+    count = dict.fromkeys(held, 1)
+    for region in range(max(regions), -1, -1):  # a region's number is larger than that of the one around it
+        if region in count and region in around:
+            count[around[region]] = count.get(around[region], 0) + count[region]
+    common = max((r for r, n in count.items() if n == len(held)), default=None)
+    if common is None:
+        return regions
+    if len(held) == 1:
+        common = around.get(common, common)
+    inside = {common}
+    for region in range(common + 1, max(regions) + 1):
+        if around.get(region) in inside:
+            inside.add(region)
+    return regions & inside
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "html"):
         texts = [main_text(x) for x in batch.column("html").to_pylist()]
