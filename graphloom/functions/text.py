@@ -102,13 +102,6 @@ def lines_of(text: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(text, "\n$", ""), "\n"), lambda x: F.regexp_replace(x, "\r$", ""))
 
 
-def line_slice(text: Column, start: Column, end: Column) -> Column:
-    """Lines start..end (from 1), null if there are none."""
-    lines = lines_of(text)
-    last = F.least(end, F.size(lines))
-    return F.when((start >= 1) & (start <= last), F.array_join(F.slice(lines, start, last - start + 1), "\n"))
-
-
 def claims(body: Column) -> Column:
     """array<struct<kind, target>> of the claim comments."""
     return F.arrays_zip(F.regexp_extract_all(body, F.lit(CLAIM), F.lit(1)).alias("kind"), F.regexp_extract_all(body, F.lit(CLAIM), F.lit(2)).alias("target"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prose import adds_context, for_context
-from ..functions.text import OVERHEAD_TOKENS, estimate_tokens, impact_line_tokens, line_slice, snippet_tokens
+from ..functions.text import OVERHEAD_TOKENS, estimate_tokens, impact_line_tokens, snippet_tokens
 from ..session import materialized
 from . import rank, traverse
 from .contain import contained
@@ -58,12 +58,14 @@ def related_tests(symbols: DataFrame, names: DataFrame) -> DataFrame:
     Different names meet once, however many symbols have them, and at every step no name or root keeps more than its first TESTS."""
     path = F.lower("file_path")
     first = lambda rows, key: rows.withColumn("turn", F.row_number().over(Window.partitionBy(key).orderBy("id"))).where(F.col("turn") <= TESTS).drop("turn")
-    tests = first(symbols.where(path.contains("test") | path.contains("spec")).select(F.lower("name").alias("test"), "id"), "test")
-    asked = names.select("root", F.lower("name").alias("name")).distinct()
+    tests = materialized(first(symbols.where(path.contains("test") | path.contains("spec")).select(F.lower("name").alias("test"), "id"), "test"))
+    asked = materialized(names.select("root", F.lower("name").alias("name")).distinct())
     ours, theirs = asked.select(F.col("name").alias("text")), tests.select(F.col("test").alias("text"))
     needle = lambda rows: rows.withColumnRenamed("text", "needle")
     pairs = contained(needle(ours), theirs).toDF("name", "test").unionByName(contained(needle(theirs), ours).toDF("test", "name")).distinct()
-    met = first(pairs.join(tests, "test").select("name", "id"), "name")
+    # A name's first tests belong to the test names whose own first tests come first.
+    nearest_names = first(pairs.join(tests.groupBy("test").agg(F.min("id").alias("id")), "test"), "name").select("name", "test")
+    met = first(nearest_names.join(tests, "test").select("name", "id"), "name")
     return first(asked.join(met, "name").select("root", "id").distinct(), "root")
 
 
@@ -101,15 +103,34 @@ def _items(candidates: DataFrame, symbols: DataFrame, files: DataFrame, task: Ta
         cost = symbols.select("id", estimate_tokens(F.repeat(F.lit("x"), (F.col("end_line") - F.col("start_line") + 1) * PLAN_TOKENS_A_LINE)).alias("tokens"))
     else:
         ranked = rank.ranked(candidates, "root")
-        cost = _code(symbols.join(ranked.select("id").distinct(), "id", "left_semi").select(*place), files).select("id", "tokens")
+        cost = code_of(symbols.join(ranked.select("id").distinct(), "id", "left_semi").select(*place), files).select("id", "tokens")
     turn = F.row_number().over(Window.partitionBy("root").orderBy("rank"))
     items = ranked.select("root", "id", "rank").join(cost, "id").withColumn("rank", turn)
     return items if task.snippets is None else items.where(F.col("rank") <= task.snippets)
 
 
-def _code(symbols: DataFrame, files: DataFrame) -> DataFrame:
+CODE = "id string, name string, file_path string, start_line int, end_line int, language string, content string"
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of each symbol of a file, which is split once: the least of its last line and the file's, without carriage returns; a final line break makes no empty line."""
+    for batch in batches:
+        rows = []
+        for file in batch.to_pylist():
+            lines = [line.removesuffix("\r") for line in (file["text"] or "").removesuffix("\n").split("\n")] if file["text"] is not None else []
+            for m in file["members"]:
+                first, last = m["start_line"], min(m["end_line"] or 0, len(lines))
+                if first and 1 <= first <= last:
+                    rows.append(m | {"file_path": file["file_path"], "language": file["language"], "content": "\n".join(lines[first - 1 : last])})
+        names = [c.split()[0] for c in CODE.split(", ")]
+        kinds = [pa.int32() if c.endswith(" int") else pa.string() for c in CODE.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
+
+
+def code_of(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """symbols (id, name, file_path, start_line, end_line) with language, content and tokens; without those whose lines aren't there."""
-    code = symbols.join(files.select(F.col("path").alias("file_path"), "language", "text"), "file_path").withColumn("content", line_slice(F.col("text"), F.col("start_line"), F.col("end_line"))).where("content is not null").drop("text")
+    members = symbols.groupBy("file_path").agg(F.collect_list(F.struct("id", "name", "start_line", "end_line")).alias("members"))
+    code = members.join(files.select(F.col("path").alias("file_path"), "language", "text"), "file_path").mapInArrow(_sliced, CODE)
     return code.withColumn("tokens", snippet_tokens(F.col("name"), F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("language"), F.col("content")))
 
 
@@ -167,7 +188,7 @@ def assemble(tables: dict[str, DataFrame], roots: DataFrame, semantic: DataFrame
     if plan:
         code = counted.select("root", F.array().cast("array<struct<id string, name string, file_path string, start_line int, end_line int, language string, content string, tokens bigint, rank int>>").alias("snippets"))
     else:
-        full = kept.select("root", "id", "rank").join(_code(place.join(kept.select("id").distinct(), "id", "left_semi"), tables["files"]), "id")
+        full = kept.select("root", "id", "rank").join(code_of(place.join(kept.select("id").distinct(), "id", "left_semi"), tables["files"]), "id")
         code = full.groupBy("root").agg(_listed(F.struct("id", "name", "file_path", "start_line", "end_line", "language", "content", "tokens", "rank"), F.col("rank"), "snippets"))
 
     mates = symbols.select("file_path", "id", "name", "start_line").withColumn("turn", F.row_number().over(Window.partitionBy("file_path").orderBy("start_line", "id"))).where(F.col("turn") <= RELATED + 1)

@@ -246,7 +246,9 @@ def language_detection(spark, d):
 
 @query("select doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, least(4, len(string_split(text, chr(10))))), chr(10)) as part from (select doc_id, regexp_replace(text, '\\n$', '') as text from documents) where len(string_split(text, chr(10))) >= 2")
 def line_slice(spark, d):
-    return read(spark, d, "documents").select("doc_id", T.line_slice(F.col("text"), F.lit(2), F.lit(4)).alias("part")).where("part is not null")
+    docs = read(spark, d, "documents").withColumn("path", F.col("doc_id").cast("string"))
+    asked = docs.select(F.col("path").alias("id"), F.lit("").alias("name"), F.col("path").alias("file_path"), F.lit(2).alias("start_line"), F.lit(4).alias("end_line"))
+    return context.code_of(asked, docs.select("path", F.col("lang").alias("language"), "text")).select(F.col("id").cast("long").alias("doc_id"), F.col("content").alias("part"))
 
 
 # --- ranking and packing ---------------------------------------------------------------------------------------------
@@ -435,7 +437,7 @@ select root, id from m qualify row_number() over (partition by root order by id)
 def related_tests(spark, d):
     """For each symbol the first eight test symbols whose name holds its name or its callee's, or lies within one. Every tenth document is a test file."""
     number = F.regexp_extract("file", "([0-9]+)$", 1).cast("long")
-    s = symbols(spark, d).withColumn("file_path", F.when(number % 10 == 0, F.concat(F.lit("tests/"), "file")).otherwise(F.col("file")))
+    s = materialized(symbols(spark, d).withColumn("file_path", F.when(number % 10 == 0, F.concat(F.lit("tests/"), "file")).otherwise(F.col("file"))))
     names = s.select(F.col("id").alias("root"), "name").unionByName(s.select(F.col("id").alias("root"), F.col("callee").alias("name")))
     return context.related_tests(s.select("id", "name", "file_path"), names)
 
