@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import context, domains, lines, link, nearest, pages, paths, rank, resolve, state, traverse, vectors
+from ..operators import context, domains, graph, lines, link, nearest, pages, paths, rank, resolve, state, traverse, vectors
 from ..session import materialized
 from ..workspace import shared_edges
 
@@ -150,19 +150,39 @@ def enclosing_symbol(spark, d):
     return resolve.enclosing(lines.select("file", "line"), s)
 
 
-@query("""select id, label from (select 'get ' || regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*', '') as label, page_id as id from pages where page_id % 2 = 0 union select 'main' as label, page_id as id from pages where url like '%a%')""")
+ENTRY_ID = "substr(sha256('entrypoint' || chr(0) || symbol_id || chr(0) || case kind when 'http' then 'http:' || label else 'main' end || chr(0)), 1, 32)"
+
+
+@query(f"""with p as (select distinct page_id, url, 's' || page_id as symbol_id from pages),
+e as (select symbol_id, 'http' as kind, 'GET ' || url as label from p where page_id % 2 = 0 and page_id % 3 <> 0 union all select symbol_id, 'main', 'p' || page_id from p where page_id % 3 = 0)
+select {ENTRY_ID} as id, symbol_id, kind, label from e""")
 def entrypoints_union(spark, d):
-    p = read(spark, d, "pages")
-    routes = p.where("page_id % 2 = 0").select(F.col("page_id").alias("id"), F.concat(F.lit("get "), F.regexp_replace("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", "")).alias("label"))
-    return routes.unionByName(p.where(F.col("url").contains("a")).select(F.col("page_id").alias("id"), F.lit("main").alias("label"))).distinct()
+    """Every second page is a file with a route to the handler `h`; the symbol of every third page is called main, that of the others h."""
+    p = read(spark, d, "pages").select("page_id", "url").distinct().withColumn("path", F.concat(F.lit("p"), "page_id"))
+    route = F.array(F.struct(F.lit("h").alias("handler"), F.concat(F.lit("GET "), "url").alias("label")))
+    parsed = p.where("page_id % 2 = 0").select("path", route.alias("routes"))
+    names = p.select(F.concat(F.lit("s"), "page_id").alias("id"), F.expr("case when page_id % 3 = 0 then 'main' else 'h' end").alias("name"), F.col("path").alias("file_path"), F.lit(1).alias("start_line"), F.lit("public").alias("visibility"))
+    return graph.entrypoints(parsed, names)
+
+
+LOOKED_UP = ("gear", "#1_::RED")
 
 
-@query("select p_partkey as id, p_name as name, row_number() over (order by case when lower(p_name) = 'blue' then 0 else 1 end, p_name, p_partkey) as pick from part where lower(p_name) = 'blue' or lower(p_brand || '::' || p_name) like '%#1_::%' order by pick limit 20")
+def _lookup_sql(name: str) -> str:
+    exact = f"lower(name) = '{name.lower()}'"
+    return f"(select '{name}' as asked, id, row_number() over (order by case when {exact} then 0 else 1 end, name, id) as pick from s where {exact} or lower(fqn) like '%{name.lower()}%' order by pick limit 20)"
+
+
+@query("with s as (select p_partkey as id, split_part(p_name, ' ', 2) as name, p_brand || '::' || p_name as fqn from part) " + " union all ".join(map(_lookup_sql, LOOKED_UP)))
 def symbol_lookup(spark, d):
-    hit = read(spark, d, "part").where("lower(p_name) = 'blue' or lower(concat(p_brand, '::', p_name)) like '%#1_::%'")
-    order = F.when(F.lower("p_name") == "blue", 0).otherwise(1)
-    top = hit.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), order.alias("o")).orderBy("o", "name", "id").limit(20)
-    return top.select("id", "name", F.row_number().over(Window.orderBy("o", "name", "id")).cast("long").alias("pick"))
+    """The first twenty symbols for a plain name and for one with a wildcard; parts are named by their second word."""
+    s = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.split("p_name", " ")[1].alias("name"), F.concat("p_brand", F.lit("::"), "p_name").alias("fqn"), F.lit("").alias("file_path"), F.lit(0).alias("start_line"))
+
+    def first(name: str) -> DataFrame:
+        order = Window.orderBy(F.when(F.lower("name") == name.lower(), 0).otherwise(1), "name", "id")
+        return graph.lookup(s, name).limit(20).select(F.lit(name).alias("asked"), "id", F.row_number().over(order).cast("long").alias("pick"))
+
+    return first(LOOKED_UP[0]).unionByName(first(LOOKED_UP[1]))
 
 
 # --- scalars ---------------------------------------------------------------------------------------------------------
