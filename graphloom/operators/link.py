@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,11 +16,28 @@ def route_ends(rows: DataFrame) -> DataFrame:
     return rows.select("repo", "symbol", F.concat_ws(" ", F.upper("method"), normalize_path(F.col("path"))).alias("name"))
 
 
+#: Ends of one name in a piece (about), and pairs that one task makes (about).
+PIECE, TASK_PAIRS = 2048, 1 << 22
+
+
 def by_name(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
-    """Ends (repo, symbol, name) of one service or topic in different repositories."""
-    a = left.select(F.col("repo").alias("src_repo"), F.col("symbol").alias("src"), name)
+    """Ends (repo, symbol, name) of one service or topic in different repositories. Other columns of `left` come along.
+
+    There are as many rows as pairs, so pairs are what is dealt out: a name's ends are cut into pieces on both sides, each piece meets each piece
+    of the other side in a cell of its own, and the number of tasks follows from the number of pairs. A task holds the pieces of its cells."""
+    a = left.withColumnsRenamed({"repo": "src_repo", "symbol": "src"})
     b = right.select(F.col("repo").alias("dst_repo"), F.col("symbol").alias("dst"), name)
-    return a.join(b, name).where("src_repo <> dst_repo")
+    counted = lambda ends, of: ends.groupBy(name).agg(F.count("*").alias(of))
+    sizes = counted(a, "lefts").join(counted(b, "rights"), name)
+    pairs = sizes.agg(F.sum(F.col("lefts").cast("double") * F.col("rights"))).first()[0] or 0
+    sizes = sizes.select(name, *(F.ceil(F.col(n) / PIECE).cast("int").alias(n) for n in ("lefts", "rights")))
+    own = lambda end, n: F.pmod(F.xxhash64(end), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = a.join(sizes, name).withColumns({"left_piece": own("src", "lefts"), "right_piece": every("rights")}).drop("lefts", "rights")
+    b = b.join(sizes, name).withColumns({"right_piece": own("dst", "rights"), "left_piece": every("lefts")}).drop("lefts", "rights")
+    cell, tasks = [name, "left_piece", "right_piece"], max(1, math.ceil(pairs / TASK_PAIRS))
+    met = a.repartition(tasks, *cell).join(b.repartition(tasks, *cell).hint("shuffle_hash"), cell)
+    return met.where("src_repo <> dst_repo").drop("left_piece", "right_piece")
 
 
 def by_contract(contracts: DataFrame, servers: DataFrame, clients: DataFrame, first_symbol: DataFrame) -> DataFrame:

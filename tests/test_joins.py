@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import matches_glob
-from graphloom.operators import pages
+from graphloom.operators import link, pages
 from graphloom.operators.contain import contained
 from graphloom.operators.context import related_tests
 from graphloom.operators.paths import matched
@@ -61,3 +61,17 @@ def test_digests_over_batches(size):
     got = {r["page"]: r["fingerprint"] for b in pages._digests(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()}
     assert got == {p: hashlib.sha256("\n".join(line for q, line, _ in rows if q == p).encode()).hexdigest() for p in "pqr"}
     assert list(pages._digests(iter([]))) == []
+
+
+def test_links_of_one_name_are_dealt_by_pairs(spark, monkeypatch):
+    monkeypatch.setattr(link, "PIECE", 16)
+    monkeypatch.setattr(link, "TASK_PAIRS", 256)
+    ends = lambda n, of: [(i % 3, i, "hot") for i in range(n)] + [(1, n, of), (2, n + 1, None)]
+    left, right = ends(100, "one"), ends(60, "other")
+    a, b = spark.createDataFrame(left, "repo int, symbol int, name string"), spark.createDataFrame(right, "repo int, symbol int, name string")
+    met = link.by_name(a.withColumn("more", F.col("symbol") * 2), b, "name")
+    got = [tuple(r) for r in met.select("src_repo", "src", "dst_repo", "dst", "name", "more").collect()]
+    want = [(r, s, q, t, n, 2 * s) for r, s, n in left for q, t, m in right if n is not None and n == m and r != q]
+    assert sorted(got) == sorted(want)
+    sizes = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 8 and max(sizes) < len(want) / 4
