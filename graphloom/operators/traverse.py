@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,23 +95,40 @@ def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return callers.unionByName(callees).distinct()
 
 
+#: Edges of a breadth-first walk that lie together (about).
+EDGES_A_PLACE = 1 << 16
+
+
 def breadth_first(edges: DataFrame, roots: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """(root, node, position): the order of a queue that takes neighbours by id; positions from 1, the root first.
 
     Roots may have a column `start`, the first node of a walk whose root is but a name. `allowed` (root, node) restricts the walk. Nodes of a level stand in the order of their first parent, then of their id.
+
+    Edges are cut down to what the walk may take and dealt by their source once; only frontiers move from level to level, dealt alike. What has been seen stays where it
+    is, in runs of about doubling size, so a node is written again only a logarithmic number of times.
     """
-    inside = edges.select("src", "dst").distinct()
+    inside, by = edges.select("src", "dst"), ["src"]
+    if allowed is not None:
+        ends, by = allowed.select("root", "node").distinct(), ["root", "src"]
+        inside = inside.join(ends.withColumnRenamed("node", "src"), "src").join(ends.withColumnRenamed("node", "dst"), ["root", "dst"], "left_semi")
+    inside = materialized(inside.distinct())
+    places = 1 + inside.count() // EDGES_A_PLACE
+    inside = materialized(inside.repartition(places, *by))
+    dealt = lambda rows: materialized(rows.repartition(places, "root", "node"))
     start = "start" if "start" in roots.columns else "root"
-    frontier = seen = roots.select("root", F.col(start).alias("node"), F.lit(1).cast("long").alias("position"))
-    while True:
-        step = frontier.join(inside, frontier["node"] == inside["src"]).groupBy("root", F.col("dst").alias("node")).agg(F.min("position").alias("parent"))
-        if allowed is not None:
-            step = step.join(allowed, ["root", "node"], "left_semi")
-        step = step.join(seen.select("root", "node"), ["root", "node"], "left_anti")
-        base = seen.groupBy("root").agg(F.max("position").alias("base"))
+    frontier = dealt(roots.select("root", F.col(start).alias("node"), F.lit(1).cast("long").alias("position")))
+    runs: list[tuple[int, DataFrame]] = []
+    while size := frontier.count():
+        runs.append((size, frontier))
+        while len(runs) > 1 and runs[-2][0] <= 2 * runs[-1][0]:
+            (n, last), (m, before) = runs.pop(), runs.pop()
+            runs.append((m + n, dealt(before.unionByName(last))))
+        met = frontier.withColumnRenamed("node", "src").join(inside, by).select(frontier["root"], F.col("dst").alias("node"), "position")
+        step = met.repartition(places, "root", "node").groupBy("root", "node").agg(F.min("position").alias("parent"))
+        for _, seen in runs:
+            step = step.join(seen.select("root", "node"), ["root", "node"], "left_anti")
+        # The last position of a root that goes on is one of its frontier.
+        base = frontier.groupBy("root").agg(F.max("position").alias("base"))
         order = Window.partitionBy("root").orderBy("parent", "node")
-        frontier = materialized(step.join(base, "root").select("root", "node", (F.col("base") + F.row_number().over(order)).alias("position")))
-        if frontier.isEmpty():
-            break
-        seen = materialized(seen.unionByName(frontier))
-    return seen
+        frontier = dealt(step.join(base, "root").select("root", "node", (F.col("base") + F.row_number().over(order)).alias("position")))
+    return reduce(DataFrame.unionByName, [seen for _, seen in runs]) if runs else frontier

@@ -59,3 +59,18 @@ def test_impact_counts_and_orders_modules(spark, monkeypatch):
     roots = spark.createDataFrame([("a",), ("f",)], "root string")
     got = {r.root: (r.affected, r.tests, r.risk, r.modules) for r in traverse.impact(edges, nodes, roots, 3).collect()}
     assert got == {"a": (5, 2, False, ["m2", "m1"]), "f": (0, 0, False, [])}
+
+
+def test_breadth_first_reads_the_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(pair):
+        read.add(1)
+        return pair
+
+    pairs = [(i, i + 1) for i in range(12)] + [(0, 5), (3, 0), (7, 99)]
+    edges = spark.sparkContext.parallelize(pairs, 2).map(counted).toDF("src long, dst long")
+    allowed = spark.createDataFrame([(0, i) for i in range(13)], "root long, node long")
+    got = traverse.breadth_first(edges, spark.createDataFrame([(0,)], "root long"), allowed).orderBy("position").collect()
+    assert [(r["node"], r["position"]) for r in got] == [(n, i + 1) for i, n in enumerate([0, 1, 5, 2, 6, 3, 7, 4, 8, 9, 10, 11, 12])]
+    assert read.value == len(pairs)
