@@ -75,3 +75,13 @@ def test_links_of_one_name_are_dealt_by_pairs(spark, monkeypatch):
     assert sorted(got) == sorted(want)
     sizes = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) > 8 and max(sizes) < len(want) / 4
+
+
+def test_see_also_moves_lists_even_of_common_symbols(spark, monkeypatch):
+    monkeypatch.setattr(pages, "PIECE", 8)
+    rng = random.Random(4)
+    rows = [(p, 0) for p in range(50)] + [(rng.randrange(60), rng.randrange(1, 40)) for _ in range(150)] + [(70, 99), (None, 0), (71, None), (3, 0)]
+    got = {r["page"]: r["others"] for r in pages.see_also(spark.createDataFrame(rows, "page int, id int")).collect()}
+    known = {(p, i) for p, i in rows if p is not None and i is not None}
+    want = {p: sorted({str(q) for q, j in known for r, i in known if r == p and i == j and q != p}) for p in {p for p, _ in known}}
+    assert got == {p: o for p, o in want.items() if o}
