@@ -88,11 +88,20 @@ def impact(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int) ->
     return out.select("root", F.coalesce("affected", zero).alias("affected"), F.coalesce("tests", zero).alias("tests"), (F.coalesce("affected", zero) > RISK).alias("risk"), modules.alias("modules"))
 
 
+#: Rows of one place where the different neighbours are found (about).
+ROWS_A_PLACE = 1 << 19
+
+
 def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, side, other): callers and callees by call edges."""
-    callers = nodes.join(edges, nodes["node"] == edges["dst"]).select("node", F.lit("caller").alias("side"), F.col("src").alias("other"))
-    callees = nodes.join(edges, nodes["node"] == edges["src"]).select("node", F.lit("callee").alias("side"), F.col("dst").alias("other"))
-    return callers.unionByName(callees).distinct()
+    """(node, side, other): callers and callees by call edges.
+
+    Edges are read once, as a row for either end. They are dealt to so many places that one's rows don't grow with the edges."""
+    links = materialized(edges.select("src", "dst"))
+    end = lambda node, calls, other: F.struct(F.col(node).alias("node"), F.lit(calls).alias("calls"), F.col(other).alias("other"))
+    ends = F.array(end("dst", True, "src"), end("src", False, "dst"))
+    met = links.select(F.inline(ends)).join(nodes.select("node"), "node", "left_semi")
+    met = met.repartition(1 + 2 * links.count() // ROWS_A_PLACE, "node", "calls", "other").distinct()
+    return met.select("node", F.when(F.col("calls"), "caller").otherwise("callee").alias("side"), "other")
 
 
 #: Edges of a breadth-first walk that lie together (about).

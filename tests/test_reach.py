@@ -74,3 +74,14 @@ def test_breadth_first_reads_the_edges_once(spark):
     got = traverse.breadth_first(edges, spark.createDataFrame([(0,)], "root long"), allowed).orderBy("position").collect()
     assert [(r["node"], r["position"]) for r in got] == [(n, i + 1) for i, n in enumerate([0, 1, 5, 2, 6, 3, 7, 4, 8, 9, 10, 11, 12])]
     assert read.value == len(pairs)
+
+
+def test_neighbours_are_dealt_to_bounded_places(spark, monkeypatch):
+    monkeypatch.setattr(traverse, "ROWS_A_PLACE", 50, raising=False)
+    pairs = [(i % 40, i * 7 % 41) for i in range(400)] + [(1, 1), (1, 1), (2, None)]
+    nodes = spark.createDataFrame([(i,) for i in range(0, 60, 2)] + [(1,), (1,)], "node int")
+    met = traverse.neighbours(spark.createDataFrame(pairs, "src int, dst int"), nodes)
+    known = {r["node"] for r in nodes.collect()}
+    want = {(d, "caller", s) for s, d in pairs if d in known} | {(s, "callee", d) for s, d in pairs if s in known}
+    assert sorted(map(tuple, met.collect()), key=str) == sorted(want, key=str)
+    assert met.rdd.getNumPartitions() == 1 + 2 * len(pairs) // 50
