@@ -85,3 +85,11 @@ def test_see_also_moves_lists_even_of_common_symbols(spark, monkeypatch):
     known = {(p, i) for p, i in rows if p is not None and i is not None}
     want = {p: sorted({str(q) for q, j in known for r, i in known if r == p and i == j and q != p}) for p in {p for p, _ in known}}
     assert got == {p: o for p, o in want.items() if o}
+
+
+def test_claims_are_looked_up_without_all_edges_in_both_directions(spark):
+    claimed = spark.createDataFrame([(1, 2, 1), (2, 5, 5), (3, 5, None), (4, None, 5), (5, 1, 3), (6, 4, 4), (7, 3, 9), (7, 3, 9)], "page int, src int, dst int")
+    edges = spark.createDataFrame([(1, 2), (1, 2), (9, 3), (5, 5), (4, None), (3, 2)], "src int, dst int")
+    met = pages.wrong_claims(claimed, edges)
+    assert sorted(map(tuple, met.collect()), key=str) == sorted([(3, 5, None), (4, None, 5), (5, 1, 3), (6, 4, 4)], key=str)
+    assert "Union" not in met._jdf.queryExecution().optimizedPlan().toString()
