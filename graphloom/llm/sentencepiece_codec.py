@@ -143,7 +143,9 @@ class Codec:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def decode(self, ids: list[int]) -> str:
-        raw = b"".join(self.spell[i if i is not None and 0 <= i < len(self.spell) else self.model.unknown] for i in ids)
+        if None in ids or (len(ids) and not 0 <= min(ids) <= max(ids) < len(self.spell)):
+            ids = [i if i is not None and 0 <= i < len(self.spell) else self.model.unknown for i in ids]
+        raw = b"".join(map(self.spell.__getitem__, ids))
         if self.model.dummy_prefix and raw[:1] == b" ":
             raw = raw[1:]
         return raw.decode("utf-8", "replace")
@@ -189,8 +191,10 @@ def _digests(batches: Iterator[pa.RecordBatch], data: bytes) -> Iterator[pa.Reco
     import hashlib
 
     coder = codec(data)
-    for batch in _encoded(batches, data):
-        ids, texts = batch.column("ids").to_pylist(), batch.column("text").to_pylist()
+    for batch in pieces(batches):
+        texts = batch.column("text").to_pylist()
+        made = iter(coder.encode([t for t in texts if t is not None]))
+        ids = [None if t is None else next(made) for t in texts]
         back = [None if i is None else coder.decode(i) for i in ids]
         digest = lambda x: None if x is None else hashlib.sha256(x).hexdigest()
         yield pa.RecordBatch.from_arrays(

@@ -192,3 +192,21 @@ def test_digest_of_items(spark):
     got = decontamination.op9_benchmark_decontamination(spark, "/root/testdata/sf0.001")
     clean = hashlib.sha256(b"").hexdigest()
     assert all((r.items_sha256 == clean) == (r.n_items == 0) for r in got.collect())
+
+
+def test_op4_digests_build_no_arrow_lists_of_ids(monkeypatch):
+    import pyarrow as pa
+
+    from graphloom.llm import sentencepiece_codec as codec
+
+    data = codec._read(codec.model_path())
+    texts = ["Plain  words", None, "", "数字 🙂", " lead"]
+    batch = pa.RecordBatch.from_pydict({"key": list(range(5)), "text": pa.array(texts, pa.string())})
+    whole = pa.Table.from_batches(list(codec._encoded(iter([batch]), data))).column("ids").to_pylist()
+    monkeypatch.setattr(codec, "_encoded", None)
+    got = pa.Table.from_batches(list(codec._digests(iter([batch]), data)))
+    assert got.column("n_tokens").to_pylist() == [len(i or ()) for i in whole]
+    coder = codec.codec(data)
+    unknown = coder.model.unknown
+    for odd in ([], [None], [-1, 300, 10**9], [300, None, 301]):
+        assert coder.decode(odd) == coder.decode([i if i is not None and 0 <= i < len(coder.spell) else unknown for i in odd])
