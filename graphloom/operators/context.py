@@ -51,22 +51,36 @@ def alike(name: Column, names: list[str]) -> Column:
     return F.exists(near, lambda n: lowered.contains(n) | n.contains(lowered))
 
 
-def related_tests(symbols: DataFrame, names: DataFrame) -> DataFrame:
-    """(root, id): for each root of names (root, name) the first TESTS symbols of test files, by id, whose name holds one of the root's names or
-    lies within it, in any case.
+def _firsts(rows: DataFrame, key: str) -> DataFrame:
+    """The first TESTS rows of a key, by id."""
+    return rows.withColumn("turn", F.row_number().over(Window.partitionBy(key).orderBy("id"))).where(F.col("turn") <= TESTS).drop("turn")
 
-    Different names meet once, however many symbols have them, and at every step no name or root keeps more than its first TESTS."""
+
+def _tests_of_names(symbols: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The different (root, name) of names, in lower case, and for each name (name, id): the first TESTS symbols of test files, by id, whose name holds
+    it or lies within it.
+
+    Different names meet once, however many symbols have them, and at every step no name keeps more than its first TESTS."""
     path = F.lower("file_path")
-    first = lambda rows, key: rows.withColumn("turn", F.row_number().over(Window.partitionBy(key).orderBy("id"))).where(F.col("turn") <= TESTS).drop("turn")
-    tests = materialized(first(symbols.where(path.contains("test") | path.contains("spec")).select(F.lower("name").alias("test"), "id"), "test"))
+    tests = materialized(_firsts(symbols.where(path.contains("test") | path.contains("spec")).select(F.lower("name").alias("test"), "id"), "test"))
     asked = materialized(names.select("root", F.lower("name").alias("name")).distinct())
     ours, theirs = asked.select(F.col("name").alias("text")), tests.select(F.col("test").alias("text"))
     needle = lambda rows: rows.withColumnRenamed("text", "needle")
     pairs = contained(needle(ours), theirs).toDF("name", "test").unionByName(contained(needle(theirs), ours).toDF("test", "name")).distinct()
     # A name's first tests belong to the test names whose own first tests come first.
-    nearest_names = first(pairs.join(tests.groupBy("test").agg(F.min("id").alias("id")), "test"), "name").select("name", "test")
-    met = first(nearest_names.join(tests, "test").select("name", "id"), "name")
-    return first(asked.join(met, "name").select("root", "id").distinct(), "root")
+    nearest_names = _firsts(pairs.join(tests.groupBy("test").agg(F.min("id").alias("id")), "test"), "name").select("name", "test")
+    return asked, _firsts(nearest_names.join(tests, "test").select("name", "id"), "name")
+
+
+def related_tests(symbols: DataFrame, names: DataFrame) -> DataFrame:
+    """(root, id): for each root of names (root, name) the first TESTS symbols of test files, by id, whose name holds one of the root's names or
+    lies within it, in any case.
+
+    To a root moves one array for each of its names; they become rows only where the root's arrays have met."""
+    asked, met = _tests_of_names(symbols, names)
+    lists = met.groupBy("name").agg(F.collect_list("id").alias("ids"))
+    at_root = asked.join(lists, "name").select("root", "ids").repartition("root")
+    return _firsts(at_root.select("root", F.explode("ids").alias("id")).distinct(), "root")
 
 
 def _knowledge(pages: DataFrame, roots: DataFrame, kinds: tuple[str, ...] | None, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -32,6 +33,18 @@ def test_related_tests_keep_the_first_eight(spark):
     assert {k: sorted(v) for k, v in got.items()} == {"r": ["a2", *(f"i{n:02}" for n in range(7))], "q": ["a3"]} | ({"s": ["a2"]} if "o" in "nothing" else {})
 
 
+def test_related_tests_move_a_list_for_each_name(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aB_") for _ in range(rng.randint(1, 5)))
+    rows = [(f"i{n:03}", word(), rng.choice(["src/a.rs", "tests/b.rs"])) for n in range(120)]
+    asked = [(f"r{n % 20}", word()) for n in range(60)] + [("none", None)]
+    met = related_tests(spark.createDataFrame(rows, "id string, name string, file_path string"), spark.createDataFrame(asked, "root string, name string"))
+    holds = lambda a, b: a.lower() in b.lower() or b.lower() in a.lower()
+    of = lambda root: sorted(i for i, name, path in rows if "test" in path and any(n and r == root and holds(n, name) for r, n in asked))[:8]
+    assert sorted(map(tuple, met.collect())) == sorted((root, i) for root in {r for r, _ in asked} for i in of(root))
+    assert not re.search(r"hashpartitioning\(root#\d+L?, id#", met._jdf.queryExecution().executedPlan().toString())
+
+
 def test_patterns_equal_the_glob_predicate(spark):
     rng = random.Random(7)
     part = lambda: rng.choice(["a", "ab", "abc", "b", "é"])
