@@ -83,44 +83,31 @@ def related_tests(symbols: DataFrame, names: DataFrame) -> DataFrame:
     return _firsts(at_root.select("root", F.explode("ids").alias("id")).distinct(), "root")
 
 
-def _knowledge(pages: DataFrame, roots: DataFrame, kinds: tuple[str, ...] | None, name: str) -> DataFrame:
-    """(root, {name}_page_id, {name}_body): for each root the best page that has it, or of these kinds the one with the fewest symbols, with its
-    text for a context where that adds something."""
+def _page_of(pages: DataFrame, roots: DataFrame, kinds: tuple[str, ...] | None) -> DataFrame:
+    """(root, page): for each root the best page that has it, or of these kinds the one with the fewest symbols."""
     rows = pages.where(F.col("id") != "wiki_index").select(F.col("id").alias("page"), "kind", F.size("symbol_ids").alias("symbols"), F.explode("symbol_ids").alias("id"))
     met = rows.join(roots.select(F.col("root").alias("id")), "id", "left_semi")
     best = best_page(met) if kinds is None else smallest_page(met.where(F.col("kind").isin(*kinds)))
+    return best.withColumnRenamed("id", "root").select("root", "page")
+
+
+def _bodies(pages: DataFrame) -> DataFrame:
+    """(page, body): the text of each page for a context where that adds something."""
     text = for_context(F.col("body"))
-    bodies = pages.select(F.col("id").alias("page"), F.when(adds_context(text), text).alias(f"{name}_body"))
-    return best.withColumnRenamed("id", "root").join(bodies, "page").withColumnRenamed("page", f"{name}_page_id")
+    return pages.select(F.col("id").alias("page"), F.when(adds_context(text), text).alias("body"))
 
 
-def _candidates(roots: DataFrame, sides: DataFrame, tests: DataFrame | None, semantic: DataFrame, affected: DataFrame, task: Task) -> DataFrame:
-    """(root, id, priority, ord): the symbol itself, callers, callees, tests (of a fix), alike ones, affected ones; `ord` places those of one priority."""
-    later = 4 if task.name == "Fix" else 3
-    ranks = [
-        (roots.withColumn("id", F.col("root")), 0, F.lit(0)),
-        (sides.where("side = 'caller'").select("root", F.col("other").alias("id")), 1, F.lit(0)),
-        (sides.where("side = 'callee'").select("root", F.col("other").alias("id")), 2, F.lit(0)),
-        *([(tests, 3, F.lit(0))] if tests is not None else []),
-        (semantic, later, F.col("rank")),
-        (affected.where("id <> root"), later + 1, F.col("depth")),
-    ]
-    return reduce(DataFrame.unionByName, (rows.select("root", "id", F.lit(priority).alias("priority"), F.struct(n.cast("int").alias("n"), F.col("id").alias("of")).alias("ord")) for rows, priority, n in ranks))
-
-
-def _items(candidates: DataFrame, symbols: DataFrame, files: DataFrame, task: Task, plan: bool) -> DataFrame:
-    """(root, id, rank, tokens): candidates in rank order with what they cost. A symbol's code is measured once, however many roots have it."""
-    place = ("id", "name", "file_path", "start_line", "end_line")
-    if plan:
-        order = Window.partitionBy("root").orderBy("priority", "ord")
-        ranked = candidates.withColumns({"rank": F.row_number().over(order), "before": F.lag("id").over(order)}).where("before is null or before <> id")
-        cost = symbols.select("id", estimate_tokens(F.repeat(F.lit("x"), (F.col("end_line") - F.col("start_line") + 1) * PLAN_TOKENS_A_LINE)).alias("tokens"))
-    else:
-        ranked = rank.ranked(candidates, "root")
-        cost = code_of(symbols.join(ranked.select("id").distinct(), "id", "left_semi").select(*place), files).select("id", "tokens")
-    turn = F.row_number().over(Window.partitionBy("root").orderBy("rank"))
-    items = ranked.select("root", "id", "rank").join(cost, "id").withColumn("rank", turn)
-    return items if task.snippets is None else items.where(F.col("rank") <= task.snippets)
+def _sides(tables: dict[str, DataFrame], of: DataFrame) -> DataFrame:
+    """(root, side, other, other_name): callers and callees that are symbols."""
+    named = tables["symbols"].select(F.col("id").alias("other"), F.col("name").alias("other_name"))
+    met = traverse.neighbours(links(tables["edges"], "calls"), of.withColumnRenamed("root", "node"))
+    return materialized(met.withColumnRenamed("node", "root").join(named, "other"))
+
+
+def _pages(tables: dict[str, DataFrame], of: DataFrame, task: Task) -> dict[str, DataFrame]:
+    """The pages (root, page) of a context by the names of their columns."""
+    kinds = {"wiki": None} | ({"flow_wiki": ("flow",)} if task.name == "Onboard" else {})
+    return {name: materialized(_page_of(tables["pages"], of, kind)) for name, kind in kinds.items()}
 
 
 CODE = "id string, name string, file_path string, start_line int, end_line int, language string, content string"
@@ -153,6 +140,121 @@ def _listed(value: Column, order: Column, name: str) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(order.alias("o"), value.alias("v"))))), lambda x: x["v"]).alias(name)
 
 
+#: Priorities above this stand in the upper half of a candidate's place, its order among those of its priority in the lower half.
+LOWER = 1 << 32
+PLACE = ("id", "name", "file_path", "start_line", "end_line")
+
+
+def _candidates(of: DataFrame, sides: DataFrame, semantic: DataFrame, reached: DataFrame, task: Task) -> DataFrame:
+    """(root, id, priority, n, depth): the symbol itself, callers, callees, alike ones, affected ones (with their depth); `n` places those of one priority.
+    Tests, of priority 3 in a fix, come by their names. A root that it affects itself has no priority there."""
+    later = 4 if task.name == "Fix" else 3
+    row = lambda rows, id_, priority, n, depth=None: rows.select("root", F.col(id_).alias("id"), priority.cast("int").alias("priority"), n.cast("int").alias("n"), F.lit(None).cast("int").alias("depth") if depth is None else depth)
+    of_depth = F.col("depth").cast("int").alias("depth")
+    return reduce(DataFrame.unionByName, [
+        row(of, "root", F.lit(0), F.lit(0)),
+        row(sides, "other", F.when(F.col("side") == "caller", 1).otherwise(2), F.lit(0)),
+        row(semantic, "id", F.lit(later), F.col("rank")),
+        row(reached, "node", F.when(F.col("node") != F.col("root"), later + 1), F.col("depth"), of_depth),
+    ])
+
+
+def budgeted(tables: dict[str, DataFrame], roots: DataFrame, semantic: DataFrame, task: Task, budget: int | None = None, plan: bool = False) -> DataFrame:
+    """What the contexts of many symbols hold within a budget, and what they would need, without any text: a row for each of `roots`. Tables and choices are those of `assemble`.
+
+    (root, asked, advised, n_snippets, fit, n_lines, shown, within, kept, affected, tests): the budget, what would be enough, candidates with code and how many of
+    them fit, affected symbols and how many are shown, whether nothing is missing; kept: (rank, id), affected: (rank, id, depth, tokens), tests: ids, in order."""
+    of = roots.select(F.col("id").alias("root"))
+    return _budgeted(tables, roots, _sides(tables, of), _pages(tables, of, task), semantic, task, budget, plan)
+
+
+def _budgeted(tables: dict[str, DataFrame], roots: DataFrame, sides: DataFrame, pages: dict[str, DataFrame], semantic: DataFrame, task: Task, budget: int | None, plan: bool) -> DataFrame:
+    """Candidates take what they cost from a table by id, and then all that a root has moves to it once: rows of a candidate and a list of tests
+    for each of its names. The rest are windows over the roots where they are, so nothing of a root is held together but what its budget holds."""
+    symbols, of = tables["symbols"], roots.select(F.col("id").alias("root"))
+    reached = materialized(traverse.reachable(links(tables["edges"]), of, task.depth))
+    near = _candidates(of, sides, semantic, reached, task)
+    wanted = near.select("id")
+    if task.name == "Fix":
+        names = roots.select(F.col("id").alias("root"), "name").unionByName(sides.select("root", F.col("other_name").alias("name")))
+        asked, met = _tests_of_names(symbols, names)
+        met = materialized(met)
+        wanted = wanted.unionByName(met.select("id"))
+    known = symbols.join(wanted.distinct(), "id", "left_semi").select(*PLACE)
+    if plan:
+        cost = known.select("id", estimate_tokens(F.repeat(F.lit("x"), (F.col("end_line") - F.col("start_line") + 1) * PLAN_TOKENS_A_LINE)).alias("tokens"))
+    else:
+        cost = code_of(known, tables["files"]).select("id", "tokens")
+    line = impact_line_tokens(F.col("name"), F.col("file_path"), F.col("start_line"), F.col("end_line"))
+    facts = materialized(known.select("id", line.alias("line"), F.lit(True).alias("known")).join(cost.withColumn("costed", F.lit(True)), "id", "left"))
+
+    head, none = estimate_tokens(F.lit(IMPACT_HEAD)), lambda kind: F.lit(None).cast(kind)
+    rows = near.join(facts, "id", "left").where("depth is null or known").drop("known")
+    bodies = _bodies(tables["pages"])
+    for name, title in (("wiki", "## Knowledge\n\n"), ("flow_wiki", "## Flow overview\n\n")):
+        tokens = F.when(F.coalesce("body", F.lit("")) != "", estimate_tokens(F.col("body")) + estimate_tokens(F.lit(title))).otherwise(0).alias(f"{name}_tokens")
+        if name in pages:
+            rows = rows.unionByName(pages[name].join(bodies.select("page", tokens), "page").drop("page"), allowMissingColumns=True)
+        else:
+            rows = rows.withColumn(f"{name}_tokens", none("long"))
+    fields = [c for c in rows.columns if c != "root"]
+    if task.name == "Fix":
+        lists = met.join(facts.select("id", "tokens", "costed"), "id", "left").groupBy("name").agg(F.collect_list(F.struct("id", "tokens", "costed")).alias("list"))
+        rows = rows.unionByName(asked.join(lists, "name").select("root", "list"), allowMissingColumns=True).repartition("root")
+        of_kind = dict(rows.dtypes)
+        fixed = {"priority": F.lit(3), "n": F.lit(0)}
+        member = lambda t: F.struct(*(t[c].alias(c) if c in ("id", "tokens", "costed") else fixed.get(c, none(of_kind[c])).cast(of_kind[c]).alias(c) for c in fields))
+        rows = rows.select("root", F.inline(F.when(F.col("list").isNotNull(), F.transform("list", member)).otherwise(F.array(F.struct(*fields)))))
+        rows = rows.groupBy("root", "priority", "n", "id").agg(*(F.max(c).alias(c) for c in fields if c not in ("id", "priority", "n")))
+        turn = F.row_number().over(Window.partitionBy("root", "priority").orderBy("id"))
+        rows = rows.withColumn("turn", turn).where(~F.col("priority").eqNullSafe(3) | (F.col("turn") <= TESTS)).drop("turn").withColumn("test", F.col("priority").eqNullSafe(3))
+    else:
+        rows = rows.repartition("root").withColumn("test", F.lit(False))
+    # As one number, a place has its minimum without a sort.
+    rows = rows.withColumn("place", F.col("priority").cast("long") * LOWER + F.col("n")).drop("priority", "n")
+    if not plan:
+        rows = rows.groupBy("root", "id").agg(F.min("place").alias("place"), *(F.max(c).alias(c) for c in rows.columns if c not in ("root", "id", "place")))
+    by = Window.partitionBy("root").orderBy(F.col("place").asc_nulls_last(), "id")
+    at, deep = by.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("root").orderBy(F.col("depth").asc_nulls_last(), "id").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("root")
+    item = F.col("place").isNotNull() & F.coalesce("costed", F.lit(False))
+    if plan:
+        rows = rows.withColumn("before", F.lag("id").over(by))
+        item &= F.col("before").isNull() | (F.col("before") != F.col("id"))
+    rows = rows.withColumns({"item": item, "entry": F.col("depth").isNotNull()})
+    rows = rows.withColumns({"rank": F.sum(F.when(F.col("item"), 1)).over(at).cast("int"), "run": F.sum(F.when(F.col("item"), F.col("tokens"))).over(at)})
+    if task.snippets is not None:
+        rows = rows.withColumn("item", F.col("item") & (F.col("rank") <= task.snippets))
+    rows = rows.withColumns({"turn": F.sum(F.when(F.col("entry"), 1)).over(deep).cast("int"), "line_run": F.sum(F.when(F.col("entry"), F.col("line"))).over(deep)})
+
+    total = lambda what, condition: F.coalesce(F.sum(F.when(condition, what)).over(whole), F.lit(0).cast("long"))
+    one, true = F.lit(1), F.lit(True)
+    rows = rows.withColumns({
+        "n_lines": total(one, F.col("entry")), "line_tokens": total(F.col("line"), F.col("entry") & (F.col("turn") <= task.cap)),
+        "n_snippets": total(one, F.col("item")), "code_tokens": total(F.col("tokens"), F.col("item")),
+        "page_tokens": total(F.col("wiki_tokens"), true), "flow_tokens": total(F.col("flow_wiki_tokens"), true),
+    })
+    needed = F.col("page_tokens") + F.col("flow_tokens") + F.col("line_tokens") + F.when(F.col("n_lines") > 0, head).otherwise(0) + F.col("code_tokens") + F.when(F.col("n_snippets") > 0, estimate_tokens(F.lit("## Code\n\n"))).otherwise(0)
+    rows = rows.withColumn("advised", rank.recommended(needed)).withColumn("asked", F.col("advised") if budget is None else F.lit(budget).cast("long"))
+    rows = rows.withColumn("left", F.greatest(F.col("asked") - OVERHEAD_TOKENS, F.lit(0)))
+    rows = rows.withColumn("left", F.expr("case when page_tokens > 0 and page_tokens <= left then left - page_tokens when left < page_tokens and page_tokens <= asked div 2 then 0 else left end"))
+    rows = rows.withColumn("left", F.expr("case when flow_tokens > 0 and flow_tokens <= left then left - flow_tokens else left end"))
+    rows = rows.withColumn("listed", F.col("entry") & rank.fits(F.col("line_run"), F.col("turn"), F.col("left"), head, task.cap))
+    rows = rows.withColumns({"shown": total(one, F.col("listed")), "shown_tokens": total(F.col("line"), F.col("listed"))})
+    rows = rows.withColumn("left", F.greatest(F.col("left") - F.when(F.col("shown") > 0, head + F.col("shown_tokens")).otherwise(0), F.lit(0)))
+    rows = rows.withColumn("kept", F.col("item") & rank.fits(F.col("run"), F.col("rank"), F.col("left")))
+    sorted_ = lambda condition, value, name: F.array_sort(F.collect_list(F.when(condition, value))).alias(name)
+    out = rows.groupBy("root").agg(
+        *(F.max(c).alias(c) for c in ("asked", "advised", "n_snippets", "n_lines", "shown")),
+        F.count_if("kept").alias("fit"),
+        sorted_(F.col("kept"), F.struct("rank", "id"), "kept"),
+        sorted_(F.col("listed"), F.struct(F.col("turn").alias("rank"), "id", "depth", F.col("line").alias("tokens")), "affected"),
+        sorted_(F.col("test"), F.col("id"), "tests"),
+    )
+    cut = (F.col("fit") < F.col("n_snippets")) | (F.col("shown") < F.least(F.col("n_lines"), F.lit(task.cap)))
+    return out.withColumn("within", ~cut & (F.col("asked") >= F.col("advised")))
+
+
 def assemble(tables: dict[str, DataFrame], roots: DataFrame, semantic: DataFrame, task: Task, budget: int | None = None, plan: bool = False) -> DataFrame:
     """The contexts of many symbols as one plan: a row for each of `roots` (rows of symbols) with `markdown`. tables: symbols, edges, files, pages;
     semantic: (root, id, rank), the symbols most alike.
@@ -161,49 +263,26 @@ def assemble(tables: dict[str, DataFrame], roots: DataFrame, semantic: DataFrame
     ranks counts in each unless they follow each other, and its text is short. Candidates are rows with their tokens; budgets are columns, packing
     is a running sum, and code is fetched only for what fits. So a root brings to one row what its budget holds, and the names of its
     callers and callees. What several parts of the plan read is written down once."""
-    symbols, calls = tables["symbols"], links(tables["edges"], "calls")
-    of = roots.select(F.col("id").alias("root"))
+    symbols, of = tables["symbols"], roots.select(F.col("id").alias("root"))
     named = symbols.select(F.col("id").alias("other"), F.col("name").alias("other_name"))
-    sides = traverse.neighbours(calls, of.withColumnRenamed("root", "node")).withColumnRenamed("node", "root").join(named, "other")
-    sides = materialized(sides)
-    line = impact_line_tokens(F.col("name"), F.col("file_path"), F.col("start_line"), F.col("end_line"))
-    affected = traverse.reachable(links(tables["edges"]), of, task.depth).join(symbols.select("id", "name", "file_path", "start_line", "end_line"), F.col("node") == F.col("id")).drop("node")
-    affected = materialized(affected.withColumns({"tokens": line, "rank": F.row_number().over(Window.partitionBy("root").orderBy("depth", "id"))}))
-    tests = None
-    if task.name == "Fix":
-        tests = materialized(related_tests(symbols, roots.select(F.col("id").alias("root"), "name").unionByName(sides.select("root", F.col("other_name").alias("name")))))
-    items = materialized(_items(_candidates(of, sides, tests, semantic, affected, task), symbols, tables["files"], task, plan))
-
-    head = estimate_tokens(F.lit(IMPACT_HEAD))
-    costs = lambda text, title: F.when(F.coalesce(text, F.lit("")) != "", estimate_tokens(text) + estimate_tokens(F.lit(title))).otherwise(0)
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    lines = affected.groupBy("root").agg(F.count("*").alias("n_lines"), F.sum(F.when(F.col("rank") <= task.cap, F.col("tokens"))).alias("line_tokens"))
-    snippets = items.groupBy("root").agg(F.count("*").alias("n_snippets"), F.sum("tokens").alias("code_tokens"))
-    money = of.join(_knowledge(tables["pages"], of, None, "wiki"), "root", "left")
-    none = F.lit(None).cast("string")
-    money = money.join(_knowledge(tables["pages"], of, ("flow",), "flow_wiki"), "root", "left") if task.name == "Onboard" else money.withColumns({"flow_wiki_page_id": none, "flow_wiki_body": none})
-    money = money.join(lines, "root", "left").join(snippets, "root", "left").withColumns({c: zero(c) for c in ("n_lines", "line_tokens", "n_snippets", "code_tokens")})
-    money = money.withColumns({"page_tokens": costs(F.col("wiki_body"), "## Knowledge\n\n"), "flow_tokens": costs(F.col("flow_wiki_body"), "## Flow overview\n\n")})
-    total = F.col("page_tokens") + F.col("flow_tokens") + F.col("line_tokens") + F.when(F.col("n_lines") > 0, head).otherwise(0) + F.col("code_tokens") + F.when(F.col("n_snippets") > 0, estimate_tokens(F.lit("## Code\n\n"))).otherwise(0)
-    money = money.withColumn("advised", rank.recommended(total)).withColumn("asked", F.col("advised") if budget is None else F.lit(budget).cast("long"))
-    money = money.withColumn("left", F.greatest(F.col("asked") - OVERHEAD_TOKENS, F.lit(0)))
-    money = money.withColumn("left", F.expr("case when page_tokens > 0 and page_tokens <= left then left - page_tokens when left < page_tokens and page_tokens <= asked div 2 then 0 else left end"))
-    money = money.withColumn("left", F.expr("case when flow_tokens > 0 and flow_tokens <= left then left - flow_tokens else left end"))
-
-    money = materialized(money)
-    fits = lambda rows, **how: rank.packed(rows.join(money.select("root", "left"), "root"), "root", F.col("left"), **how)
+    sides, pages = _sides(tables, of), _pages(tables, of, task)
+    money = materialized(_budgeted(tables, roots, sides, pages, semantic, task, budget, plan))
+    place, none = symbols.select(*PLACE), F.lit(None).cast("string")
     entry = F.struct("id", "depth", "name", "file_path", "start_line", "end_line", "tokens")
-    listed = fits(affected, header=head, cap=task.cap).groupBy("root").agg(F.count("*").alias("shown"), F.sum("tokens").alias("shown_tokens"), _listed(entry, F.col("rank"), "affected"))
-    money = money.join(listed, "root", "left").withColumns({"shown": zero("shown"), "left": F.greatest(F.col("left") - F.when(zero("shown") > 0, head + F.col("shown_tokens")).otherwise(0), F.lit(0))})
-    money = materialized(money)
-    kept = materialized(fits(items))
-    counted = kept.groupBy("root").agg(F.count("*").alias("fit"))
-    place = symbols.select("id", "name", "file_path", "start_line", "end_line")
+    listed = money.select("root", F.inline("affected")).join(place, "id").groupBy("root").agg(_listed(entry, F.col("rank"), "affected"))
     if plan:
-        code = counted.select("root", F.array().cast("array<struct<id string, name string, file_path string, start_line int, end_line int, language string, content string, tokens bigint, rank int>>").alias("snippets"))
+        code = money.select("root", F.array().cast("array<struct<id string, name string, file_path string, start_line int, end_line int, language string, content string, tokens bigint, rank int>>").alias("snippets"))
     else:
-        full = kept.select("root", "id", "rank").join(code_of(place.join(kept.select("id").distinct(), "id", "left_semi"), tables["files"]), "id")
+        kept = money.select("root", F.inline("kept"))
+        full = kept.join(code_of(place.join(kept.select("id").distinct(), "id", "left_semi"), tables["files"]), "id")
         code = full.groupBy("root").agg(_listed(F.struct("id", "name", "file_path", "start_line", "end_line", "language", "content", "tokens", "rank"), F.col("rank"), "snippets"))
+    tests = money.select("root", F.explode("tests").alias("id")) if task.name == "Fix" else None
+    money = money.drop("kept", "affected", "tests")
+    for name in ("wiki", "flow_wiki"):
+        if name in pages:
+            money = money.join(pages[name].join(_bodies(tables["pages"]), "page").withColumnsRenamed({"page": f"{name}_page_id", "body": f"{name}_body"}), "root", "left")
+        else:
+            money = money.withColumns({f"{name}_page_id": none, f"{name}_body": none})
 
     mates = symbols.select("file_path", "id", "name", "start_line").withColumn("turn", F.row_number().over(Window.partitionBy("file_path").orderBy("start_line", "id"))).where(F.col("turn") <= RELATED + 1)
     mates = roots.select(F.col("id").alias("root"), "file_path").join(mates, "file_path").where("id <> root").groupBy("root").agg(_listed(F.col("name"), F.col("turn"), "related_components"))
@@ -211,13 +290,12 @@ def assemble(tables: dict[str, DataFrame], roots: DataFrame, semantic: DataFrame
     alike_ones = semantic.join(named.withColumnRenamed("other", "id"), "id").groupBy("root").agg(_listed(F.col("other_name"), F.col("rank"), "semantic_neighbors"))
     out = roots.select(F.col("id").alias("root"), F.struct(*roots.columns).alias("symbol"))
     tested = [tests.join(symbols.select("id", "file_path"), "id").groupBy("root").agg(F.array_sort(F.collect_set("file_path")).alias("related_tests"))] if tests is not None else []
-    out = reduce(lambda a, b: a.join(b, "root", "left"), [counted, code, mates, side, alike_ones, *tested], out.join(money, "root"))
+    out = reduce(lambda a, b: a.join(b, "root", "left"), [listed, code, mates, side, alike_ones, *tested], out.join(money, "root"))
     if tests is None:
         out = out.withColumn("related_tests", F.array().cast("array<string>"))
     empty = {c: F.coalesce(c, F.filter(c, lambda _: F.lit(False)), F.array().cast(out.schema[c].dataType)) for c in ("snippets", "affected", "related_components", "callers", "callees", "semantic_neighbors", "related_tests")}
-    out = out.withColumns(empty | {"fit": zero("fit")})
-    s, cut = F.col("symbol"), (F.col("fit") < F.col("n_snippets")) | (F.col("shown") < F.least(F.col("n_lines"), F.lit(task.cap)))
-    advice = F.struct(F.col("asked").alias("requested_budget"), F.col("advised").alias("recommended_tokens"), F.lit(0).cast("long").alias("estimated_tokens"), F.col("fit").alias("snippets_included"), (F.col("n_snippets") - F.col("fit")).alias("snippets_omitted"), F.col("shown").alias("impact_entries_shown"), F.col("n_lines").alias("impact_entries_total"), (~cut & (F.col("asked") >= F.col("advised"))).alias("within_budget"))
+    out, s = out.withColumns(empty), F.col("symbol")
+    advice = F.struct(F.col("asked").alias("requested_budget"), F.col("advised").alias("recommended_tokens"), F.lit(0).cast("long").alias("estimated_tokens"), F.col("fit").alias("snippets_included"), (F.col("n_snippets") - F.col("fit")).alias("snippets_omitted"), F.col("shown").alias("impact_entries_shown"), F.col("n_lines").alias("impact_entries_total"), F.col("within").alias("within_budget"))
     texts = {
         "responsibility": F.concat(s["name"], F.lit(" ("), F.initcap(s["kind"]), F.lit(") defined in "), s["file_path"], F.lit(" at lines "), s["start_line"].cast("string"), F.lit("-"), s["end_line"].cast("string")),
         "enriched_summary": none,

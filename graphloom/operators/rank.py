@@ -14,12 +14,16 @@ def ranked(candidates: DataFrame, by: str) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("priority", "ord", "id")))
 
 
+def fits(run: Column, rank: Column, budget: int | Column, header: int | Column = 0, cap: int | None = None) -> Column:
+    """Whether an item is in the longest prefix within the budget, by the running sum of tokens; the first item always fits once the header does."""
+    fit = ((run + header <= budget) | (rank == 1)) & F.lit(header <= budget)
+    return fit if cap is None else fit & (rank <= cap)
+
+
 def packed(items: DataFrame, by: str, budget: int | Column, header: int | Column = 0, cap: int | None = None) -> DataFrame:
-    """items (by, rank, tokens): the longest prefix within the budget; the first item always fits once the header does. The budget may be a column."""
+    """items (by, rank, tokens): those that fit. The budget may be a column."""
     run = F.sum("tokens").over(Window.partitionBy(by).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    out = items.withColumn("running", run + header).where((F.col("running") <= budget) | (F.col("rank") == 1))
-    out = out.where(F.lit(header <= budget))
-    return out if cap is None else out.where(F.col("rank") <= cap)
+    return items.withColumn("running", run + header).where(fits(F.col("running") - header, F.col("rank"), budget, header, cap))
 
 
 def recommended(total: Column) -> Column:

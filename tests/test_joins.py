@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import matches_glob
-from graphloom.operators import link, pages
+from graphloom.operators import context, link, pages
 from graphloom.operators.contain import contained
 from graphloom.operators.context import related_tests
 from graphloom.operators.paths import matched
@@ -45,6 +45,30 @@ def test_related_tests_move_a_list_for_each_name(spark):
     assert not re.search(r"hashpartitioning\(root#\d+L?, id#", met._jdf.queryExecution().executedPlan().toString())
 
 
+@pytest.mark.parametrize(("task", "budget", "plan"), [("fix", 330, False), ("onboard", None, True)])
+def test_what_a_root_has_moves_to_it_once(spark, task, budget, plan):
+    rng = random.Random(9)
+    ids = [f"s{i:02}" for i in range(30)]
+    symbols = spark.createDataFrame([(i, rng.choice("abc"), "function", rng.choice(["src/a.rs", "tests/b.rs"]), n % 20 + 1, n % 20 + 2, "public") for n, i in enumerate(ids)], "id string, name string, kind string, file_path string, start_line int, end_line int, visibility string")
+    tables = {
+        "symbols": symbols,
+        "edges": spark.createDataFrame([(rng.choice(ids), rng.choice([*ids, "lost"]), "calls") for _ in range(60)], "src_symbol_id string, dst_symbol_id string, edge_type string"),
+        "files": spark.createDataFrame([(p, "rust", "let x;\n" * 30) for p in ("src/a.rs", "tests/b.rs")], "path string, language string, text string"),
+        "pages": spark.createDataFrame([("p", "flow", "words " * 20, ids[::3])], "id string, kind string, body string, symbol_ids array<string>"),
+    }
+    semantic = spark.createDataFrame([(i, rng.choice(ids), 1) for i in ids], "root string, id string, rank int")
+    met = context.budgeted(tables, symbols, semantic, context.task_of(task), budget, plan)
+    assert len(re.findall(r"Exchange hashpartitioning\(root#", met._jdf.queryExecution().executedPlan().toString())) == 1
+    whole = {r["symbol"]["id"]: r for r in context.assemble(tables, symbols, semantic, context.task_of(task), budget, plan).collect()}
+    rows = met.collect()
+    assert len(rows) == len(ids) == len(whole)
+    for r in rows:
+        full = whole[r["root"]]
+        advice, listed = full["budget_advice"], [x["id"] for x in full["affected"]]
+        assert (r["asked"], r["advised"], r["fit"], r["shown"], r["n_lines"], r["within"]) == (advice["requested_budget"], advice["recommended_tokens"], advice["snippets_included"], advice["impact_entries_shown"], advice["impact_entries_total"], advice["within_budget"])
+        assert [x["id"] for x in r["affected"]] == listed and (plan or [x["id"] for x in r["kept"]] == [x["id"] for x in full["snippets"]])
+
+
 def test_patterns_equal_the_glob_predicate(spark):
     rng = random.Random(7)
     part = lambda: rng.choice(["a", "ab", "abc", "b", "é"])
