@@ -6,11 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Nodes of an array of successors, nodes of one root that a task holds at most (about), and of an array of its result.
 PIECE, PART, CHUNK = 1024, 1 << 22, 1 << 16
 #: Values of one group that are held before what repeats among them goes.
 HELD = 1 << 22
+#: Integers that lie within such a range are numbers as they are.
+NEAR = 1 << 32
 
 
 def _firsts(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
@@ -19,15 +22,26 @@ def _firsts(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     row = np.repeat(np.arange(rows.num_rows), sizes)
     values = lists.flatten()
-    codes = values.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    codes = _codes(values)
     groups = _groups(rows)[row]
     depth = rows.column("depth").to_numpy().astype(np.int64)[row]
     key = groups * (codes.max(initial=0) + 1) + codes
-    order = np.lexsort((depth, key))
+    order = np.argsort(key * (depth.max(initial=0) + 1) + depth)
     first = np.ones(len(order), bool)
     first[1:] = key[order][1:] != key[order][:-1]
     chosen = order[first]
-    return pa.table({"row": pa.array(row[chosen]), "node": values.take(pa.array(chosen))}), depth[chosen]
+    tags = {"tag": rows.column("tags").combine_chunks().flatten().take(pa.array(chosen))} if "tags" in rows.column_names else {}
+    return pa.table({"row": pa.array(row[chosen]), "node": values.take(pa.array(chosen))} | tags), depth[chosen]
+
+
+def _codes(values: pa.Array) -> np.ndarray:
+    """A number for each different value."""
+    if pa.types.is_integer(values.type) and len(values):
+        numbers = values.to_numpy().astype(np.int64)
+        least = numbers.min()
+        if int(numbers.max()) - int(least) < NEAR:
+            return numbers - least
+    return values.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _groups(rows: pa.Table) -> np.ndarray:
@@ -40,7 +54,7 @@ def _groups(rows: pa.Table) -> np.ndarray:
 
 
 def _sets(rows: pa.Table, found: pa.Table, depth: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
-    """Rows (root, part, depth, nodes) of found (row, node): nodes of one group and depth that follow each other become one array."""
+    """Rows (root, part, depth, nodes and maybe tags) of found (row, node and maybe tag): nodes of one group and depth that follow each other become one array."""
     row = found.column("row").to_numpy()
     group = _groups(rows)[row]
     cut = np.ones(len(row), bool)
@@ -48,9 +62,9 @@ def _sets(rows: pa.Table, found: pa.Table, depth: np.ndarray, schema: pa.Schema)
     at = np.flatnonzero(cut)
     size = np.diff(np.append(at, len(row)))
     at = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, a + n, CHUNK) for a, n in zip(at, size, strict=True))]) if size.max(initial=0) > CHUNK else at
-    nodes = pa.ListArray.from_arrays(pa.array(np.append(at, len(row)).astype(np.int32)), found.column("node").combine_chunks())
+    lists = [pa.ListArray.from_arrays(pa.array(np.append(at, len(row)).astype(np.int32)), found.column(c).combine_chunks()) for c in found.column_names[1:]]
     head = pa.array(row[at])
-    columns = [rows.column("root").combine_chunks().take(head), rows.column("part").combine_chunks().take(head), pa.array(depth[at].astype(np.int32)), nodes]
+    columns = [rows.column("root").combine_chunks().take(head), rows.column("part").combine_chunks().take(head), pa.array(depth[at].astype(np.int32)), *lists]
     return pa.RecordBatch.from_arrays([c.cast(schema.field(n).type) for c, n in zip(columns, schema.names, strict=True)], names=schema.names)
 
 
@@ -82,3 +96,29 @@ def united(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordB
             held = [_sets(rows, found.take(pa.array(order)), depth[order], rows.schema)]
     if held:
         yield done(pa.Table.from_batches(held))
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(root, depth, tag, n, least): how many nodes of a tag each set has, and the least of them."""
+    for batch in batches:
+        lists, tags = batch.column("nodes"), batch.column("tags").flatten().to_numpy()
+        row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+        values = lists.flatten()
+        if pa.types.is_integer(values.type):
+            place, named = values.to_numpy(), None
+        else:
+            coded = values.dictionary_encode()
+            order = pc.sort_indices(coded.dictionary)
+            turn = np.empty(len(order), np.int64)
+            turn[order.to_numpy()] = np.arange(len(order))
+            place, named = turn[coded.indices.to_numpy()], coded.dictionary.take(order)
+        known, code = np.unique(tags, return_inverse=True)
+        key = row * max(len(known), 1) + code
+        by = np.argsort(key, kind="stable")
+        start = np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1])) if len(by) else by
+        least = np.minimum.reduceat(place[by], start) if len(by) else place
+        at = by[start]
+        head = pa.array(row[at])
+        least = pa.array(least) if named is None else named.take(pa.array(least))
+        columns = [batch.column("root").take(head), batch.column("depth").take(head), pa.array(tags[at]), pa.array(np.diff(np.append(start, len(by))).astype(np.int64)), least.cast(values.type)]
+        yield pa.RecordBatch.from_arrays(columns, names=["root", "depth", "tag", "n", "least"])

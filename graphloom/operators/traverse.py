@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialized
-from .sets import PART, PIECE, united
+from .sets import PART, PIECE, counted, united
 
 #: Each level reads the one before twice; the plan is cut that often.
 CUT_EVERY = 4
@@ -17,6 +19,10 @@ CUT_EVERY = 4
 FEW = 64
 
 
+def _many(roots: DataFrame) -> bool:
+    return roots.limit(FEW + 1).count() > FEW
+
+
 def reachable(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(root, node, depth): nodes on a walk of 1..max(depth, 1) edges from each root, with the least number of edges.
 
@@ -24,7 +30,7 @@ def reachable(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     edges met, not by the number of walks. More than FEW roots walk together in sets, fewer in rows, which need no sets of all nodes' successors.
     """
     roots = roots.select("root")
-    if roots.limit(FEW + 1).count() > FEW:
+    if _many(roots):
         return reach_sets(edges, roots, depth).select("root", F.explode("nodes").alias("node"), "depth")
     frontier, seen = roots.select("root", F.col("root").alias("node")), None
     for level in range(1, max(depth, 1) + 1):
@@ -39,8 +45,9 @@ def reachable(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def reach_sets(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """(root, part, depth, nodes): the nodes of each root by their least number of edges, in sets.
+def reach_sets(edges: DataFrame, roots: DataFrame, depth: int, tags: DataFrame | None = None) -> DataFrame:
+    """(root, part, depth, nodes): the nodes of each root by their least number of edges, in sets. With tags (node, tag) of numbers it is (root, depth, tag, n, least):
+    the number of nodes of a tag (-1: of none) in a set, and the least of them, so that what is asked of a node needs no row for each root that reaches it.
 
     What moves are sets, not rows of one node: the successors of a node are arrays of up to PIECE, a frontier takes them over whole,
     and a root's arrays are united where they meet, in one pass over sorted rows. In graphs of more than PART nodes, nodes are dealt to
@@ -51,37 +58,65 @@ def reach_sets(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     part = F.pmod(F.xxhash64("dst"), F.lit(parts)).cast("int")
     turn = F.row_number().over(Window.partitionBy("src").orderBy("part", "dst"))
     near = links.distinct().withColumn("part", part).withColumn("piece", F.floor(turn / PIECE))
-    near = near.groupBy("src", "part", "piece").agg(F.collect_list("dst").alias("nodes")).drop("piece")
+    columns = ["part", "depth", "nodes"]
+    if tags is not None:
+        near = near.join(tags.select(F.col("node").alias("dst"), "tag"), "dst", "left").withColumn("tag", F.coalesce("tag", F.lit(-1).cast(tags.schema["tag"].dataType)))
+        columns.append("tags")
+    lists = [F.collect_list(c).alias(of) for c, of in (("dst", "nodes"), ("tag", "tags")) if c in near.columns]
+    near = near.groupBy("src", "part", "piece").agg(*lists).drop("piece")
     front, state = roots.select("root", F.col("root").alias("node")).distinct(), None
-    for level in range(1, max(depth, 1) + 1):
-        step = front.join(near, front["node"] == near["src"]).select("root", "part", F.lit(level).alias("depth"), "nodes")
+    last = max(depth, 1)
+    for level in range(1, last + 1):
+        step = front.join(near, front["node"] == near["src"]).withColumn("depth", F.lit(level)).select("root", *columns)
         if state is not None:
             met = state.unionByName(step).repartition("root", "part").sortWithinPartitions("root", "part")
+            if level == last and tags is not None:
+                # Counted in the pass that unites them, sets don't go through rows again.
+                return _counted(state).unionByName(_counted(met, lambda batches: united(batches, last)))
             step = met.mapInArrow(lambda batches, level=level: united(batches, level), met.schema)
         if level % CUT_EVERY == 0:
             step = materialized(step)
         state = step if state is None else state.unionByName(step)
         front = step.select("root", F.explode("nodes").alias("node"))
-    return state
+    return state if tags is None else _counted(state)
+
+
+def _counted(sets: DataFrame, before: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter) -> DataFrame:
+    root, tag, node = (sets.schema["root"].dataType, *(sets.schema[c].dataType.elementType for c in ("tags", "nodes")))
+    schema = f"root {root.simpleString()}, depth int, tag {tag.simpleString()}, n bigint, least {node.simpleString()}"
+    return sets.mapInArrow(lambda batches: counted(before(batches)), schema)
 
 
 #: Fixed value: more affected symbols than this are a risk.
 RISK = 10
+#: Kinds of nodes that are numbered in one task and go to every task, at most.
+BROADCAST = 1 << 14
 
 
 def impact(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """One row per root: affected and tests (long): how many nodes it reaches, and how many of them lie in test paths; risk: whether affected
     is many; modules: the directories of the nodes known to `nodes` (id, module, path) in order of first appearance (by depth, then id).
 
-    Only counts and the modules' first places are gathered, never a root's nodes."""
-    met = reachable(edges, roots, depth).join(nodes, F.col("node") == F.col("id"), "left")
+    Only counts and the modules' first places are gathered, never a root's nodes. Of many roots the sets carry a number for the module of each node, so they are
+    counted as they are, without a row or a join for a root's node."""
     test, levels = F.col("path").contains("test") | F.col("path").contains("spec"), range(1, max(depth, 1) + 1)
+    known = nodes.select("id", "module", test.alias("test"))
+    if _many(roots):
+        kinds = materialized(known.select("module", "test").distinct())
+        if kinds.count() <= BROADCAST:
+            kinds = F.broadcast(kinds.withColumn("tag", F.row_number().over(Window.orderBy("module", "test")).cast("short")))
+        else:
+            kinds = materialized(kinds.withColumn("tag", F.monotonically_increasing_id()))
+        tags = known.join(kinds.withColumnsRenamed({"module": "m", "test": "t"}), F.col("module").eqNullSafe(F.col("m")) & F.col("test").eqNullSafe(F.col("t"))).select(F.col("id").alias("node"), "tag")
+        met = reach_sets(edges, roots, depth, tags).join(kinds, "tag", "left")
+    else:
+        met = reachable(edges, roots, depth).join(known, F.col("node") == F.col("id"), "left").select("root", "depth", "module", "test", F.lit(1).alias("n"), F.col("node").alias("least"))
     # The least node of each depth by itself: a minimum of structs would have all rows sorted.
-    least = [F.min(F.when(F.col("depth") == k, F.col("node"))).alias(f"least{k}") for k in levels]
-    first = met.groupBy("root", "module").agg(F.count("*").alias("n"), F.count_if(test).alias("t"), *least)
+    least = [F.min(F.when(F.col("depth") == k, F.col("least"))).alias(f"least{k}") for k in levels]
+    first = met.groupBy("root", "module").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("test"), F.col("n")).otherwise(0)).alias("t"), *least)
     at = F.coalesce(*(F.when(F.col(f"least{k}").isNotNull(), F.struct(F.lit(k).alias("depth"), F.col(f"least{k}").alias("node"))) for k in levels))
     named = F.when(F.col("module") != "", F.struct(at.alias("at"), "module"))
-    rows = first.groupBy("root").agg(F.sum("n").alias("affected"), F.sum("t").alias("tests"), F.array_sort(F.collect_list(named)).alias("m"))
+    rows = first.groupBy("root").agg(F.sum("n").alias("affected"), F.sum("t").alias("tests"), F.sort_array(F.collect_list(named)).alias("m"))
     out = roots.join(rows, "root", "left")
     zero = F.lit(0).cast("long")
     modules = F.coalesce(F.transform("m", lambda x: x["module"]), F.array().cast("array<string>"))

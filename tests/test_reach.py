@@ -85,3 +85,25 @@ def test_neighbours_are_dealt_to_bounded_places(spark, monkeypatch):
     want = {(d, "caller", s) for s, d in pairs if d in known} | {(s, "callee", d) for s, d in pairs if s in known}
     assert sorted(map(tuple, met.collect()), key=str) == sorted(want, key=str)
     assert met.rdd.getNumPartitions() == 1 + 2 * len(pairs) // 50
+
+
+@pytest.mark.parametrize(("kind", "few"), [("string", 1 << 14), ("long", 0)])
+def test_impact_of_many_roots_counts_sets(spark, monkeypatch, kind, few):
+    monkeypatch.setattr(traverse, "FEW", 0)
+    monkeypatch.setattr(traverse, "BROADCAST", few, raising=False)
+    monkeypatch.setattr(traverse, "PART", 20)
+    monkeypatch.setattr(traverse, "PIECE", 3)
+    rng = random.Random(11)
+    as_kind = (lambda x: f"é{x}") if kind == "string" else int
+    edges = [(as_kind(rng.randint(0, 59)), as_kind(rng.randint(0, 59))) for _ in range(150)]
+    facts = {as_kind(n): (rng.choice(["m", "k", "", None]), rng.choice(["a/test_x", "spec", "src", None])) for n in range(50)}
+    nodes = spark.createDataFrame([(i, m, p) for i, (m, p) in facts.items()], f"id {kind}, module string, path string")
+    roots = [as_kind(n) for n in (*range(0, 60, 2), 99)]
+    met = traverse.impact(spark.createDataFrame(edges, f"src {kind}, dst {kind}"), nodes, spark.createDataFrame([(r,) for r in roots], f"root {kind}"), 2)
+    assert met._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(nodes") == 1
+    reached = plain(edges, roots, 2)
+    for r in met.collect():
+        mine = [(d, n, *facts.get(n, (None, None))) for root, n, d in reached if root == r["root"]]
+        firsts = {m: min((d, n) for d, n, of, _ in mine if of == m) for m in {x[2] for x in mine} if m}
+        assert (r["affected"], r["tests"], r["risk"]) == (len(mine), sum(p is not None and ("test" in p or "spec" in p) for *_, p in mine), len(mine) > 10)
+        assert r["modules"] == sorted(firsts, key=firsts.get)
