@@ -57,11 +57,12 @@ def reach_sets(edges: DataFrame, roots: DataFrame, depth: int, tags: DataFrame |
     parts = math.ceil((links.agg(F.approx_count_distinct("dst")).first()[0] or 1) / PART)
     part = F.pmod(F.xxhash64("dst"), F.lit(parts)).cast("int")
     turn = F.row_number().over(Window.partitionBy("src").orderBy("part", "dst"))
-    near = links.distinct().withColumn("part", part).withColumn("piece", F.floor(turn / PIECE))
     columns = ["part", "depth", "nodes"]
     if tags is not None:
-        near = near.join(tags.select(F.col("node").alias("dst"), "tag"), "dst", "left").withColumn("tag", F.coalesce("tag", F.lit(-1).cast(tags.schema["tag"].dataType)))
+        # Joined first, edges are told apart where they have met their tags.
+        links = links.join(tags.select(F.col("node").alias("dst"), "tag"), "dst", "left").withColumn("tag", F.coalesce("tag", F.lit(-1).cast(tags.schema["tag"].dataType)))
         columns.append("tags")
+    near = links.distinct().withColumn("part", part).withColumn("piece", F.floor(turn / PIECE))
     lists = [F.collect_list(c).alias(of) for c, of in (("dst", "nodes"), ("tag", "tags")) if c in near.columns]
     near = near.groupBy("src", "part", "piece").agg(*lists).drop("piece")
     front, state = roots.select("root", F.col("root").alias("node")).distinct(), None
