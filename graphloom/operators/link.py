@@ -24,19 +24,24 @@ def by_name(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
     """Ends (repo, symbol, name) of one service or topic in different repositories. Other columns of `left` come along.
 
     There are as many rows as pairs, so pairs are what is dealt out: a name's ends are cut into pieces on both sides, each piece meets each piece
-    of the other side in a cell of its own, and the number of tasks follows from the number of pairs. A task holds the pieces of its cells."""
+    of the other side in a cell of its own, and the number of tasks follows from the number of pairs. A piece is one row with an array of its ends until
+    it is in its cells, so what is repeated are pieces, by tasks that they were dealt to, not ends by the tasks that read them. A task holds the pieces of its cells."""
     a = left.withColumnsRenamed({"repo": "src_repo", "symbol": "src"})
     b = right.select(F.col("repo").alias("dst_repo"), F.col("symbol").alias("dst"), name)
     counted = lambda ends, of: ends.groupBy(name).agg(F.count("*").alias(of))
     sizes = counted(a, "lefts").join(counted(b, "rights"), name)
     pairs = sizes.agg(F.sum(F.col("lefts").cast("double") * F.col("rights"))).first()[0] or 0
     sizes = sizes.select(name, *(F.ceil(F.col(n) / PIECE).cast("int").alias(n) for n in ("lefts", "rights")))
-    own = lambda end, n: F.pmod(F.xxhash64(end), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    a = a.join(sizes, name).withColumns({"left_piece": own("src", "lefts"), "right_piece": every("rights")}).drop("lefts", "rights")
-    b = b.join(sizes, name).withColumns({"right_piece": own("dst", "rights"), "left_piece": every("lefts")}).drop("lefts", "rights")
     cell, tasks = [name, "left_piece", "right_piece"], max(1, math.ceil(pairs / TASK_PAIRS))
-    met = a.repartition(tasks, *cell).join(b.repartition(tasks, *cell).hint("shuffle_hash"), cell)
+
+    def pieces(ends: DataFrame, own: str, mine: str, other: str, others: str) -> DataFrame:
+        columns = [c for c in ends.columns if c != name]
+        place = F.pmod(F.xxhash64(*(c for c in columns if c in ("src_repo", "src", "dst_repo", "dst"))), F.col(mine)).cast("int")
+        held = ends.join(sizes, name).withColumn(own, place).repartition(name, own).groupBy(name, own, others).agg(F.collect_list(F.struct(*columns)).alias("ends"))
+        cells = held.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1))).repartition(tasks, *cell)
+        return cells.select(*cell, F.inline("ends"))
+
+    met = pieces(a, "left_piece", "lefts", "right_piece", "rights").join(pieces(b, "right_piece", "rights", "left_piece", "lefts").hint("shuffle_hash"), cell)
     return met.where("src_repo <> dst_repo").drop("left_piece", "right_piece")
 
 

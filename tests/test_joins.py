@@ -114,6 +114,15 @@ def test_links_of_one_name_are_dealt_by_pairs(spark, monkeypatch):
     assert len(sizes) > 8 and max(sizes) < len(want) / 4
 
 
+def test_links_repeat_pieces_not_ends(spark, monkeypatch):
+    """What is repeated for the cells are arrays of ends, after they were dealt out."""
+    monkeypatch.setattr(link, "PIECE", 16)
+    ends = spark.range(100).select((F.col("id") % 3).alias("repo"), F.col("id").alias("symbol"), F.lit("hot").alias("name"))
+    plan = link.by_name(ends, ends, "name")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    repeated = [i for i, line in enumerate(plan) if "explode(sequence(" in line]
+    assert len(repeated) == 2 and all("collect_list(struct(" in "".join(plan[i + 1 : i + 4]) for i in repeated)
+
+
 def test_see_also_moves_lists_even_of_common_symbols(spark, monkeypatch):
     monkeypatch.setattr(pages, "PIECE", 8)
     rng = random.Random(4)
