@@ -64,7 +64,8 @@ def _sets(rows: pa.Table, found: pa.Table, depth: np.ndarray, schema: pa.Schema)
     at = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, a + n, CHUNK) for a, n in zip(at, size, strict=True))]) if size.max(initial=0) > CHUNK else at
     lists = [pa.ListArray.from_arrays(pa.array(np.append(at, len(row)).astype(np.int32)), found.column(c).combine_chunks()) for c in found.column_names[1:]]
     head = pa.array(row[at])
-    columns = [rows.column("root").combine_chunks().take(head), rows.column("part").combine_chunks().take(head), pa.array(depth[at].astype(np.int32)), *lists]
+    whose = [rows.column(c).combine_chunks().take(head) for c in schema.names if c in ("block", "root", "part")]
+    columns = [*whose, pa.array(depth[at].astype(np.int32)), *lists]
     return pa.RecordBatch.from_arrays([c.cast(schema.field(n).type) for c, n in zip(columns, schema.names, strict=True)], names=schema.names)
 
 
@@ -98,6 +99,38 @@ def united(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordB
         yield done(pa.Table.from_batches(held))
 
 
+def expanded(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
+    """Rows (block, root, node, part, depth, nodes and maybe tags) sorted by block, node and root, of three kinds: sets that a root has, without a node; pieces of
+    a node's successors, without a root; and roots that go on from a node, which follow its pieces. Returns the sets as they are, and a piece for each root that goes on."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([*held, batch]).combine_chunks()
+        out = rows.drop_columns(["node"])
+        node = rows.column("node").combine_chunks()
+        has, piece = ~node.is_null().to_numpy(zero_copy_only=False), rows.column("root").combine_chunks().is_null().to_numpy(zero_copy_only=False)
+        code, block = node.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False), rows.column("block").to_numpy()
+        first = np.ones(len(code), bool)
+        first[1:] = (code[1:] != code[:-1]) | (block[1:] != block[:-1])
+        group, start = np.cumsum(first) - 1, np.flatnonzero(first)
+        pieces = np.bincount(group[piece], minlength=len(start))
+        size = rows.column("nodes").combine_chunks().value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        nodes = np.bincount(group[piece], size[piece], minlength=len(start)).astype(np.int64)
+        if not has.all():
+            yield from out.filter(pa.array(~has)).combine_chunks().to_batches()
+        going = np.flatnonzero(has & ~piece)
+        turn = np.cumsum(nodes[group[going]]) // CHUNK
+        for on in np.split(going, np.flatnonzero(turn[1:] != turn[:-1]) + 1):
+            times = pieces[group[on]]
+            at = np.repeat(start[group[on]] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            root = rows.column("root").take(pa.array(np.repeat(on, times)))
+            met = out.take(pa.array(at)).set_column(out.column_names.index("root"), "root", root)
+            met = met.set_column(met.column_names.index("depth"), "depth", pa.array(np.full(len(at), level, np.int32)))
+            yield from met.combine_chunks().to_batches()
+        held = rows.slice(start[-1], pieces[-1]).to_batches() if pieces[-1] else []
+
+
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(root, depth, tag, n, least): how many nodes of a tag each set has, and the least of them."""
     for batch in batches:

@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialized
-from .sets import PART, PIECE, counted, united
+from .sets import PART, PIECE, counted, expanded, united
 
 #: Each level reads the one before twice; the plan is cut that often.
 CUT_EVERY = 4
 #: Roots that walk in rows.
 FEW = 64
+#: Nodes that the roots of a block take over in two steps (about, by the mean of successors).
+BLOCK_NODES = 1 << 22
 
 
 def _many(roots: DataFrame) -> bool:
@@ -49,37 +51,60 @@ def reach_sets(edges: DataFrame, roots: DataFrame, depth: int, tags: DataFrame |
     """(root, part, depth, nodes): the nodes of each root by their least number of edges, in sets. With tags (node, tag) of numbers it is (root, depth, tag, n, least):
     the number of nodes of a tag (-1: of none) in a set, and the least of them, so that what is asked of a node needs no row for each root that reaches it.
 
-    What moves are sets, not rows of one node: the successors of a node are arrays of up to PIECE, a frontier takes them over whole,
-    and a root's arrays are united where they meet, in one pass over sorted rows. In graphs of more than PART nodes, nodes are dealt to
+    What moves are sets, not rows of one node, and not a set for each root that goes on: roots are dealt to blocks by ranges, the successors of a node are
+    arrays of up to PIECE and move once to each block that has a root there, and roots take them over and unite them in their block, in passes over sorted rows. Where roots that
+    lie together reach the same nodes, that is far less than an array for each root and node, and elsewhere it is not more. In graphs of more than PART nodes, nodes are dealt to
     parts, and a root has a set of its own in each, so that no task ever holds more than about PART nodes of one root. A node goes into a
-    frontier once, so the work is bounded by the edges met, not by the number of walks."""
-    links = materialized(edges.select("src", "dst").where("src is not null and dst is not null"))
-    parts = math.ceil((links.agg(F.approx_count_distinct("dst")).first()[0] or 1) / PART)
-    part = F.pmod(F.xxhash64("dst"), F.lit(parts)).cast("int")
-    turn = F.row_number().over(Window.partitionBy("src").orderBy("part", "dst"))
-    columns = ["part", "depth", "nodes"]
+    frontier once, so the work is bounded by the edges met, not by the number of walks. Edges that are dealt by src already are not moved to find their pieces."""
+    links, lists = edges.select("src", "dst").where("src is not null and dst is not null"), ["nodes"]
     if tags is not None:
-        # Joined first, edges are told apart where they have met their tags.
         links = links.join(tags.select(F.col("node").alias("dst"), "tag"), "dst", "left").withColumn("tag", F.coalesce("tag", F.lit(-1).cast(tags.schema["tag"].dataType)))
-        columns.append("tags")
-    near = links.distinct().withColumn("part", part).withColumn("piece", F.floor(turn / PIECE))
-    lists = [F.collect_list(c).alias(of) for c, of in (("dst", "nodes"), ("tag", "tags")) if c in near.columns]
-    near = near.groupBy("src", "part", "piece").agg(*lists).drop("piece")
-    front, state = roots.select("root", F.col("root").alias("node")).distinct(), None
+        links, lists = links.repartition("src"), [*lists, "tags"]
+    near = materialized(_pieces(links.distinct(), F.lit(0)))
+    each = near.select("src", F.explode("nodes").alias("dst"))
+    n, sources, known = each.agg(F.count("*"), F.approx_count_distinct("src"), F.approx_count_distinct("dst")).first()
+    parts, blocks = math.ceil((known or 1) / PART), math.ceil((n * n / max(sources, 1) or 1) / BLOCK_NODES)
+    if parts > 1:
+        rows = near.select("src", F.inline(F.arrays_zip(*lists))).withColumnsRenamed({"nodes": "dst", "tags": "tag"})
+        near = materialized(_pieces(rows, F.pmod(F.xxhash64("dst"), F.lit(parts)).cast("int")))
+    roots = roots.select("root").distinct()
+    # Fixed by the checkpoint: the number of a range is not the same if it's found again.
+    roots = materialized(roots.repartitionByRange(blocks, "root").withColumn("block", F.spark_partition_id()))
+    columns = ["block", "root", "part", "depth", *lists]
+    state = roots.join(near, roots["root"] == near["src"]).withColumn("depth", F.lit(1)).select(*columns).repartition(blocks, "block")
     last = max(depth, 1)
-    for level in range(1, last + 1):
-        step = front.join(near, front["node"] == near["src"]).withColumn("depth", F.lit(level)).select("root", *columns)
-        if state is not None:
-            met = state.unionByName(step).repartition("root", "part").sortWithinPartitions("root", "part")
-            if level == last and tags is not None:
-                # Counted in the pass that unites them, sets don't go through rows again.
-                return _counted(state).unionByName(_counted(met, lambda batches: united(batches, last)))
-            step = met.mapInArrow(lambda batches, level=level: united(batches, level), met.schema)
+    for level in range(2, last + 1):
+        met = _met(state, near, level, blocks, lists)
+        if level == last and tags is not None:
+            # Counted in the pass that unites them, sets don't go through rows again.
+            return _counted(state).unionByName(_counted(met, lambda batches: united(batches, last)))
+        step = met.mapInArrow(lambda batches, level=level: united(batches, level), met.schema)
         if level % CUT_EVERY == 0:
             step = materialized(step)
-        state = step if state is None else state.unionByName(step)
-        front = step.select("root", F.explode("nodes").alias("node"))
-    return state if tags is None else _counted(state)
+        state = state.unionByName(step)
+    return state.select("root", "part", "depth", "nodes") if tags is None else _counted(state)
+
+
+def _pieces(links: DataFrame, part: F.Column) -> DataFrame:
+    """(src, part, nodes and maybe tags): the successors of each src and part, in order, in arrays of up to PIECE; from different rows (src, dst and maybe tag)."""
+    turn = F.row_number().over(Window.partitionBy("src").orderBy("part", "dst"))
+    lists = [F.collect_list(c).alias(of) for c, of in (("dst", "nodes"), ("tag", "tags")) if c in links.columns]
+    return links.withColumn("part", part).withColumn("piece", F.floor(turn / PIECE)).groupBy("src", "part", "piece").agg(*lists).drop("piece")
+
+
+def _met(state: DataFrame, near: DataFrame, level: int, blocks: int, lists: list[str]) -> DataFrame:
+    """The sets of all roots and, at this level, the successors of those nodes that they had at the level before, sorted by root and part."""
+    kinds, before = {f.name: f.dataType for f in state.schema}, F.col("depth") == level - 1
+    kind, none = kinds["nodes"].elementType, lambda c: F.lit(None).cast(kinds[c])
+    asked = state.where(before).select("block", F.explode("nodes").alias("node")).distinct()
+    found = asked.join(near, asked["node"] == near["src"]).select("block", none("root").alias("root"), "node", "part", none("depth").alias("depth"), *lists)
+    rows = found.unionByName(state.withColumn("node", F.lit(None).cast(kind))).repartition(blocks, "block")
+    # Roots go on from their nodes as rows only where they are united.
+    own = F.struct("node", "part", "depth", *lists)
+    on = F.transform("nodes", lambda x: F.struct(x.alias("node"), *(none(c).alias(c) for c in ("part", "depth", *lists))))
+    rows = rows.select("block", "root", F.inline(F.when(F.col("root").isNotNull() & before, F.concat(F.array(own), on)).otherwise(F.array(own))))
+    met = rows.sortWithinPartitions("block", "node", "root").mapInArrow(lambda batches: expanded(batches, level), rows.drop("node").schema)
+    return met.sortWithinPartitions("root", "part")
 
 
 def _counted(sets: DataFrame, before: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.operators import lines, pages, resolve, traverse
+from graphloom.plans import queries
 from graphloom.plans.queries import ORACLE_SQL, QUERIES
 
 from .oracle import connect, differences
@@ -69,3 +70,12 @@ def test_symbols_by_line_rules(spark):
         ("e.java", 1, "class", "Shop", "public"), ("e.java", 2, "function", "sum", "public"), ("e.java", 3, "function", "run", "public"),
     }
     assert len({r.id for r in got}) == len(got)
+
+
+def test_steps_move_no_column_that_only_tells_equal_lines_apart(spark, tmp_path):
+    con = connect(DATA)
+    con.execute(f"copy (select * from lineitem union all select * replace (l_suppkey + 1 as l_suppkey, l_extendedprice * 2 as l_extendedprice) from lineitem where l_orderkey % 3 = 0) to '{tmp_path}/lineitem.parquet' (format parquet)")
+    found = queries.steps(spark, str(tmp_path))
+    sql = f"select src, dst from (select l_partkey as src, {queries.NEXT} as dst from '{tmp_path}/lineitem.parquet') where dst is not null"
+    assert differences(found, con, sql) == ""
+    assert "l_extendedprice" not in found._jdf.queryExecution().executedPlan().toString()

@@ -107,3 +107,39 @@ def test_impact_of_many_roots_counts_sets(spark, monkeypatch, kind, few):
         firsts = {m: min((d, n) for d, n, of, _ in mine if of == m) for m in {x[2] for x in mine} if m}
         assert (r["affected"], r["tests"], r["risk"]) == (len(mine), sum(p is not None and ("test" in p or "spec" in p) for *_, p in mine), len(mine) > 10)
         assert r["modules"] == sorted(firsts, key=firsts.get)
+
+
+def shuffled(spark) -> int:
+    """Bytes that all stages so far have written for others."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
+    none = spark.sparkContext._gateway.new_array(jvm.double, 0)
+    stages = context.statusStore().stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_successors_move_to_blocks_not_to_each_root(spark, monkeypatch):
+    monkeypatch.setattr(traverse, "BLOCK_NODES", 1 << 17, raising=False)
+    rng = random.Random(8)
+    ends = {n: [rng.getrandbits(62) for _ in range(300)] for n in range(1000, 1020)}
+    pairs = [(r, n) for r in range(500) for n in ends] + [(n, d) for n, to in ends.items() for d in to]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    before = shuffled(spark)
+    assert traverse.reachable(edges, spark.range(500).toDF("root"), 2).count() == 500 * len({*ends, *(d for to in ends.values() for d in to)})
+    assert shuffled(spark) - before < 4 << 20
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+@pytest.mark.parametrize("chunk", [5, 1 << 16])
+def test_roots_take_over_pieces_over_batches(monkeypatch, size, chunk):
+    monkeypatch.setattr(sets, "CHUNK", chunk)
+    pieces = {(0, "a"): [[1, 2, 3], [4]], (0, "b"): [[5]], (0, "d"): [[6]], (1, "a"): [[1, 2, 3], [4]]}
+    going = {(0, "a"): [7, 8, 9], (0, "b"): [8], (1, "a"): [11], (1, "c"): [11]}
+    own = [(0, 7, [20]), (0, 8, [21, 22]), (1, 11, [23])]
+    rows = [{"block": b, "root": r, "node": None, "part": 0, "depth": 1, "nodes": n} for b, r, n in own]
+    rows += [{"block": b, "root": None, "node": m, "part": 0, "depth": None, "nodes": n} for (b, m), of in pieces.items() for n in of]
+    rows += [{"block": b, "root": r, "node": m, "part": None, "depth": None, "nodes": None} for (b, m), of in going.items() for r in of]
+    rows.sort(key=lambda r: (r["block"], r["node"] or "", -1 if r["root"] is None else r["root"]))
+    schema = pa.schema([("block", pa.int32()), ("root", pa.int64()), ("node", pa.string()), ("part", pa.int32()), ("depth", pa.int32()), ("nodes", pa.list_(pa.int64()))])
+    got = [tuple(r.values()) for b in sets.expanded(iter(pa.Table.from_pylist(rows, schema).to_batches(max_chunksize=size)), 2) for r in b.to_pylist()]
+    want = [(b, r, 0, 1, n) for b, r, n in own] + [(b, r, 0, 2, n) for (b, m), of in going.items() for r in of for n in pieces.get((b, m), [])]
+    assert sorted(got) == sorted(want) and list(sets.expanded(iter([]), 2)) == []
