@@ -16,16 +16,18 @@ def route_ends(rows: DataFrame) -> DataFrame:
     return rows.select("repo", "symbol", F.concat_ws(" ", F.upper("method"), normalize_path(F.col("path"))).alias("name"))
 
 
-#: Ends of one name in a piece (about), and pairs that one task makes (about).
-PIECE, TASK_PAIRS = 2048, 1 << 22
+#: Ends of one name in a piece (about), those of the right side that the left ends of a cell meet at a time, and pairs that one task makes (about).
+PIECE, TURN, TASK_PAIRS = 1024, 64, 1 << 23
 
 
 def by_name(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
     """Ends (repo, symbol, name) of one service or topic in different repositories. Other columns of `left` come along.
 
     There are as many rows as pairs, so pairs are what is dealt out: a name's ends are cut into pieces on both sides, each piece meets each piece
-    of the other side in a cell of its own, and the number of tasks follows from the number of pairs. A piece is one row with an array of its ends until
-    it is in its cells, so what is repeated are pieces, by tasks that they were dealt to, not ends by the tasks that read them. A task holds the pieces of its cells."""
+    of the other side in a cell of its own, and the number of tasks follows from the number of pairs. A piece is one row with an array of its ends, also in
+    its cells: arrays are what is repeated, moved and joined, and rows are made of them last. A task holds the pieces of its cells and the pairs of one turn.
+
+    Pairs come in an order that a columnar file stores in little: ends lie by repository, and in a turn one left end after the other meets the same few right ends."""
     a = left.withColumnsRenamed({"repo": "src_repo", "symbol": "src"})
     b = right.select(F.col("repo").alias("dst_repo"), F.col("symbol").alias("dst"), name)
     counted = lambda ends, of: ends.groupBy(name).agg(F.count("*").alias(of))
@@ -36,13 +38,16 @@ def by_name(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
 
     def pieces(ends: DataFrame, own: str, mine: str, other: str, others: str) -> DataFrame:
         columns = [c for c in ends.columns if c != name]
-        place = F.pmod(F.xxhash64(*(c for c in columns if c in ("src_repo", "src", "dst_repo", "dst"))), F.col(mine)).cast("int")
-        held = ends.join(sizes, name).withColumn(own, place).repartition(name, own).groupBy(name, own, others).agg(F.collect_list(F.struct(*columns)).alias("ends"))
-        cells = held.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1))).repartition(tasks, *cell)
-        return cells.select(*cell, F.inline("ends"))
-
-    met = pieces(a, "left_piece", "lefts", "right_piece", "rights").join(pieces(b, "right_piece", "rights", "left_piece", "lefts").hint("shuffle_hash"), cell)
-    return met.where("src_repo <> dst_repo").drop("left_piece", "right_piece")
+        by = [c for c in columns if c in ("src_repo", "src", "dst_repo", "dst")]
+        dealt = ends.join(sizes, name).withColumn(own, F.pmod(F.xxhash64(*by), F.col(mine)).cast("int")).repartition(name, own).sortWithinPartitions(name, own, *by)
+        held = dealt.groupBy(name, own, others).agg(F.collect_list(F.struct(*columns)).alias(f"{own}_ends"))
+        return held.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1))).select(*cell, f"{own}_ends").repartition(tasks, *cell)
+
+    lefts, rights = pieces(a, "left_piece", "lefts", "right_piece", "rights"), pieces(b, "right_piece", "rights", "left_piece", "lefts")
+    # Spark holds all rows that it makes of one row in a stage without a sort, so turns are sorted: what is held are the pairs of a turn, not of a cell.
+    turns = rights.select(*cell, F.posexplode(F.expr(f"transform(sequence(1, size(right_piece_ends), {TURN}), at -> slice(right_piece_ends, at, {TURN}))")).alias("turn", "turn_ends"))
+    met = turns.sortWithinPartitions(*cell, "turn").join(lefts.hint("merge"), cell).select(name, F.inline("left_piece_ends"), "turn_ends")
+    return met.select("*", F.inline("turn_ends")).drop("turn_ends").where("src_repo <> dst_repo")
 
 
 def by_contract(contracts: DataFrame, servers: DataFrame, clients: DataFrame, first_symbol: DataFrame) -> DataFrame:

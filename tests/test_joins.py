@@ -123,6 +123,28 @@ def test_links_repeat_pieces_not_ends(spark, monkeypatch):
     assert len(repeated) == 2 and all("collect_list(struct(" in "".join(plan[i + 1 : i + 4]) for i in repeated)
 
 
+@pytest.mark.parametrize(("piece", "turn"), [(16, 5), (7, 64), (1, 1)])
+def test_links_in_turns_equal_all_pairs(spark, monkeypatch, piece, turn):
+    """Ends that occur twice, unknown ends and pieces that are no whole turns keep their rows."""
+    monkeypatch.setattr(link, "PIECE", piece)
+    monkeypatch.setattr(link, "TURN", turn)
+    monkeypatch.setattr(link, "TASK_PAIRS", 64)
+    rng = random.Random(piece)
+    ends = lambda n: [(rng.choice([0, 1, 2, None]), rng.choice([*range(20), None]), rng.choice(["a", "b", None])) for _ in range(n)]
+    left, right = ends(50), ends(33)
+    a, b = (spark.createDataFrame(rows, "repo int, symbol int, name string") for rows in (left, right))
+    met = link.by_name(a.withColumn("more", F.create_map("name", "symbol")), b, "name").select("src_repo", "src", "dst_repo", "dst", "name", "more")
+    want = [(r, s, q, t, n, {n: s}) for r, s, n in left for q, t, m in right if n is not None and n == m and None not in (r, q) and r != q]
+    assert sorted(map(str, map(tuple, met.collect()))) == sorted(map(str, want))
+
+
+def test_links_are_few_bytes_in_a_file(spark, tmp_path):
+    ends = lambda n: spark.range(n).select((F.xxhash64("id") % 25).alias("repo"), F.col("id").alias("symbol"), F.format_string("name%d", F.col("id") % 2).alias("name"))
+    link.by_name(ends(1500), ends(2500), "name").write.parquet(f"{tmp_path}/links")
+    size = sum(f.stat().st_size for f in tmp_path.glob("links/*.parquet"))
+    assert size < 0.4 * spark.read.parquet(f"{tmp_path}/links").count()
+
+
 def test_see_also_moves_lists_even_of_common_symbols(spark, monkeypatch):
     monkeypatch.setattr(pages, "PIECE", 8)
     rng = random.Random(4)
