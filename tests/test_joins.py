@@ -155,6 +155,47 @@ def test_see_also_moves_lists_even_of_common_symbols(spark, monkeypatch):
     assert got == {p: o for p, o in want.items() if o}
 
 
+@pytest.mark.parametrize(("piece", "block"), [(1024, 50), (5, 50), (5, 1 << 23), (1024, 1 << 23)])
+def test_see_also_in_blocks_equals_all_pairs(spark, monkeypatch, piece, block):
+    """Pages are strings or numbers, rows may repeat, and blocks and lists cut through a symbol's pages."""
+    monkeypatch.setattr(pages, "PIECE", piece)
+    monkeypatch.setattr(pages, "BLOCK", block)
+    rng = random.Random(block)
+    rows = [(rng.randrange(80), rng.choice([*range(30), None])) for _ in range(200)] + [(p, 99) for p in range(0, 80, 3)]
+    for kind, of in (("int", int), ("string", "wiki_{}".format)):
+        members = [(of(p), None if i is None else of(i)) for p, i in [*rows, *rows[:50]]]
+        got = [tuple(r) for r in pages.see_also(spark.createDataFrame(members, f"page {kind}, id {kind}")).collect()]
+        known = {(p, i) for p, i in members if i is not None}
+        want = {p: sorted({str(q) for q, j in known for r, i in known if r == p and i == j and q != p}) for p, _ in known}
+        assert sorted(got, key=str) == sorted(((p, o) for p, o in want.items() if o), key=str)
+
+
+def _written(plan):
+    """(partitioning, rows) of the exchanges of a plan that ran."""
+    found, left = [], [plan.executedPlan() if hasattr(plan, "executedPlan") else plan]
+    while left:
+        node = left.pop()
+        name = node.getClass().getSimpleName()
+        if name == "ShuffleExchangeExec":
+            found.append((node.outputPartitioning().toString(), node.metrics().apply("shuffleRecordsWritten").value()))
+        if name.endswith("QueryStageExec"):
+            left.append(node.plan())
+        children = node.children()
+        left += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_see_also_moves_a_list_once_to_a_block_of_pages(spark, monkeypatch):
+    monkeypatch.setattr(pages, "BLOCK", 4000)
+    members = spark.range(2000).select((F.col("id") / 4).cast("long").alias("page"), ((F.col("id") / 400).cast("long") * 20 + F.xxhash64("id") % 20).alias("id"))
+    met = pages.see_also(members)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 3 and "hashpartitioning(page" not in plan
+    met.collect()
+    moved = [n for by, n in _written(met._jdf.queryExecution().executedPlan()) if "passthrough" in by]
+    assert len(moved) == 1 and 0 < moved[0] < members.distinct().count() / 2
+
+
 def test_claims_are_looked_up_without_all_edges_in_both_directions(spark):
     claimed = spark.createDataFrame([(1, 2, 1), (2, 5, 5), (3, 5, None), (4, None, 5), (5, 1, 3), (6, 4, 4), (7, 3, 9), (7, 3, 9)], "page int, src int, dst int")
     edges = spark.createDataFrame([(1, 2), (1, 2), (9, 3), (5, 5), (4, None), (3, 2)], "src int, dst int")
